@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scenewright.llm import packing
+from scenewright.llm import media, packing, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op3_media_columns": media.op3_media_columns,
+    "op7_token_store": token_store.op7_token_store,
 }
 
 SQL: dict[str, str] = {}
