@@ -12,14 +12,23 @@ from functools import lru_cache
 import numpy as np
 
 #: Entries in a worker's cache of encoded pieces; it starts anew when full.
-CACHE = 200_000
+CACHE = 800_000
+#: Pieces that one call of the tokenizer encodes.
+CALL = 2_000
+#: Endings that are a token run of their own after a letter.
+ENDINGS = (".", ",", "!!")
+
+
+def _is_word(piece: str) -> bool:
+    """Only Latin letters, for which this Python's and the tokenizer's Unicode tables agree."""
+    return piece.isalpha() and max(piece) < "\u0250"
 
 
 class Encoder:
     """Texts to little-endian unsigned 32-bit ids.
 
-    spaced: the vocabulary keeps the space before a word (byte-level BPE). Otherwise white space only separates
-    (word BPE) and an empty piece has no ids.
+    spaced: the vocabulary keeps the space before a word (byte-level BPE). Otherwise white space only separates and
+    case doesn't count (word BPE), and an empty piece has no ids.
     """
 
     def __init__(self, path: str, spaced: bool):
@@ -30,31 +39,85 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.spaced = spaced
         self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = self.first if not spaced else {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
+        self.rest: dict[str, bytes] = {}
+        self.endings = dict(zip(ENDINGS, self._one_by_one(list(ENDINGS)), strict=True))
+        # ids that begin with a space begin a piece; without spaces, ids with the word-end mark end a word
+        vocabulary = self.tokenizer.get_vocab()
+        self.marked = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.marked[[i for t, i in vocabulary.items() if (t.startswith("\u0120") if spaced else t.endswith("</w>"))]] = True
+        if not spaced:  # a piece of its own that is one id; it ends the pieces before it
+            self.between = " \0 "
+            (self.between_id,) = self.tokenizer.encode(self.between, add_special_tokens=False).ids
+
+    def _one_by_one(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, known: dict[str, bytes], pieces: list[str], prefix: str) -> None:
+    def _together(self, pieces: list[str], words: bool = False) -> list[bytes]:
+        """What each piece (after a space, if spaced) gives, from one call for all of them. words: all are words."""
+        prefix = " " if self.spaced else ""
+        joined = prefix + (" " if self.spaced or words else self.between).join(pieces)
+        ids = np.asarray(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
+        if self.spaced:
+            begin = np.flatnonzero(self.marked[ids])
+            end = np.append(begin[1:], len(ids))
+        elif words:
+            end = np.flatnonzero(self.marked[ids]) + 1
+            begin = np.concatenate([[0], end[:-1]])
+        else:
+            cut = np.flatnonzero(ids == self.between_id)
+            begin, end = np.concatenate([[0], cut + 1]), np.append(cut, len(ids))
+        if len(begin) != len(pieces) or begin[0] or end[-1] != len(ids):
+            return self._one_by_one([prefix + p for p in pieces])
+        data = ids.tobytes()
+        return [data[4 * a : 4 * b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+
+    def _learn(self, pieces: set[str]) -> None:
+        known = self.rest
+        ended = {}
+        for piece in pieces:
+            for e in ENDINGS:
+                if piece.endswith(e) and _is_word(piece[: -len(e)]):
+                    ended[piece] = e
+                    break
+        stems = {p[: -len(e)] for p, e in ended.items()} | pieces.difference(ended)
+        plain = [p for p in stems.difference(known) if p]
         if self.spaced:
-            pieces = [p for p in pieces if p and not p[0].isspace() and not p[-1].isspace()]
-        known.update(zip(pieces, self._encode([prefix + p for p in pieces]), strict=True))
+            plain = [p for p in plain if not p[0].isspace() and not p[-1].isspace()]
+        odd = [p for p in plain if "\0" in p]
+        plain = [p for p in plain if "\0" not in p]
+        words = [] if self.spaced else [p for p in plain if _is_word(p)]
+        for part in (words, list(set(plain).difference(words))):
+            for i in range(0, len(part), CALL):
+                run = part[i : i + CALL]
+                known.update(zip(run, self._together(run, part is words), strict=True))
+        if odd:
+            known.update(zip(odd, self._one_by_one([(" " if self.spaced else "") + p for p in odd]), strict=True))
+        for p, e in ended.items():
+            known[p] = known[p[: -len(e)]] + self.endings[e]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.first) + len(self.rest) > CACHE:
             self.first.clear()
             self.rest.clear()
-        split = [(t if self.spaced else t.replace("\n", " ")).split(" ") for t in texts]
-        new = set().union(*(s[1:] for s in split)) if self.spaced else set().union(*split)
-        self._learn(self.rest, list(new.difference(self.rest)), " " if self.spaced else "")
         if self.spaced:
-            self._learn(self.first, list({s[0] for s in split}.difference(self.first)), "")
+            split = [t.split(" ") for t in texts]
+            firsts = {s[0] for s in split}.difference(self.first)
+            self.first.update(zip(firsts, self._one_by_one(list(firsts)), strict=True))
+        else:
+            self.rest[""] = b""
+            split = [(t.lower() if t.isascii() else t).replace("\n", " ").split(" ") for t in texts]
+        self._learn(set().union(*(s[self.spaced :] for s in split)).difference(self.rest))
         out = []
         for text, pieces in zip(texts, split, strict=True):
             try:
-                out.append(self.first[pieces[0]] + b"".join(map(self.rest.__getitem__, pieces[1:])))
-            except KeyError:
-                out += self._encode([text])
+                if self.spaced:
+                    if pieces[0][-1:].isspace() or not pieces[0]:
+                        raise KeyError
+                    out.append(self.first[pieces[0]] + b"".join(map(self.rest.__getitem__, pieces[1:])))
+                else:
+                    out.append(b"".join(map(self.rest.__getitem__, pieces)))
+            except KeyError:  # white space that isn't one space between two words
+                out += self._one_by_one([text])
         return out
 
 
