@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scenewright.llm import line_dedup, media, mixing, packing, simhash, token_store
+from scenewright.llm import line_dedup, media, merkle, mixing, packing, simhash, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_media_columns": media.op3_media_columns,
+    "op4_merkle": merkle.op4_merkle,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_simhash": simhash.op6_simhash,
     "op7_token_store": token_store.op7_token_store,
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op4_merkle": merkle.op4_merkle,
     "op5_line_dedup": line_dedup.OP5_SQL,
     "op8_mix_sources": mixing.OP8_SQL,
 }
