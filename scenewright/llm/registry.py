@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scenewright.llm import line_dedup, media, merkle, mixing, packing, simhash, token_store
+from scenewright.llm import line_dedup, media, merkle, mixing, packing, simhash, suffix_dedup, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": packing.op2_best_fit_packing,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash": simhash.op6_simhash,
     "op7_token_store": token_store.op7_token_store,
     "op8_mix_sources": mixing.op8_mix_sources,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
 }
 
 SQL: dict[str, str] = {
