@@ -27,8 +27,8 @@ from scenewright.llm.common import documents, scratch, texts_of
 
 BLOCKS = "shard int, block long, dictionary_hash string, doc_ids array<long>, n_tokens array<long>, offsets array<long>, payload binary"
 _BLOCKS = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("dictionary_hash", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("payload", pa.binary())])
-#: Documents whose ids the dictionary is trained on, those with the smallest hash of doc_id among texts of at most
-#: TRAIN_CHARS characters, so that the driver's share is bounded; and the dictionary's size in bytes.
+#: About so many documents' ids are what the dictionary is trained on, those with a hash of doc_id under a bound, among
+#: texts of at most TRAIN_CHARS characters, so that the driver's share is bounded; and the dictionary's size in bytes.
 TRAIN_DOCS, TRAIN_CHARS, DICTIONARY = 1_000, 16_384, 64 << 10
 #: A block is closed at so many compressed bytes.
 BLOCK = 1 << 20
@@ -39,11 +39,12 @@ def _narrow(ids: bytes, width: int) -> bytes:
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int, most: int = TRAIN_DOCS, size: int = DICTIONARY, text: str = "text") -> bytes:
-    """A zstandard dictionary from the id arrays of at most `most` documents; empty where there is too little to train on."""
-    picked = texts_of(docs, text).filter(F.length("text") <= TRAIN_CHARS).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    """A zstandard dictionary from the id arrays of about `most` documents; empty where there is too little to train on."""
+    bound = int(min(1.0, most / max(1, docs.count())) * (1 << 32))
+    picked = texts_of(docs, text).filter((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < bound) & (F.length("text") <= TRAIN_CHARS)).limit(2 * most)
     encode = tokens.encoder(tokenizer, True).encode
     end = int(end_id).to_bytes(4, "little")
-    samples = [_narrow(x + end, width) for x in encode([r["text"] for r in picked.select("text").collect()])]
+    samples = [_narrow(x + end, width) for x in encode(sorted(r["text"] for r in picked.select("text").collect()))]
     if sum(map(len, samples)) < 16 * size // 8 or len(samples) < 16:
         return b""
     try:
@@ -69,7 +70,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, le
         from pyspark import TaskContext
 
         shard, encode = TaskContext.get().partitionId(), tokens.encoder(tokenizer, True).encode
-        pack = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
+        shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+        if shared:
+            shared.precompute_compress(level)  # else every document digests the dictionary anew
+        pack = zstandard.ZstdCompressor(level=level, dict_data=shared)
         end, at = int(end_id).to_bytes(4, "little"), 0
         ids, counts, frames, size = [], [], [], 0
 
