@@ -30,12 +30,12 @@ def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Winnowed fingerprints of every document: seed (hash of gram lines), line_doc, line_row, runs.
+    """Winnowed fingerprints of every document: line_doc, line_row, seed (hash of gram lines), start, runs.
 
     Of every window of `window` successive line grams the smallest hash, the first if equal, is selected. Whatever
-    run of gram + window - 1 lines two documents share, both select the same gram of it. runs has, for each window
-    that selects this gram, its first line and the hash of its lines: as far as a match of the gram alone must be
-    extended to either side for such a run.
+    run of gram + window - 1 lines two documents share, both select the same gram of it. runs has the hash of the
+    lines of each window that selects this gram, the first of which begins at line start: as far as a match of the
+    gram alone must be extended to either side for such a run.
     """
     n = gram + window - 1
     rows = _keyed(docs, text, doc_id).select("line_doc", "line_row", F.transform(_lines(F.col("line_text")), lambda x: F.xxhash64(F.trim(F.translate(x, "\n\r\t", "   ")))).alias("h")).filter(F.size("h") >= n)
@@ -44,9 +44,14 @@ def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, text:
     rows = rows.withColumn("g", F.transform(F.sequence(F.lit(0), count - gram), lambda i: F.xxhash64(*[at("h", i + j) for j in range(gram)])))
     rows = rows.withColumn("chosen", F.transform(F.sequence(F.lit(0), count - n), lambda s: reduce(F.least, [F.struct(at("g", s + j).alias("seed"), (s + j).alias("at")) for j in range(window)])))
     rows = rows.withColumn("run", F.transform(F.sequence(F.lit(0), count - n), lambda s: F.xxhash64(*[at("h", s + j) for j in range(n)])))
-    seeds = rows.withColumn("c", F.explode(F.array_distinct("chosen")))
-    starts = F.filter(F.sequence(F.greatest(F.col("c.at") - (window - 1), F.lit(0)), F.least(F.col("c.at"), F.size("chosen") - 1)), lambda s: F.get(F.col("chosen"), s)["at"] == F.col("c.at"))
-    return seeds.select(F.col("c.seed").alias("seed"), "line_doc", "line_row", F.transform(starts, lambda s: F.struct(s.alias("start"), F.get(F.col("run"), s).alias("hash"))).alias("runs"))
+    # Choices move on with the windows, so those that select one gram stand together; nothing but them is exploded.
+    rows = rows.withColumn("firsts", F.filter(F.sequence(F.lit(0), count - n), lambda s: (s == 0) | (at("chosen", s)["at"] != F.get(F.col("chosen"), F.greatest(s - 1, F.lit(0)))["at"])))
+
+    def seed(s: Column, i: Column) -> Column:
+        end = F.coalesce(F.get(F.col("firsts"), i + 1), F.size("chosen"))
+        return F.struct(at("chosen", s)["seed"].alias("seed"), s.alias("start"), F.slice(F.col("run"), s + 1, end - s).alias("runs"))
+
+    return rows.select("line_doc", "line_row", F.inline(F.transform("firsts", seed)))
 
 
 def repeated_runs(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -58,7 +63,7 @@ def repeated_runs(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, text:
     """
     found = stored(fingerprints(docs, gram, window, text, doc_id), "line-seeds")
     again = found.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed")
-    met = stored(found.join(again, "seed", "left_semi").select("line_doc", "line_row", F.explode("runs").alias("r")).select("line_doc", "line_row", "r.*"), "line-runs")
+    met = stored(found.join(again, "seed", "left_semi").select("line_doc", "line_row", F.col("start").alias("from"), F.posexplode("runs").alias("i", "hash")).select("line_doc", "line_row", (F.col("from") + F.col("i")).alias("start"), "hash"), "line-runs")
     place = F.struct("line_doc", "line_row", "start")
     first = met.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").drop("last")
     later = met.join(first, "hash").filter(F.struct("line_doc", "line_row", "start") > F.col("first"))

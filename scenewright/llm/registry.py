@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scenewright.llm import line_dedup, media, merkle, mixing, packing, simhash, suffix_dedup, token_store
+from scenewright.llm import cotraining, hmm, line_dedup, media, merkle, mixing, packing, simhash, suffix_dedup, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_cotraining": cotraining.op1_cotraining,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_media_columns": media.op3_media_columns,
     "op4_merkle": merkle.op4_merkle,
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_store": token_store.op7_token_store,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
+    "op10_hidden_markov": hmm.op10_hidden_markov,
 }
 
 SQL: dict[str, str] = {

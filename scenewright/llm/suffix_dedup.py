@@ -33,8 +33,10 @@ from scenewright.llm.common import buckets_for, documents, release, stored, text
 
 LENGTH, GRAM = 50, 24
 SIDE = LENGTH - GRAM
-#: Bytes of text that are hashed at once, that are reduced together before they are sent, and that a group gets.
-HASHED, TOGETHER, GROUP = 1 << 20, 16 << 20, 16 << 20
+#: Bytes of text that are hashed at once, that are reduced together before they are sent, and that a group gets; contexts
+#: that are reduced together. They bound a Python worker's memory, at about 300 MB. With more text, larger groups and
+#: more memory send fewer and fuller rows.
+HASHED, TOGETHER, GROUP, CONTEXTS_TOGETHER = 1 << 18, 4 << 20, 8 << 20, 1 << 17
 _NONE = np.uint64(2**64 - 1)
 
 #: One packed row: entries of documents (doc_id, crc32 of the text, bucket, entries of each) and two numbers and some bytes of each entry.
@@ -392,8 +394,8 @@ def covered(rows: DataFrame, shared: DataFrame, parts: int) -> DataFrame:
         key = np.concatenate([[True], (e.doc[1:] != e.doc[:-1]) | (e.crc[1:] != e.crc[:-1])])
         index = np.array([known[int(d), int(c)] for d, c in zip(e.doc[key], e.crc[key], strict=True)])[np.cumsum(key) - 1]
         out = []
-        for i in range(0, len(index), 1 << 20):  # a million contexts at a time
-            part = slice(i, i + (1 << 20))
+        for i in range(0, len(index), CONTEXTS_TOGETHER):
+            part = slice(i, i + CONTEXTS_TOGETHER)
             used, where = np.unique(index[part], return_inverse=True)
             data, size = _gather([texts[u] for u in used], where, e.x[part])
             c = Entries(e.doc[part], e.crc[part], e.bucket[part], e.x[part], size, data)
