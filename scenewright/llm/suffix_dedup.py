@@ -29,14 +29,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenewright.llm.common import buckets_for, documents, release, stored, texts_of, utf8
+from scenewright.llm.common import buckets_for, documents, release, stored, texts_of, trim, utf8
 
 LENGTH, GRAM = 50, 24
 SIDE = LENGTH - GRAM
 #: Bytes of text that are hashed at once, that are reduced together before they are sent, and that a group gets; contexts
 #: that are reduced together. They bound a Python worker's memory, at about 300 MB. With more text, larger groups and
 #: more memory send fewer and fuller rows.
-HASHED, TOGETHER, GROUP, CONTEXTS_TOGETHER = 1 << 18, 4 << 20, 8 << 20, 1 << 17
+HASHED, TOGETHER, GROUP, CONTEXTS_TOGETHER = 1 << 18, 4 << 20, 6 << 20, 1 << 16
 _NONE = np.uint64(2**64 - 1)
 
 #: One packed row: entries of documents (doc_id, crc32 of the text, bucket, entries of each) and two numbers and some bytes of each entry.
@@ -119,6 +119,11 @@ def _hashes(buf: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
+def _part(h: np.ndarray, parts: int) -> np.ndarray:
+    """Groups by the lower half of hashes: anchors have the smallest hashes around, so their upper halves crowd at zero."""
+    return ((h & np.uint64(0xFFFFFFFF)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
 def _slide(h: np.ndarray, width: int, least: bool) -> np.ndarray:
     """Smallest of the width numbers from each place on, or largest of the width up to it."""
     f = np.minimum if least else np.maximum
@@ -186,7 +191,7 @@ def _anchor_rows(docs: np.ndarray, crcs: np.ndarray, buckets: np.ndarray, texts:
     first = np.flatnonzero(new)
     least, most = doc[first], doc[np.append(first[1:], len(h)) - 1]
     e = Entries(doc, crcs[text], buckets[text], at, h & np.uint64((1 << 48) - 1))
-    part = ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    part = _part(h, parts)
     send = doc == least[group]
     shared = (least < most)[group]
     yield from ((e.take(send)).packed(part[send], ANCHORS))
@@ -229,6 +234,7 @@ def shared_anchors(rows: DataFrame, parts: int) -> DataFrame:
                 if size >= TOGETHER:
                     yield from emit(held)
                     held, size = [], 0
+                    trim()
         if held:
             yield from emit(held)
 
@@ -248,6 +254,8 @@ def shared_anchors(rows: DataFrame, parts: int) -> DataFrame:
         found = [e.take(order), Entries.unpacked(known, "u8")]
         both = Entries(*(np.concatenate([getattr(f, n) for f in found]) for n in Entries.FIELDS))
         both.y = np.zeros(len(both.x), np.uint8)
+        del rows, known, e, h, doc, order, found
+        trim()
         return _table(list(both.packed(both.bucket, ANCHORS)))
 
     return rows.select("doc_id", "bucket", "text").mapInArrow(read, PACKED).groupBy("part").applyInArrow(meet, PACKED)
@@ -409,7 +417,8 @@ def covered(rows: DataFrame, shared: DataFrame, parts: int) -> DataFrame:
             out += done.packed(done.bucket % parts, COVERED)
             c = c.take(order[c.doc[order] == least])
             h = _hashes(np.concatenate([np.ascontiguousarray(c.data[:, SIDE : SIDE + 32]).ravel(), np.zeros(32, np.uint8)]), 32 * len(c.x))[::32] if len(c.x) else np.empty(0, np.uint64)
-            out += c.packed(((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64), CONTEXTS)
+            out += c.packed(_part(h, parts), CONTEXTS)
+        trim()
         return _table(out)
 
     def meet(table: pa.Table) -> pa.Table:
@@ -419,6 +428,8 @@ def covered(rows: DataFrame, shared: DataFrame, parts: int) -> DataFrame:
         at, start, end = covered_contexts(e)
         found = Entries(e.doc[at], e.crc[at], e.bucket[at], start, (end - start).astype(np.uint16))
         both = Entries(*(np.concatenate([getattr(f, n) for f in (found, done)]) for n in Entries.FIELDS))
+        del rows, done, e, at, start, end, found
+        trim()
         return _table(list(both.packed(both.bucket, COVERED)))
 
     made = rows.groupBy("bucket").cogroup(shared.groupBy("part")).applyInArrow(contexts, PACKED)
@@ -466,6 +477,7 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
             starts, ends = [int(s) for s in starts], [int(s) for s in ends]
             kept = b"".join(t[a:b] for a, b in zip([0, *ends], [*starts, len(t)], strict=True))
             out.append({"doc_id": None if d == lowest else d, "n_bytes": len(t), "span_starts": starts, "span_ends": ends, "kept": kept})
+        trim()
         return pa.Table.from_pylist(out, schema=_RESULT)
 
     return rows.groupBy("bucket").cogroup(spans.groupBy("part")).applyInArrow(cut, RESULT)
