@@ -1,6 +1,6 @@
 """A quality classifier by co-training two views of a document: what it says, and what is known about its page.
 
-The content view sees the distinct words. The metadata view sees source, language, length and layout: lines, words
+The content view sees the distinct words and their first letters. The metadata view sees source, language, length and layout: lines, words
 to a line, shares of capitals, digits, marks and repeated words. Each is a logistic regression on labelled
 documents. Over some rounds each view labels the pool documents that it is surest about, as many of either class as
 their shares allow, for the other view to train on. Then, on labelled documents that neither has seen, each view is
@@ -25,9 +25,13 @@ from scenewright.llm.common import documents, utf8, word_runs
 #: About how many labelled and unlabelled documents the models are fitted on, those with a hash of doc_id under a bound.
 LABELLED, POOL = 8_000, 4_000
 #: Rounds of exchange; pool documents that a view labels in each; passes over the data in each fit.
-ROUNDS, EXCHANGED, PASSES = 4, 400, 6
+ROUNDS, EXCHANGED, PASSES = 4, 400, 12
+#: Step of a weight in a fit; least probability of a good document that stays.
+RATE, THRESHOLD = 0.5, 0.4
+#: Besides each word, its first so many bytes are features, as words of one stem share what they say.
+PREFIXES = (5, 7)
 #: Words are numbered by CRC-32 in so many bits; those in fewer labelled documents than LEAST, or whose share in good and bad ones differs by less than APART standard errors, have no weight.
-BITS, LEAST, APART = 22, 4, 3.5
+BITS, LEAST, APART = 22, 6, 4.5
 META = 12
 #: One labelled document in so many is kept for calibration.
 CALIBRATE = 4
@@ -58,8 +62,13 @@ def metadata(text: bytes, words: int, distinct: int, source: str | None, lang: s
     return [zlib.crc32(f"{k}={v}".encode()) & (1 << META) - 1 for k, v in got.items()]
 
 
+def features_of(word: bytes) -> list[int]:
+    """Numbers of the content features of one word."""
+    return [zlib.crc32(x) & (1 << BITS) - 1 for x in (word, *(b" " + word[:n] for n in PREFIXES if len(word) > n))]
+
+
 def numbered(words: set[bytes]) -> np.ndarray:
-    return np.unique(np.fromiter(map(zlib.crc32, words), dtype=np.int64, count=len(words)) & (1 << BITS) - 1).astype(np.int32)
+    return np.array(sorted({i for w in words for i in features_of(w)}), dtype=np.int32)
 
 
 class Rows:
@@ -106,9 +115,9 @@ class View:
                 slope = np.bincount(index, error[of], len(there)) / len(pick) + 1e-5 * self.weight[there]
                 slope[~self.used[there]] = 0
                 self.grown[there] += slope**2
-                self.weight[there] -= 0.1 * slope / np.sqrt(self.grown[there])
+                self.weight[there] -= RATE * slope / np.sqrt(self.grown[there])
                 self.grown_bias += error.mean() ** 2
-                self.bias -= 0.1 * error.mean() / math.sqrt(self.grown_bias)
+                self.bias -= RATE * error.mean() / math.sqrt(self.grown_bias)
 
     def score(self, rows: np.ndarray) -> np.ndarray:
         features, of = self.rows.take(rows)
@@ -211,7 +220,7 @@ def _read(docs: DataFrame) -> DataFrame:
 SCORES = "content_score double, metadata_score double, quality_score double, quality_keep boolean"
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """docs with content_score, metadata_score, quality_score (probabilities of a good document) and quality_keep.
 
     Every row and column stays; columns of these names are replaced. Null and empty texts have no words and are
@@ -225,8 +234,8 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     columns = {c: docs.columns.index(c) if c in docs.columns else None for c in ("text", "lang", "source")}
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, known = model.weights(), {}
-        mask = (1 << BITS) - 1
+        weights = model.weights()
+        known: dict[bytes, tuple[int, ...]] = {}
         for b in batches:
             if not b.num_rows:
                 continue
@@ -236,17 +245,15 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
             for text, lang, source in zip(texts, col("lang"), col("source"), strict=True):
                 words, n = content(text)
                 total = model.bias
-                hit = set()
+                hit: set[int] = set()
                 for w in words:
-                    i = known.get(w, -1)
-                    if i == -1:
-                        i = zlib.crc32(w) & mask
-                        i = i if i in weights else None
+                    found = known.get(w)
+                    if found is None:
+                        found = tuple(i for i in features_of(w) if i in weights)
                         if len(known) < 400_000:
-                            known[w] = i
-                    if i is not None and i not in hit:
-                        hit.add(i)
-                        total += weights[i]
+                            known[w] = found
+                    hit.update(found)
+                total += sum(weights[i] for i in sorted(hit))
                 first.append(total)
                 second.append(model.meta[metadata(text, n, len(words), source, lang)].sum() + model.meta_bias)
             p = model.combined(np.array(first), np.array(second))
