@@ -11,6 +11,7 @@ from scenewright.functions import geometry as G
 from scenewright.functions import text as T
 from scenewright.operators import entities, grading, scenes, state, validate
 from scenewright.plans import compiler, errors, leakage, render, specs
+from scenewright.sources import readers
 from scenewright.sources import views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -615,7 +616,7 @@ def f11_leakage_scan(spark: SparkSession, sf: str) -> DataFrame:
     )
 )
 def r4_rendered_samples(spark: SparkSession, sf: str) -> DataFrame:
-    records = compiled(spark, sf)
+    records = readers.materialized(compiled(spark, sf))
     out = None
     for adapter in render.ADAPTERS:
         got = render.render(records, adapter).select("spec_id", "adapter", "status")

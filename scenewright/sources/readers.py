@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,3 +72,11 @@ def write_documents(df: DataFrame, path: str) -> None:
 def write_records(compiled: DataFrame, path: str) -> None:
     """Outcomes of compiling by status, so that each channel is read without the others."""
     compiled.write.mode("errorifexists").partitionBy("status").parquet(path)
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """df written once as a checkpoint in the folder of spark.checkpoint.dir, for plans that several others start from. Only where that is unset, as in tests, the folder is a temporary one."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scenewright-"))
+    return df.checkpoint()
