@@ -24,9 +24,9 @@ def _lines(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(LINE), F.lit(0))
 
 
-def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+def _keyed(docs: DataFrame, text: str, doc_id: str, prefix: str = "line_") -> DataFrame:
     """docs with line_doc and line_row: rows equal in both ids are one document."""
-    return docs.withColumns({"line_doc": F.col(f"`{doc_id}`").cast("long"), "line_text": F.coalesce(F.col(f"`{text}`"), F.lit(""))}).withColumn("line_row", F.xxhash64("line_doc", "line_text"))
+    return docs.withColumns({f"{prefix}doc": F.col(f"`{doc_id}`").cast("long"), f"{prefix}text": F.coalesce(F.col(f"`{text}`"), F.lit(""))}).withColumn(f"{prefix}row", F.xxhash64(f"{prefix}doc", f"{prefix}text"))
 
 
 def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -79,17 +79,18 @@ def dedup_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, text: s
     the input are replaced.
     """
     n = gram + window - 1
-    runs = stored(repeated_runs(docs, gram, window, text, doc_id), "line-starts").withColumnsRenamed({"line_doc": "run_doc", "line_row": "run_row"})
+    runs = stored(repeated_runs(docs, gram, window, text, doc_id), "line-starts").withColumnsRenamed({"line_doc": "_ld_run_doc", "line_row": "_ld_run_row", "starts": "_ld_starts"})
     release(docs.sparkSession)
-    rows = _keyed(docs.drop("n_lines", "n_removed"), text, doc_id)
-    rows = rows.join(runs, F.col("line_doc").eqNullSafe(F.col("run_doc")) & (F.col("line_row") == F.col("run_row")), "left")
-    rows = rows.withColumn("line_list", F.when(F.col("starts").isNotNull(), _lines(F.col("line_text"))))
-    gone = F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (n - 1))))
-    rows = rows.withColumn("line_kept", F.array_except(F.sequence(F.lit(0), F.size("line_list") - 1), gone))
-    kept = F.array_join(F.transform("line_kept", lambda i: F.get(F.col("line_list"), i)), "")
-    count = F.coalesce(F.regexp_count("line_text", F.lit(LINE)), F.lit(0))
-    new = {text: F.when(F.col("starts").isNull(), F.col(f"`{text}`")).otherwise(kept), "n_lines": count, "n_removed": F.when(F.col("starts").isNull(), 0).otherwise(F.size("line_list") - F.size("line_kept"))}
-    return rows.withColumns(new).select(*[F.col(f"`{c}`") for c in docs.drop("n_lines", "n_removed").columns], "n_lines", "n_removed")
+    docs = docs.drop("n_lines", "n_removed")
+    rows = _keyed(docs, text, doc_id, "_ld_")  # names of its own, so that no column of the input is lost
+    rows = rows.join(runs, F.col("_ld_doc").eqNullSafe(F.col("_ld_run_doc")) & (F.col("_ld_row") == F.col("_ld_run_row")), "left")
+    rows = rows.withColumn("_ld_list", F.when(F.col("_ld_starts").isNotNull(), _lines(F.col("_ld_text"))))
+    gone = F.flatten(F.transform("_ld_starts", lambda s: F.sequence(s, s + (n - 1))))
+    rows = rows.withColumn("_ld_kept", F.array_except(F.sequence(F.lit(0), F.size("_ld_list") - 1), gone))
+    kept = F.array_join(F.transform("_ld_kept", lambda i: F.get(F.col("_ld_list"), i)), "")
+    count = F.coalesce(F.regexp_count("_ld_text", F.lit(LINE)), F.lit(0))
+    new = {text: F.when(F.col("_ld_starts").isNull(), F.col(f"`{text}`")).otherwise(kept), "n_lines": count, "n_removed": F.when(F.col("_ld_starts").isNull(), 0).otherwise(F.size("_ld_list") - F.size("_ld_kept"))}
+    return rows.withColumns(new).select(*[F.col(f"`{c}`") for c in docs.columns], "n_lines", "n_removed")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

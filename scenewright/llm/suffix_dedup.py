@@ -470,7 +470,7 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
         order = np.lexsort((e.crc, e.doc))
         e = e.take(order)
         new = np.flatnonzero(np.concatenate([[True], (e.doc[1:] != e.doc[:-1]) | (e.crc[1:] != e.crc[:-1])])) if len(e.x) else np.empty(0, np.int64)
-        runs = {(int(e.doc[a]), int(e.crc[a])): union_of(e.x[a:b], e.x[a:b] + e.y[a:b]) for a, b in zip(new, np.append(new[1:], len(e.x)), strict=True)}
+        runs = {(int(e.doc[a]), int(e.crc[a])): union_of(e.x[a:b], e.x[a:b] + e.y[a:b]) for a, b in zip(new, np.append(new[1:], len(e.x))[: len(new)], strict=True)}
         out = []
         for d, t in zip(docs.column("doc_id").to_pylist(), utf8(docs.column("text").combine_chunks()), strict=True):
             starts, ends = runs.get((d, zlib.crc32(t)), ([], []))

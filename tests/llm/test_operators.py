@@ -1,0 +1,517 @@
+"""Each operator against a plain version of itself, an exact round trip, or held-out accuracy."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from scenewright.llm import cotraining, hmm, line_dedup, media, merkle, mixing, packing, simhash, suffix_dedup, token_store
+
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def encoded(rows, name):
+    t = Tokenizer.from_file(public_tokenizers.path(name))
+    t.encode_special_tokens = True
+    return {r[0]: t.encode(r[1] or "", add_special_tokens=False).ids for r in rows}
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, dtype="<u4").tobytes())
+
+
+# --- 1: quality classifier ---
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    rng = np.random.default_rng(4)
+    plain = [f"word{i}" for i in range(60)]
+    rows = []
+    for i in range(1200):
+        kind = i % 4  # three good ones, one bad: half of the bad ones by words, half by layout
+        words = list(rng.choice(plain, 40))
+        bad = kind == 3
+        if bad and i % 8 == 3:
+            words[:4] = ["awful", "trashy", "awfulness", "trashier"]
+        rows.append((i, (" | " if bad and i % 8 == 7 else " ").join(words), "en", "s", int(not bad)))
+    docs = spark.createDataFrame([(*r[:4], len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    return docs, spark.createDataFrame([(r[0], r[4], 0) for r in rows if r[0] % 10 < 7], "doc_id long, quality int, toxic int"), {r[0]: r[4] for r in rows}
+
+
+def test_classifier_on_held_out_documents(labelled):
+    docs, labels, truth = labelled
+    scored = cotraining.score(docs, cotraining.fit(docs, labels)).collect()
+    unseen = [r for r in scored if r["doc_id"] % 10 >= 7]
+    right = sum(r["quality_keep"] == bool(truth[r["doc_id"]]) for r in unseen)
+    assert len(scored) == 1200 and right / len(unseen) > 0.95
+    assert all(0 <= r["quality_score"] <= 1 for r in scored)
+
+
+def test_classifier_is_the_same_again(labelled):
+    docs, labels, _ = labelled
+    a, b = ({r["doc_id"]: r["quality_score"] for r in cotraining.score(d, cotraining.fit(d, labels)).collect()} for d in (docs, docs.repartition(7)))
+    assert a == b
+
+
+def test_classifier_without_labels_keeps_all(docs, none, odd, labelled):
+    labels = labelled[1]
+    for d in (docs, odd):
+        out = cotraining.score(d, cotraining.fit(d, labels.limit(0)))
+        assert out.filter("quality_keep").count() == d.count() and set(d.columns) <= set(out.columns)
+    model = cotraining.fit(labelled[0], labels)
+    assert cotraining.score(none, model).count() == 0
+    assert cotraining.score(odd, model).count() == 5
+    assert cotraining.score(odd.drop("lang", "source"), model).count() == 5
+
+
+# --- 2: packing ---
+
+
+def test_packing(spark, docs, rows):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    want = {d: [*ids, 1] for d, ids in encoded(rows, "word_bpe_49k.json").items()}
+    got = packing.pack_documents(docs, path).collect()
+    by = defaultdict(list)
+    for r in got:
+        ids = want[r["doc_id"]]
+        assert (r["start"], r["length"]) == (4096 * r["piece"], min(4096, len(ids) - r["start"]))
+        assert r["ids_crc32"] == crc(ids[r["start"] : r["start"] + r["length"]])
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert sum(r["length"] for r in got) == sum(map(len, want.values()))
+    for places in by.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    assert len(by) <= math.ceil(sum(map(len, want.values())) / 4096) + 1
+
+
+def test_sum_of_squares_rule():
+    """Bins are chosen as by trying every open gap."""
+    rng, capacity = np.random.default_rng(1), 32
+    lengths = rng.integers(1, capacity + 1, 400)
+    place, offset = packing.pack_group(lengths, capacity)
+    gaps, counts = {}, Counter()
+    for s, b, o in zip(lengths.tolist(), place.tolist(), offset.tolist(), strict=True):
+        def cost(gap):
+            new = counts.copy()
+            if gap < capacity:
+                new[gap] -= 1
+            if gap > s:
+                new[gap - s] += 1
+            return sum(new[g] ** 2 for g in range(1, capacity))
+
+        options = [g for g in range(s, capacity) if counts[g]] + [capacity]
+        gap = gaps.get(b, capacity)
+        assert gap == capacity - o and cost(gap) == min(map(cost, options))
+        if gap < capacity:
+            counts[gap] -= 1
+        gaps[b] = gap - s
+        if gap > s:
+            counts[gap - s] += 1
+
+
+def test_packing_edges(none, odd):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert packing.pack_documents(none, path).count() == 0
+    assert packing.pack_documents(odd, path).count() == 5
+
+
+# --- 3: media ---
+
+
+def test_media_columns(docs, rows, none, odd):
+    stored = media.store_texts(docs)
+    got = {r["doc_id"]: r for r in media.media_features(stored).collect()}
+    for d, text, *_ in rows:
+        data = (text or "").encode()
+        padded = data + b" " * (-len(data) % 192) if data else b" " * 192
+        r = got[d]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]))
+        assert len(r["feature"]) == 16
+    assert got[3]["media_sha256"] == got[20]["media_sha256"] and got[3]["feature"] == got[20]["feature"]
+    assert media.media_features(media.store_texts(none)).count() == 0 and media.media_features(media.store_texts(odd)).count() == 5
+
+
+def test_png_filters_and_checksums():
+    rng = np.random.default_rng(2)
+    for shape in ((1, 1), (7, 5), (40, 192)):
+        image = rng.integers(0, 256, shape, dtype=np.uint8)
+        data = media.encode_png(image)
+        assert (media.decode_png(data) == image).all()
+        for at in (20, len(data) // 2, len(data) - 3):
+            broken = bytearray(data)
+            broken[at] ^= 1
+            with pytest.raises((ValueError, zlib.error)):
+                media.decode_png(bytes(broken))
+    # all five row filters, colour
+    image = rng.integers(0, 256, (10, 6, 3), dtype=np.uint8)
+    raw = bytearray()
+    flat = image.reshape(10, 18).astype(int)
+    for y in range(10):
+        kind, line = y % 5, flat[y]
+        up = flat[y - 1] if y else np.zeros(18, int)
+        left = np.concatenate([np.zeros(3, int), line[:-3]])
+        corner = np.concatenate([np.zeros(3, int), up[:-3]])
+        p = left + up - corner
+        d = np.abs(np.stack([p - left, p - up, p - corner]))
+        paeth = np.where((d[0] <= d[1]) & (d[0] <= d[2]), left, np.where(d[1] <= d[2], up, corner))
+        raw += bytes([kind]) + ((line - (0, left, up, (left + up) // 2, paeth)[kind]) % 256).astype(np.uint8).tobytes()
+    import struct
+
+    png = media.SIGNATURE + media._chunk(b"IHDR", struct.pack(">IIBBBBB", 6, 10, 8, 2, 0, 0, 0)) + media._chunk(b"IDAT", zlib.compress(bytes(raw))) + media._chunk(b"IEND", b"")
+    assert (media.decode_png(png) == image).all()
+
+
+def test_cosine_hash_of_like_images_is_near():
+    a = np.kron(np.random.default_rng(5).integers(20, 230, (8, 8)), np.ones((8, 8))).astype(np.uint8)
+    near = np.clip(a.astype(int) + np.random.default_rng(0).integers(-4, 5, a.shape), 0, 255).astype(np.uint8)
+    far = np.random.default_rng(1).integers(0, 256, a.shape, dtype=np.uint8)
+    bits = lambda p, q: (int.from_bytes(media.cosine_hash(p), "big") ^ int.from_bytes(media.cosine_hash(q), "big")).bit_count()
+    assert bits(a, near) <= 8 < bits(a, far)
+
+
+# --- 4: Merkle fingerprints ---
+
+
+def plain_leaves(text):
+    size = 8 if len(text) <= 320 else 40
+    return re.findall(r"(?s).{1,%d}?(?:[.!?\n]|\Z)|.{%d}" % (size, size), text)
+
+
+def plain_merkle(text):
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    digests = [sha(p) for p in plain_leaves(text)]
+    sections, now = [], []
+    for d in digests:
+        now.append(d)
+        if d[0] == "0":
+            sections.append((now, True))
+            now = []
+    if now:
+        sections.append((now, False))
+    joined = [",".join(s) + ("" if closed else ",") for s, closed in sections]
+    root = sha("".join(map(sha, joined)))
+    return root + ":" + ";".join(sha(j)[:8] + "=" + ",".join(d[:8] for d in s) for (s, _), j in zip(sections, joined, strict=True))
+
+
+def test_merkle(docs, rows):
+    got = {r["doc_id"]: r for r in merkle.fingerprint_edits(docs, buckets=5).collect()}
+    texts = [t or "" for _, t, *_ in rows]
+    for i, text in enumerate(texts):
+        nxt = texts[(i + 1) % len(texts)]
+        cut = len(text) // 4
+        edited = text[: len(text) - cut] + nxt[:cut]
+        r = got[i]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert r["fingerprint"] == plain_merkle(text) and r["edited_fingerprint"] == plain_merkle(edited)
+        assert 0 <= r["near_next"] <= 1 and 0 <= r["near_edited"] <= 1
+        assert (r["near_edited"] == 1.0) == (edited == text)
+    assert got[3]["fingerprint"] == got[20]["fingerprint"] != got[7]["fingerprint"]
+    long = [r for r in got.values() if r["n_chars"] > 400 and len(texts[r["doc_id"]].split()) > 50]
+    assert np.mean([r["near_edited"] for r in long]) > 0.6 > 0.2 > np.mean([r["near_next"] for r in long])
+
+
+def test_merkle_locates_edits(spark):
+    a = "".join(f"Sentence number {i} stands here. " for i in range(40))
+    df = spark.createDataFrame([(a, a.replace("number 17", "number 71"))], "a string, b string")
+    df = merkle.with_fingerprint(merkle.with_fingerprint(df, "a", "fa"), "b", "fb").select(merkle.changed_paragraphs(F.col("fa"), F.col("fb")).alias("c"))
+    assert df.first()["c"] == [i for i, (x, y) in enumerate(zip(plain_leaves(a), plain_leaves(a.replace("number 17", "number 71")), strict=True)) if x != y]
+
+
+def test_merkle_edges(none, odd):
+    assert merkle.fingerprint_edits(none).count() == 0 and merkle.fingerprint_edits(odd).count() == 5
+
+
+# --- 5: lines ---
+
+
+def plain_lines(rows, n=4):
+    split = {d: re.findall(line_dedup.LINE, t or "") for d, t, *_ in rows}
+    seen, gone = set(), defaultdict(set)
+    for d in sorted(split):
+        keys = [x.replace("\n", " ").replace("\r", " ").replace("\t", " ").strip(" ") for x in split[d]]
+        for s in range(len(keys) - n + 1):
+            k = tuple(keys[s : s + n])
+            if k in seen:
+                gone[d].update(range(s, s + n))
+            seen.add(k)
+    return {d: "".join(x for i, x in enumerate(ls) if i not in gone[d]) for d, ls in split.items()}
+
+
+def test_line_dedup(docs, rows):
+    want = plain_lines(rows)
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs).collect()}
+    assert {d: r["text"] or "" for d, r in got.items()} == want
+    assert got[20]["text"] == "" and got[17]["n_removed"] >= 4 and got[5]["n_removed"] == 0 and got[60]["text"] is None
+
+
+def test_line_dedup_edges(none, odd):
+    assert line_dedup.dedup_lines(none).count() == 0
+    out = line_dedup.dedup_lines(odd)
+    assert out.count() == 5 and set(odd.columns) <= set(out.columns) and out.filter("line_doc <> 7 or starts <> 7").count() == 0
+    assert {r["text"] for r in out.filter("doc_id = 1 and n_chars = 1").collect()} == {"same same same. words here now. and again so. last one here."}  # equal rows are one document
+
+
+# --- 6: SimHash ---
+
+
+def plain_simhash(text):
+    words = WORD.findall((text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).encode())
+    grams = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([b" ".join(words)] if words else [])
+    counts = Counter(b for g in grams for b in range(64) if xxhash.xxh64_intdigest(g, seed=42) >> b & 1)
+    return sum(1 << b for b, c in counts.items() if 2 * c > len(grams))
+
+
+def linked(prints, radius):
+    """Smallest id reachable, by trying all pairs."""
+    ids = sorted(prints)
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in ids:
+        for b in ids:
+            if a < b and (prints[a] ^ prints[b]).bit_count() <= radius:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
+
+
+def test_simhash(docs, rows):
+    prints = {d: plain_simhash(t) for d, t, *_ in rows}
+    want = linked(prints, 2)
+    got = simhash.simhash_groups(docs).collect()
+    assert {r["doc_id"]: r["fingerprint"] for r in got} == {d: f"{p:016x}" for d, p in prints.items()}
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+    assert want[21] == 3 and want[61] == want[60] == 60
+
+
+@pytest.mark.parametrize("pairwise", [0, 3, 32])
+def test_links_connect_all_that_are_near(spark, monkeypatch, pairwise):
+    """Also through buckets too large to compare pair by pair."""
+    monkeypatch.setattr(simhash, "PAIRWISE", pairwise)
+    rng = np.random.default_rng(7)
+    centres = [int(x) for x in rng.integers(0, 1 << 63, 12)]
+    values = {c ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 5), replace=False)) for c in centres for _ in range(12)}
+    prints = {v: v for v in values}
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    links = simhash.fingerprint_links(spark.createDataFrame([(signed(v),) for v in values], "fingerprint long"), 2).collect()
+    back = {signed(v): v for v in values}
+    for r in links:
+        assert (back[r["a"]] ^ back[r["b"]]).bit_count() <= 2
+    root = {v: v for v in values}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for r in links:
+        x, y = find(back[r["a"]]), find(back[r["b"]])
+        root[max(x, y)] = min(x, y)
+    assert {v: find(v) for v in values} == linked(prints, 2)
+
+
+def test_masks_cover():
+    masks = simhash.covering_masks(2)
+    rng = np.random.default_rng(0)
+    for _ in range(300):
+        differ = sum(1 << int(b) for b in rng.choice(64, 2, replace=False))
+        assert any(m & differ == 0 for m in masks)
+
+
+def test_simhash_edges(none, odd):
+    assert simhash.simhash_groups(none).count() == 0 and simhash.simhash_groups(odd).count() == 5
+
+
+# --- 7: token store ---
+
+
+def test_token_store(spark, docs, rows, tmp_path):
+    want = {d: [*ids, 2] for d, ids in encoded(rows, "byte_bpe_50k.json").items()}
+    path = str(tmp_path / "store")
+    token_store.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"), shards=3)
+    got = {r["doc_id"]: r for r in token_store.token_index(spark, path).collect()}
+    at = 0
+    for d in sorted(want):
+        assert (got[d]["start"], got[d]["n_tokens"], got[d]["ids_crc32"]) == (at, len(want[d]), crc(want[d]))
+        at += len(want[d])
+    some = {r["doc_id"]: r["ids"] for r in token_store.read_documents(spark, path, [3, 60, 66]).collect()}
+    assert some == {d: want[d] for d in (3, 60, 66)}
+
+
+def test_token_store_edges(spark, none, odd, tmp_path):
+    for name, df, n in (("none", none, 0), ("odd", odd, 5)):
+        path = str(tmp_path / name)
+        token_store.write_tokens(df, path, public_tokenizers.path("byte_bpe_50k.json"))
+        assert token_store.token_index(spark, path).count() == n
+
+
+# --- 8: mixing ---
+
+
+def plain_targets(sizes):
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: (1, 2, 3)[i % 3] for i, s in enumerate(order)}
+    total, target, open_ = sum(sizes.values()), {}, list(order)
+    left = float(total)
+    while open_:
+        share = left / sum(weight[s] for s in open_)
+        full = [s for s in open_ if share * weight[s] > 3 * sizes[s]]
+        if not full:
+            return target | {s: share * weight[s] for s in open_}
+        for s in full:
+            target[s] = 3.0 * sizes[s]
+            left -= target[s]
+            open_.remove(s)
+    return target
+
+
+def test_mixing(docs, rows):
+    size = {d: len(WORD.findall((t or "").encode())) for d, t, *_ in rows}
+    of = {r[0]: r[3] for r in rows}
+    sizes = Counter()
+    for d, n in size.items():
+        sizes[of[d]] += n
+    target = plain_targets(sizes)
+    got = mixing.mix(docs).collect()
+    assert {r["doc_id"]: (r["size"], r["source_size"]) for r in got} == {d: (n, sizes[of[d]]) for d, n in size.items()}
+    taken = Counter()
+    for r in got:
+        assert r["target"] == pytest.approx(target[of[r["doc_id"]]])
+        assert r["taken"] % max(r["size"], 1) == 0 and r["taken"] <= 3 * r["size"]
+        taken[of[r["doc_id"]]] += r["taken"]
+    for s in sizes:
+        assert abs(taken[s] - target[s]) <= max(n for d, n in size.items() if of[d] == s)
+    again = mixing.mix(docs.repartition(7)).collect()
+    assert sorted(map(tuple, [r[:1] + r[-1:] for r in got])) == sorted(map(tuple, [r[:1] + r[-1:] for r in again]))
+
+
+def test_better_documents_come_first(spark):
+    df = spark.createDataFrame([(i, "w " * 10, "ab"[i % 2]) for i in range(2000)], "doc_id long, text string, source string")
+    # source a has weight 1 of 3: two thirds of it come once
+    got = mixing.mix(df, F.when(F.col("doc_id") % 4 == 0, 4.0).otherwise(0.25)).filter("source = 'a' and taken > 0").select("doc_id").collect()
+    good = sum(r["doc_id"] % 4 == 0 for r in got)
+    assert 600 < len(got) < 740 and good > 450
+
+
+def test_mixing_edges(none, odd):
+    assert mixing.mix(none).count() == 0 and mixing.mix(odd).count() == 5
+
+
+# --- 9: repeated strings ---
+
+
+def plain_repeats(rows):
+    seen, out = set(), {}
+    for d, t, *_ in sorted(rows, key=lambda r: r[0]):
+        b = (t or "").encode()
+        gone, mine = np.zeros(len(b), dtype=bool), []
+        for i in range(len(b) - 49):
+            s = b[i : i + 50]
+            if s in seen:
+                gone[i : i + 50] = True
+            mine.append(s)
+        seen.update(mine)
+        out[d] = gone
+    return out
+
+
+@pytest.mark.parametrize("group", [None, 2_000])
+def test_suffix_dedup(docs, rows, monkeypatch, group):
+    if group:
+        monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    want = plain_repeats(rows)
+    got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(docs).collect()}
+    for d, t, *_ in rows:
+        b, gone = (t or "").encode(), want[d]
+        assert bytes(got[d]["kept"]) == bytes(c for c, g in zip(b, gone, strict=True) if not g)
+        assert len(got[d]["span_starts"]) == int((np.diff(gone.astype(int), prepend=0) == 1).sum())
+    assert want[20].all() and want[17].sum() > 50
+
+
+def test_previous_factors_equal_a_scan():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        n = int(rng.integers(1, 30))
+        doc, common = rng.integers(0, 5, n), np.concatenate([[0], rng.integers(0, 6, n - 1)])
+        got = suffix_dedup.previous_factors(doc, common, 3)
+        for i in range(n):
+            best = max([min(common[min(i, j) + 1 : max(i, j) + 1]) for j in range(n) if doc[j] < doc[i]], default=0)
+            assert (got[i] >= 3) == (best >= 3) and (best < 3 or got[i] == best)
+
+
+def test_suffix_dedup_edges(none, odd):
+    assert suffix_dedup.remove_repeats(none).count() == 0
+    got = suffix_dedup.remove_repeats(odd).collect()
+    assert len(got) == 5 and all(not r["span_starts"] for r in got)  # rows of one doc_id are no earlier than one another
+
+
+# --- 10: language model ---
+
+
+def test_counts_and_base_scores(docs, rows):
+    folds = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d, *_ in rows}
+    low = {d: [*WORD.findall((t or "").encode().lower()), b"\n"] for d, t, *_ in rows}
+    counts = Counter(w for d, ws in low.items() if not folds[d] for w in ws)
+    n, v = sum(counts.values()), len(counts)
+    got = {r["doc_id"]: r for r in hmm.score_documents(docs).collect()}
+    for d, ws in low.items():
+        r = got[d]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (folds[d], len(ws), sum(counts[w] > 0 for w in ws), n)
+        assert r["base_score"] == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws))
+        assert r["score"] < 0
+
+
+def test_forward_equals_the_sum_over_paths():
+    from itertools import product
+
+    rng = np.random.default_rng(0)
+    norm = lambda a: a / a.sum(axis=-1, keepdims=True)
+    m = hmm.Model(norm(rng.random(3)), norm(rng.random((3, 3))), norm(rng.random((3, 5))))
+    seqs = [rng.integers(0, 5, k).astype(np.int32) for k in (4, 1, 6)]
+    for s, got in zip(seqs, m.forward(seqs), strict=True):
+        total = sum(m.start[p[0]] * m.emit[p[0], s[0]] * math.prod(m.move[p[i - 1], p[i]] * m.emit[p[i], s[i]] for i in range(1, len(s))) for p in product(range(3), repeat=len(s)))
+        assert got == pytest.approx(math.log10(total))
+
+
+def test_rounds_of_training_raise_the_likelihood():
+    rng = np.random.default_rng(1)
+    seqs = [np.array([(k + i) % 2 * 3 + rng.integers(0, 3) for i in range(40)], dtype=np.int32) for k in range(30)]
+    norm = lambda a: a / a.sum(axis=-1, keepdims=True)
+    m, prior, last = hmm.Model(norm(rng.random(2)), norm(rng.random((2, 2))), norm(rng.random((2, 6)))), np.full(6, 1 / 6), -1e9
+    for _ in range(12):
+        m = hmm.Model.from_counts(*m.expected(seqs), prior)
+        now = m.forward(seqs).sum()
+        assert now > last - 0.5
+        last = now
+    assert last > 1.15 * 30 * 40 * math.log10(1 / 6) * 0.75 and last > 30 * 40 * math.log10(1 / 6)
+
+
+def test_model_beats_words_alone_on_held_out_text(spark):
+    from corpus_pipeline import documents
+
+    got = hmm.score_documents(documents(spark, "/root/testdata/sf0.001")).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert got[0] > got[1]
+
+
+def test_model_edges(spark, none, odd):
+    assert hmm.score_documents(none).count() == 0 and hmm.score_documents(odd).count() == 5
+    alone = spark.createDataFrame([(9, "only held out", "a", "b", 1)], "doc_id long, text string, lang string, source string, n_chars long").filter("crc32(cast(doc_id as string)) % 7 = 2")
+    assert hmm.score_documents(alone).count() == alone.count()
