@@ -111,3 +111,20 @@ def fingerprint_edits(docs: DataFrame, text: str = "text", buckets: int | None =
 
 def op4_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(documents(spark, sf_dir))
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+x AS (SELECT doc_id, text, n, coalesce(lead(text) OVER o, first_value(text) OVER o) AS nxt FROM d WINDOW o AS (ORDER BY doc_id)),
+e AS (SELECT *, substring(text, 1, n - n // 4) || substring(nxt, 1, n // 4) AS edited FROM x),
+t AS (SELECT doc_id, 1 AS k, text AS s FROM e UNION ALL SELECT doc_id, 2, edited FROM e),
+p AS (SELECT doc_id, k, list_transform(CASE WHEN length(s) <= 320 THEN regexp_extract_all(s, '(?s).{1,8}?(?:[.!?\n]|\z)|.{8}') ELSE regexp_extract_all(s, '(?s).{1,40}?(?:[.!?\n]|\z)|.{40}') END, lambda q: sha256(q)) AS hs FROM t),
+c AS (SELECT doc_id, k, hs, list_filter(string_split(array_to_string(list_transform(hs, lambda h: h || CASE WHEN h[1] = '0' THEN ';' ELSE ',' END), ''), ';'), lambda q: q <> '') AS parts FROM p),
+f AS (SELECT doc_id, k, sha256(array_to_string(list_transform(parts, lambda q: sha256(q)), '')) AS root, list_distinct(list_transform(hs, lambda h: substr(h, 1, 8))) AS leaves,
+  array_to_string(list_transform(parts, lambda q: substr(sha256(q), 1, 8) || '=' || array_to_string(list_transform(string_split(rtrim(q, ','), ','), lambda h: substr(h, 1, 8)), ',')), ';') AS short FROM c),
+a AS (SELECT *, coalesce(lead(root) OVER o, first_value(root) OVER o) AS next_root, coalesce(lead(leaves) OVER o, first_value(leaves) OVER o) AS next_leaves FROM f WHERE k = 1 WINDOW o AS (ORDER BY doc_id))
+SELECT e.doc_id, CAST(e.n AS BIGINT) AS n_chars, sha256(e.edited) AS edited_sha256, a.root || ':' || a.short AS fingerprint, b.root || ':' || b.short AS edited_fingerprint,
+  CASE WHEN a.root = b.root THEN 1.0 ELSE 2.0 * len(list_intersect(a.leaves, b.leaves)) / (len(a.leaves) + len(b.leaves)) END AS near_edited,
+  CASE WHEN a.root = a.next_root THEN 1.0 ELSE 2.0 * len(list_intersect(a.leaves, a.next_leaves)) / (len(a.leaves) + len(a.next_leaves)) END AS near_next
+FROM e JOIN a ON e.doc_id = a.doc_id JOIN f b ON e.doc_id = b.doc_id AND b.k = 2
+"""

@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op4_merkle": merkle.OP4_SQL,
     "op5_line_dedup": line_dedup.OP5_SQL,
     "op8_mix_sources": mixing.OP8_SQL,
 }
