@@ -7,18 +7,30 @@ encoded piece by piece. Texts with other uses of white space go through the toke
 from __future__ import annotations
 
 import os
+from array import array
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 
-#: Entries in a worker's cache of encoded pieces; it starts anew when full.
-CACHE = 800_000
+#: Entries in a worker's cache of encoded pieces, some 200 MB. When it is full its later half goes: frequent pieces come early.
+CACHE = 1_000_000
 #: Pieces that one call of the tokenizer encodes.
 CALL = 2_000
 #: Endings that are a token run of their own after a letter.
 ENDINGS = (".", ",", "!!")
 
 
+#: How both vocabularies write bytes that are no printable character of Latin-1: as the characters from U+0100 on, in order.
+PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
+
+
+def _is_latin1(piece: str) -> bool:
+    """Only letters of Latin-1: no tokenizer splits such a piece, so the model itself can be asked for it."""
+    return piece.isalpha() and (piece.isascii() or max(piece) <= "\u00ff")
+
+
 def _is_word(piece: str) -> bool:
     """Only Latin letters, for which this Python's and the tokenizer's Unicode tables agree."""
     return piece.isalpha() and max(piece) < "\u0250"
@@ -37,6 +49,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.spaced = spaced
         self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
@@ -71,6 +84,15 @@ class Encoder:
         data = ids.tobytes()
         return [data[4 * a : 4 * b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
 
+    def _directly(self, words: list[str]) -> None:
+        """What the model makes of words that normalizing changes in case only and splitting not at all."""
+        ask, known = self.model.tokenize, self.rest
+        for p in words:
+            w = p.lower()
+            if not w.isascii():
+                w = w.encode().decode("latin-1").translate(LETTERS)
+            known[p] = array("I", [t.id for t in ask(w)]).tobytes()
+
     def _learn(self, pieces: set[str]) -> None:
         known = self.rest
         ended = {}
@@ -83,6 +105,9 @@ class Encoder:
         plain = [p for p in stems.difference(known) if p]
         if self.spaced:
             plain = [p for p in plain if not p[0].isspace() and not p[-1].isspace()]
+        latin = [] if self.spaced else [p for p in plain if _is_latin1(p)]  # joined calls are as fast where spaces are kept
+        self._directly(latin)
+        plain = list(set(plain).difference(latin))
         odd = [p for p in plain if "\0" in p]
         plain = [p for p in plain if "\0" not in p]
         words = [] if self.spaced else [p for p in plain if _is_word(p)]
@@ -98,7 +123,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.first) + len(self.rest) > CACHE:
             self.first.clear()
-            self.rest.clear()
+            self.rest = dict(islice(self.rest.items(), CACHE // 2))
         if self.spaced:
             split = [t.split(" ") for t in texts]
             firsts = {s[0] for s in split}.difference(self.first)
