@@ -85,3 +85,14 @@ def constraint_issues(df: DataFrame, constraints: dict[str, Column], key: str) -
     """(key, constraint) for each named condition that isn't true of a row: structural validation."""
     failed = F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in constraints.items()]))
     return df.select(F.col(key), F.explode(failed).alias("constraint"))
+
+
+def scene_rules() -> dict[str, Column]:
+    """Structural rules of normalized scenes with columns schema_version, scene_id, split_group_id, frames (array of struct with frame_id, timestamp_ns, K, pose, image_sha256)."""
+    frames = F.col("frames")
+    matrix = lambda m, n: (F.size(m) == n) & F.forall(m, lambda r: (F.size(r) == n) & F.forall(r, G.finite))
+    return {
+        "schema_version": F.col("schema_version").rlike(r"^\d+\.\d+\.\d+$"), "scene_id": F.length("scene_id") > 0, "split_group_id": F.length("split_group_id") > 0, "frames": F.size(frames) > 0,
+        "frame_id": F.forall(frames, lambda f: F.length(f["frame_id"]) > 0), "timestamp_ns": F.forall(frames, lambda f: f["timestamp_ns"] >= 0), "K": F.forall(frames, lambda f: matrix(f["K"], 3)), "pose": F.forall(frames, lambda f: G.is_pose(f["pose"])),
+        "image_sha256": F.forall(frames, lambda f: f["image_sha256"].isNull() | f["image_sha256"].rlike("^[0-9a-f]{64}$")),
+    }

@@ -42,6 +42,16 @@ def observer_camera() -> Column:
     return F.get(F.filter("cameras", lambda c: c["pose_id"] == F.col("observer_pose_id")), F.lit(0))
 
 
+def best_view_observer(objects: Column, cameras: Column) -> Column:
+    """struct(pose_id, position, forward) of the first camera with the first frame in which the first object is seen.
+
+    cameras: array of struct(pose_id, frame_id, pose); null if there is no such camera or its pose isn't rigid.
+    """
+    frame = F.get(F.get(objects, F.lit(0))["visibility"]["visible_frames"], F.lit(0))
+    cam = F.get(F.filter(cameras, lambda c: c["frame_id"] == frame), F.lit(0))
+    return F.when(G.is_pose(cam["pose"]), F.struct(cam["pose_id"].alias("pose_id"), G.camera_center(cam["pose"])["value"].alias("position"), G.camera_forward(cam["pose"])["value"].alias("forward")))
+
+
 def minimum_distance(spec: Spec) -> Column:
     """Nearest centre line; a candidate without one stands for a short segment at its centroid."""
     eye = F.col("observer")["position"]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from scenewright.functions import geometry as G
 from scenewright.functions import text as T
 from scenewright.operators import entities, grading, scenes, state, validate
-from scenewright.plans import compiler, errors, leakage, render, specs
+from scenewright.plans import answers, compiler, errors, leakage, render, specs
 from scenewright.sources import readers
 from scenewright.sources import views as V
 
@@ -742,3 +742,12 @@ def t8_rotated_geometry(spark: SparkSession, sf: str) -> DataFrame:
     p = packages(spark, sf).withColumn("turned", grading.rotated(F.col("objects")["geometry"]["centroid"], F.col("scene_id")))
     moved = F.size(F.filter(F.transform(F.arrays_zip(F.col("objects")["geometry"]["centroid"].alias("a"), F.col("turned").alias("b")), lambda x: x["a"] != x["b"]), lambda x: x))
     return p.groupBy(F.split("scene_id", "_")[1].alias("p")).agg(F.sum(moved.cast("bigint")).alias("n"))
+
+
+@query("SELECT object_id, CASE k WHEN 1 THEN 'unit' WHEN 2 THEN 'distance_m' WHEN 3 THEN 'keys' WHEN 4 THEN 'object_id' WHEN 5 THEN 'confidence' END AS broken FROM (SELECT format('<obj_{:03d}>', vec_id) AS object_id, vec_id % 6 AS k FROM embeddings) WHERE k > 0")
+def p19_answer_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers that each break one rule of the distance schema; good ones give no row."""
+    k, i = F.col("pos") % 6, F.col("object_id")
+    said = F.concat(F.lit('{"object_id": "'), F.when(k == 4, "obj_1").otherwise(i), F.lit('", "distance_m": '), F.when(k == 2, '"about 3"').otherwise("3.5"), F.when(k == 1, ', "unit": "feet"').otherwise(', "unit": "meter"'), F.when(k == 3, ', "more": 1').otherwise(""), F.when(k == 5, ', "confidence": 1.5').otherwise(""), F.lit("}"))
+    rows = V.objects(spark, sf).select("object_id", said.alias("answer"))
+    return validate.constraint_issues(rows, answers.answer_rules("vqa_metric_distance_answer", F.col("answer")), "object_id").withColumnRenamed("constraint", "broken")

@@ -200,3 +200,23 @@ def test_distance_grades(spark):
     assert grade("<wire_004>", "3.0", second=3.05) == (False, "G3-E04", None)
     assert grade("<wire_004>", "three") == (False, "G4-E03", None) and grade("<wire_004>", None) == (False, "G4-E03", None)
     assert grade("<wire_004>", "3.0", lines=False) == (None, None, "no evidence")
+
+
+def test_best_view(spark):
+    pose = lambda x: [[1.0, 0.0, 0.0, x], [0.0, 1.0, 0.0, 0.0], [0.0, 0.0, 1.0, 0.0], [0.0, 0.0, 0.0, 1.0]]
+    cams = [("<pose_001>", "f0009", pose(9.0)), ("<pose_002>", "f0001", pose(1.0)), ("<pose_003>", "f0001", pose(2.0))]
+    df = spark.createDataFrame([package()], PACKAGE).withColumn("c", F.lit(None).cast("int"))
+    views = spark.createDataFrame([("s1", cams)], "scene_id string, views array<struct<pose_id:string,frame_id:string,pose:array<array<double>>>>")
+    r = df.join(views, "scene_id").select(compiler.best_view_observer(F.col("objects"), F.col("views")).alias("o")).first()["o"]
+    assert (r["pose_id"], r["position"], r["forward"]) == ("<pose_002>", [1.0, 0.0, 0.0], [0.0, 0.0, 1.0])
+
+
+def test_scene_rules(spark):
+    from scenewright.operators import validate
+
+    k, pose = [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]], [[1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0], [0.0, 0.0, 1.0, 0.0], [0.0, 0.0, 0.0, 1.0]]
+    kind = "schema_version string, scene_id string, split_group_id string, frames array<struct<frame_id:string,timestamp_ns:bigint,K:array<array<double>>,pose:array<array<double>>,image_sha256:string>>"
+    good = ("0.1.0", "a", "g", [("f", 1, k, pose, None)])
+    bad = ("one", "b", "", [("f", -1, k[:2], pose[:3], "xyz")])
+    got = {(r["scene_id"], r["constraint"]) for r in validate.constraint_issues(spark.createDataFrame([good, bad], kind), validate.scene_rules(), "scene_id").collect()}
+    assert got == {("b", c) for c in ("schema_version", "split_group_id", "timestamp_ns", "K", "pose", "image_sha256")}
