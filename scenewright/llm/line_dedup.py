@@ -62,10 +62,11 @@ def repeated_runs(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, text:
     documents share costs a row for each of them and no pairs.
     """
     found = stored(fingerprints(docs, gram, window, text, doc_id), "line-seeds")
-    again = found.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed")
+    # Aggregates are written before they are joined: a join of two plain exchanges is one whose hot keys Spark splits.
+    again = stored(found.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed"), "line-again")
     met = stored(found.join(again, "seed", "left_semi").select("line_doc", "line_row", F.col("start").alias("from"), F.posexplode("runs").alias("i", "hash")).select("line_doc", "line_row", (F.col("from") + F.col("i")).alias("start"), "hash"), "line-runs")
     place = F.struct("line_doc", "line_row", "start")
-    first = met.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").drop("last")
+    first = stored(met.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").drop("last"), "line-first")
     later = met.join(first, "hash").filter(F.struct("line_doc", "line_row", "start") > F.col("first"))
     return later.groupBy("line_doc", "line_row").agg(F.collect_list("start").alias("starts"))
 
