@@ -56,12 +56,12 @@ def _chat(rows: DataFrame) -> tuple[DataFrame, Column, tuple[str, ...]]:
 def _views(rows: DataFrame) -> tuple[DataFrame, Column, tuple[str, ...]]:
     """Images and metadata, never the point cloud."""
     err = F.when(F.coalesce(F.size("visual_inputs"), F.lit(0)) < 1, "no image").when(F.col("question").isNull(), "no question")
-    return rows.withColumn("err", err), F.struct("sample_id", F.split("spec_id", "@")[0].alias("task_spec_id"), F.col("visual_inputs").alias("images"), F.col("visible").alias("metadata"), "question", "choices"), ()
+    return rows.withColumn("err", err), F.struct("sample_id", F.split("spec_id", "@")[0].alias("task_spec_id"), F.col("visual_inputs").alias("images"), F.col("visible").alias("metadata"), "question", "choices"), ("metadata",)
 
 
 def _all(rows: DataFrame) -> tuple[DataFrame, Column, tuple[str, ...]]:
     err = F.when(F.col("question").isNull(), "no question")
-    return rows.withColumn("err", err), F.struct("sample_id", F.split("spec_id", "@")[0].alias("task_spec_id"), F.col("visual_inputs").alias("images"), F.col("pointcloud_ref").alias("point_cloud"), F.col("visible").alias("metadata"), "question", "choices"), ()
+    return rows.withColumn("err", err), F.struct("sample_id", F.split("spec_id", "@")[0].alias("task_spec_id"), F.col("visual_inputs").alias("images"), F.col("pointcloud_ref").alias("point_cloud"), F.col("visible").alias("metadata"), "question", "choices"), ("metadata",)
 
 
 ADAPTERS: dict[str, Callable[[DataFrame], tuple[DataFrame, Column, tuple[str, ...]]]] = {"pointcloud_native": _chat, "qwen_2d_metadata": _views, "multimodal_3d": _all}
@@ -89,6 +89,10 @@ def render(records: DataFrame, adapter: str) -> DataFrame:
         only = leakage.findings(F.col("payload"), rows.schema["payload"].dataType, F.col("wanted"), (*exempt, "conversations[0].value"))
         asked = leakage.findings(F.col("bare"), rows.schema["bare"].dataType, F.col("wanted"))
         found = F.when(F.size("choices") > 0, F.concat(only, asked)).otherwise(found)
+    else:
+        # the metadata is text by now: its numbers were compared as numbers when it was compiled, other atoms are looked for again
+        rows = held(rows, shown=F.struct(F.col("visible").alias("metadata")), names=F.filter("wanted", lambda a: a.try_cast("double").isNull()))
+        found = F.concat(found, leakage.findings(F.col("shown"), rows.schema["shown"].dataType, F.col("names")))
     rows = held(rows, leaks=found)
     supported = F.array_contains("adapters", adapter)
     status = F.when(~supported, "unsupported").when(F.col("err").isNotNull() | (F.size("leaks") > 0), "failed").otherwise("rendered")

@@ -239,11 +239,11 @@ def g20_box_corners(spark: SparkSession, sf: str) -> DataFrame:
     return V.objects(spark, sf).withColumn("b", b).select("object_id", F.round(F.get("b", F.lit(0)), 6).alias("x0"), F.round(F.get("b", F.lit(3)), 6).alias("y1"))
 
 
-@query("SELECT s, c, v, CASE s WHEN 'metric' THEN c WHEN 'externally_anchored' THEN v WHEN 'relative' THEN false END AS ok, n FROM (SELECT (['metric','externally_anchored','relative','odd'])[p_partkey % 4 + 1] AS s, p_size % 2 = 0 AS c, p_partkey % 3 = 0 AS v, count(*) AS n FROM part GROUP BY ALL)")
+@query("SELECT s, c, v, CASE s WHEN 'metric' THEN c WHEN 'externally_anchored' THEN v ELSE false END AS ok, n FROM (SELECT (['metric','externally_anchored','relative','odd'])[p_partkey % 4 + 1] AS s, p_size % 2 = 0 AS c, p_partkey % 3 = 0 AS v, count(*) AS n FROM part GROUP BY ALL)")
 def p6_metric_eligibility(spark: SparkSession, sf: str) -> DataFrame:
     kinds = F.array(*[F.lit(x) for x in ("metric", "externally_anchored", "relative", "odd")])
     rows = V.table(spark, sf, "part").select(F.element_at(kinds, (F.col("p_partkey") % 4 + 1).cast("int")).alias("s"), (F.col("p_size") % 2 == 0).alias("c"), (F.col("p_partkey") % 3 == 0).alias("v")).groupBy("s", "c", "v").agg(F.count("*").alias("n"))
-    return rows.select("s", "c", "v", G.supports_metric_target(F.col("s"), F.col("c"), F.col("v")).alias("ok"), "n")
+    return rows.select("s", "c", "v", F.coalesce(G.supports_metric_target(F.col("s"), F.col("c"), F.col("v")), F.lit(False)).alias("ok"), "n")
 
 
 # --- pixels to objects ---
@@ -548,16 +548,16 @@ _PKG = """, p AS (SELECT scene_id, CAST(split_part(scene_id, '_', 2) AS INT) AS
   q AS (SELECT scene_id, concat_ws(',', CASE WHEN label = 5 THEN 'scale_status:metric,metric_task_eligible' END, CASE WHEN label = 5 THEN 'scale_status_is_metric:true,domain_calibrated:true' END) AS reasons FROM p)"""
 
 
-@query(V.with_views(_PKG + " SELECT scene_id, CASE WHEN reasons = '' THEN 'record' ELSE 'skipped' END AS status, reasons, CASE WHEN reasons = '' THEN id1 END AS object_id, CASE WHEN reasons = '' THEN abs(d1 - d2) < 0.05*greatest(d1, 1e-9) END AS is_ambiguous, CASE WHEN reasons = '' AND abs(d1 - d2) < 0.05*greatest(d1, 1e-9) THEN id1 || ',' || id2 WHEN reasons = '' THEN '' END AS equivalent FROM g JOIN f USING (scene_id)", "objects"))
+@query(V.with_views(_PKG + " SELECT scene_id, CASE WHEN reasons = '' THEN 'record' ELSE 'skipped' END AS status, reasons, CASE WHEN reasons = '' THEN id1 END AS object_id, reasons = '' AND abs(d1 - d2) < 0.05*greatest(d1, 1e-9) AS is_ambiguous, CASE WHEN reasons = '' AND abs(d1 - d2) < 0.05*greatest(d1, 1e-9) THEN id1 || ',' || id2 WHEN reasons = '' THEN '' END AS equivalent FROM g JOIN f USING (scene_id)", "objects"))
 def k1_compile_grounding(spark: SparkSession, sf: str) -> DataFrame:
     c, ok = compiled(spark, sf, "3d_grounding.object"), F.col("status") == "record"
-    return c.select("scene_id", "status", F.array_join("reasons", ",").alias("reasons"), F.when(ok, F.col("target.object_id")).alias("object_id"), F.when(ok, F.col("is_ambiguous")).alias("is_ambiguous"), F.when(ok, F.array_join("equivalent", ",")).alias("equivalent"))
+    return c.select("scene_id", "status", F.array_join("reasons", ",").alias("reasons"), F.when(ok, F.col("target.object_id")).alias("object_id"), (ok & F.coalesce("is_ambiguous", F.lit(False))).alias("is_ambiguous"), F.when(ok, F.array_join("equivalent", ",")).alias("equivalent"))
 
 
-@query(V.with_views(_PKG + " SELECT scene_id, CASE WHEN reasons = '' THEN 'record' ELSE 'skipped' END AS status, reasons, CASE WHEN reasons = '' THEN id1 END AS object_id, CASE WHEN reasons = '' THEN round(d1, 4) END AS minimum_distance, CASE WHEN reasons = '' THEN d2 - d1 <= 0.1 END AS is_ambiguous, CASE WHEN split_part(scene_id, '_', 2)::INT % 2 = 0 THEN 'nadir_view,uav_pose_altitude,weak_depth_cue' ELSE 'nadir_view,uav_pose_altitude' END AS tags FROM q JOIN m USING (scene_id)", "objects"))
+@query(V.with_views(_PKG + " SELECT scene_id, CASE WHEN reasons = '' THEN 'record' ELSE 'skipped' END AS status, reasons, CASE WHEN reasons = '' THEN id1 END AS object_id, CASE WHEN reasons = '' THEN round(d1, 4) END AS minimum_distance, reasons = '' AND d2 - d1 <= 0.1 AS is_ambiguous, CASE WHEN split_part(scene_id, '_', 2)::INT % 2 = 0 THEN 'nadir_view,uav_pose_altitude,weak_depth_cue' ELSE 'nadir_view,uav_pose_altitude' END AS tags FROM q JOIN m USING (scene_id)", "objects"))
 def k1_compile_distance(spark: SparkSession, sf: str) -> DataFrame:
     c, ok = compiled(spark, sf, "3d_vqa.metric.minimum_distance"), F.col("status") == "record"
-    return c.select("scene_id", "status", F.array_join("reasons", ",").alias("reasons"), F.when(ok, F.col("target.object_id")).alias("object_id"), F.when(ok, F.col("target.minimum_distance")).alias("minimum_distance"), F.when(ok, F.col("is_ambiguous")).alias("is_ambiguous"), F.array_join("tags", ",").alias("tags"))
+    return c.select("scene_id", "status", F.array_join("reasons", ",").alias("reasons"), F.when(ok, F.col("target.object_id")).alias("object_id"), F.when(ok, F.col("target.minimum_distance")).alias("minimum_distance"), (ok & F.coalesce("is_ambiguous", F.lit(False))).alias("is_ambiguous"), F.array_join("tags", ",").alias("tags"))
 
 
 @query(
@@ -573,9 +573,9 @@ def k1_compile_direction(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("scene_id", "status", "target.object_id", "target.longitudinal", "target.lateral", F.col("target.lateral_angle_deg").alias("angle"))
 
 
-@query(V.with_views(" SELECT scene_id, CASE WHEN l % 2 = 1 THEN 'record' ELSE 'failed' END AS status, CASE WHEN l % 2 = 0 THEN 'G3-E07' END AS code, CASE WHEN l % 2 = 1 THEN l % 4 = 1 END AS same_entity, CASE WHEN l % 2 = 1 THEN l/16.0::DOUBLE END AS iou FROM (SELECT DISTINCT scene_id, CAST(split_part(scene_id, '_', 2) AS INT) AS l FROM v_objects)", "objects"))
+@query(V.with_views(" SELECT scene_id, CASE WHEN l % 2 = 1 THEN 'record' ELSE 'failed' END AS status, CASE WHEN l % 2 = 0 THEN 'G3-E07' END AS code, l % 4 = 1 AS same_entity, CASE WHEN l % 2 = 1 THEN l/16.0::DOUBLE END AS iou FROM (SELECT DISTINCT scene_id, CAST(split_part(scene_id, '_', 2) AS INT) AS l FROM v_objects)", "objects"))
 def k1_compile_correspondence(spark: SparkSession, sf: str) -> DataFrame:
-    return compiled(spark, sf, "cross_view_correspondence.object").select("scene_id", "status", "code", "target.same_entity", F.col("target.point_support_iou").alias("iou"))
+    return compiled(spark, sf, "cross_view_correspondence.object").select("scene_id", "status", "code", F.coalesce("target.same_entity", F.lit(False)).alias("same_entity"), F.col("target.point_support_iou").alias("iou"))
 
 
 @query(
@@ -652,7 +652,7 @@ def c1_check_distance(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     V.with_views(
         """, k AS (SELECT object_id, pos, pos % 7 AS k FROM v_objects)
-  SELECT object_id, CASE k WHEN 0 THEN true WHEN 4 THEN true WHEN 6 THEN NULL ELSE false END AS passed, CASE k WHEN 1 THEN 'G5-E01' WHEN 2 THEN 'G4-E02' WHEN 3 THEN 'G5-E04' WHEN 5 THEN 'G5-E01' END AS code, CASE k WHEN 6 THEN 'target is no candidate' END AS error FROM k""",
+  SELECT object_id, k IN (0, 4) AS passed, CASE k WHEN 1 THEN 'G5-E01' WHEN 2 THEN 'G4-E02' WHEN 3 THEN 'G5-E04' WHEN 5 THEN 'G5-E01' END AS code, CASE k WHEN 6 THEN 'target is no candidate' END AS error FROM k""",
         "objects",
     )
 )
@@ -661,7 +661,7 @@ def c2_check_grounding(spark: SparkSession, sf: str) -> DataFrame:
     cands = F.when(k == 6, F.array(F.lit("<obj_000>x"))).otherwise(F.array(i, F.lit("<obj_100000>")))
     many = F.when(k.isin(3, 4), F.array(i, F.lit("<obj_100000>"))).otherwise(F.array().cast("array<string>"))
     answer = F.struct(F.when(k == 1, "<obj_100000>").when(k == 2, "<obj_99999>").otherwise(i).alias("object_id"), k.isin(4, 5).alias("ambiguous"))
-    return V.objects(spark, sf).withColumn("r", grading.check_grounding(answer, i, cands, many)).select("object_id", "r.passed", "r.code", "r.error")
+    return V.objects(spark, sf).withColumn("r", grading.check_grounding(answer, i, cands, many)).select("object_id", F.coalesce("r.passed", F.lit(False)).alias("passed"), "r.code", "r.error")
 
 
 _DIR = """, d AS (SELECT *, degrees(asin(-y/sqrt(x*x + y*y + (z-30)**2))) AS a FROM v_objects), e AS (SELECT *, CASE WHEN pos % 3 = 0 THEN 'right' ELSE CASE WHEN a > 0 THEN 'right' ELSE 'left' END END AS said FROM d),
@@ -679,11 +679,11 @@ def _direction_grades(spark: SparkSession, sf: str) -> DataFrame:
     return V.objects(spark, sf).withColumn("r", grading.check_direction(answer, xyz(), G.vec(*EYE), G.vec(*AHEAD), G.vec(*UP)))
 
 
-@query(V.with_views(" SELECT object_id, pos % 5 = 0 AS passed, CASE pos % 5 WHEN 0 THEN NULL WHEN 1 THEN 'G5-E01' ELSE 'G4-E01' END AS code FROM v_objects WHERE pos % 5 <> 4 UNION ALL SELECT object_id, NULL, NULL FROM v_objects WHERE pos % 5 = 4", "objects"))
+@query(V.with_views(" SELECT object_id, pos % 5 = 0 AS passed, CASE pos % 5 WHEN 0 THEN NULL WHEN 1 THEN 'G5-E01' ELSE 'G4-E01' END AS code FROM v_objects WHERE pos % 5 <> 4 UNION ALL SELECT object_id, false, NULL FROM v_objects WHERE pos % 5 = 4", "objects"))
 def c4_check_correspondence(spark: SparkSession, sf: str) -> DataFrame:
     k, truth = F.col("pos") % 5, F.col("pos") % 2 == 0
     answer = F.struct(F.when(k == 1, ~truth).when(k != 2, truth).alias("same_entity"), F.when(k == 3, 1.5).otherwise(0.5).alias("confidence"))
-    return V.objects(spark, sf).withColumn("r", grading.check_correspondence(answer, F.when(k != 4, truth))).select("object_id", "r.passed", "r.code")
+    return V.objects(spark, sf).withColumn("r", grading.check_correspondence(answer, F.when(k != 4, truth))).select("object_id", F.coalesce("r.passed", F.lit(False)).alias("passed"), "r.code")
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 
 
 def rows_of(frame) -> list[tuple]:
@@ -13,7 +14,7 @@ def rows_of(frame) -> list[tuple]:
     for row in frame.itertuples(index=False):
         cells = []
         for v in row:
-            if v is None or v != v:
+            if pd.isna(v):
                 cells.append("null")
             elif isinstance(v, float):
                 cells.append(repr(round(v, 9) + 0.0))
