@@ -36,7 +36,7 @@ SIDE = LENGTH - GRAM
 #: Bytes of text that are hashed at once, that are reduced together before they are sent, and that a group gets; contexts
 #: that are reduced together. They bound a Python worker's memory, at about 300 MB. With more text, larger groups and
 #: more memory send fewer and fuller rows.
-HASHED, TOGETHER, GROUP, CONTEXTS_TOGETHER = 1 << 18, 4 << 20, 6 << 20, 1 << 16
+HASHED, TOGETHER, GROUP, CONTEXTS_TOGETHER = 1 << 18, 8 << 20, 8 << 20, 1 << 17
 _NONE = np.uint64(2**64 - 1)
 
 #: One packed row: entries of documents (doc_id, crc32 of the text, bucket, entries of each) and two numbers and some bytes of each entry.
