@@ -32,8 +32,8 @@ def _is_latin1(piece: str) -> bool:
 
 
 def _is_word(piece: str) -> bool:
-    """Only Latin letters, for which this Python's and the tokenizer's Unicode tables agree."""
-    return piece.isalpha() and max(piece) < "\u0250"
+    """Only Latin letters, for which this Python's and the tokenizer's Unicode tables agree; but for the one whose lower case has a combining dot."""
+    return piece.isalpha() and max(piece) < "\u0250" and "\u0130" not in piece
 
 
 class Encoder:
@@ -58,6 +58,7 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.marked = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.marked[[i for t, i in vocabulary.items() if (t.startswith("\u0120") if spaced else t.endswith("</w>"))]] = True
+        self.newline = self._one_by_one(["\n"])[0] if spaced else b""
         if not spaced:  # a piece of its own that is one id; it ends the pieces before it
             self.between = " \0 "
             (self.between_id,) = self.tokenizer.encode(self.between, add_special_tokens=False).ids
@@ -125,25 +126,35 @@ class Encoder:
             self.first.clear()
             self.rest = dict(islice(self.rest.items(), CACHE // 2))
         if self.spaced:
-            split = [t.split(" ") for t in texts]
-            firsts = {s[0] for s in split}.difference(self.first)
+            split = [[line.split(" ") for line in t.split("\n")] for t in texts]
+            firsts = {line[0] for lines in split for line in lines}.difference(self.first)
             self.first.update(zip(firsts, self._one_by_one(list(firsts)), strict=True))
-        else:
-            self.rest[""] = b""
-            split = [(t.lower() if t.isascii() else t).replace("\n", " ").split(" ") for t in texts]
-        self._learn(set().union(*(s[self.spaced :] for s in split)).difference(self.rest))
-        out = []
-        for text, pieces in zip(texts, split, strict=True):
-            try:
-                if self.spaced:
-                    if pieces[0][-1:].isspace() or not pieces[0]:
-                        raise KeyError
-                    out.append(self.first[pieces[0]] + b"".join(map(self.rest.__getitem__, pieces[1:])))
-                else:
-                    out.append(b"".join(map(self.rest.__getitem__, pieces)))
-            except KeyError:  # white space that isn't one space between two words
-                out += self._one_by_one([text])
-        return out
+            self._learn(set().union(*(line[1:] for lines in split for line in lines)).difference(self.rest))
+            return [self._of_lines(text, lines) for text, lines in zip(texts, split, strict=True)]
+        self.rest[""] = b""
+        split = [(t.lower() if t.isascii() else t).replace("\n", " ").split(" ") for t in texts]
+        self._learn(set().union(*split).difference(self.rest))
+        return [self._joined(text, pieces) for text, pieces in zip(texts, split, strict=True)]
+
+    def _joined(self, text: str, pieces: list[str]) -> bytes:
+        try:
+            return b"".join(map(self.rest.__getitem__, pieces))
+        except KeyError:  # white space that isn't one space between two words
+            return self._one_by_one([text])[0]
+
+    def _of_lines(self, text: str, lines: list[list[str]]) -> bytes:
+        """A line break between two words, or two of them, are ids of their own; other uses of white space go through the tokenizer whole."""
+        try:
+            out, blank = [], False
+            for line in lines:
+                head = line[0]
+                if head[-1:].isspace() or head[:1].isspace() or not head and (blank or len(line) > 1):
+                    raise KeyError
+                blank = not head
+                out.append(self.first[head] + b"".join(map(self.rest.__getitem__, line[1:])))
+            return self.newline.join(out)
+        except KeyError:
+            return self._one_by_one([text])[0]
 
 
 @lru_cache(2)
