@@ -17,13 +17,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one of our own only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named by spark.checkpoint.dir; a temporary one of our own only in a local session where it is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        own = spark.sparkContext.getCheckpointDir()
-        found = own or tempfile.mkdtemp(prefix="scenewright-")
-        if not own:
-            spark.sparkContext.setCheckpointDir(found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="scenewright-")
+        spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
@@ -60,6 +60,11 @@ def texts_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
 
 
+def row_keys(text: Column) -> tuple[Column, Column]:
+    """Two hashes of a text, null and empty apart, that tell rows of one id from each other."""
+    return F.xxhash64(text.isNull(), text), F.xxhash64(F.lit("row"), text.isNull(), text)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -220,16 +220,16 @@ def _read(docs: DataFrame) -> DataFrame:
 SCORES = "content_score double, metadata_score double, quality_score double, quality_keep boolean"
 
 
-def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, prefix: str = "") -> DataFrame:
     """docs with content_score, metadata_score, quality_score (probabilities of a good document) and quality_keep.
 
-    Every row and column stays; columns of these names are replaced. Null and empty texts have no words and are
+    Every row and column stays; columns of these names, each after prefix, are replaced. Null and empty texts have no words and are
     judged by the rest. A blank model gives null scores and keeps every row.
     """
-    new = [f.split()[0] for f in SCORES.split(", ")]
+    new = [prefix + f.split()[0] for f in SCORES.split(", ")]
     docs = docs.drop(*new)
     if model.blank:
-        return docs.withColumns({**{n: F.lit(None).cast("double") for n in new[:3]}, "quality_keep": F.lit(True)})
+        return docs.withColumns({**{n: F.lit(None).cast("double") for n in new[:3]}, new[3]: F.lit(True)})
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     columns = {c: docs.columns.index(c) if c in docs.columns else None for c in ("text", "lang", "source")}
 
@@ -259,7 +259,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             p = model.combined(np.array(first), np.array(second))
             yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, p), pa.array(p[2] >= threshold)], names=[*b.schema.names, *new])
 
-    return docs.mapInArrow(scored, f"{names}, {SCORES}")
+    return docs.mapInArrow(scored, ", ".join([names, *(f"`{n}` {f.split()[1]}" for n, f in zip(new, SCORES.split(", "), strict=True))]))
 
 
 def op1_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,7 +71,7 @@ def repeated_runs(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, text:
     return later.groupBy("line_doc", "line_row").agg(F.collect_list("start").alias("starts"))
 
 
-def dedup_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def dedup_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id", counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
     """docs with every row and column, repeated runs removed from text; more columns: n_lines, n_removed.
 
     Null and empty texts have no lines; a null text stays null. Rows equal in doc_id and text are one document and
@@ -82,7 +82,7 @@ def dedup_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, text: s
     n = gram + window - 1
     runs = stored(repeated_runs(docs, gram, window, text, doc_id), "line-starts").withColumnsRenamed({"line_doc": "_ld_run_doc", "line_row": "_ld_run_row", "starts": "_ld_starts"})
     release(docs.sparkSession)
-    docs = docs.drop("n_lines", "n_removed")
+    docs = docs.drop(*counts)
     rows = _keyed(docs, text, doc_id, "_ld_")  # names of its own, so that no column of the input is lost
     rows = rows.join(runs, F.col("_ld_doc").eqNullSafe(F.col("_ld_run_doc")) & (F.col("_ld_row") == F.col("_ld_run_row")), "left")
     rows = rows.withColumn("_ld_list", F.when(F.col("_ld_starts").isNotNull(), _lines(F.col("_ld_text"))))
@@ -90,8 +90,8 @@ def dedup_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, text: s
     rows = rows.withColumn("_ld_kept", F.array_except(F.sequence(F.lit(0), F.size("_ld_list") - 1), gone))
     kept = F.array_join(F.transform("_ld_kept", lambda i: F.get(F.col("_ld_list"), i)), "")
     count = F.coalesce(F.regexp_count("_ld_text", F.lit(LINE)), F.lit(0))
-    new = {text: F.when(F.col("_ld_starts").isNull(), F.col(f"`{text}`")).otherwise(kept), "n_lines": count, "n_removed": F.when(F.col("_ld_starts").isNull(), 0).otherwise(F.size("_ld_list") - F.size("_ld_kept"))}
-    return rows.withColumns(new).select(*[F.col(f"`{c}`") for c in docs.columns], "n_lines", "n_removed")
+    new = {text: F.when(F.col("_ld_starts").isNull(), F.col(f"`{text}`")).otherwise(kept), counts[0]: count, counts[1]: F.when(F.col("_ld_starts").isNull(), 0).otherwise(F.size("_ld_list") - F.size("_ld_kept"))}
+    return rows.withColumns(new).select(*[F.col(f"`{c}`") for c in docs.columns], *counts)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scenewright.llm import tokens
-from scenewright.llm.common import buckets_for, documents, texts_of
+from scenewright.llm.common import buckets_for, documents, stored, texts_of
 
 #: Pieces that one packing task holds; packing loses a few open sequences for each such group.
 GROUP = 32_768
@@ -23,29 +23,24 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def pack_group(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """(bin, offset) of each length, taken in the given order.
 
-    counts[g] is the number of open bins with g places left. A length goes where the sum of counts squared over
-    all open gaps 1..capacity-1 becomes smallest: into a bin with one of the present gaps, or into a new bin.
-    Ties go to the smallest gap, a new bin last.
+    counts[g] is the number of open bins with g places left. A length goes into the open bin for which the sum of
+    counts squared over all open gaps 1..capacity-1 becomes smallest; ties go to the smallest gap. A new bin is opened
+    only where no open one has room: with longest lengths first, that takes as few bins as best fit does.
     """
     counts = np.zeros(capacity + 1, dtype=np.int64)
     bins_with: list[list[int]] = [[] for _ in range(capacity + 1)]
     place, offset, opened = np.empty(len(lengths), dtype=np.int64), np.empty(len(lengths), dtype=np.int64), 0
     for i, s in enumerate(lengths.tolist()):
-        gap, cost = capacity, (2 * int(counts[capacity - s]) + 1 if s < capacity else 0)
-        if s < capacity:
-            there = counts[s + 1 : capacity]
-            if len(there):
-                costs = np.where(there > 0, 2 * (counts[1 : capacity - s] - there) + 2, np.iinfo(np.int64).max)
-                k = int(costs.argmin())
-                if costs[k] <= cost:
-                    gap, cost = s + 1 + k, int(costs[k])
-            if counts[s] and 1 - 2 * int(counts[s]) <= cost:
-                gap = s
-        if gap == capacity:
-            b, opened = opened, opened + 1
-        else:
+        there = counts[s:capacity]
+        if there.any():
+            # one bin less with gap g, one more with gap g - s; a gap of 0 counts nothing
+            costs = 2 * (counts[: capacity - s] - there) + 2
+            costs[0] -= 1 + 2 * int(counts[0])
+            gap = s + int(np.where(there > 0, costs, np.iinfo(np.int64).max).argmin())
             b = bins_with[gap].pop()
             counts[gap] -= 1
+        else:
+            gap, b, opened = capacity, opened, opened + 1
         if gap > s:
             counts[gap - s] += 1
             bins_with[gap - s].append(b)
@@ -57,7 +52,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, te
     """One row per piece of at most capacity tokens, each document's ids followed by end_id."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(tokenizer, False).encode
+        encode = tokens.encoder(tokenizer).encode
         end = int(end_id).to_bytes(4, "little")
         for batch in batches:
             ids = batch.column(0).to_pylist()
@@ -78,7 +73,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, te
 def pack(pieces: DataFrame, capacity: int, rows: int, group: int = GROUP) -> DataFrame:
     """Add sequence_id and offset to rows with doc_id, piece and length (1 to capacity).
 
-    rows: about how many there are, for the number of groups. Pieces are dealt into groups by a hash of
+    rows: how many there are, for the number of groups. Pieces are dealt into groups by a hash of
     (doc_id, piece), so no key decides a group's size; each group is packed on its own, longest piece first.
     Every piece gets a place; equal input gives equal sequences whatever the partitioning.
     """
@@ -100,7 +95,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id
     are one end id. Documents longer than capacity are cut into pieces of capacity tokens, the last one shorter.
     Repeated rows are packed each for itself. No documents: no rows. Other columns are ignored.
     """
-    return pack(token_pieces(docs, tokenizer, capacity, end_id, text), capacity, docs.count())
+    pieces = stored(token_pieces(docs, tokenizer, capacity, end_id, text), "pieces")  # small, and counted before it is dealt
+    return pack(pieces, capacity, pieces.count())
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,15 +23,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scenewright.llm import tokens
-from scenewright.llm.common import documents, scratch, texts_of
+from scenewright.llm.common import buckets_for, documents, scratch, texts_of
 
 BLOCKS = "shard int, block long, dictionary_hash string, doc_ids array<long>, n_tokens array<long>, offsets array<long>, payload binary"
 _BLOCKS = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("dictionary_hash", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("payload", pa.binary())])
-#: About so many documents' ids are what the dictionary is trained on, those with a hash of doc_id under a bound, among
-#: texts of at most TRAIN_CHARS characters, so that the driver's share is bounded; and the dictionary's size in bytes.
-TRAIN_DOCS, TRAIN_CHARS, DICTIONARY = 1_000, 16_384, 64 << 10
-#: A block is closed at so many compressed bytes.
-BLOCK = 1 << 20
+#: About so many documents' ids are what the dictionary is trained on, those with a hash of doc_id under a bound. Of a
+#: longer document a slice of SLICE bytes of ids at a place that its id decides is the sample, so that the driver gets a
+#: bounded number of bytes. The dictionary has DICTIONARY bytes, fewer if the samples are small.
+TRAIN_DOCS, SLICE, DICTIONARY = 1_000, 8_192, 64 << 10
+#: A block is closed at so many compressed bytes; a shard has about so many bytes of text.
+BLOCK, SHARD = 1 << 20, 64 << 20
 
 
 def _narrow(ids: bytes, width: int) -> bytes:
@@ -39,13 +40,28 @@ def _narrow(ids: bytes, width: int) -> bytes:
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int, most: int = TRAIN_DOCS, size: int = DICTIONARY, text: str = "text") -> bytes:
-    """A zstandard dictionary from the id arrays of about `most` documents; empty where there is too little to train on."""
+    """A zstandard dictionary from the id arrays of about `most` documents; smaller where there is less to train on.
+
+    Empty only where zstandard finds nothing to train on: no documents, or fewer than eight samples.
+    """
     bound = int(min(1.0, most / max(1, docs.count())) * (1 << 32))
-    picked = texts_of(docs, text).filter((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < bound) & (F.length("text") <= TRAIN_CHARS)).limit(2 * most)
-    encode = tokens.encoder(tokenizer, True).encode
-    end = int(end_id).to_bytes(4, "little")
-    samples = [_narrow(x + end, width) for x in encode(sorted(r["text"] for r in picked.select("text").collect()))]
-    if sum(map(len, samples)) < 16 * size // 8 or len(samples) < 16:
+    picked = texts_of(docs, text).filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < bound)
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, end = tokens.encoder(tokenizer).encode, int(end_id).to_bytes(4, "little")
+        for b in batches:
+            ids, made = b.column(0).to_pylist(), []
+            for at, run in tokens.grouped(b.column(1).to_pylist()):
+                for doc, data in zip(ids[at:], encode(run), strict=False):
+                    data = _narrow(data + end, width)
+                    spare = max(0, len(data) - SLICE) // width
+                    first = zlib.crc32(str(doc).encode()) % (spare + 1) * width
+                    made.append(data[first : first + SLICE])
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["ids"])
+
+    samples = sorted(bytes(r["ids"]) for r in picked.mapInArrow(sampled, "ids binary").limit(2 * most).collect())
+    size = min(size, sum(map(len, samples)) // 8)
+    if size < 256 or len(samples) < 8:
         return b""
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
@@ -60,7 +76,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, le
     first. No documents: an empty table of blocks. Other columns are ignored.
     """
     spark = docs.sparkSession
-    vocabulary = max(tokens.encoder(tokenizer, True).tokenizer.get_vocab_size(), end_id + 1)
+    vocabulary = max(tokens.encoder(tokenizer).tokenizer.get_vocab_size(), end_id + 1)
     width = 2 if vocabulary <= 1 << 16 else 4
     dictionary = train_dictionary(docs, tokenizer, end_id, width, text=text)
     digest = hashlib.sha256(dictionary).hexdigest()
@@ -69,7 +85,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, le
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, encode = TaskContext.get().partitionId(), tokens.encoder(tokenizer, True).encode
+        shard, encode = TaskContext.get().partitionId(), tokens.encoder(tokenizer).encode
         shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         if shared:
             shared.precompute_compress(level)  # else every document digests the dictionary anew
@@ -97,7 +113,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, le
         if ids:
             yield block()
 
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets_for(texts_of(docs, text).agg(F.sum(F.octet_length("text"))).first()[0] or 0, SHARD))
     ordered = texts_of(docs, text).repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     ordered.mapInArrow(blocks, BLOCKS).write.parquet(f"{path}/blocks")
 

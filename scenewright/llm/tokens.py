@@ -1,15 +1,18 @@
 """Token ids of whole texts from the tokenizers library, each distinct word encoded once per worker.
 
-Neither vocabulary used here merges across a single space between two other characters, so a text can be
-encoded piece by piece. Texts with other uses of white space go through the tokenizer whole.
+Two kinds of tokenizer never merge across a single space between two other characters, so that a text can be encoded
+piece by piece: byte-level BPE that keeps the space before a word, and word BPE that drops white space and case. Any
+other tokenizer gets every text whole. So do texts with other uses of white space, and texts that hold an added
+token, which the library by default finds in a text like any other caller of encode().
 """
 
 from __future__ import annotations
 
+import json
 import os
 from array import array
 from functools import lru_cache
-from itertools import islice
+from itertools import islice, takewhile
 
 import numpy as np
 
@@ -21,6 +24,9 @@ CALL = 2_000
 ENDINGS = (".", ",", "!!")
 
 
+#: Fixed value: the pattern of words, with its contractions, that marks a tokenizer of the kind words.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
 #: How both vocabularies write bytes that are no printable character of Latin-1: as the characters from U+0100 on, in order.
 PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
@@ -36,30 +42,48 @@ def _is_word(piece: str) -> bool:
     return piece.isalpha() and max(piece) < "\u0250" and "\u0130" not in piece
 
 
-class Encoder:
-    """Texts to little-endian unsigned 32-bit ids.
+def kind_of(tokenizer) -> str:
+    """spaced, words, or whole: how texts may be cut for a tokenizer, by what it is made of."""
+    made = json.loads(tokenizer.to_str())
+    model, before, norm = made["model"], made["pre_tokenizer"] or {}, made["normalizer"]
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+    if not plain or made["truncation"] or made["padding"] or any(t[k] for t in made["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        return "whole"
+    byte_level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}
+    if norm is None and before == byte_level | {"use_regex": True} and not model.get("end_of_word_suffix"):
+        return "spaced"
+    steps = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+    split = {"type": "Split", "pattern": {"Regex": WORDS}, "behavior": "Removed", "invert": True}
+    if norm == {"type": "Sequence", "normalizers": steps} and before == {"type": "Sequence", "pretokenizers": [split, byte_level | {"use_regex": False}]} and model.get("end_of_word_suffix") == "</w>":
+        return "words"
+    return "whole"
 
-    spaced: the vocabulary keeps the space before a word (byte-level BPE). Otherwise white space only separates and
-    case doesn't count (word BPE), and an empty piece has no ids.
-    """
 
-    def __init__(self, path: str, spaced: bool):
+class Encoder:
+    """Texts to little-endian unsigned 32-bit ids, the same as encode(text, add_special_tokens=False) of the tokenizer."""
+
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.kind = kind_of(self.tokenizer)
+        self.spaced = self.kind == "spaced"
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: What all added tokens begin with, as far as case doesn't count there: few texts hold it.
+        self.begin = "".join(takewhile(lambda c: c.lower() == c.upper(), os.path.commonprefix(self.added)))
+        if self.kind == "whole":
+            return
         self.model = self.tokenizer.model
-        self.spaced = spaced
         self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
         self.endings = dict(zip(ENDINGS, self._one_by_one(list(ENDINGS)), strict=True))
         # ids that begin with a space begin a piece; without spaces, ids with the word-end mark end a word
         vocabulary = self.tokenizer.get_vocab()
         self.marked = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.marked[[i for t, i in vocabulary.items() if (t.startswith("\u0120") if spaced else t.endswith("</w>"))]] = True
-        self.newline = self._one_by_one(["\n"])[0] if spaced else b""
-        if not spaced:  # a piece of its own that is one id; it ends the pieces before it
+        self.marked[[i for t, i in vocabulary.items() if (t.startswith("\u0120") if self.spaced else t.endswith("</w>"))]] = True
+        self.newline = self._one_by_one(["\n"])[0] if self.spaced else b""
+        if not self.spaced:  # a piece of its own that is one id; it ends the pieces before it
             self.between = " \0 "
             (self.between_id,) = self.tokenizer.encode(self.between, add_special_tokens=False).ids
 
@@ -122,6 +146,19 @@ class Encoder:
             known[p] = known[p[: -len(e)]] + self.endings[e]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if self.kind == "whole":
+            return self._one_by_one(texts)
+        # Lower case too: pieces are lowered before they are encoded, and what that makes is no added token.
+        whole = [i for i, t in enumerate(texts) if self.begin in t and any(a in t or a in t.lower() for a in self.added)]
+        if not whole:
+            return self._by_pieces(texts)
+        odd = set(whole)
+        out = self._by_pieces([t for i, t in enumerate(texts) if i not in odd])
+        for i, ids in zip(whole, self._one_by_one([texts[i] for i in whole]), strict=True):
+            out.insert(i, ids)
+        return out
+
+    def _by_pieces(self, texts: list[str]) -> list[bytes]:
         if len(self.first) + len(self.rest) > CACHE:
             self.first.clear()
             self.rest = dict(islice(self.rest.items(), CACHE // 2))
@@ -158,8 +195,8 @@ class Encoder:
 
 
 @lru_cache(2)
-def encoder(path: str, spaced: bool) -> Encoder:
-    return Encoder(path, spaced)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def grouped(texts: list[str], most: int = 1 << 22):

@@ -7,7 +7,7 @@ from collections import Counter
 
 import corpus_pipeline as cp
 import pytest
-from test_llm_operators import WORD, crc, encoded, linked, plain_lines, plain_simhash, plain_targets
+from test_llm_operators import WORD, crc, encoded, plain_lines, plain_targets
 
 from scenewright.llm import common
 
@@ -42,15 +42,42 @@ def test_lines(spark, docs, rows, folder):
     assert all(r["n_chars"] == len(r["text"]) for r in got.values() if r["text"] is not None)
 
 
-def test_near_copies(spark, docs, rows, folder):
-    of = linked({d: plain_simhash(t) for d, t, *_ in rows}, 2)
-    assert [r[0] for r in plain_rows(cp.near_copies(spark, docs, folder))] == sorted(set(of.values()))
-
-
 def test_near_copies_of_odd_rows(spark, odd, none, folder):
-    assert cp.near_copies(spark, none, folder).count() == 0
-    out = cp.near_copies(spark, odd, folder)
-    assert out.count() <= 3 and out.columns == odd.columns
+    """Rows of one id, or of none, stay unless their texts are near copies."""
+    assert cp.alike_copies(spark, none, folder).count() == 0
+    out = cp.alike_copies(spark, odd, folder)
+    texts = {r["text"] for r in odd.collect()}
+    assert sorted(map(str, (r["text"] for r in out.collect()))) == sorted(map(str, texts)) and out.columns == odd.columns
+    five = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in ((7, "one thing said here now"), (7, "another thing is told there"), (None, "a third of them comes late"), (None, "and a fourth one as well"), (8, "the fifth is by itself"))], "doc_id long, text string, lang string, source string, n_chars long")
+    assert cp.alike_copies(spark, five, folder).count() == 5
+    assert cp.alike_copies(spark, five.union(five), folder).count() == 5
+
+
+def test_stages_keep_clashing_columns(spark, odd, folder):
+    """Whatever an input's columns are called, each stage gives them back, and rows of repeated or null ids stay apart."""
+    want = {(r["doc_id"], r["text"]) for r in odd.collect()}
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, odd, folder)
+        assert out.columns == odd.columns, name
+        got = [r for r in out.collect()]
+        assert all(r[c] == 7 for r in got for c in odd.columns[5:]), name
+        assert {(r["doc_id"], r["text"]) for r in got} <= want, name
+        if name in ("quality", "lines"):
+            assert len(got) == 5, name
+
+
+def test_mix_of_repeated_rows(spark, folder):
+    """Rows equal in id and text share what the mix takes of them, to within one."""
+    rows = [(5, "w " * 10, "en", "a", 1)] * 7 + [(None, "v " * 10, "en", "a", 1)] * 6 + [(i, "u " * 30, "en", "b", 1) for i in range(10, 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    from scenewright.llm import mixing
+
+    taken = mixing.mix(docs, labels=spark.read.parquet(f"{folder}/labels.parquet")).groupBy("source").sum("taken").collect()
+    out = cp.mix_sources(spark, docs, folder)
+    words = Counter()
+    for r in out.collect():
+        words[r["source"]] += len(r["text"].split())
+    assert words == {r["source"]: r["sum(taken)"] for r in taken if r["sum(taken)"]}
 
 
 def test_mix(spark, docs, rows, folder):
