@@ -1,15 +1,20 @@
 """Merkle-tree fingerprints of texts, with DataFrame functions only.
 
-A text is cut into paragraphs, each a piece of at most PARAGRAPH code points (FINE in a text of at most SMALL) that
-ends at the first sentence end or line break if there is one. The cut depends on what stands before it in its
-sentence alone, so an edit changes the paragraphs it touches. A paragraph's digest is its SHA-256. A section ends
-with a paragraph whose digest begins with 0, and its digest is the SHA-256 of its paragraphs' digests; the root is
-the SHA-256 of the sections' digests. A fingerprint is written
+A text of any length is cut into paragraphs by one rule that looks at a few characters only: a paragraph ends after a
+sentence end or line break, after white space that follows one of every second letter or digit, or after one of
+about every eighth character of scripts without spaces. So a cut stays where it is whatever is put in front of it,
+and an edit changes the few paragraphs it touches. Only where no such place comes within MOST code points, a
+paragraph ends there; the cuts that follow are again those of the content.
 
-    root:section=paragraph,paragraph;section=paragraph;...
+A paragraph's digest is the first DIGITS hex digits of its SHA-256. A section ends with a paragraph whose digest begins with 0, and its
+digest is the SHA-256 of its paragraphs' digests; the root is the SHA-256 of the sections' digests. A fingerprint is
+written
 
-with the root in full and the first 8 hex digits of the others. Equal texts have equal fingerprints; different
-texts have different roots. Where two trees differ, their sections' and paragraphs' digests tell where.
+    root:section=paragraphs;section=paragraphs;...
+
+with the root in full, the first 8 hex digits of each section's digest and the first 6 of each paragraph's. Equal
+texts have equal fingerprints, different texts different roots. Comparing two trees goes from the root to the
+sections, and on to the paragraphs of those sections only that the other tree has not.
 """
 
 from __future__ import annotations
@@ -21,43 +26,60 @@ from pyspark.sql import functions as F
 
 from scenewright.llm.common import documents, texts_of
 
-PARAGRAPH, FINE, SMALL = 40, 8, 320
-#: Hex digits of a section's or paragraph's digest in a fingerprint.
-SHORT = 8
+#: Code points of a paragraph in which no place to cut comes; hex digits of a paragraph's digest in the tree.
+MOST, DIGITS = 24, 32
+#: Hex digits of a section's and of a paragraph's digest in a fingerprint.
+SECTION, PARAGRAPH = 8, 6
+#: Before white space: every second Latin letter and digit, and every second eight of Greek and Cyrillic letters.
+BEFORE_BLANK = r"ACEGIKMOQSUWYacegikmoqsuwy02468\x{03B0}-\x{03B7}\x{03C0}-\x{03C7}\x{0430}-\x{0437}\x{0440}-\x{0447}"
+#: By themselves: about every eighth kana, Chinese character and Hangul syllable.
+ALONE = r"\x{3066}-\x{306F}" + "".join(rf"\x{{{k:X}}}-\x{{{k + 0x1FF:X}}}" for k in range(0x4000, 0xE000, 0x1000))
+CUT = rf"(?s).{{0,{MOST - 1}}}?(?:[{BEFORE_BLANK}][ \t\r\n]+|[.!?\n\x{{3002}}]+ *|[{ALONE}])|.{{1,{MOST}}}"
 
 
 def paragraphs(text: Column) -> Column:
-    cut = lambda n: F.regexp_extract_all(text, F.lit(r"(?s).{1,%d}?(?:[.!?\n]|\z)|.{%d}" % (n, n)), F.lit(0))
-    return F.when(F.char_length(text) <= SMALL, cut(FINE)).otherwise(cut(PARAGRAPH))
+    return F.regexp_extract_all(text, F.lit(CUT), F.lit(0))
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     """df with the fingerprint of column text in column out. No paragraphs: the SHA-256 of nothing, then a colon."""
-    of, parts = f"{out}_of", f"{out}_sections"
-    df = df.withColumn(of, F.transform(paragraphs(F.col(text)), lambda p: F.sha2(p, 256)))
-    df = df.withColumn(of, F.array_join(F.transform(of, lambda d: F.concat(d, F.when(d.startswith("0"), F.lit(";")).otherwise(F.lit(",")))), ""))
-    df = df.withColumn(parts, F.filter(F.split(of, ";"), lambda s: s != ""))
-    root = F.sha2(F.array_join(F.transform(parts, lambda s: F.sha2(s, 256)), ""), 256)
-    # within a section the digests, 64 digits and a comma each, are cut to their first digits
-    short = F.transform(parts, lambda s: F.concat(F.substring(F.sha2(s, 256), 1, SHORT), F.lit("="), F.regexp_replace(F.rtrim(F.translate(s, ",", " ")), r"([0-9a-f]{8})[0-9a-f]{56} ?", "$1,")))
-    return df.withColumn(out, F.concat(root, F.lit(":"), F.regexp_replace(F.array_join(short, ";"), r",(;|$)", "$1"))).drop(of, parts)
+    of, sections, short = f"{out}_of", f"{out}_sections", f"{out}_short"
+    parts = lambda joined: F.filter(F.split(F.array_join(joined, ""), ";"), lambda x: x != "")
+    ends = lambda d: d.startswith("0")
+    df = df.withColumn(of, F.transform(paragraphs(F.col(text)), lambda p: F.substring(F.sha2(p, 256), 1, DIGITS)))
+    whole = parts(F.transform(of, lambda d: F.concat(d, F.when(ends(d), F.lit(";")).otherwise(F.lit(",")))))
+    few = parts(F.transform(of, lambda d: F.concat(F.substring(d, 1, PARAGRAPH), F.when(ends(d), F.lit(";")).otherwise(F.lit("")))))
+    df = df.withColumn(sections, F.transform(whole, lambda x: F.sha2(x, 256))).withColumn(short, few)
+    tree = F.array_join(F.zip_with(sections, short, lambda x, p: F.concat(F.substring(x, 1, SECTION), F.lit("="), p)), ";")
+    return df.withColumn(out, F.concat(F.sha2(F.array_join(sections, ""), 256), F.lit(":"), tree)).drop(of, sections, short)
+
 
+def sections_of(fingerprint: Column) -> Column:
+    """The sections of a fingerprint, in order, each as its digest, = and its paragraphs."""
+    return F.filter(F.split(F.substring_index(fingerprint, ":", -1), ";"), lambda x: x != "")
 
-def leaves(fingerprint: Column) -> Column:
-    """The paragraph digests of a fingerprint, in order."""
-    return F.filter(F.split(F.regexp_replace(F.substring_index(fingerprint, ":", -1), "[0-9a-f]*=", ""), "[,;]"), lambda p: p != "")
+
+def leaves(sections: Column) -> Column:
+    """The paragraph digests of sections, in order."""
+    return F.regexp_extract_all(F.array_join(F.transform(sections, lambda x: F.substring(x, SECTION + 2, 1 << 30)), ""), F.lit("[0-9a-f]{%d}" % PARAGRAPH), F.lit(0))
 
 
 def likeness(a: Column, b: Column, of_a: Column, of_b: Column) -> Column:
-    """Of fingerprints a and b with distinct leaves of_a and of_b: twice those in both over those of each; 1 if the roots are equal."""
-    total = F.size(of_a) + F.size(of_b)
+    """Of fingerprints a and b with sections of_a and of_b: 1 if the roots are equal, else twice the paragraphs that
+    both have over those of each and one for the roots. Sections in both count with all their paragraphs; only the
+    others' paragraphs are compared. Sections and paragraphs that one tree has more than once count once."""
+    both = F.aggregate(F.array_intersect(of_a, of_b), F.lit(0), lambda n, x: n + ((F.length(x) - (SECTION + 1)) / PARAGRAPH).cast("int"))
+    left, right = F.array_distinct(leaves(F.array_except(of_a, of_b))), F.array_distinct(leaves(F.array_except(of_b, of_a)))
     same = F.substring_index(a, ":", 1) == F.substring_index(b, ":", 1)
-    return F.when(same, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(of_a, of_b)) / total)
+    return F.when(same, F.lit(1.0)).otherwise(2.0 * (both + F.size(F.array_intersect(left, right))) / (2 * both + F.size(left) + F.size(right) + 1))
 
 
 def changed_paragraphs(a: Column, b: Column) -> Column:
-    """Where two fingerprints differ: positions in a of the paragraphs that b has not."""
-    return F.filter(F.transform(leaves(a), lambda p, i: F.when(~F.array_contains(leaves(b), p), i)), lambda i: i.isNotNull())
+    """Where two fingerprints differ: positions in a of the paragraphs that lie in sections which b has not, and are in none of b's sections which a has not."""
+    of_a, of_b = sections_of(a), sections_of(b)
+    others = leaves(F.array_except(of_b, of_a))
+    marked = F.flatten(F.transform(of_a, lambda x: F.transform(F.regexp_extract_all(F.substring(x, SECTION + 2, 1 << 30), F.lit("[0-9a-f]{%d}" % PARAGRAPH), F.lit(0)), lambda p: ~F.array_contains(of_b, x) & ~F.array_contains(others, p))))
+    return F.filter(F.transform(marked, lambda m, i: F.when(m, i)), lambda i: i.isNotNull())
 
 
 def with_next(rows: DataFrame, columns: dict[str, str], buckets: int, derive: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
@@ -103,8 +125,9 @@ def fingerprint_edits(docs: DataFrame, text: str = "text", buckets: int | None =
     rows = rows.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("cut", F.floor(F.col("n_chars") / 4).cast("int"))
     rows = rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - F.col("cut")).cast("int")), F.substring(F.col("next_text"), F.lit(1), F.col("cut"))))
     rows = with_fingerprint(rows, "edited", "edited_fingerprint")
-    of = {f"of_{c}": F.array_distinct(leaves(F.col(c))) for c in ("fingerprint", "edited_fingerprint", "next_fingerprint")}
-    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "next_fingerprint").withColumns(of)
+    names = ("fingerprint", "edited_fingerprint", "next_fingerprint")
+    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *names)
+    rows = rows.withColumns({f"of_{c}": sections_of(F.col(c)) for c in names})
     near = lambda c: likeness(F.col("fingerprint"), F.col(c), F.col("of_fingerprint"), F.col(f"of_{c}"))
     return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("edited_fingerprint").alias("near_edited"), near("next_fingerprint").alias("near_next"))
 
@@ -113,18 +136,32 @@ def op4_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(documents(spark, sf_dir))
 
 
-OP4_SQL = r"""
+_SECTIONS = "list_filter(string_split(split_part({0}, ':', 2), ';'), lambda x: x <> '')"
+_LEAVES = f"list_distinct(regexp_extract_all(array_to_string(list_transform({{0}}, lambda x: substr(x, {SECTION + 2})), ''), '[0-9a-f]{{{{{PARAGRAPH}}}}}'))"
+_NEAR = """SELECT *, CASE WHEN split_part(fingerprint, ':', 1) = split_part({0}, ':', 1) THEN 1.0
+  ELSE 2.0 * (nb + len(list_intersect(la, lb))) / (2 * nb + len(la) + len(lb) + 1) END AS near_{1}
+  FROM (SELECT *, {2} AS la, {3} AS lb, coalesce(CAST(list_sum(list_transform(list_distinct(list_intersect(sa, sb)), lambda x: (length(x) - {4}) // {5})) AS BIGINT), 0) AS nb
+    FROM (SELECT *, {6} AS sa, {7} AS sb FROM {8}))"""
+
+
+def _near_sql(other: str, name: str, table: str) -> str:
+    only = "list_filter({0}, lambda x: NOT list_contains({1}, x))"
+    return _NEAR.format(other, name, _LEAVES.format(only.format("sa", "sb")), _LEAVES.format(only.format("sb", "sa")), SECTION + 1, PARAGRAPH, _SECTIONS.format("fingerprint"), _SECTIONS.format(other), table)
+
+
+OP4_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
 x AS (SELECT doc_id, text, n, coalesce(lead(text) OVER o, first_value(text) OVER o) AS nxt FROM d WINDOW o AS (ORDER BY doc_id)),
 e AS (SELECT *, substring(text, 1, n - n // 4) || substring(nxt, 1, n // 4) AS edited FROM x),
 t AS (SELECT doc_id, 1 AS k, text AS s FROM e UNION ALL SELECT doc_id, 2, edited FROM e),
-p AS (SELECT doc_id, k, list_transform(CASE WHEN length(s) <= 320 THEN regexp_extract_all(s, '(?s).{1,8}?(?:[.!?\n]|\z)|.{8}') ELSE regexp_extract_all(s, '(?s).{1,40}?(?:[.!?\n]|\z)|.{40}') END, lambda q: sha256(q)) AS hs FROM t),
-c AS (SELECT doc_id, k, hs, list_filter(string_split(array_to_string(list_transform(hs, lambda h: h || CASE WHEN h[1] = '0' THEN ';' ELSE ',' END), ''), ';'), lambda q: q <> '') AS parts FROM p),
-f AS (SELECT doc_id, k, sha256(array_to_string(list_transform(parts, lambda q: sha256(q)), '')) AS root, list_distinct(list_transform(hs, lambda h: substr(h, 1, 8))) AS leaves,
-  array_to_string(list_transform(parts, lambda q: substr(sha256(q), 1, 8) || '=' || array_to_string(list_transform(string_split(rtrim(q, ','), ','), lambda h: substr(h, 1, 8)), ',')), ';') AS short FROM c),
-a AS (SELECT *, coalesce(lead(root) OVER o, first_value(root) OVER o) AS next_root, coalesce(lead(leaves) OVER o, first_value(leaves) OVER o) AS next_leaves FROM f WHERE k = 1 WINDOW o AS (ORDER BY doc_id))
-SELECT e.doc_id, CAST(e.n AS BIGINT) AS n_chars, sha256(e.edited) AS edited_sha256, a.root || ':' || a.short AS fingerprint, b.root || ':' || b.short AS edited_fingerprint,
-  CASE WHEN a.root = b.root THEN 1.0 ELSE 2.0 * len(list_intersect(a.leaves, b.leaves)) / (len(a.leaves) + len(b.leaves)) END AS near_edited,
-  CASE WHEN a.root = a.next_root THEN 1.0 ELSE 2.0 * len(list_intersect(a.leaves, a.next_leaves)) / (len(a.leaves) + len(a.next_leaves)) END AS near_next
-FROM e JOIN a ON e.doc_id = a.doc_id JOIN f b ON e.doc_id = b.doc_id AND b.k = 2
+p AS (SELECT doc_id, k, list_transform(regexp_extract_all(s, '{CUT}'), lambda q: substr(sha256(q), 1, {DIGITS})) AS hs FROM t),
+c AS (SELECT doc_id, k,
+  list_transform(list_filter(string_split(array_to_string(list_transform(hs, lambda h: h || CASE WHEN h[1] = '0' THEN ';' ELSE ',' END), ''), ';'), lambda q: q <> ''), lambda q: sha256(q)) AS secs,
+  list_filter(string_split(array_to_string(list_transform(hs, lambda h: substr(h, 1, {PARAGRAPH}) || CASE WHEN h[1] = '0' THEN ';' ELSE '' END), ''), ';'), lambda q: q <> '') AS short FROM p),
+f AS (SELECT doc_id, k, sha256(array_to_string(secs, '')) || ':' || array_to_string(list_transform(secs, lambda q, i: substr(q, 1, {SECTION}) || '=' || short[i]), ';') AS fp FROM c),
+a AS (SELECT doc_id, fp AS fingerprint, coalesce(lead(fp) OVER o, first_value(fp) OVER o) AS next_fingerprint FROM f WHERE k = 1 WINDOW o AS (ORDER BY doc_id)),
+g AS (SELECT a.*, f.fp AS edited_fingerprint, CAST(e.n AS BIGINT) AS n_chars, sha256(e.edited) AS edited_sha256 FROM a JOIN f ON f.doc_id = a.doc_id AND f.k = 2 JOIN e ON e.doc_id = a.doc_id),
+ne AS ({_near_sql("edited_fingerprint", "edited", "g")}),
+nn AS ({_near_sql("next_fingerprint", "next", "(SELECT * EXCLUDE (sa, sb, la, lb, nb) FROM ne)")})
+SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next FROM nn
 """

@@ -201,24 +201,53 @@ def test_cosine_hash_of_like_images_is_near():
 
 
 def plain_leaves(text):
-    size = 8 if len(text) <= 320 else 40
-    return re.findall(r"(?s).{1,%d}?(?:[.!?\n]|\Z)|.{%d}" % (size, size), text)
+    """Cuts found one character at a time."""
+    alone = {*range(0x3066, 0x3070)} | {c for k in range(0x4000, 0xE000, 0x1000) for c in range(k, k + 0x200)}
+    before = {*"ACEGIKMOQSUWYacegikmoqsuwy02468", *map(chr, [*range(0x3B0, 0x3B8), *range(0x3C0, 0x3C8), *range(0x430, 0x438), *range(0x440, 0x448)])}
+    out, at = [], 0
+    while at < len(text):
+        end = min(at + merkle.MOST, len(text))
+        for i in range(at, end):
+            j = i + 1
+            if text[i] in before and j < len(text) and text[j] in " \t\r\n":
+                while j < len(text) and text[j] in " \t\r\n":
+                    j += 1
+            elif text[i] in ".!?\n\u3002":
+                while j < len(text) and text[j] in ".!?\n\u3002":
+                    j += 1
+                while j < len(text) and text[j] == " ":
+                    j += 1
+            elif ord(text[i]) not in alone:
+                continue
+            end = j
+            break
+        out.append(text[at:end])
+        at = end
+    return out
 
 
 def plain_merkle(text):
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    digests = [sha(p) for p in plain_leaves(text)]
+    digests = [sha(p)[:32] for p in plain_leaves(text)]
     sections, now = [], []
     for d in digests:
         now.append(d)
         if d[0] == "0":
-            sections.append((now, True))
+            sections.append((now, ";"))
             now = []
     if now:
-        sections.append((now, False))
-    joined = [",".join(s) + ("" if closed else ",") for s, closed in sections]
-    root = sha("".join(map(sha, joined)))
-    return root + ":" + ";".join(sha(j)[:8] + "=" + ",".join(d[:8] for d in s) for (s, _), j in zip(sections, joined, strict=True))
+        sections.append((now, ""))
+    of = [sha("".join(d + "," for d in s) if not end else ",".join(s)) for s, end in sections]
+    return sha("".join(of)) + ":" + ";".join(x[:8] + "=" + "".join(d[:6] for d in s) for x, (s, _) in zip(of, sections, strict=True))
+
+
+def plain_likeness(a, b):
+    if a.split(":")[0] == b.split(":")[0]:
+        return 1.0
+    of_a, of_b = ({s for s in x.split(":")[1].split(";") if s} for x in (a, b))
+    cut = lambda ss: {s[i : i + 6] for s in ss for i in range(9, len(s), 6)}
+    both, left, right = sum((len(s) - 9) // 6 for s in of_a & of_b), cut(of_a - of_b), cut(of_b - of_a)
+    return 2 * (both + len(left & right)) / (2 * both + len(left) + len(right) + 1)
 
 
 def test_merkle(docs, rows):
@@ -231,6 +260,8 @@ def test_merkle(docs, rows):
         r = got[i]
         assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
         assert r["fingerprint"] == plain_merkle(text) and r["edited_fingerprint"] == plain_merkle(edited)
+        assert r["near_edited"] == pytest.approx(plain_likeness(plain_merkle(text), plain_merkle(edited)))
+        assert r["near_next"] == pytest.approx(plain_likeness(plain_merkle(text), plain_merkle(nxt)))
         assert 0 <= r["near_next"] <= 1 and 0 <= r["near_edited"] <= 1
         assert (r["near_edited"] == 1.0) == (edited == text)
     assert got[3]["fingerprint"] == got[20]["fingerprint"] != got[7]["fingerprint"]
@@ -238,11 +269,37 @@ def test_merkle(docs, rows):
     assert np.mean([r["near_edited"] for r in long]) > 0.6 > 0.2 > np.mean([r["near_next"] for r in long])
 
 
+def differing(spark, a, b):
+    df = spark.createDataFrame([(a, b)], "a string, b string")
+    df = merkle.with_fingerprint(merkle.with_fingerprint(df, "a", "fa"), "b", "fb")
+    near = merkle.likeness(F.col("fa"), F.col("fb"), merkle.sections_of(F.col("fa")), merkle.sections_of(F.col("fb")))
+    return df.select(merkle.changed_paragraphs(F.col("fa"), F.col("fb")).alias("c"), near.alias("near")).first()
+
+
 def test_merkle_locates_edits(spark):
     a = "".join(f"Sentence number {i} stands here. " for i in range(40))
-    df = spark.createDataFrame([(a, a.replace("number 17", "number 71"))], "a string, b string")
-    df = merkle.with_fingerprint(merkle.with_fingerprint(df, "a", "fa"), "b", "fb").select(merkle.changed_paragraphs(F.col("fa"), F.col("fb")).alias("c"))
-    assert df.first()["c"] == [i for i, (x, y) in enumerate(zip(plain_leaves(a), plain_leaves(a.replace("number 17", "number 71")), strict=True)) if x != y]
+    b = a.replace("number 17", "number 71")
+    assert differing(spark, a, b)["c"] == [i for i, p in enumerate(plain_leaves(a)) if p not in plain_leaves(b)] != []
+
+
+def test_merkle_insertions_change_few_paragraphs(spark):
+    """Also in front of a text without any mark."""
+    rng = np.random.default_rng(8)
+    words = " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(1, 9))) for _ in range(400))
+    for b in ("x" + words, words[:900] + "new words " + words[900:], "quite another beginning " + words):
+        got = differing(spark, words, b)
+        assert len(got["c"]) <= 4 and got["near"] > 0.95
+    kanji = "".join(chr(int(c)) for c in rng.integers(0x4E00, 0x9F00, 800))
+    assert differing(spark, kanji, "\u4e00\u4e8c" + kanji)["near"] > 0.9
+
+
+def test_merkle_keeps_what_an_edit_leaves_alone(spark):
+    """Texts of 200 to 500 characters whose last quarter is replaced, whatever follows, also by nothing."""
+    rng = np.random.default_rng(9)
+    made = [(f"{i}", " ".join("".join(rng.choice(list("aeinorstlmdcbg"), rng.integers(2, 9))) + str(rng.choice(["", "", ".", ","])) for _ in range(90))[: int(rng.integers(200, 501))]) for i in range(60)]
+    rows = [(2 * i, t) for i, (_, t) in enumerate(made)] + [(2 * i + 1, ["", "short one", made[(i * 7) % 60][1]][i % 3]) for i in range(60)]
+    got = merkle.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id % 2 = 0").collect()
+    assert min(r["near_edited"] for r in got) > 0.5
 
 
 def test_merkle_edges(none, odd):
