@@ -1,96 +1,161 @@
 """Removal of repeated runs of lines by winnowing, with DataFrame functions only.
 
-A line is what ends with a line break or a sentence end, white space after it included, so that one long physical
-line counts as its sentences. A run of `lines` = gram + window - 1 consecutive lines repeats if the same lines,
-white space around them aside, start earlier: in a smaller doc_id, or before in the same document. Every line of a
-later run is removed; runs overlap. What is kept stays as it is, in its order.
+A line ends with a sentence end or line break, white space after it included. A long one is cut further: after a word
+that ends in one of a few letters, which the same words always give at the same places, and at the latest after WORDS
+words. So a passage is several lines however it is punctuated, and apart from its first and last words they are the
+same lines wherever it stands.
+
+Of every window of `window` successive grams (runs of `gram` lines) the one whose first line has the smallest hash is
+selected, the first of equals. Whatever gram + window - 1 lines two documents share, both select the same gram of
+them. Of the places where a gram is selected the earliest, by doc_id and line, keeps it. Every later place is compared
+with that one, line by line, and the match is extended to both sides for up to window - 1 lines, as far as it takes to
+reach the ends of a shared run from its outermost selected grams. Lines that matched and follow each other are a
+run; a run of at least `least` words is removed. What is kept stays as it is, in its order.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenewright.llm.common import documents, release, stored
+from scenewright.llm.common import documents, release, row_keys, stored
 
-#: A line: no terminator, then terminators and white space; at the start of a text it may be these alone.
-LINE = r"[^.!?\n]+[.!?\n\r\t ]*|[.!?\n\r\t ]+"
-GRAM, WINDOW = 2, 3
+#: Most words of a line, and the letters that end one within a sentence: about every tenth word.
+WORDS, LETTERS = 10, "HIKLMWhiklmw"
+_BLANK = r" \t\r\n"
+LINE = (
+    rf"(?:[^{_BLANK}]+[ \t\r]+){{0,{WORDS - 1}}}?(?:[^{_BLANK}]*[.!?\x{{3002}}{LETTERS}][{_BLANK}]+|[^{_BLANK}]*[ \t\r]*\n[{_BLANK}]*)"
+    rf"|(?:[^{_BLANK}]+[{_BLANK}]*){{1,{WORDS}}}|[{_BLANK}]+"
+)
+WORD = rf"[^{_BLANK}]+"
+GRAM, WINDOW, LEAST = 2, 3, 24
 
 
 def _lines(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(LINE), F.lit(0))
 
 
-def _keyed(docs: DataFrame, text: str, doc_id: str, prefix: str = "line_") -> DataFrame:
-    """docs with line_doc and line_row: rows equal in both ids are one document."""
-    return docs.withColumns({f"{prefix}doc": F.col(f"`{doc_id}`").cast("long"), f"{prefix}text": F.coalesce(F.col(f"`{text}`"), F.lit(""))}).withColumn(f"{prefix}row", F.xxhash64(f"{prefix}doc", f"{prefix}text"))
+def _hash(line: Column) -> Column:
+    """60 bits of a line's MD5, white space around it aside; SQL can say the same."""
+    return F.conv(F.substring(F.md5(F.btrim(line, F.lit(" \t\r\n"))), 1, 15), 16, 10).cast("long")
+
+
+def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """docs with _ld_doc, _ld_x, _ld_y, _ld_text: rows equal in the first three are one document."""
+    x, y = row_keys(F.col(f"`{text}`"))
+    return docs.withColumns({"_ld_doc": F.col(f"`{doc_id}`").cast("long"), "_ld_x": x, "_ld_y": y, "_ld_text": F.coalesce(F.col(f"`{text}`"), F.lit(""))})
 
 
-def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Winnowed fingerprints of every document: line_doc, line_row, seed (hash of gram lines), start, runs.
+def line_hashes(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc, x, y, h (hashes of its lines) and at (places of its selected grams) of every document with a gram.
 
-    Of every window of `window` successive line grams the smallest hash, the first if equal, is selected. Whatever
-    run of gram + window - 1 lines two documents share, both select the same gram of it. runs has the hash of the
-    lines of each window that selects this gram, the first of which begins at line start: as far as a match of the
-    gram alone must be extended to either side for such a run.
+    A document with fewer lines than a window needs is one window.
     """
-    n = gram + window - 1
-    rows = _keyed(docs, text, doc_id).select("line_doc", "line_row", F.transform(_lines(F.col("line_text")), lambda x: F.xxhash64(F.trim(F.translate(x, "\n\r\t", "   ")))).alias("h")).filter(F.size("h") >= n)
-    at = lambda name, i: F.get(F.col(name), i)
-    count = F.size("h")
-    rows = rows.withColumn("g", F.transform(F.sequence(F.lit(0), count - gram), lambda i: F.xxhash64(*[at("h", i + j) for j in range(gram)])))
-    rows = rows.withColumn("chosen", F.transform(F.sequence(F.lit(0), count - n), lambda s: reduce(F.least, [F.struct(at("g", s + j).alias("seed"), (s + j).alias("at")) for j in range(window)])))
-    rows = rows.withColumn("run", F.transform(F.sequence(F.lit(0), count - n), lambda s: F.xxhash64(*[at("h", s + j) for j in range(n)])))
-    # Choices move on with the windows, so those that select one gram stand together; nothing but them is exploded.
-    rows = rows.withColumn("firsts", F.filter(F.sequence(F.lit(0), count - n), lambda s: (s == 0) | (at("chosen", s)["at"] != F.get(F.col("chosen"), F.greatest(s - 1, F.lit(0)))["at"])))
+    rows = _keyed(docs, text, doc_id).select(F.col("_ld_doc").alias("doc"), F.col("_ld_x").alias("x"), F.col("_ld_y").alias("y"), F.transform(_lines(F.col("_ld_text")), _hash).alias("h"))
+    rows = rows.filter(F.size("h") >= gram)
+    grams = F.size("h") - (gram - 1)
+    span = lambda s: F.slice(F.col("h"), s + 1, F.least(F.lit(window), grams - s))
+    chosen = F.transform(F.sequence(F.lit(0), F.greatest(grams - window, F.lit(0))), lambda s: s + (F.array_position(span(s), F.array_min(span(s))) - 1).cast("int"))
+    return rows.withColumn("at", F.array_distinct(chosen))
 
-    def seed(s: Column, i: Column) -> Column:
-        end = F.coalesce(F.get(F.col("firsts"), i + 1), F.size("chosen"))
-        return F.struct(at("chosen", s)["seed"].alias("seed"), s.alias("start"), F.slice(F.col("run"), s + 1, end - s).alias("runs"))
 
-    return rows.select("line_doc", "line_row", F.inline(F.transform("firsts", seed)))
+def _selected(hashes: DataFrame, gram: int) -> DataFrame:
+    """seed, doc, x, y, at: one row for each selected gram."""
+    rows = hashes.select("doc", "x", "y", "h", F.explode("at").alias("p"))
+    seed = F.xxhash64(*[F.get(F.col("h"), F.col("p") + i) for i in range(gram)])
+    return rows.select(seed.alias("seed"), "doc", "x", "y", F.col("p").alias("at"))
 
 
-def repeated_runs(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """line_doc, line_row, starts: the first lines of all runs that also start earlier.
+def matched_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc, x, y, lines: of every document the places of its lines that a match with an earlier place covers, in order.
 
-    Fingerprints meet by an aggregate, which finds those that occur again, and a semi-join. Their runs meet the same
-    way: one aggregate finds each run's earliest place, one join every other one. Thus a line that a third of all
-    documents share costs a row for each of them and no pairs.
+    Selected grams meet by an aggregate that finds the earliest place of each, and by one join of every later place
+    with it. Thus a line that a third of all documents share costs a row for each of them and no pairs. Seeds are
+    hashes and only say which places to compare; a match is one of every line's hash by itself. What is collected
+    into one row is of one document.
     """
-    found = stored(fingerprints(docs, gram, window, text, doc_id), "line-seeds")
+    side = window - 1
+    hashes = stored(line_hashes(docs, gram, window, text, doc_id), "line-hashes")
+    found = _selected(hashes, gram)
     # Aggregates are written before they are joined: a join of two plain exchanges is one whose hot keys Spark splits.
-    again = stored(found.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed"), "line-again")
-    met = stored(found.join(again, "seed", "left_semi").select("line_doc", "line_row", F.col("start").alias("from"), F.posexplode("runs").alias("i", "hash")).select("line_doc", "line_row", (F.col("from") + F.col("i")).alias("start"), "hash"), "line-runs")
-    place = F.struct("line_doc", "line_row", "start")
-    first = stored(met.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").drop("last"), "line-first")
-    later = met.join(first, "hash").filter(F.struct("line_doc", "line_row", "start") > F.col("first"))
-    return later.groupBy("line_doc", "line_row").agg(F.collect_list("start").alias("starts"))
+    place = F.struct("doc", "x", "y", "at")
+    first = stored(found.groupBy("seed").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("seed", "first.*"), "line-first")
+    around = lambda p: F.transform(F.sequence(F.lit(-side), F.lit(gram - 1 + side)), lambda i: F.get(F.col("h"), p + i))
+    same = lambda a, b: a["doc"].eqNullSafe(b["of_doc"]) & (a["x"] == b["of_x"]) & (a["y"] == b["of_y"])
+
+    def with_lines(of: DataFrame) -> DataFrame:
+        """Rows of documents (of_doc, of_x, of_y) with their hashes h, each document once."""
+        one = hashes.join(of, same(hashes, of))
+        return one.drop("doc", "x", "y", "at")
+
+    owners = first.groupBy(F.col("doc").alias("of_doc"), F.col("x").alias("of_x"), F.col("y").alias("of_y")).agg(F.collect_list(F.struct("seed", "at")).alias("grams"))
+    lines = with_lines(owners).select("of_doc", "of_x", "of_y", F.inline(F.transform("grams", lambda g: F.struct(g["seed"].alias("of_seed"), g["at"].alias("of_at"), around(g["at"]).alias("lines")))))
+    lines = stored(lines.dropDuplicates(["of_seed"]), "line-contexts")
+    later = found.join(lines, (found["seed"] == lines["of_seed"]) & (place > F.struct("of_doc", "of_x", "of_y", "of_at")))
+    later = later.groupBy(F.col("doc"), F.col("x"), F.col("y")).agg(F.collect_set(F.struct("at", "lines")).alias("places"))
+    later = stored(later.select(F.col("doc").alias("of_doc"), F.col("x").alias("of_x"), F.col("y").alias("of_y"), "places"), "line-later")
+    release(docs.sparkSession)
+
+    def compared(m: Column) -> Column:
+        """Which lines around a place are those of the earliest one; null if a line of the gram itself is not."""
+        equal = F.zip_with(around(m["at"]), m["lines"], lambda a, b: F.coalesce(a == b, F.lit(False)))
+        return F.when(F.forall(F.slice(equal, side + 1, gram), lambda e: e), equal)
+
+    matches = with_lines(later).select("of_doc", "of_x", "of_y", F.transform("places", lambda m: F.struct(m["at"].alias("at"), compared(m).alias("equal"))).alias("m"))
+
+    def reach(equal: Column) -> tuple[Column, Column]:
+        left, right = F.lit(side), F.lit(side)
+        for i in range(side):  # from the farthest line to the nearest, whose difference counts last and so first
+            left = F.when(~F.get(equal, F.lit(i)), F.lit(side - 1 - i)).otherwise(left)
+            right = F.when(~F.get(equal, F.lit(2 * side + gram - 1 - i)), F.lit(side - 1 - i)).otherwise(right)
+        return left, right
+
+    def span(m: Column) -> Column:
+        left, right = reach(m["equal"])
+        return F.sequence(m["at"] - left, m["at"] + (gram - 1) + right)
+
+    spans = F.transform(F.filter("m", lambda m: m["equal"].isNotNull()), span)
+    return matches.select(F.col("of_doc").alias("doc"), F.col("of_x").alias("x"), F.col("of_y").alias("y"), F.array_sort(F.array_distinct(F.flatten(spans))).alias("lines")).filter(F.size("lines") > 0)
+
+
+def _runs(lines: Column) -> Column:
+    """(from, to) of the runs of a sorted list of places."""
+    starts = F.filter(lines, lambda x, i: (i == 0) | (F.get(lines, F.greatest(i - 1, F.lit(0))) != x - 1))
+    ends = F.filter(lines, lambda x, i: F.coalesce(F.get(lines, i + 1) != x + 1, F.lit(True)))
+    return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
 
-def dedup_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id", counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
-    """docs with every row and column, repeated runs removed from text; more columns: n_lines, n_removed.
+def dedup_lines(
+    docs: DataFrame,
+    gram: int = GRAM,
+    window: int = WINDOW,
+    least: int = LEAST,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    counts: tuple[str, str] = ("n_lines", "n_removed"),
+) -> DataFrame:
+    """docs with every row and column, repeated runs removed from text; more columns: n_lines, n_removed (or as counts says).
 
     Null and empty texts have no lines; a null text stays null. Rows equal in doc_id and text are one document and
-    change alike; rows that share a doc_id only come in the order of a hash of both. A null doc_id comes first. A
-    document that wholly repeats is left with an empty text. No documents: no rows. Columns n_lines and n_removed of
-    the input are replaced.
+    change alike; rows that share a doc_id only come in the order of two hashes of the text. A null doc_id comes
+    first. A document that wholly repeats is left with an empty text. No documents: no rows. Columns of the input
+    with the names in counts are replaced.
     """
-    n = gram + window - 1
-    runs = stored(repeated_runs(docs, gram, window, text, doc_id), "line-starts").withColumnsRenamed({"line_doc": "_ld_run_doc", "line_row": "_ld_run_row", "starts": "_ld_starts"})
+    lines = matched_lines(docs, gram, window, text, doc_id)
+    names = {"doc": "_ld_of_doc", "x": "_ld_of_x", "y": "_ld_of_y", "lines": "_ld_places"}
+    lines = stored(lines.groupBy("doc", "x", "y").agg(F.first("lines").alias("lines")), "line-matches").withColumnsRenamed(names)
     release(docs.sparkSession)
     docs = docs.drop(*counts)
-    rows = _keyed(docs, text, doc_id, "_ld_")  # names of its own, so that no column of the input is lost
-    rows = rows.join(runs, F.col("_ld_doc").eqNullSafe(F.col("_ld_run_doc")) & (F.col("_ld_row") == F.col("_ld_run_row")), "left")
-    rows = rows.withColumn("_ld_list", F.when(F.col("_ld_starts").isNotNull(), _lines(F.col("_ld_text"))))
-    gone = F.flatten(F.transform("_ld_starts", lambda s: F.sequence(s, s + (n - 1))))
-    rows = rows.withColumn("_ld_kept", F.array_except(F.sequence(F.lit(0), F.size("_ld_list") - 1), gone))
-    kept = F.array_join(F.transform("_ld_kept", lambda i: F.get(F.col("_ld_list"), i)), "")
+    rows = _keyed(docs, text, doc_id)  # names of its own, so that no column of the input is lost
+    rows = rows.join(lines, F.col("_ld_doc").eqNullSafe(F.col("_ld_of_doc")) & (F.col("_ld_x") == F.col("_ld_of_x")) & (F.col("_ld_y") == F.col("_ld_of_y")), "left")
+    rows = rows.withColumn("_ld_list", F.when(F.col("_ld_places").isNotNull(), _lines(F.col("_ld_text"))))
+    words = lambda r: F.regexp_count(F.array_join(F.slice(F.col("_ld_list"), r["a"] + 1, r["b"] - r["a"] + 1), ""), F.lit(WORD))
+    rows = rows.withColumn("_ld_runs", F.filter(_runs(F.col("_ld_places")), lambda r: words(r) >= least))
+    gone = F.flatten(F.transform("_ld_runs", lambda r: F.sequence(r["a"], r["b"])))
+    changed = F.size(F.coalesce("_ld_runs", F.array())) > 0
+    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("_ld_list") - 1), gone), lambda i: F.get(F.col("_ld_list"), i)), "")
     count = F.coalesce(F.regexp_count("_ld_text", F.lit(LINE)), F.lit(0))
-    new = {text: F.when(F.col("_ld_starts").isNull(), F.col(f"`{text}`")).otherwise(kept), counts[0]: count, counts[1]: F.when(F.col("_ld_starts").isNull(), 0).otherwise(F.size("_ld_list") - F.size("_ld_kept"))}
+    new = {text: F.when(changed, kept).otherwise(F.col(f"`{text}`")), counts[0]: count, counts[1]: F.when(changed, F.size(gone)).otherwise(0)}
     return rows.withColumns(new).select(*[F.col(f"`{c}`") for c in docs.columns], *counts)
 
 
@@ -99,15 +164,27 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-OP5_SQL = r"""
-WITH l AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.!?\n]+[.!?\n\r\t ]*|[.!?\n\r\t ]+') AS ls FROM documents),
-w AS (SELECT doc_id, s, list_transform(ls[s:s + 3], lambda x: trim(translate(x, chr(10) || chr(13) || chr(9), '   '))) AS run
-      FROM l, unnest(range(1, CAST(len(ls) AS BIGINT) - 2)) AS u(s)),
-f AS (SELECT doc_id, s, row_number() OVER (PARTITION BY run ORDER BY doc_id, s) > 1 AS again FROM w),
-g AS (SELECT DISTINCT doc_id, unnest(range(s, s + 4)) AS i FROM f WHERE again),
-k AS (SELECT doc_id, i, ls[i] AS line FROM l, unnest(range(1, CAST(len(ls) AS BIGINT) + 1)) AS u(i)),
-r AS (SELECT k.doc_id, count(g.i) AS n_removed, coalesce(string_agg(CASE WHEN g.i IS NULL THEN k.line END, '' ORDER BY k.i), '') AS kept
-      FROM k LEFT JOIN g ON k.doc_id = g.doc_id AND k.i = g.i GROUP BY k.doc_id)
-SELECT l.doc_id, CAST(len(l.ls) AS INTEGER) AS n_lines, CAST(coalesce(r.n_removed, 0) AS INTEGER) AS n_removed, sha256(coalesce(r.kept, '')) AS kept_sha256
-FROM l LEFT JOIN r USING (doc_id)
+def _reach_sql(offsets: list[int]) -> str:
+    """How many of the lines at these offsets from a place, nearest first, are equal in both documents."""
+    cases = " ".join(f"WHEN p + {o} < 0 OR q + {o} < 0 OR h[p + {o + 1}] IS DISTINCT FROM fh[q + {o + 1}] OR h[p + {o + 1}] IS NULL THEN {i}" for i, o in enumerate(offsets))
+    return f"CASE {cases} ELSE {len(offsets)} END"
+
+
+OP5_SQL = rf"""
+WITH l AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{LINE}') AS ls FROM documents),
+hs AS (SELECT doc_id, list_transform(ls, lambda x: CAST('0x' || substr(md5(trim(x, ' ' || chr(9) || chr(10) || chr(13))), 1, 15) AS BIGINT)) AS h FROM l WHERE len(ls) >= {GRAM}),
+ws AS (SELECT doc_id, h, s, h[s + 1:least(s + {WINDOW}, len(h) - {GRAM - 1})] AS win FROM hs, unnest(range(0, greatest(len(h) - {GRAM + WINDOW - 2}, 1))) AS u(s)),
+g AS (SELECT DISTINCT doc_id, s + list_position(win, list_min(win)) - 1 AS p FROM ws),
+k AS (SELECT g.doc_id, p, {", ".join(f"h[p + {i + 1}] AS k{i}" for i in range(GRAM))} FROM g JOIN hs USING (doc_id)),
+f AS (SELECT *, first_value(doc_id) OVER o AS fd, first_value(p) OVER o AS q FROM k WINDOW o AS (PARTITION BY {", ".join(f"k{i}" for i in range(GRAM))} ORDER BY doc_id, p)),
+m AS (SELECT f.doc_id, p, {_reach_sql([-i - 1 for i in range(WINDOW - 1)])} AS lft, {_reach_sql([GRAM + i for i in range(WINDOW - 1)])} AS rgt
+  FROM (SELECT f.*, a.h, b.h AS fh FROM f JOIN hs a ON a.doc_id = f.doc_id JOIN hs b ON b.doc_id = f.fd WHERE (f.doc_id, p) > (fd, q)) f),
+c AS (SELECT DISTINCT doc_id, unnest(range(p - lft, p + {GRAM} + rgt)) AS i FROM m),
+r AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM c),
+w AS (SELECT r.doc_id, r.i, sum(len(regexp_extract_all(l.ls[r.i + 1], '{WORD}'))) OVER (PARTITION BY r.doc_id, r.run) AS words FROM r JOIN l USING (doc_id)),
+k2 AS (SELECT doc_id, i, line FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(0, CAST(len(ls) AS BIGINT))) AS i FROM l)),
+t AS (SELECT k2.doc_id, count(w.i) AS n_removed, coalesce(string_agg(CASE WHEN w.i IS NULL THEN k2.line END, '' ORDER BY k2.i), '') AS kept
+  FROM k2 LEFT JOIN (SELECT * FROM w WHERE words >= {LEAST}) w ON k2.doc_id = w.doc_id AND k2.i = w.i GROUP BY k2.doc_id)
+SELECT l.doc_id, CAST(len(l.ls) AS INTEGER) AS n_lines, CAST(coalesce(t.n_removed, 0) AS INTEGER) AS n_removed, sha256(coalesce(t.kept, '')) AS kept_sha256
+FROM l LEFT JOIN t USING (doc_id)
 """

@@ -309,17 +309,72 @@ def test_merkle_edges(none, odd):
 # --- 5: lines ---
 
 
-def plain_lines(rows, n=4):
-    split = {d: re.findall(line_dedup.LINE, t or "") for d, t, *_ in rows}
-    seen, gone = set(), defaultdict(set)
-    for d in sorted(split):
-        keys = [x.replace("\n", " ").replace("\r", " ").replace("\t", " ").strip(" ") for x in split[d]]
-        for s in range(len(keys) - n + 1):
-            k = tuple(keys[s : s + n])
-            if k in seen:
-                gone[d].update(range(s, s + n))
-            seen.add(k)
-    return {d: "".join(x for i, x in enumerate(ls) if i not in gone[d]) for d, ls in split.items()}
+def plain_split(text):
+    """Lines found one word at a time."""
+    blank, out, i = " \t\r\n", [], 0
+    while i < len(text):
+        j, words = i, 0
+        while j < len(text):
+            k = j
+            while k < len(text) and text[k] not in blank:
+                k += 1
+            m = k
+            while m < len(text) and text[m] in blank:
+                m += 1
+            words += k > j
+            ends = m > k and (k == j or text[k - 1] in ".!?\u3002HIKLMWhiklmw" or "\n" in text[k:m])
+            j = m
+            if ends or words == 10:
+                break
+        out.append(text[i:j])
+        i = j
+    return out
+
+
+def plain_lines(rows):
+    """Each document's text without what winnowing finds, one window, place and line at a time. Rows have different ids."""
+    lines = {d: plain_split(t or "") for d, t, *_ in rows}
+    key = {d: [int(hashlib.md5(x.strip(" \t\r\n").encode()).hexdigest()[:15], 16) for x in ls] for d, ls in lines.items()}
+    first, chosen = {}, defaultdict(list)
+    for d in sorted(key):
+        h = key[d]
+        grams = len(h) - 1
+        for s in range(max(grams - 3, 0) + 1 if grams > 0 else 0):
+            at = min(range(s, min(s + 3, grams)), key=lambda g: (h[g], g))
+            if at not in chosen[d]:
+                chosen[d].append(at)
+                first.setdefault((h[at], h[at + 1]), (d, at))
+    out = {}
+    for d, ls in lines.items():
+        h, gone = key[d], set()
+        for p in chosen[d]:
+            e, q = first[h[p], h[p + 1]]
+            if (e, q) >= (d, p):
+                continue
+            a, b = 0, 1
+            while a > -2 and p + a > 0 and q + a > 0 and h[p + a - 1] == key[e][q + a - 1]:
+                a -= 1
+            while b < 3 and p + b + 1 < len(h) and q + b + 1 < len(key[e]) and h[p + b + 1] == key[e][q + b + 1]:
+                b += 1
+            gone.update(range(p + a, p + b + 1))
+        kept, run = [], []
+        for i in range(len(ls) + 1):
+            if i in gone:
+                run.append(ls[i])
+                continue
+            if len("".join(run).split()) < 24:
+                kept += run
+            run = []
+            kept += ls[i : i + 1]
+        out[d] = "".join(kept)
+    return out
+
+
+def test_lines_are_cut_as_by_hand(spark, rows):
+    texts = [t for _, t, *_ in rows if t] + ["a\rb\r\nc", " lead", "\n\n x\n", "w " * 35, "h i", "tail\n", "one. two! three? four", "\u3002\u3002 x"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", line_dedup._lines(F.col("t")).alias("ls")).collect()
+    for r in got:
+        assert r["ls"] == plain_split(texts[r["i"]])
 
 
 def test_line_dedup(docs, rows):
@@ -329,6 +384,27 @@ def test_line_dedup(docs, rows):
     assert got[20]["text"] == "" and got[17]["n_removed"] >= 4 and got[5]["n_removed"] == 0 and got[60]["text"] is None
 
 
+def test_shared_passages_go_however_they_are_punctuated(spark):
+    """Of passages of 60 words in one to five sentences, each joined to other words, little but the ends is left."""
+    rng = np.random.default_rng(12)
+    word = lambda: "".join(rng.choice(list("aeioulnrstdhkm"), rng.integers(2, 8)))
+    rows, left, words = [], 0, 0
+    for k in range(40):
+        passage = [word() for _ in range(60)]
+        for i in range(1, k % 5 + 1):
+            passage[i * 12] += "."
+        for d in (k, 100 + k):
+            rows.append((d, " ".join([word() for _ in range(30)] + passage + [word() for _ in range(30)])))
+    rows.append((500, " ".join(word() for _ in range(3000))))
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_lines(rows) and got[500] == rows[-1][1]
+    for d, text in rows[1:-1:2]:
+        assert got[d - 100] == dict(rows)[d - 100]
+        words += 60
+        left += len(got[d].split()) - 60
+    assert left / words < 0.25
+
+
 def test_line_dedup_edges(none, odd):
     assert line_dedup.dedup_lines(none).count() == 0
     out = line_dedup.dedup_lines(odd)
