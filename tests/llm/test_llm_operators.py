@@ -651,6 +651,68 @@ def test_forward_equals_the_sum_over_paths():
         assert got == pytest.approx(math.log10(total))
 
 
+def test_expected_counts_equal_those_over_all_paths():
+    from itertools import product
+
+    rng = np.random.default_rng(3)
+    norm = lambda a: a / a.sum(axis=-1, keepdims=True)
+    m = hmm.Model(norm(rng.random(2)), norm(rng.random((2, 2))), norm(rng.random((2, 4))))
+    seqs = [rng.integers(0, 4, k).astype(np.int32) for k in (5, 1, 3)]
+    start, move, emit = np.zeros(2), np.zeros((2, 2)), np.zeros((2, 4))
+    for s in seqs:
+        paths = {p: m.start[p[0]] * m.emit[p[0], s[0]] * math.prod(m.move[p[i - 1], p[i]] * m.emit[p[i], s[i]] for i in range(1, len(s))) for p in product(range(2), repeat=len(s))}
+        for p, w in paths.items():
+            w /= sum(paths.values())
+            start[p[0]] += w
+            for i, k in enumerate(p):
+                emit[k, s[i]] += w
+                if i:
+                    move[p[i - 1], k] += w
+    for got, want in zip(m.expected(seqs), (start, move, emit), strict=True):
+        assert got == pytest.approx(want)
+
+
+def plain_forward(m, classes):
+    a, total = m.start * m.emit[:, classes[0]], 0.0
+    for c in classes[1:]:
+        total += math.log10(a.sum())
+        a = (a / a.sum()) @ m.move * m.emit[:, c]
+    return total + math.log10(a.sum())
+
+
+def test_whole_scores_equal_a_plain_model(spark, docs, rows, monkeypatch):
+    """Training on all rows and scoring, one document at a time, with the same first values."""
+    kept = []
+    real = hmm.first_model
+
+    def first(*args):
+        kept.append((args[1], args[2], real(*args)))
+        return kept[0][2]
+
+    monkeypatch.setattr(hmm, "first_model", first)
+    monkeypatch.setattr(hmm, "CHUNK", 20_000)
+    got = {r["doc_id"]: r["score"] for r in hmm.score_documents(docs, rounds=2).collect()}
+    classes, prior, model = kept[0]
+    low = {d: [*WORD.findall((t or "").encode().lower()), b"\n"] for d, t, *_ in rows}
+    train = [d for d in low if zlib.crc32(str(d).encode()) % 7 != 2]
+    counts = Counter(w for d in train for w in low[d])
+    n, v = Counter(), Counter()
+    for w, c in counts.items():
+        n[classes.of(w)] += c
+        v[classes.of(w)] += 1
+    for _ in range(2):
+        sums = [model.expected([classes.all_of(low[d])]) for d in train]
+        model = hmm.Model.from_counts(*(sum(x) for x in zip(*sums, strict=True)), prior)
+    for d, ws in low.items():
+        share = sum(math.log10((counts[w] + 1) / (n[classes.of(w)] + v[classes.of(w)] + 1)) for w in ws if w != b"\n")
+        assert got[d] == pytest.approx(share + plain_forward(model, classes.all_of(ws)), abs=1e-5)
+
+
+def test_scores_are_the_same_under_another_partitioning(docs):
+    a, b = (sorted((r["doc_id"], r["score"]) for r in hmm.score_documents(d).collect()) for d in (docs, docs.repartition(7, "text")))
+    assert a == b
+
+
 def test_rounds_of_training_raise_the_likelihood():
     rng = np.random.default_rng(1)
     seqs = [np.array([(k + i) % 2 * 3 + rng.integers(0, 3) for i in range(40)], dtype=np.int32) for k in range(30)]
