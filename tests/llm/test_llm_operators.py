@@ -310,31 +310,26 @@ def test_merkle_edges(none, odd):
 
 
 def plain_split(text):
-    """Lines found one word at a time."""
-    blank, out, i = " \t\r\n", [], 0
+    """Lines, and lines without the white space after them, found one character at a time."""
+    blank, ends, out, i = " \t\r\n", ".!?\n\u3002KQXZkqxz", [], 0
     while i < len(text):
-        j, words = i, 0
-        while j < len(text):
-            k = j
-            while k < len(text) and text[k] not in blank:
-                k += 1
-            m = k
-            while m < len(text) and text[m] in blank:
-                m += 1
-            words += k > j
-            ends = m > k and (k == j or text[k - 1] in ".!?\u3002HIKLMWhiklmw" or "\n" in text[k:m])
-            j = m
-            if ends or words == 10:
-                break
-        out.append(text[i:j])
-        i = j
+        j = i
+        while j < len(text) and text[j] not in ends and j - i < 100:
+            j += 1
+        while j < len(text) and text[j] in ends:
+            j += 1
+        k = j
+        while k < len(text) and text[k] in blank:
+            k += 1
+        out.append((text[i:k], text[i:j]))
+        i = k
     return out
 
 
 def plain_lines(rows):
     """Each document's text without what winnowing finds, one window, place and line at a time. Rows have different ids."""
-    lines = {d: plain_split(t or "") for d, t, *_ in rows}
-    key = {d: [int(hashlib.md5(x.strip(" \t\r\n").encode()).hexdigest()[:15], 16) for x in ls] for d, ls in lines.items()}
+    lines = {d: [x for x, _ in plain_split(t or "")] for d, t, *_ in rows}
+    key = {d: [int(hashlib.md5(x.encode()).hexdigest()[:15], 16) for _, x in plain_split(t or "")] for d, t, *_ in rows}
     first, chosen = {}, defaultdict(list)
     for d in sorted(key):
         h = key[d]
@@ -374,7 +369,7 @@ def test_lines_are_cut_as_by_hand(spark, rows):
     texts = [t for _, t, *_ in rows if t] + ["a\rb\r\nc", " lead", "\n\n x\n", "w " * 35, "h i", "tail\n", "one. two! three? four", "\u3002\u3002 x"]
     got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", line_dedup._lines(F.col("t")).alias("ls")).collect()
     for r in got:
-        assert r["ls"] == plain_split(texts[r["i"]])
+        assert r["ls"] == [x for x, _ in plain_split(texts[r["i"]])]
 
 
 def test_line_dedup(docs, rows):
