@@ -19,16 +19,30 @@ def valid_depth(depth: Column) -> Column:
     return F.coalesce(depth.isNotNull() & ~F.isnan(depth) & (depth > 0) & (depth < float("inf")), F.lit(False))
 
 
+def exact_percentile(rows: DataFrame, keys: list[str], value: str, share: float, name: str) -> DataFrame:
+    """keys and the exact percentile (linear between neighbours) of a column by keys; nulls and NaN don't count.
+
+    Equal values are counted first, with partial sums; a running sum over the counts then finds the two values around
+    the place. No buffer holds a key's values.
+    """
+    counts = rows.filter(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    order = Window.partitionBy(*keys).orderBy(value)
+    counts = counts.withColumn("upto", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    totals = counts.groupBy(*keys).agg(((F.sum("n") - 1) * share).alias("place"))
+    met = counts.join(totals, keys)
+    at = lambda p: F.min(F.when(F.col("upto") > p, F.col(value)))
+    low, high = at(F.floor("place")), at(F.ceil("place"))
+    part = F.max(F.col("place") - F.floor("place"))
+    return met.groupBy(*keys).agg((low + (high - low) * part).alias(name))
+
+
 def depth_statistics(pixels: DataFrame) -> DataFrame:
-    """By scene: conf_floor (exact percentile), coverage, invalid_ratio, median_depth over depths that are numbers."""
-    floors = pixels.groupBy("scene_id").agg(F.percentile("conf", F.lit(FLOOR_QUANTILE)).alias("conf_floor"))
+    """By scene: conf_floor (exact percentile), coverage (share of pixels over it), invalid_ratio (share of depths that are no finite number), median_depth over depths that are numbers."""
+    floors = exact_percentile(pixels, ["scene_id"], "conf", FLOOR_QUANTILE, "conf_floor")
     rows = pixels.join(floors, "scene_id")
-    return rows.groupBy("scene_id", "conf_floor").agg(
-        F.count("*").alias("n_pixels"),
-        F.avg((F.col("conf") >= F.col("conf_floor")).cast("double")).alias("coverage"),
-        F.avg((~valid_depth(F.col("depth"))).cast("double")).alias("invalid_ratio"),
-        F.percentile(F.when(~F.isnan("depth"), F.col("depth")), F.lit(0.5)).alias("median_depth"),
-    )
+    finite = F.coalesce(F.col("depth").isNotNull() & ~F.isnan("depth") & (F.abs("depth") < float("inf")), F.lit(False))
+    out = rows.groupBy("scene_id", "conf_floor").agg(F.count("*").alias("n_pixels"), F.avg((F.col("conf") > F.col("conf_floor")).cast("double")).alias("coverage"), F.avg((~finite).cast("double")).alias("invalid_ratio"), F.max("conf").alias("scene_conf"))
+    return out.join(exact_percentile(pixels, ["scene_id"], "depth", 0.5, "median_depth"), "scene_id", "left")
 
 
 def kept_pixels(pixels: DataFrame, floors: DataFrame, skip: list[int]) -> DataFrame:
@@ -84,9 +98,8 @@ def components(pixels: DataFrame) -> DataFrame:
 
 
 def objects_of(pixels: DataFrame, floors: DataFrame, least_pixels: int = LEAST_PIXELS, least_points: int = LEAST_POINTS) -> DataFrame:
-    """Components as objects: pixels, valid points, centroid, box, mean and relative confidence. Needs columns px, py, pz of back-projected points."""
-    conf = pixels.groupBy("scene_id").agg(F.max("conf").alias("scene_conf"))
-    rows = pixels.join(floors.select("scene_id", "conf_floor"), "scene_id").join(conf, "scene_id")
+    """Components as objects: pixels, valid points, centroid, box, mean and relative confidence. Needs columns px, py, pz of back-projected points; floors are depth_statistics of all pixels."""
+    rows = pixels.join(floors.select("scene_id", "conf_floor", "scene_conf"), "scene_id")
     good = valid_depth(F.col("depth")) & (F.col("conf") >= F.col("conf_floor"))
     of = lambda c: F.when(good, F.col(c))
     return (
@@ -189,18 +202,41 @@ def close_pairs(objects: DataFrame, radius: float) -> DataFrame:
     return left.join(right, ["scene_id", "category", "gx", "gy", "gz"]).filter((F.col("a") < F.col("b")) & (d <= radius)).select("scene_id", "category", "a", "b", d.alias("distance"))
 
 
+def runs_of(masks: DataFrame) -> DataFrame:
+    """Rectangles (y0, y1, x0, x1) as one run (y, x0, x1) for each of their lines; runs stay."""
+    return masks if "y" in masks.columns else masks.withColumn("y", F.explode(F.sequence("y0", "y1"))).drop("y0", "y1")
+
+
 def fuse_instances(masks: DataFrame, pixels: DataFrame, ignore: list[int], min_purity: float = 0.0) -> DataFrame:
     """Each mask's class by majority of its pixels, ignored classes not voting, and the share of that class (purity).
 
     Ties go to the lowest class. Masks without a vote disappear, as do those whose purity is below min_purity.
-    masks: instance_id, frame and the inclusive rectangle y0..y1, x0..x1; rectangles become pixel rows for an equi-join.
+    masks: instance_id, frame and the inclusive rectangle y0..y1, x0..x1, or rows of runs (y, x0, x1) with one row for
+    each run of an instance of any shape. They meet pixels by (frame, y), never pixel by pixel of their own.
     """
-    cover = masks.withColumn("y", F.explode(F.sequence("y0", "y1"))).withColumn("x", F.explode(F.sequence("x0", "x1")))
-    votes = cover.join(pixels.select("frame", "y", "x", "class_id"), ["frame", "y", "x"]).filter(~F.col("class_id").isin(ignore)).groupBy("instance_id", "class_id").agg(F.count("*").alias("votes"))
+    cover = runs_of(masks)
+    votes = cover.join(pixels.select("frame", "y", "x", "class_id"), ["frame", "y"]).filter(F.col("x").between(F.col("x0"), F.col("x1"))).filter(~F.col("class_id").isin(ignore)).groupBy("instance_id", "class_id").agg(F.count("*").alias("votes"))
     won = votes.groupBy("instance_id").agg(F.max_by("class_id", F.struct("votes", -F.col("class_id"))).alias("class_id"), F.max("votes").alias("votes"), F.sum("votes").alias("n_votes"))
     return won.withColumn("purity", F.round(F.col("votes") / F.col("n_votes"), 4)).filter(F.col("purity") >= min_purity)
 
 
+def best_masks(candidates: DataFrame) -> DataFrame:
+    """Of each instance's candidate masks (instance_id, k, iou) the one with the largest predicted overlap, the first of equal ones."""
+    known = F.when(~F.isnan("iou"), F.col("iou"))
+    return candidates.groupBy("instance_id").agg(F.max_by("k", F.struct(known, -F.col("k"))).alias("k"), F.max(known).alias("iou"))
+
+
+def with_proposals(fused: DataFrame, masks: DataFrame, classes: list[str]) -> DataFrame:
+    """fused instances with their class's name, the label that was proposed for them, its canonical class, and whether both agree.
+
+    The name comes from the vote alone; a proposal never changes it.
+    """
+    rows = fused.join(masks.select("instance_id", F.col("label").alias("label_proposed"), ((F.col("y1") - F.col("y0") + 1) * (F.col("x1") - F.col("x0") + 1)).alias("mask_pixels")), "instance_id")
+    name = F.coalesce(F.get(F.array(*[F.lit(c) for c in classes]), F.col("class_id").cast("int")), F.lit("other"))
+    rows = rows.withColumn("category", name).withColumn("label_proposed_canonical", T.canonical_class(F.col("label_proposed")))
+    return rows.withColumn("category_agrees", F.col("category") == F.col("label_proposed_canonical"))
+
+
 def camera_span(poses: DataFrame, keys: list[str]) -> DataFrame:
     """Length of the diagonal of the box around camera centres x, y, z."""
     return poses.groupBy(*keys).agg(F.sqrt(sum(F.pow(F.max(a) - F.min(a), 2) for a in "xyz")).alias("span"))
@@ -213,7 +249,10 @@ def relabel(pixels: DataFrame, table: list[str]) -> DataFrame:
 
 def resize_nearest(pixels: DataFrame, height: int, width: int, to_height: int, to_width: int) -> DataFrame:
     """Nominal pixels at another size, never interpolated: target (y, x) takes source floor((y + 0.5) * height / to_height), alike for x."""
-    down = F.array(*[F.lit(min(height - 1, int((y + 0.5) * height / to_height))) for y in range(to_height)])
-    across = F.array(*[F.lit(min(width - 1, int((x + 0.5) * width / to_width))) for x in range(to_width)])
-    where = lambda table, c: F.filter(F.transform(table, lambda s, i: F.when(s == F.col(c), i)), lambda i: i.isNotNull())
-    return pixels.withColumn("new_y", F.explode(where(down, "y"))).withColumn("new_x", F.explode(where(across, "x"))).drop("y", "x").withColumnsRenamed({"new_y": "y", "new_x": "x"})
+    # the targets t with floor((t + 0.5) * n / m) = s are those from ceil(s * m / n - 0.5) to the next one's first
+    def targets(c: str, n: int, m: int) -> Column:
+        first = lambda at: F.greatest(F.lit(0), F.ceil(at * m / n - 0.5)).cast("int")
+        low, high = first(F.col(c)), F.least(first(F.col(c) + 1), F.lit(m))
+        return F.when(low < high, F.sequence(low, high - 1))
+
+    return pixels.withColumn("new_y", F.explode(targets("y", height, to_height))).withColumn("new_x", F.explode(targets("x", width, to_width))).drop("y", "x").withColumnsRenamed({"new_y": "y", "new_x": "x"})

@@ -6,8 +6,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from scenewright.functions import geometry as G
+from scenewright.plans import projection
 from scenewright.plans.errors import CODES
 
 RESULT = "struct<passed:boolean,code:string,error:string>"
@@ -90,6 +92,55 @@ def rotated(items: Column, seed: Column) -> Column:
     return F.when(n < 2, items).otherwise(F.transform(items, lambda x, i: F.get(items, F.pmod(i + shift, n))))
 
 
+#: Arms of a comparison: without geometry, with it, with geometry that belongs to other candidates.
+ARMS = ("a", "b", "c")
+
+
+def without_geometry(metadata: Column, kind: StructType) -> Column:
+    """Arm a: no observer, no geometry, no visibility; candidates keep their ids, so that the same answers can be given."""
+    fields = []
+    for f in kind.fields:
+        if f.name == "observer":
+            continue
+        part = metadata[f.name]
+        if f.name == "entities":
+            left = {n: {} for n in f.dataType.elementType.names if n not in ("geometry", "visibility")}
+            part = projection.project(part, f.dataType, left)
+        if part is not None:
+            fields.append(part.alias(f.name))
+    return F.struct(*fields)
+
+
+def with_moved_geometry(metadata: Column, kind: StructType, seed: Column) -> Column:
+    """Arm c: each candidate has another one's geometry; everything else, also the multiset of geometries, stays."""
+    if "entities" not in kind.names or "geometry" not in kind["entities"].dataType.elementType.names:
+        return metadata
+    moved = rotated(metadata["entities"]["geometry"], seed)
+    return metadata.withField("entities", F.transform(metadata["entities"], lambda e, i: e.withField("geometry", F.get(moved, i))))
+
+
+def arms(rows: DataFrame, metadata: str, trials: int = 1) -> DataFrame:
+    """rows once for each arm and trial, with arm, trial and view (JSON of what that arm shows of a metadata column). Needs sample_id."""
+    kind = rows.schema[metadata].dataType
+    rows = rows.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
+    seed = F.concat_ws(":", "sample_id", "trial")
+    m = F.col(metadata)
+    views = (F.to_json(without_geometry(m, kind)), F.to_json(m), F.to_json(with_moved_geometry(m, kind, seed)))
+    each = F.array(*[F.struct(F.lit(a).alias("arm"), v.alias("view")) for a, v in zip(ARMS, views, strict=True)])
+    return rows.withColumn("e", F.explode(each)).select(*rows.columns, "e.arm", "e.view")
+
+
+def answered(answers: DataFrame, records: DataFrame, rendered: DataFrame) -> DataFrame:
+    """answers (sample_id, arm, trial, ...) with their record's columns; those whose sample is no record, or wasn't rendered, are left out."""
+    shown = rendered.filter("status = 'rendered'").select("sample_id").distinct()
+    return answers.join(records.filter("status = 'record'"), "sample_id").join(shown, "sample_id", "left_semi")
+
+
+def hits(graded: DataFrame, keys: list[str]) -> DataFrame:
+    """By keys and arm: hits and trials, of rows with result (what a checker says)."""
+    return graded.groupBy(*keys, "arm").agg(F.sum(score(F.col("result"))).cast("bigint").alias("hits"), F.count("*").alias("trials"))
+
+
 def threshold_sweep(scores: DataFrame, thresholds: list[float], frames: int) -> DataFrame:
     """scores: phrase, negative (a phrase that isn't there), score. By threshold: counts above it, rates, discriminability, and whether it is the lowest without a negative."""
     marks = F.array(*[F.lit(float(t)) for t in thresholds])

@@ -9,7 +9,8 @@ from scenewright.functions import text as T
 
 RUN = r"^interval5_([A-Za-z]+?)(?:_GNSS)?(?:_Evening)?(\d*)$"
 LIDAR = r"^image([\d.]+)_lidar([\d.]+)\.txt$"
-CAMERA_ARCHIVE, LABEL_ARCHIVE = "interval5_CAM_LIDAR", "interval5_CAM_label"
+CAMERA_ARCHIVE, LABEL_ARCHIVE, CLOUD_LABEL_ARCHIVE = "interval5_CAM_LIDAR", "interval5_CAM_label", "interval5_LIDAR_label"
+DATASET = "uavscenes"
 
 
 def runs(members: DataFrame) -> DataFrame:
@@ -45,19 +46,21 @@ def clouds(members: DataFrame) -> DataFrame:
 
 
 def pair_frames(members: DataFrame, poses: DataFrame | None = None) -> DataFrame:
-    """Images with their point cloud, id label and pose, each null where there is none: keys are the same in all, so one partitioning serves every join."""
+    """Images with their point cloud, id labels of both and pose, each null where there is none: keys are the same in all, so one partitioning serves every join."""
     img = images(members)
-    label = members.filter(F.col("archive") == LABEL_ARCHIVE).select(F.col("path").alias("label_path")).distinct()
-    wanted = F.concat(F.lit(f"{LABEL_ARCHIVE}/"), "run", F.lit(f"/{LABEL_ARCHIVE}_id/"), "stem", F.lit(".png"))
     out = img.join(clouds(members), ["run", "stem"], "left")
-    out = out.withColumn("wanted", wanted).join(label, F.col("wanted") == F.col("label_path"), "left").drop("wanted")
-    return out if poses is None else out.join(last_pose(poses), "stem", "left")
+    cloud = F.regexp_replace(F.element_at(F.split("lidar_path", "/"), -1), r"\.txt$", "")
+    for column, archive, name, ending in (("label_path", LABEL_ARCHIVE, F.col("stem"), ".png"), ("cloud_label_path", CLOUD_LABEL_ARCHIVE, cloud, ".txt")):
+        label = members.filter(F.col("archive") == archive).select(F.col("path").alias(column)).distinct()
+        wanted = F.concat(F.lit(f"{archive}/"), "run", F.lit(f"/{archive}_id/"), name, F.lit(ending))
+        out = out.withColumn("wanted", wanted).join(label, F.col("wanted") == F.col(column), "left").drop("wanted")
+    return out if poses is None else out.join(last_pose(poses), ["run", "stem"], "left")
 
 
 def last_pose(poses: DataFrame) -> DataFrame:
-    """One pose per image name, the last of repeated ones by pos."""
-    others = [c for c in poses.columns if c != "stem"]
-    return poses.groupBy("stem").agg(F.max_by(F.struct(*others), "pos").alias("pose"))
+    """One pose per image name of a run, the last of repeated ones by pos."""
+    others = [c for c in poses.columns if c not in ("run", "stem")]
+    return poses.groupBy("run", "stem").agg(F.max_by(F.struct(*others), "pos").alias("pose"))
 
 
 def positions(df: DataFrame, keys: list[str], ts: str, tie: str, width: int) -> DataFrame:
@@ -96,9 +99,9 @@ def scenes(windows: DataFrame) -> DataFrame:
 
 
 def rows_in_scenes(track: DataFrame, scene: DataFrame, width: int = 60_000_000_000) -> DataFrame:
-    """Track rows within [first_ns, last_ns] of scenes, as an equi-join on stretches of time plus the exact test."""
+    """Track rows of a run within [first_ns, last_ns] of its scenes, as an equi-join on run and stretches of time plus the exact test."""
     by = scene.withColumn("stretch", F.explode(F.sequence(F.floor(F.col("first_ns") / width), F.floor(F.col("last_ns") / width))))
-    return track.withColumn("stretch", F.floor(F.col("ts_ns") / width)).join(by, "stretch").filter("ts_ns BETWEEN first_ns AND last_ns").drop("stretch")
+    return track.withColumn("stretch", F.floor(F.col("ts_ns") / width)).join(by, ["run", "stretch"]).filter("ts_ns BETWEEN first_ns AND last_ns").drop("stretch")
 
 
 def span(rows: DataFrame, keys: list[str], axes: list[str]) -> DataFrame:
@@ -109,3 +112,38 @@ def span(rows: DataFrame, keys: list[str], axes: list[str]) -> DataFrame:
 def ingest_report(paired: DataFrame) -> DataFrame:
     """By run: images, those without point cloud, without label, whether any label exists."""
     return paired.groupBy("run").agg(F.count("*").alias("requested"), F.count_if(F.col("lidar_path").isNull()).alias("missing_lidar"), F.count_if(F.col("label_path").isNull()).alias("missing_label"), F.bool_or(F.col("label_path").isNotNull()).alias("has_labels"))
+
+
+def build_scenes(paired: DataFrame, track: DataFrame, length: int = 50, stride: int | None = None, least: int = 20) -> DataFrame:
+    """Scenes of runs, one row each: their frames in order, what was left out of them, and their track.
+
+    paired: pair_frames with poses, whose T4x4 is the camera's place in the world. Windows count all images; frames
+    without a pose are counted and left out, and only the others count for the rest. scene_id, split_group; frames
+    (frame_id, timestamp_ns, image_uri, original_size, K, pose, lidar_uri, lidar_ns, labels); annotations (the kinds of
+    labels that any frame has); frames_requested, frames_emitted, frames_missing_pose, frames_missing_lidar,
+    duration_s, track_samples, span (of camera places, by axis); err where no frame is left. A row holds at most
+    length frames.
+    """
+    windows = scene_windows(paired.withColumn("frame_id", F.col("stem")), length, stride, least)
+    there, t = F.col("pose").isNotNull(), F.col("pose")["T4x4"]
+    at = [F.when(there, F.get(F.get(t, F.lit(k)), F.lit(3))) for k in range(3)]
+    last = lambda c: F.element_at(F.split(c, "/"), -1)
+    frame = F.struct(
+        "n", "frame_id", F.col("ts_ns").alias("timestamp_ns"), F.concat(F.lit("images/"), last("path")).alias("image_uri"), F.array("pose.Height", "pose.Width").alias("original_size"), F.col("pose.P3x3").alias("K"), t.alias("pose"),
+        F.concat(F.lit("lidar/"), last("lidar_path")).alias("lidar_uri"), "lidar_ns", F.concat(F.lit("labels_cam/"), last("label_path")).alias("semantic_2d"), F.concat(F.lit("labels_lidar/"), last("cloud_label_path")).alias("semantic_3d"),
+    )
+    has = lambda c, kind: F.when(F.max((there & F.col(c).isNotNull()).cast("int")) == 1, kind)
+    scene = windows.groupBy("run", "scene_index").agg(
+        F.count("*").alias("frames_requested"), F.count_if(there).alias("frames_emitted"), F.count_if(~there).alias("frames_missing_pose"), F.count_if(there & F.col("lidar_path").isNull()).alias("frames_missing_lidar"),
+        F.min(F.when(there, F.col("ts_ns"))).alias("first_ns"), F.max(F.when(there, F.col("ts_ns"))).alias("last_ns"),
+        F.array(*[F.round(F.max(a) - F.min(a), 3) for a in at]).alias("span"),
+        F.array_compact(F.array(has("label_path", "semantic_2d"), has("cloud_label_path", "semantic_3d"))).alias("annotations"),
+        F.array_sort(F.collect_list(F.when(there, frame))).alias("frames"),
+    )
+    counted = rows_in_scenes(track.select("run", "ts_ns"), scene.select("run", "scene_index", "first_ns", "last_ns").filter("first_ns is not null")).groupBy("run", "scene_index").agg(F.count("*").alias("track_samples"))
+    out = scene.join(counted, ["run", "scene_index"], "left")
+    return out.select(
+        F.format_string(f"{DATASET}_%s_%04d", F.regexp_replace("run", "interval5_", ""), "scene_index").alias("scene_id"), split_group(F.col("run")).alias("split_group"), "run", "scene_index", "frames", "annotations",
+        "frames_requested", "frames_emitted", "frames_missing_pose", "frames_missing_lidar", F.round((F.col("last_ns") - F.col("first_ns")) / 1e9, 3).alias("duration_s"),
+        F.coalesce("track_samples", F.lit(0)).cast("bigint").alias("track_samples"), "span", F.when(F.col("frames_emitted") == 0, "no frame has a pose").alias("err"),
+    )

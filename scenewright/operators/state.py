@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scenewright.functions import text as T
+from scenewright.sources.readers import materialized
 
 #: States in their order with the gate that leads into each.
 ORDER = [("REGISTERED", None), ("SAMPLE_VERIFIED", "G0"), ("INGESTED", "G0"), ("GEOMETRY_READY", "G1"), ("EXPERT_OUTPUTS_READY", "G1"), ("METADATA_FUSED", "G2"), ("METADATA_VALIDATED", "G2"), ("TASK_COMPILED", "G3"), ("MODEL_OUTPUT_READY", "G4"), ("SAMPLE_VALIDATED", "G5"), ("RELEASE_CANDIDATE", "G5"), ("RELEASED", "G6")]
@@ -34,12 +35,13 @@ def judge_transitions(moves: DataFrame) -> DataFrame:
 
 
 def mint_ids(rows: DataFrame, order: list[str], taken: DataFrame, start: int = 1) -> DataFrame:
-    """rows with entity_id, numbered on from the largest number their namespace has in taken (entity_id). Numbers are never used again.
+    """rows with entity_id, numbered in the order given, on from the largest number their namespace has in taken (entity_id). Numbers are never used again.
 
-    Rows are numbered by ranges: counts of each range first, then within it, so that no task numbers a whole namespace.
+    Rows are dealt by ranges of (namespace, order) and stored, so that a range's rows stay its own; ranges are counted
+    first, then each numbers its rows, and no task numbers a whole namespace.
     """
     used = taken.select(T.parse_id(F.col("entity_id")).alias("id")).filter("id is not null").groupBy(F.col("id.ns").alias("namespace")).agg(F.max("id.num").alias("last"))
-    spread = rows.withColumn("bucket", F.pmod(F.crc32(F.col(order[0]).cast("string").cast("binary")), F.lit(64)))
+    spread = materialized(rows.repartitionByRange("namespace", *order).withColumn("bucket", F.spark_partition_id()))
     counts = spread.groupBy("namespace", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("namespace").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("namespace", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))

@@ -96,3 +96,44 @@ def scene_rules() -> dict[str, Column]:
         "frame_id": F.forall(frames, lambda f: F.length(f["frame_id"]) > 0), "timestamp_ns": F.forall(frames, lambda f: f["timestamp_ns"] >= 0), "K": F.forall(frames, lambda f: matrix(f["K"], 3)), "pose": F.forall(frames, lambda f: G.is_pose(f["pose"])),
         "image_sha256": F.forall(frames, lambda f: f["image_sha256"].isNull() | f["image_sha256"].rlike("^[0-9a-f]{64}$")),
     }
+
+
+#: Fixed values of the file format: allowed words, and what ids and versions look like.
+VERSION, TASK = r"^\d+\.\d+\.\d+$", r"^[a-z0-9_.]+@\d+\.\d+\.\d+$"
+UNITS, SCALES = ("meter", "unknown"), ("metric", "relative", "unknown")
+DEPTH_TYPES = ("metric", "externally_anchored", "relative", "affine_invariant", "pseudo")
+GATES, STATUSES = ("G0", "G1", "G2", "G3", "G4", "G5", "G6"), ("pass", "warn", "quarantine", "reject")
+CAPABILITIES = (
+    "perception", "metric_geometry", "metric_terrain", "perception_reliability", "failure_attribution", "landability", "viewpoint_reasoning",
+    "cross_view_identity", "visibility_occlusion", "temporal_change", "illumination_robustness", "uncertainty", "grounded_language",
+)
+LEVELS = ("strong", "deterministic_derived", "filtered_pseudo", "weak", "language_generated")
+ADAPTERS = ("qwen_2d_metadata", "pointcloud_native", "multimodal_3d")
+
+
+def layer_rules(layer: str) -> dict[str, Column]:
+    """Structural rules of one layer's documents, by name: l0_geometry, l1_entities, l2_relations, metadata_snapshot, canonical_task_record. Columns are the documents' own fields."""
+    named = lambda *fields: {f: F.length(F.col(f)) > 0 for f in fields}
+    there = lambda *fields: {f: F.col(f).isNotNull() for f in fields}
+    optional = lambda c: c.isNull() | (c >= 0)
+    rules = {"schema_version": F.col("schema_version").rlike(VERSION)} | named("scene_id")
+    if layer == "l0_geometry":
+        return rules | named("coordinate_frame") | {"unit": F.col("unit").isin(*UNITS), "scale.status": F.col("scale.status").isin(*SCALES), "scale.depth_type": F.col("scale.depth_type").isin(*DEPTH_TYPES), "cameras": F.size("cameras") > 0, "depth": F.size("depth") > 0}
+    if layer == "l1_entities":
+        return rules | there("objects", "surfaces", "regions") | {"objects.object_id": F.forall("objects", lambda o: T.valid_id(o["object_id"]))}
+    if layer == "l2_relations":
+        return rules | there("relations")
+    if layer == "metadata_snapshot":
+        caps = F.col("capabilities")
+        return rules | named("snapshot_id", "dataset_id", "split_group_id") | {
+            "layers": F.size(F.array_except(F.array(*[F.lit(x) for x in ("l0_geometry", "l1_entities", "l2_relations")]), F.map_keys("layers"))) == 0,
+            "scale_status": caps["scale_status"].isin(*SCALES), "depth_type": caps["depth_type"].isin(*DEPTH_TYPES), "metric_task_eligible": caps["metric_task_eligible"].isNotNull(),
+            "parallax_ratio": optional(caps["parallax_ratio"]), "entity_count": optional(caps["entity_count"]), "gate_id": F.col("gate.gate_id").isin(*GATES), "status": F.col("gate.status").isin(*STATUSES),
+        }
+    if layer == "canonical_task_record":
+        words = lambda c, allowed: (F.size(c) > 0) & F.forall(c, lambda x: x.isin(*allowed))
+        return rules | named("sample_id", "metadata_snapshot_id") | {
+            "task_spec_id": F.col("task_spec_id").rlike(TASK), "capability_tags": words("capability_tags", CAPABILITIES), "supervision_level": F.col("supervision_level").isin(*LEVELS),
+            "adapters": words("adapters", ADAPTERS), "hidden_target": F.col("hidden_target.target_type").isNotNull(),
+        }
+    raise KeyError(f"unknown layer {layer!r}")

@@ -1,7 +1,7 @@
 """Task specifications compiled over scene packages: eligibility, answer, field mask, shuffle, leakage scan, record.
 
-A package is one row per scene with columns scene_id, caps, cameras, objects, links, observer_pose_id, question,
-visual_inputs, pointcloud_ref. All steps of one specification are one narrow transformation, so compiling adds no
+A package is one row per scene with columns scene_id, caps, cameras (of the entity layer, then of the relation layer),
+objects, links, observer_pose_id, question, visual_inputs, pointcloud_ref, and perhaps surfaces and regions. All steps of one specification are one narrow transformation, so compiling adds no
 shuffle; specifications are few and known when the plan is made, so their plans are united instead of joined.
 Outcomes are rows: status is record, skipped (with reasons) or failed (with code and detail).
 """
@@ -118,11 +118,12 @@ PROGRAMS: dict[str, Callable[[Spec], Column]] = {
 }
 
 
-def facts() -> dict[str, Column]:
-    """What eligibility may ask of a package."""
+def facts(capabilities: StructType | None = None) -> dict[str, Column]:
+    """What eligibility may ask of a package: every capability of its snapshot, and what follows from the other layers, which goes first."""
     c, o, links = F.col("caps"), F.col("objects"), F.col("links")
+    own = {f.name: c[f.name] for f in capabilities.fields} if capabilities else {}
     none = lambda x: F.coalesce(x, F.lit(False))
-    return {
+    return own | {
         "candidate_count": F.coalesce(F.greatest(F.size(o), F.lit(0)), F.lit(0)),
         "view_baseline_meters": c["camera_baseline_m"],
         "camera_baseline_m": c["camera_baseline_m"],
@@ -139,9 +140,9 @@ def facts() -> dict[str, Column]:
     }
 
 
-def eligibility(spec: Spec) -> Column:
+def eligibility(spec: Spec, capabilities: StructType | None = None) -> Column:
     """Reasons against a package, none if it is eligible. A null fact is the reason unknown:<fact>; an unknown name is an error of the specification."""
-    raw, c, known = spec.raw, F.col("caps"), facts()
+    raw, c, known = spec.raw, F.col("caps"), facts(capabilities)
     needs = raw["required_scene_capabilities"] or {}
     reasons = []
     if want := needs.get("scale_status"):
@@ -186,9 +187,10 @@ def shuffled(items: Column, id_field: str, scene: Column, key: str) -> Column:
 def mask(packages: DataFrame, spec: Spec) -> DataFrame:
     """packages with column visible: the fields that the specification shows, candidates in shuffled order."""
     observations = F.flatten(F.transform("links", lambda x: F.array_compact(F.array(x["observation_a"], x["observation_b"]))))
-    source = packages.select(F.struct("observer", F.col("objects").alias("entities"), observations.alias("observations"), "cameras").alias("source")).schema["source"].dataType
     lists = {"observer": F.col("observer"), "entities": F.col("objects"), "observations": observations, "cameras": F.col("cameras")}
-    ids = {"entities": "object_id", "observations": "observation_id"}
+    lists |= {n: F.col(n) for n in ("surfaces", "regions") if n in packages.columns}
+    source = packages.select(F.struct(*[c.alias(n) for n, c in lists.items()]).alias("source")).schema["source"].dataType
+    ids = {"entities": "object_id", "observations": "observation_id", "surfaces": "surface_id", "regions": "region_id"}
     fields = []
     for root, below in projection.trie(spec.visible).items():
         if root not in lists:
@@ -206,7 +208,7 @@ def held(rows: DataFrame, **columns: Column) -> DataFrame:
 
 def compile_spec(packages: DataFrame, spec: Spec) -> DataFrame:
     """One row per package; see the module."""
-    rows = held(packages, observer=observer_camera(), reasons=eligibility(spec))
+    rows = held(packages, observer=observer_camera(), reasons=eligibility(spec, packages.schema["caps"].dataType))
     rows = mask(held(rows, derived=PROGRAMS[spec.raw["derivation_program"]](spec)), spec)
     target = F.col("derived")["value"]["target"]
     rows = held(rows, target=target, asked=F.replace(F.col("question"), F.lit("{target}"), F.coalesce(target["object_id"], F.lit("the target"))))

@@ -40,6 +40,18 @@ def answer_text() -> Column:
     return F.concat_ws("; ", *parts)
 
 
+#: The form of an answer that a model is asked for, by the beginning of a task's id or a part of it.
+HINTS = (("3d_grounding", True, '{"object_id": "<obj_XXX>"}'), ("observer_relative_direction", False, '{"longitudinal": "front|behind", "lateral": "left|right|ambiguous"}'))
+
+
+def answer_hint(spec_id: Column) -> Column:
+    """The form of answer that a task asks for; an empty object where there is none."""
+    out = F.lit("{}")
+    for word, first, hint in reversed(HINTS):
+        out = F.when(spec_id.startswith(word) if first else spec_id.contains(word), hint).otherwise(out)
+    return out
+
+
 def _chat(rows: DataFrame) -> tuple[DataFrame, Column, tuple[str, ...]]:
     """Question and answer as turns about a point cloud; the answering turn is the label and may hold the answer."""
     has = F.size("choices") > 0

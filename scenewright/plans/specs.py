@@ -7,17 +7,29 @@ from pathlib import Path
 from typing import Any
 
 import yaml
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 HERE = Path(__file__).parent / "task_specs"
 REQUIRED = (
     "task_id", "version", "task_family", "generation_mode", "supervision_level", "three_d_necessity", "required_scene_capabilities", "target_anchor", "visual_input_policy",
     "metadata_input_fields", "hidden_target_fields", "derivation_program", "checker", "output_schema", "leakage_rules", "eligibility", "quality_requirements", "adapters",
 )
+#: Fixed values of the file format from here on: allowed words.
 MODES = ("program_first", "language_first", "hybrid")
 LEVELS = ("strong", "deterministic_derived", "filtered_pseudo", "weak", "language_generated")
 ANSWER_SCHEMAS = ("grounding_object_answer", "vqa_metric_distance_answer", "vqa_situated_direction_answer", "cross_view_correspondence_answer")
 
 
+#: Levels of supervision whose samples may be used for evaluation as they are.
+EVALUABLE = ("strong", "deterministic_derived")
+
+
+def for_evaluation(level: Column) -> Column:
+    """Whether a sample of this level may be used for evaluation; an unknown or missing level may not."""
+    return F.coalesce(level.isin(*EVALUABLE), F.lit(False))
+
+
 class SpecError(ValueError):
     """A specification breaks a rule; nothing is compiled from it."""
 

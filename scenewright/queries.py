@@ -65,10 +65,10 @@ def a27_ingest_report(spark: SparkSession, sf: str) -> DataFrame:
     return scenes.ingest_report(scenes.pair_frames(V.members(spark, sf)))
 
 
-@query("SELECT c_nationkey AS stem, max(c_custkey) AS pos, arg_max(c_name, c_custkey) AS name FROM customer GROUP BY c_nationkey")
+@query("SELECT c_mktsegment AS run, c_nationkey AS stem, max(c_custkey) AS pos, arg_max(c_name, c_custkey) AS name FROM customer GROUP BY ALL")
 def s3_last_pose(spark: SparkSession, sf: str) -> DataFrame:
-    rows = V.table(spark, sf, "customer").select(F.col("c_nationkey").alias("stem"), F.col("c_custkey").alias("pos"), F.col("c_name").alias("name"))
-    return scenes.last_pose(rows).select("stem", "pose.pos", "pose.name")
+    rows = V.table(spark, sf, "customer").select(F.col("c_mktsegment").alias("run"), F.col("c_nationkey").alias("stem"), F.col("c_custkey").alias("pos"), F.col("c_name").alias("name"))
+    return scenes.last_pose(rows).select("run", "stem", "pose.pos", "pose.name")
 
 
 def _windows_sql(step: int, length: int = 50, least: int = 20) -> str:
@@ -95,9 +95,10 @@ def w3_window_by_index(spark: SparkSession, sf: str) -> DataFrame:
     return scenes.scenes(scenes.scene_windows(V.frames(spark, sf), stride=80).filter("scene_index = 3"))
 
 
-@query(_windows_sql(50) + " SELECT s.run, s.scene_index, count(*) AS n_rows, round(max(f.value) - min(f.value), 3) AS value_span FROM v_frames f JOIN sc s ON f.ts_ns BETWEEN s.first_ns AND s.last_ns WHERE f.user_id % 5 = 0 GROUP BY ALL")
+@query(_windows_sql(50) + " SELECT s.run, s.scene_index, count(*) AS n_rows, round(max(f.value) - min(f.value), 3) AS value_span FROM v_frames f JOIN sc s ON f.run = s.run AND f.ts_ns BETWEEN s.first_ns AND s.last_ns GROUP BY ALL")
 def j4_track_in_scenes(spark: SparkSession, sf: str) -> DataFrame:
-    track = V.frames(spark, sf).filter("user_id % 5 = 0").select("ts_ns", "value")
+    """A run's own track only, though runs overlap in time."""
+    track = V.frames(spark, sf).select("run", "ts_ns", "value")
     found = scenes.rows_in_scenes(track, scenes.scenes(scenes.scene_windows(V.frames(spark, sf))))
     return scenes.span(found, ["run", "scene_index"], ["value"])
 
@@ -251,7 +252,7 @@ def p6_metric_eligibility(spark: SparkSession, sf: str) -> DataFrame:
 _STATS = """, f AS (SELECT scene_id, quantile_cont(conf, 0.25) AS conf_floor FROM v_pixels GROUP BY scene_id)"""
 
 
-@query(V.with_views(_STATS + " SELECT p.scene_id, f.conf_floor, count(*) AS n_pixels, round(avg(CASE WHEN conf >= conf_floor THEN 1.0 ELSE 0.0 END), 6) AS coverage, round(avg(CASE WHEN depth > 0 THEN 0.0 ELSE 1.0 END), 6) AS invalid_ratio, round(quantile_cont(depth, 0.5), 6) AS median_depth FROM v_pixels p JOIN f USING (scene_id) GROUP BY ALL", "pixels"))
+@query(V.with_views(_STATS + " SELECT p.scene_id, f.conf_floor, count(*) AS n_pixels, round(avg(CASE WHEN conf > conf_floor THEN 1.0 ELSE 0.0 END), 6) AS coverage, round(avg(CASE WHEN depth > 0 THEN 0.0 ELSE 1.0 END), 6) AS invalid_ratio, round(quantile_cont(depth, 0.5), 6) AS median_depth FROM v_pixels p JOIN f USING (scene_id) GROUP BY ALL", "pixels"))
 def a8_depth_statistics(spark: SparkSession, sf: str) -> DataFrame:
     s = entities.depth_statistics(V.pixels(spark, sf))
     return s.select("scene_id", "conf_floor", "n_pixels", *[F.round(c, 6).alias(c) for c in ("coverage", "invalid_ratio", "median_depth")])
@@ -485,13 +486,12 @@ def p13_transitions(spark: SparkSession, sf: str) -> DataFrame:
     return state.judge_transitions(m).groupBy("from_state", "to_state", "gate_status", "allowed").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'obj' AS namespace, 500 + (SELECT max(vec_id) FROM embeddings) + 1 AS first_free, count(*) AS n, count(DISTINCT c_custkey) AS n_ids FROM customer")
+@query("SELECT c_custkey, format('<obj_{:03d}>', 500 + (SELECT max(vec_id) FROM embeddings) + row_number() OVER (ORDER BY c_acctbal, c_custkey)) AS entity_id FROM customer")
 def w7_minted_ids(spark: SparkSession, sf: str) -> DataFrame:
-    """Numbers go on after the largest reserved one; every new id is another."""
+    """Numbers go on after the largest reserved one, in the order given."""
     taken = V.table(spark, sf, "embeddings").select(T.format_id("obj", F.col("vec_id") + 500).alias("entity_id"))
-    rows = V.table(spark, sf, "customer").select(F.lit("obj").alias("namespace"), "c_custkey")
-    out = state.mint_ids(rows, ["c_custkey"], taken).withColumn("num", T.parse_id(F.col("entity_id"))["num"])
-    return out.groupBy("namespace").agg(F.min("num").alias("first_free"), F.count("*").alias("n"), F.countDistinct("num").alias("n_ids"))
+    rows = V.table(spark, sf, "customer").select(F.lit("obj").alias("namespace"), "c_acctbal", "c_custkey")
+    return state.mint_ids(rows, ["c_acctbal", "c_custkey"], taken).select("c_custkey", "entity_id")
 
 
 @query("SELECT 'artifact_' || s_suppkey AS parent, sha256('l1_entities|root,artifact_' || s_suppkey || '|' || s_name) AS content_sha256, 'l1_entities_' || substr(sha256('l1_entities|root,artifact_' || s_suppkey || '|' || s_name), 1, 12) AS artifact_id FROM supplier")

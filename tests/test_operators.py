@@ -97,3 +97,42 @@ def test_readers(spark, tmp_path):
     (tmp_path / "l1.json").write_text('{"scene_id": "s", "objects": [{"object_id": "<obj_001>", "geometry": {"centroid": [1, 2, 3]}, "more": 1}]}')
     assert readers.read_layer(spark, str(tmp_path / "l1.json"), "l1_entities").first()["objects"][0]["geometry"]["centroid"] == [1, 2, 3]
     assert len(readers.layer_refs(spark, str(tmp_path / "l1.json")).first()["content_sha256"]) == 64
+
+
+def test_scenes_from_archives(spark, tmp_path):
+    """Zip files of two runs at one time: poses, tracks and labels of a run are its own, repeated poses count by their order, and every frame left out is counted."""
+    import json
+    import zipfile
+
+    stamp = lambda i: f"{100 + i}.500000000"
+    t = lambda x: [[1, 0, 0, x], [0, 1, 0, 2], [0, 0, 1, 3], [0, 0, 0, 1]]
+    pose = lambda i, x: {"OriginalImageName": f"{stamp(i)}.jpg", "Height": 4, "Width": 6, "P3x3": [[1, 0, 0], [0, 1, 0], [0, 0, 1]], "K1": 0, "K2": 0, "P1": 0, "P2": 0, "K3": 0, "T4x4": t(x)}
+    with zipfile.ZipFile(tmp_path / "interval5_CAM_LIDAR.zip", "w") as z, zipfile.ZipFile(tmp_path / "interval5_CAM_label.zip", "w") as label, zipfile.ZipFile(tmp_path / "interval5_LIDAR_label.zip", "w") as cloud:
+        for run, x in (("interval5_Bay01", 0), ("interval5_Bay_GNSS02", 50)):
+            top = f"interval5_CAM_LIDAR/{run}"
+            for i in range(25):
+                z.writestr(f"{top}/interval5_CAM/{stamp(i)}.jpg", b"")
+                if i % 4:
+                    z.writestr(f"{top}/interval5_LIDAR/image{stamp(i)}_lidar{stamp(i)}.txt", b"")
+            z.writestr(f"{top}/sampleinfos_interpolated.json", json.dumps([pose(i, x + i) for i in range(24)] + [pose(3, x + 90)]))
+            if x:
+                z.writestr(f"{top}/rtk_positions_raw.csv", "lat,headerstamp,lon,alt,easting,northing\n" + "".join(f"1.5,{stamp(i)},2,3,{i},5\n" for i in range(0, 40, 2)))
+            label.writestr(f"interval5_CAM_label/{run}/interval5_CAM_label_id/{stamp(2)}.png", b"")
+        cloud.writestr(f"interval5_LIDAR_label/interval5_Bay01/interval5_LIDAR_label_id/image{stamp(1)}_lidar{stamp(1)}.txt", b"")
+    members = readers.read_archives(spark, str(tmp_path), r"\.(json|csv)$")
+    assert members.filter("content is not null").count() == 3 and members.count() == 2 * (25 + 18 + 1 + 1) + 1 + 1
+    files = members.filter("content is not null")
+    poses, track = readers.poses_of(files.filter("path like '%.json'")), readers.track_of(files.filter("path like '%.csv'"))
+    assert track.count() == 20 and track.first()["lat"] == 1.5
+    paired = scenes.pair_frames(members.drop("content"), poses)
+    got = {r["run"]: r for r in scenes.build_scenes(paired, track).collect()}
+    a, b = got["interval5_Bay01"], got["interval5_Bay_GNSS02"]
+    for r in (a, b):
+        assert (r["split_group"], r["frames_requested"], r["frames_emitted"], r["frames_missing_pose"], r["frames_missing_lidar"], r["duration_s"], r["err"]) == ("Bay", 25, 24, 1, 6, 23.0, None)
+        assert [f["frame_id"] for f in r["frames"]] == [stamp(i) for i in range(24)]
+    assert (a["track_samples"], b["track_samples"]) == (0, 12)
+    assert a["span"] == [90.0, 0.0, 0.0] and b["span"] == [90.0, 0.0, 0.0] and b["frames"][3]["pose"][0][3] == 140.0
+    assert a["annotations"] == ["semantic_2d", "semantic_3d"] and b["annotations"] == ["semantic_2d"] and a["scene_id"] == "uavscenes_Bay01_0000"
+    assert a["frames"][2]["semantic_2d"] == f"labels_cam/{stamp(2)}.png" and a["frames"][0]["lidar_uri"] is None
+    none = scenes.build_scenes(scenes.pair_frames(members.drop("content"), poses.limit(0)), track).first()
+    assert none["err"] == "no frame has a pose" and none["frames_missing_pose"] == 25 and none["track_samples"] == 0
