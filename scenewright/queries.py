@@ -213,10 +213,10 @@ def a4_visible_ratio(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("pos").agg(F.round(F.avg(F.col("seen").cast("double")), 6).alias("visible_ratio"), F.round(F.min("p.u"), 4).alias("min_u"), F.round(F.max("p.v"), 4).alias("max_v"))
 
 
-@query(V.with_views(" SELECT pos, count(*) AS n, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, round(avg(z), 6) AS cz, round(min(x), 6) AS min_x, round(max(x), 6) AS max_x, round(min(z), 6) AS min_z, round(max(z), 6) AS max_z FROM v_points GROUP BY pos", "points"))
+@query(V.with_views(" SELECT pos, count(*) AS n, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, round(avg(z), 6) AS cz, round(min(x), 6) AS min_x, round(max(x), 6) AS max_x, round(min(y), 6) AS min_y, round(max(y), 6) AS max_y, round(min(z), 6) AS min_z, round(max(z), 6) AS max_z FROM v_points GROUP BY pos", "points"))
 def a1_centroid_box(spark: SparkSession, sf: str) -> DataFrame:
     s = entities.point_statistics(V.points(spark, sf), ["pos"])
-    return s.select("pos", "n", *[F.round(c, 6).alias(c) for c in ("cx", "cy", "cz", "min_x", "max_x", "min_z", "max_z")])
+    return s.select("pos", "n", *[F.round(c, 6).alias(c) for c in ("cx", "cy", "cz", "min_x", "max_x", "min_y", "max_y", "min_z", "max_z")])
 
 
 @query(
@@ -234,17 +234,17 @@ def a3_oriented_boxes(spark: SparkSession, sf: str) -> DataFrame:
     return b.select("pos", *[F.round(F.get("variances", F.lit(k)), 4).alias(f"v{k}") for k in range(3)])
 
 
-@query(V.with_views(" SELECT object_id, round((ex - ez/2)*200, 6) AS x0, round((ey + ez/2)*100, 6) AS y1 FROM v_objects", "objects"))
+@query(V.with_views(" SELECT object_id, round((ex - ez/2)*200, 6) AS x0, round((ey - ez/2)*100, 6) AS y0, round((ex + ez/2)*200, 6) AS x1, round((ey + ez/2)*100, 6) AS y1 FROM v_objects", "objects"))
 def g20_box_corners(spark: SparkSession, sf: str) -> DataFrame:
     b = G.box_corners(F.col("ex"), F.col("ey"), F.col("ez"), F.col("ez"), F.lit(200), F.lit(100))
-    return V.objects(spark, sf).withColumn("b", b).select("object_id", F.round(F.get("b", F.lit(0)), 6).alias("x0"), F.round(F.get("b", F.lit(3)), 6).alias("y1"))
+    return V.objects(spark, sf).withColumn("b", b).select("object_id", *[F.round(F.get("b", F.lit(i)), 6).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))])
 
 
-@query("SELECT s, c, v, CASE s WHEN 'metric' THEN c WHEN 'externally_anchored' THEN v ELSE false END AS ok, n FROM (SELECT (['metric','externally_anchored','relative','odd'])[p_partkey % 4 + 1] AS s, p_size % 2 = 0 AS c, p_partkey % 3 = 0 AS v, count(*) AS n FROM part GROUP BY ALL)")
+@query("SELECT s, c, v, CASE s WHEN 'metric' THEN c WHEN 'externally_anchored' THEN v WHEN 'relative' THEN false END AS ok, n FROM (SELECT (['metric','externally_anchored','relative','odd'])[p_partkey % 4 + 1] AS s, p_size % 2 = 0 AS c, p_partkey % 3 = 0 AS v, count(*) AS n FROM part GROUP BY ALL)")
 def p6_metric_eligibility(spark: SparkSession, sf: str) -> DataFrame:
     kinds = F.array(*[F.lit(x) for x in ("metric", "externally_anchored", "relative", "odd")])
     rows = V.table(spark, sf, "part").select(F.element_at(kinds, (F.col("p_partkey") % 4 + 1).cast("int")).alias("s"), (F.col("p_size") % 2 == 0).alias("c"), (F.col("p_partkey") % 3 == 0).alias("v")).groupBy("s", "c", "v").agg(F.count("*").alias("n"))
-    return rows.select("s", "c", "v", F.coalesce(G.supports_metric_target(F.col("s"), F.col("c"), F.col("v")), F.lit(False)).alias("ok"), "n")
+    return rows.select("s", "c", "v", G.supports_metric_target(F.col("s"), F.col("c"), F.col("v")).alias("ok"), "n")
 
 
 # --- pixels to objects ---
@@ -534,7 +534,10 @@ def packages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def compiled(spark: SparkSession, sf: str, task: str | None = None) -> DataFrame:
-    return compiler.compile_all(packages(spark, sf), [s for s in task_specs() if task in (None, s.raw["task_id"])])
+    """All specifications, or one. For several, packages are made once and stored."""
+    chosen = [s for s in task_specs() if task in (None, s.raw["task_id"])]
+    p = packages(spark, sf)
+    return compiler.compile_all(readers.materialized(p) if len(chosen) > 1 else p, chosen)
 
 
 _PKG = """, p AS (SELECT scene_id, CAST(split_part(scene_id, '_', 2) AS INT) AS label, count(*) AS n, max(n_views) AS views, count(*) FILTER (split_part(scene_id, '_', 2) = '6' AND pos % 6 = 0) AS boxless FROM v_objects GROUP BY scene_id),
@@ -600,7 +603,7 @@ def p1_masked_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(V.with_views(" SELECT object_id, category || ' at ' || format('{:.6g}', round(d, CASE WHEN pos % 2 = 0 THEN 4 ELSE 1 END)) || ' meters' LIKE '%' || format('{:.6g}', round(d, 4)) || '%' AS leaks FROM (SELECT *, sqrt(x*x + y*y + (z-30)**2) AS d FROM v_objects)", "objects"))
 def f11_leakage_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """A category text that holds the distance it should hide, in every other object."""
+    """A category text that holds the distance it should hide, in every other object; where it was found."""
     d = G.distance(xyz(), G.vec(*EYE))
     o = V.objects(spark, sf).select("object_id", F.struct(F.concat("category", F.lit(" at "), T.six_digits(F.when(F.col("pos") % 2 == 0, F.round(d, 4)).otherwise(F.round(d, 1))), F.lit(" meters")).alias("category")).alias("payload"), F.struct(F.round(d, 4).alias("minimum_distance"), F.lit("minimum_distance").alias("target_type")).alias("target"))
     found = leakage.findings(F.col("payload"), o.schema["payload"].dataType, leakage.atoms(F.col("target"), o.schema["target"].dataType))
@@ -611,7 +614,7 @@ def f11_leakage_scan(spark: SparkSession, sf: str) -> DataFrame:
     V.with_views(
         _PKG + """, r AS (SELECT scene_id, '3d_grounding.object@0.1.0' AS spec_id, ['pointcloud_native', 'qwen_2d_metadata', 'multimodal_3d'] AS a FROM g WHERE reasons = '' UNION ALL SELECT scene_id, '3d_vqa.metric.minimum_distance@0.1.0', ['pointcloud_native', 'qwen_2d_metadata', 'multimodal_3d'] FROM q WHERE reasons = ''
   UNION ALL SELECT scene_id, '3d_vqa.situated.observer_relative_direction@0.1.0', ['pointcloud_native', 'qwen_2d_metadata', 'multimodal_3d'] FROM p WHERE label NOT IN (3, 4) UNION ALL SELECT scene_id, 'cross_view_correspondence.object@0.1.0', ['qwen_2d_metadata', 'multimodal_3d'] FROM p WHERE label % 2 = 1)
-  SELECT spec_id, adapter, CASE WHEN list_contains(a, adapter) THEN 'rendered' ELSE 'unsupported' END AS status, count(*) AS n FROM r, (VALUES ('pointcloud_native'), ('qwen_2d_metadata'), ('multimodal_3d')) t(adapter) GROUP BY ALL""",
+  SELECT spec_id, adapter, CASE WHEN list_contains(a, adapter) THEN 'rendered' ELSE 'unsupported' END AS status, count(*) AS n, count(*) FILTER (list_contains(a, adapter)) AS n_asked, count(*) FILTER (list_contains(a, adapter)) AS n_verified FROM r, (VALUES ('pointcloud_native'), ('qwen_2d_metadata'), ('multimodal_3d')) t(adapter) GROUP BY ALL""",
         "objects",
     )
 )
@@ -619,9 +622,10 @@ def r4_rendered_samples(spark: SparkSession, sf: str) -> DataFrame:
     records = readers.materialized(compiled(spark, sf))
     out = None
     for adapter in render.ADAPTERS:
-        got = render.render(records, adapter).select("spec_id", "adapter", "status")
+        asked = F.coalesce(F.get_json_object("payload", "$.question"), F.get_json_object("payload", "$.conversations[0].value"))
+        got = render.render(records, adapter).select("spec_id", "adapter", "status", asked.contains(QUESTION).alias("asked"), (F.split("spec_id", "@")[0] == F.col("verification.task_spec_id")).alias("verified"))
         out = got if out is None else out.unionByName(got)
-    return out.groupBy("spec_id", "adapter", "status").agg(F.count("*").alias("n"))
+    return out.groupBy("spec_id", "adapter", "status").agg(F.count("*").alias("n"), F.count_if("asked").alias("n_asked"), F.count_if("verified").alias("n_verified"))
 
 
 @query(V.with_views(" SELECT object_id, 'A. ' || category || chr(10) || 'B. ' || object_id AS lines, CASE WHEN pos % 3 = 0 THEN 'A' WHEN pos % 3 = 1 THEN 'B' END AS key FROM v_objects", "objects"))
@@ -652,7 +656,7 @@ def c1_check_distance(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     V.with_views(
         """, k AS (SELECT object_id, pos, pos % 7 AS k FROM v_objects)
-  SELECT object_id, k IN (0, 4) AS passed, CASE k WHEN 1 THEN 'G5-E01' WHEN 2 THEN 'G4-E02' WHEN 3 THEN 'G5-E04' WHEN 5 THEN 'G5-E01' END AS code, CASE k WHEN 6 THEN 'target is no candidate' END AS error FROM k""",
+  SELECT object_id, CASE WHEN k <> 6 THEN k IN (0, 4) END AS passed, CASE k WHEN 1 THEN 'G5-E01' WHEN 2 THEN 'G4-E02' WHEN 3 THEN 'G5-E04' WHEN 5 THEN 'G5-E01' END AS code, CASE k WHEN 6 THEN 'target is no candidate' END AS error FROM k""",
         "objects",
     )
 )
@@ -661,7 +665,7 @@ def c2_check_grounding(spark: SparkSession, sf: str) -> DataFrame:
     cands = F.when(k == 6, F.array(F.lit("<obj_000>x"))).otherwise(F.array(i, F.lit("<obj_100000>")))
     many = F.when(k.isin(3, 4), F.array(i, F.lit("<obj_100000>"))).otherwise(F.array().cast("array<string>"))
     answer = F.struct(F.when(k == 1, "<obj_100000>").when(k == 2, "<obj_99999>").otherwise(i).alias("object_id"), k.isin(4, 5).alias("ambiguous"))
-    return V.objects(spark, sf).withColumn("r", grading.check_grounding(answer, i, cands, many)).select("object_id", F.coalesce("r.passed", F.lit(False)).alias("passed"), "r.code", "r.error")
+    return V.objects(spark, sf).withColumn("r", grading.check_grounding(answer, i, cands, many)).select("object_id", "r.passed", "r.code", "r.error")
 
 
 _DIR = """, d AS (SELECT *, degrees(asin(-y/sqrt(x*x + y*y + (z-30)**2))) AS a FROM v_objects), e AS (SELECT *, CASE WHEN pos % 3 = 0 THEN 'right' ELSE CASE WHEN a > 0 THEN 'right' ELSE 'left' END END AS said FROM d),
@@ -679,11 +683,11 @@ def _direction_grades(spark: SparkSession, sf: str) -> DataFrame:
     return V.objects(spark, sf).withColumn("r", grading.check_direction(answer, xyz(), G.vec(*EYE), G.vec(*AHEAD), G.vec(*UP)))
 
 
-@query(V.with_views(" SELECT object_id, pos % 5 = 0 AS passed, CASE pos % 5 WHEN 0 THEN NULL WHEN 1 THEN 'G5-E01' ELSE 'G4-E01' END AS code FROM v_objects WHERE pos % 5 <> 4 UNION ALL SELECT object_id, false, NULL FROM v_objects WHERE pos % 5 = 4", "objects"))
+@query(V.with_views(" SELECT object_id, pos % 5 = 0 AS passed, CASE pos % 5 WHEN 0 THEN NULL WHEN 1 THEN 'G5-E01' ELSE 'G4-E01' END AS code FROM v_objects WHERE pos % 5 <> 4 UNION ALL SELECT object_id, NULL, NULL FROM v_objects WHERE pos % 5 = 4", "objects"))
 def c4_check_correspondence(spark: SparkSession, sf: str) -> DataFrame:
     k, truth = F.col("pos") % 5, F.col("pos") % 2 == 0
     answer = F.struct(F.when(k == 1, ~truth).when(k != 2, truth).alias("same_entity"), F.when(k == 3, 1.5).otherwise(0.5).alias("confidence"))
-    return V.objects(spark, sf).withColumn("r", grading.check_correspondence(answer, F.when(k != 4, truth))).select("object_id", F.coalesce("r.passed", F.lit(False)).alias("passed"), "r.code")
+    return V.objects(spark, sf).withColumn("r", grading.check_correspondence(answer, F.when(k != 4, truth))).select("object_id", "r.passed", "r.code")
 
 
 @query(
