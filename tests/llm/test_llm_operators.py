@@ -667,6 +667,19 @@ def test_expected_counts_equal_those_over_all_paths():
         assert got == pytest.approx(want)
 
 
+@pytest.mark.parametrize("piece", [3, 7])
+def test_pieces_of_long_documents_change_nothing(monkeypatch, piece):
+    rng = np.random.default_rng(piece)
+    norm = lambda a: a / a.sum(axis=-1, keepdims=True)
+    m = hmm.Model(norm(rng.random(4)), norm(rng.random((4, 4))), norm(rng.random((4, 9))))
+    seqs = [rng.integers(0, 9, k).astype(np.int32) for k in (1, 40, 6, 7, 21, 3, 14)]
+    whole, counts = m.forward(seqs), m.expected(seqs)
+    monkeypatch.setattr(hmm, "PIECE", piece)
+    assert m.forward(seqs) == pytest.approx(whole)
+    for got, want in zip(m.expected(seqs), counts, strict=True):
+        assert got == pytest.approx(want)
+
+
 def plain_forward(m, classes):
     a, total = m.start * m.emit[:, classes[0]], 0.0
     for c in classes[1:]:
