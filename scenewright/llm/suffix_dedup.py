@@ -9,18 +9,22 @@ lost, and each sample is sorted where all suffixes that could match it are:
 2. Contexts. Of a shared anchor, the LENGTH - GRAM bytes before it and the LENGTH bytes from it on hold every string
    that it is an anchor of. Contexts meet by their anchor's bytes.
 3. Suffix order. Contexts sorted by the bytes from the anchor on, and by those before it, tell how far each can
-   match another at most. For the starts that remain, the suffixes are sorted, with longest common prefixes and,
-   for each, the previous and next suffix of a smaller document: the longest previous factor. Where it reaches
-   LENGTH, the string is removed.
+   match another at most. For the starts that remain, the suffixes, each up to its context's end, are sorted, with
+   longest common prefixes and, for each, the previous and next suffix of a smaller document: the longest previous
+   factor. Where it reaches LENGTH, all of it is removed. Nothing is removed in another way: of contexts that are
+   equal throughout, the first and one later one are sorted, and what the later one's factor says holds for all later
+   ones; a task that reads several of them decides in the same way, by the factors of whole contexts in their order.
 
 What travels is packed by numpy into a few large rows: anchors as 6 bytes of hash with places as differences,
-compressed. Equal anchors and equal contexts are reduced where they are read, so what a task gets of one string
-grows with the number of reading tasks, not with its copies.
+compressed. Equal anchors and equal contexts are reduced where they are read, so what a group gets of one string
+grows with the number of batches of TOGETHER bytes of text, not with its copies. Different contexts of one anchor are
+all sorted in one group, at SIDE + LENGTH bytes each.
+
+Rows are told apart by doc_id and, only where a doc_id occurs more than once, by a 64-bit hash of the text (mark).
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,9 +43,9 @@ SIDE = LENGTH - GRAM
 HASHED, TOGETHER, GROUP, CONTEXTS_TOGETHER = 1 << 18, 8 << 20, 8 << 20, 1 << 17
 _NONE = np.uint64(2**64 - 1)
 
-#: One packed row: entries of documents (doc_id, crc32 of the text, bucket, entries of each) and two numbers and some bytes of each entry.
-PACKED = "part int, kind int, docs binary, crcs binary, buckets binary, counts binary, x binary, y binary, data binary"
-_PACKED = pa.schema([("part", pa.int32()), ("kind", pa.int32()), *((n, pa.binary()) for n in ("docs", "crcs", "buckets", "counts", "x", "y", "data"))])
+#: One packed row: entries of documents (doc_id, mark, bucket, entries of each) and two numbers and some bytes of each entry.
+PACKED = "part int, kind int, docs binary, marks binary, buckets binary, counts binary, x binary, y binary, data binary"
+_PACKED = pa.schema([("part", pa.int32()), ("kind", pa.int32()), *((n, pa.binary()) for n in ("docs", "marks", "buckets", "counts", "x", "y", "data"))])
 ANCHORS, COVERED, CONTEXTS = 0, 1, 2
 
 
@@ -58,29 +62,29 @@ def _load(data: bytes, kind: str) -> np.ndarray:
 
 
 class Entries:
-    """Entries of documents: doc_id, crc, bucket, x, y and perhaps bytes, one of each per entry."""
+    """Entries of documents: doc_id, mark, bucket, x, y and perhaps bytes, one of each per entry."""
 
-    FIELDS = ("doc", "crc", "bucket", "x", "y")
+    FIELDS = ("doc", "mark", "bucket", "x", "y")
 
-    def __init__(self, doc, crc, bucket, x, y, data=None):
-        self.doc, self.crc, self.bucket, self.x, self.y, self.data = doc, crc, bucket, x, y, data
+    def __init__(self, doc, mark, bucket, x, y, data=None):
+        self.doc, self.mark, self.bucket, self.x, self.y, self.data = doc, mark, bucket, x, y, data
 
     def take(self, at: np.ndarray) -> Entries:
         return Entries(*(getattr(self, f)[at] for f in self.FIELDS), None if self.data is None else self.data[at])
 
     def packed(self, part: np.ndarray, kind: int) -> Iterator[dict]:
         """Rows, one for each value of part; within them entries in the order of document and x."""
-        order = np.lexsort((self.x, self.crc, self.doc, part))
+        order = np.lexsort((self.x, self.mark, self.doc, part))
         cuts = np.flatnonzero(np.diff(part[order])) + 1
         for run in np.split(order, cuts) if len(order) else ():
             e = self.take(run)
-            new = np.concatenate([[True], (e.doc[1:] != e.doc[:-1]) | (e.crc[1:] != e.crc[:-1])])
+            new = np.concatenate([[True], (e.doc[1:] != e.doc[:-1]) | (e.mark[1:] != e.mark[:-1])])
             at = np.flatnonzero(new)
             x = e.x.astype(np.uint32)
             step = np.diff(x, prepend=np.uint32(0))
             step[at] = x[at]
             yield {
-                "part": int(part[run[0]]), "kind": kind, "docs": _dump(np.diff(e.doc[at], prepend=np.int64(0))), "crcs": _dump(e.crc[at]), "buckets": _dump(e.bucket[at]),
+                "part": int(part[run[0]]), "kind": kind, "docs": _dump(np.diff(e.doc[at], prepend=np.int64(0))), "marks": _dump(e.mark[at]), "buckets": _dump(e.bucket[at]),
                 "counts": _dump(np.diff(at, append=len(x)).astype(np.uint32)), "x": _dump(step), "y": _dump(e.y), "data": None if e.data is None else zstandard.compress(e.data.tobytes(), 1),
             }
 
@@ -95,9 +99,9 @@ class Entries:
             x -= np.repeat(x[first] - step[first], counts)
             spread = lambda a, c=counts: np.repeat(a, c)
             data = np.frombuffer(zstandard.decompress(r["data"]), dtype=np.uint8).reshape(-1, width) if width else None
-            out.append((spread(np.cumsum(_load(r["docs"], "i8"))), spread(_load(r["crcs"], "u4")), spread(_load(r["buckets"], "i4")), x, _load(r["y"], kind), data))
+            out.append((spread(np.cumsum(_load(r["docs"], "i8"))), spread(_load(r["marks"], "u8")), spread(_load(r["buckets"], "i4")), x, _load(r["y"], kind), data))
         if not out:
-            return Entries(np.empty(0, "i8"), np.empty(0, "u4"), np.empty(0, "i4"), np.empty(0, "i8"), np.empty(0, kind), np.empty((0, width), np.uint8) if width else None)
+            return Entries(np.empty(0, "i8"), np.empty(0, "u8"), np.empty(0, "i4"), np.empty(0, "i8"), np.empty(0, kind), np.empty((0, width), np.uint8) if width else None)
         cols = list(zip(*out, strict=True))
         return Entries(*(np.concatenate(c) for c in cols[:5]), np.concatenate(cols[5]) if width else None)
 
@@ -174,7 +178,7 @@ def _pieces(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
         yield run
 
 
-def _anchor_rows(docs: np.ndarray, crcs: np.ndarray, buckets: np.ndarray, texts: list[bytes], parts: int) -> Iterator[dict]:
+def _anchor_rows(docs: np.ndarray, marks: np.ndarray, buckets: np.ndarray, texts: list[bytes], parts: int) -> Iterator[dict]:
     """Anchors of some documents, packed. Of equal ones, those of the first document go to a part by hash; those of several documents are known to be shared."""
     found = []
     for run in _pieces(texts):
@@ -190,7 +194,7 @@ def _anchor_rows(docs: np.ndarray, crcs: np.ndarray, buckets: np.ndarray, texts:
     group = np.cumsum(new) - 1
     first = np.flatnonzero(new)
     least, most = doc[first], doc[np.append(first[1:], len(h)) - 1]
-    e = Entries(doc, crcs[text], buckets[text], at, h & np.uint64((1 << 48) - 1))
+    e = Entries(doc, marks[text], buckets[text], at, h & np.uint64((1 << 48) - 1))
     part = _part(h, parts)
     send = doc == least[group]
     shared = (least < most)[group]
@@ -222,15 +226,15 @@ def shared_anchors(rows: DataFrame, parts: int) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(held: list) -> list[pa.RecordBatch]:
-            ids, buckets, texts = (list(c) for c in zip(*held, strict=True))
-            made = _narrow(_anchor_rows(np.array(ids, "i8"), np.array([zlib.crc32(t) for t in texts], "u4"), np.array(buckets, "i4"), texts, parts))
+            ids, buckets, marks, texts = (list(c) for c in zip(*held, strict=True))
+            made = _narrow(_anchor_rows(np.array(ids, "i8"), np.array(marks, "i8").view("u8"), np.array(buckets, "i4"), texts, parts))
             return _table(made).to_batches()
 
         held, size = [], 0
         for batch in batches:
-            for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), strict=True):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(3)), utf8(batch.column(3)), strict=True):
                 held.append(row)
-                size += len(row[2])
+                size += len(row[3])
                 if size >= TOGETHER:
                     yield from emit(held)
                     held, size = [], 0
@@ -258,7 +262,7 @@ def shared_anchors(rows: DataFrame, parts: int) -> DataFrame:
         trim()
         return _table(list(both.packed(both.bucket, ANCHORS)))
 
-    return rows.select("doc_id", "bucket", "text").mapInArrow(read, PACKED).groupBy("part").applyInArrow(meet, PACKED)
+    return rows.select("doc_id", "bucket", "mark", "text").mapInArrow(read, PACKED).groupBy("part").applyInArrow(meet, PACKED)
 
 
 def _gather(texts: list[bytes], text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -281,19 +285,11 @@ def _words(data: np.ndarray) -> np.ndarray:
     return wide.view(">u8").astype(np.uint64)
 
 
-def _equal_runs(data: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, group): rows in an order in which equal contexts stand together, the smallest document first, and the group of each."""
+def _suffix_order(data: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, group): whole contexts in suffix order, the smallest document first of equal ones, and the group of equal ones that each is in."""
     words = _words(data)
-    h = size.astype(np.uint64)
-    for k in range(words.shape[1]):
-        h = (h ^ words[:, k]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(31)
-    order = np.lexsort((doc, h))
-    same = lambda o: (words[o[1:]] == words[o[:-1]]).all(axis=1) & (size[o[1:]] == size[o[:-1]])
-    equal = same(order)
-    if len(order) and (equal != (h[order][1:] == h[order][:-1])).any():  # two contexts with one hash: order by what they hold
-        order = np.lexsort((doc, size, *words.T[::-1]))
-        equal = same(order)
+    order = np.lexsort((doc, size, *words.T[::-1]))
+    equal = (words[order[1:]] == words[order[:-1]]).all(axis=1) & (size[order[1:]] == size[order[:-1]])
     return order, np.cumsum(np.concatenate([[0], ~equal])) if len(order) else np.empty(0, np.int64)
 
 
@@ -346,41 +342,52 @@ def previous_factors(doc: np.ndarray, common: np.ndarray, least: int) -> np.ndar
 
 def covered_contexts(e: Entries) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(entry, start, end) of what is to be removed around each context (e.x its anchor's place, e.y its extent, e.data its bytes)."""
-    order, group = _equal_runs(e.data, e.y, e.doc)
+    order, group = _suffix_order(e.data, e.y, e.doc)
     if not len(order):
         return order, order, order
     first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    before, after = (e.y // 64).astype(np.int64), (e.y % 64).astype(np.int64)
-    late = order[e.doc[order] > e.doc[order[first]][group]]
-    late = late[before[late] + after[late] >= LENGTH]
-    out = [(late, e.x[late] - before[late], e.x[late] + after[late])]
-    # one entry for each different context, of the smallest document that has it
-    one = order[first]
+    least = e.doc[order[first]][group]  # of each context the smallest document that has it
+    is_late = e.doc[order] > least
+    # one entry for each different context, of the smallest document that has it, and one for all later documents
+    later = np.flatnonzero(is_late)
+    second = later[np.flatnonzero(np.concatenate([[True], group[later[1:]] != group[later[:-1]]]))] if len(later) else later
+    stands = np.concatenate([first, second])  # places in order
+    one, of_group, is_second = order[stands], group[stands], np.arange(len(stands)) >= len(first)
+    before, after = (e.y[one] // 64).astype(np.int64), (e.y[one] % 64).astype(np.int64)
     data, doc = e.data[one], e.doc[one]
-    right = _reach(data[:, SIDE:])
-    gram_and_left = np.concatenate([data[:, SIDE : SIDE + GRAM], data[:, :SIDE][:, ::-1]], axis=1)
-    left = _reach(gram_and_left) - GRAM
-    low, high = np.maximum(LENGTH - np.minimum(right, after[one]), 0), np.minimum(np.minimum(left, before[one]), SIDE)
-    nearest, farthest = np.full(len(one), LENGTH), np.full(len(one), -1)
-    for j in range(SIDE + 1):  # strings that start j bytes before the anchor
+    right = np.zeros(len(one), np.int64)
+    left = np.zeros(len(one), np.int64)
+    own = ~is_second
+    right[own] = _reach(data[own, SIDE:])
+    left[own] = _reach(np.concatenate([data[own, SIDE : SIDE + GRAM], data[own, :SIDE][:, ::-1]], axis=1)) - GRAM
+    low, high = np.maximum(LENGTH - np.minimum(right, after), 0), np.minimum(np.minimum(left, before), SIDE)
+    low[is_second] = high[is_second] = before[is_second]  # the longest suffix of an equal context is all of it
+    # and that of the context it equals is sorted with it
+    pair = np.flatnonzero(np.isin(of_group, of_group[is_second]) & own)
+    start, end = np.full(len(one), 1 << 40), np.full(len(one), -1)
+    for j in range(SIDE + 1):  # suffixes that start j bytes before the anchor
         at = np.flatnonzero((low <= j) & (j <= high))
+        more = pair[(before[pair] == j) & ~((low[pair] <= j) & (j <= high[pair]))]
+        at = np.concatenate([at, more])
+        at = at[j + after[at] >= LENGTH]
         if len(at) < 2:
             continue
-        suffix = data[at, SIDE - j : SIDE - j + LENGTH]
+        suffix, length = data[at, SIDE - j :], j + after[at]
         order_j = np.lexsort((doc[at], *_words(suffix).T[::-1]))
-        suffix, at = suffix[order_j], at[order_j]
-        common = np.concatenate([[0], _common(suffix[:-1], suffix[1:])])
-        hit = at[previous_factors(doc[at], common, LENGTH) >= LENGTH]
-        nearest[hit] = np.minimum(nearest[hit], j)
-        farthest[hit] = np.maximum(farthest[hit], j)
-    same_doc = order[e.doc[order] == e.doc[order[first]][group]]
-    group_of = np.empty(len(order), np.int64)
-    group_of[order] = group
-    g = group_of[same_doc]
-    hit = farthest[g] >= 0
-    same_doc, g = same_doc[hit], g[hit]
-    out.append((same_doc, e.x[same_doc] - farthest[g], e.x[same_doc] - nearest[g] + LENGTH))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+        suffix, length, at = suffix[order_j], length[order_j], at[order_j]
+        common = np.concatenate([[0], np.minimum(_common(suffix[:-1], suffix[1:]), np.minimum(length[:-1], length[1:]))])
+        factor = previous_factors(doc[at], common, LENGTH)
+        hit = factor >= LENGTH
+        start[at[hit]] = np.minimum(start[at[hit]], -j)
+        end[at[hit]] = np.maximum(end[at[hit]], factor[hit] - j)
+    # what a context's factors say holds for all documents that have it first, or later
+    of_own, of_late = np.full(group[-1] + 1, -1), np.full(group[-1] + 1, -1)
+    of_own[of_group[own]] = np.flatnonzero(own)
+    of_late[of_group[is_second]] = np.flatnonzero(is_second)
+    which = np.where(is_late, of_late[group], of_own[group])
+    hit = end[which] >= 0
+    entry, which = order[hit], which[hit]
+    return entry, e.x[entry] + start[which], e.x[entry] + end[which]
 
 
 def _positions(table: pa.Table) -> Entries:
@@ -393,23 +400,26 @@ def covered(rows: DataFrame, shared: DataFrame, parts: int) -> DataFrame:
     def contexts(docs: pa.Table, places: pa.Table) -> pa.Table:
         e = _positions(places)
         texts, ids = utf8(docs.column("text").combine_chunks()), docs.column("doc_id").to_numpy()
-        known = {(int(d), zlib.crc32(t)): i for i, (d, t) in enumerate(zip(ids, texts, strict=True))}
+        known = {(int(d), int(m)): i for i, (d, m) in enumerate(zip(ids, docs.column("mark").to_numpy().view("u8"), strict=True))}
         if not len(e.x):
             return _table([])
-        order = np.lexsort((e.x, e.crc, e.doc))
-        new = np.concatenate([[True], (np.diff(e.doc[order]) != 0) | (np.diff(e.crc[order].astype(np.int64)) != 0) | (np.diff(e.x[order]) != 0)])
-        e = e.take(order[new])
-        key = np.concatenate([[True], (e.doc[1:] != e.doc[:-1]) | (e.crc[1:] != e.crc[:-1])])
-        index = np.array([known[int(d), int(c)] for d, c in zip(e.doc[key], e.crc[key], strict=True)])[np.cumsum(key) - 1]
+        e = e.take(np.lexsort((e.x, e.mark, e.doc)))
+        e = e.take(np.flatnonzero(np.concatenate([[True], (e.doc[1:] != e.doc[:-1]) | (e.mark[1:] != e.mark[:-1]) | (e.x[1:] != e.x[:-1])])))
+        key = np.concatenate([[True], (e.doc[1:] != e.doc[:-1]) | (e.mark[1:] != e.mark[:-1])])
+        index = np.array([known[int(d), int(c)] for d, c in zip(e.doc[key], e.mark[key], strict=True)])[np.cumsum(key) - 1]
         out = []
         for i in range(0, len(index), CONTEXTS_TOGETHER):
             part = slice(i, i + CONTEXTS_TOGETHER)
             used, where = np.unique(index[part], return_inverse=True)
             data, size = _gather([texts[u] for u in used], where, e.x[part])
-            c = Entries(e.doc[part], e.crc[part], e.bucket[part], e.x[part], size, data)
-            order, group = _equal_runs(data, size, c.doc)
+            c = Entries(e.doc[part], e.mark[part], e.bucket[part], e.x[part], size, data)
+            order, group = _suffix_order(data, size, c.doc)
+            # factors of whole contexts in suffix order: all of a context that an earlier document has too, else nothing yet
+            whole = (size[order] // 64 + size[order] % 64).astype(np.int64)
+            common = np.concatenate([[0], np.where(group[1:] == group[:-1], whole[1:], 0)])
+            gone = previous_factors(c.doc[order], common, LENGTH) >= np.maximum(whole, LENGTH)
             least = c.doc[order[np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))]][group]
-            late = order[c.doc[order] > least]
+            late = order[gone]
             before, after = (size[late] // 64).astype(np.int64), (size[late] % 64).astype(np.int64)
             full = before + after >= LENGTH
             done = c.take(late[full])
@@ -426,7 +436,7 @@ def covered(rows: DataFrame, shared: DataFrame, parts: int) -> DataFrame:
         done = Entries.unpacked([r for r in rows if r["kind"] == COVERED], "u2")
         e = Entries.unpacked([r for r in rows if r["kind"] == CONTEXTS], "u2", SIDE + LENGTH)
         at, start, end = covered_contexts(e)
-        found = Entries(e.doc[at], e.crc[at], e.bucket[at], start, (end - start).astype(np.uint16))
+        found = Entries(e.doc[at], e.mark[at], e.bucket[at], start, (end - start).astype(np.uint16))
         both = Entries(*(np.concatenate([getattr(f, n) for f in (found, done)]) for n in Entries.FIELDS))
         del rows, done, e, at, start, end, found
         trim()
@@ -459,7 +469,11 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     size = texts_of(docs, text).agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = buckets_for(size, GROUP)
     lowest = -(1 << 63)
-    rows = texts_of(docs, text).withColumn("doc_id", F.coalesce("doc_id", F.lit(lowest))).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
+    rows = texts_of(docs, text).withColumn("doc_id", F.coalesce("doc_id", F.lit(lowest)))
+    again = not rows.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    mark = F.xxhash64("text") if again else F.lit(0).cast("long")
+    key = F.xxhash64("doc_id", mark) if again else F.xxhash64("doc_id")  # rows of one id are dealt apart
+    rows = rows.withColumn("mark", mark).withColumn("bucket", F.pmod(key, F.lit(parts)).cast("int"))
     shared = stored(shared_anchors(rows, parts), "shared-anchors")
     release(spark)
     spans = stored(covered(rows, shared, parts), "repeats")
@@ -467,13 +481,12 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def cut(docs: pa.Table, spans: pa.Table) -> pa.Table:
         e = Entries.unpacked(spans.to_pylist(), "u2")
-        order = np.lexsort((e.crc, e.doc))
-        e = e.take(order)
-        new = np.flatnonzero(np.concatenate([[True], (e.doc[1:] != e.doc[:-1]) | (e.crc[1:] != e.crc[:-1])])) if len(e.x) else np.empty(0, np.int64)
-        runs = {(int(e.doc[a]), int(e.crc[a])): union_of(e.x[a:b], e.x[a:b] + e.y[a:b]) for a, b in zip(new, np.append(new[1:], len(e.x))[: len(new)], strict=True)}
+        e = e.take(np.lexsort((e.mark, e.doc)))
+        new = np.flatnonzero(np.concatenate([[True], (e.doc[1:] != e.doc[:-1]) | (e.mark[1:] != e.mark[:-1])])) if len(e.x) else np.empty(0, np.int64)
+        runs = {(int(e.doc[a]), int(e.mark[a])): union_of(e.x[a:b], e.x[a:b] + e.y[a:b]) for a, b in zip(new, np.append(new[1:], len(e.x))[: len(new)], strict=True)}
         out = []
-        for d, t in zip(docs.column("doc_id").to_pylist(), utf8(docs.column("text").combine_chunks()), strict=True):
-            starts, ends = runs.get((d, zlib.crc32(t)), ([], []))
+        for d, m, t in zip(docs.column("doc_id").to_pylist(), docs.column("mark").to_numpy().view("u8").tolist(), utf8(docs.column("text").combine_chunks()), strict=True):
+            starts, ends = runs.get((d, m), ([], []))
             starts, ends = [int(s) for s in starts], [int(s) for s in ends]
             kept = b"".join(t[a:b] for a, b in zip([0, *ends], [*starts, len(t)], strict=True))
             out.append({"doc_id": None if d == lowest else d, "n_bytes": len(t), "span_starts": starts, "span_ends": ends, "kept": kept})

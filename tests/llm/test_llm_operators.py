@@ -612,6 +612,44 @@ def test_previous_factors_equal_a_scan():
             assert (got[i] >= 3) == (best >= 3) and (best < 3 or got[i] == best)
 
 
+def test_equal_contexts_go_by_their_factors(docs, rows, monkeypatch):
+    """Nothing is removed but by a longest previous factor: without factors, nothing goes."""
+    made = [(d, (t or "").encode()) for d, t, *_ in rows]
+    ids, texts = np.array([d for d, _ in made]), [t for _, t in made]
+    piece, at, _ = suffix_dedup.anchors([t for t in texts if len(t) >= 50])
+    long = [i for i, t in enumerate(texts) if len(t) >= 50]
+    data, size = suffix_dedup._gather([texts[i] for i in long], piece, at)
+    e = suffix_dedup.Entries(ids[long][piece], np.zeros(len(at), "u8"), np.zeros(len(at), "i4"), at, size, data)
+    assert len(suffix_dedup.covered_contexts(e)[0]) > 0
+    monkeypatch.setattr(suffix_dedup, "previous_factors", lambda doc, common, least: np.zeros(len(doc), np.int64))
+    assert len(suffix_dedup.covered_contexts(e)[0]) == 0
+
+
+def test_one_anchor_in_very_many_surroundings():
+    """100,000 different contexts of one anchor are sorted in a worker's memory; the few equal windows among them are found."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    n = 100_000
+    data = rng.integers(97, 123, (n, suffix_dedup.SIDE + suffix_dedup.LENGTH), dtype=np.uint8)
+    data[:, suffix_dedup.SIDE : suffix_dedup.SIDE + suffix_dedup.GRAM] = np.frombuffer(b"anchor of just 24 bytes!", np.uint8)
+    data[70_000, 10:60] = data[5, 10:60]
+    e = suffix_dedup.Entries(np.arange(n), np.zeros(n, "u8"), np.zeros(n, "i4"), np.full(n, 100), np.full(n, suffix_dedup.SIDE * 64 + suffix_dedup.LENGTH, np.uint16), data)
+    tracemalloc.start()
+    at, start, end = suffix_dedup.covered_contexts(e)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (at.tolist(), start.tolist(), end.tolist()) == ([70_000], [84], [134]) and peak < 200 << 20
+
+
+def test_suffix_dedup_of_repeated_ids(spark):
+    """Texts of one id are told apart and not removed for one another; a later id loses what either has."""
+    a, b = "the first text of this id, long enough to be met again further on. " * 2, "another text of the same id, which is just as long and says other things. " * 2
+    df = spark.createDataFrame([(1, a), (1, b), (1, b), (None, b), (2, a + b)], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["n_bytes"], len(r["kept"])) for r in suffix_dedup.remove_repeats(df).collect()), key=str)
+    assert got == sorted([(1, len(a), len(a)), (1, len(b), 0), (1, len(b), 0), (None, len(b), len(b)), (2, len(a + b), 0)], key=str)
+
+
 def test_suffix_dedup_edges(none, odd):
     assert suffix_dedup.remove_repeats(none).count() == 0
     got = suffix_dedup.remove_repeats(odd).collect()
