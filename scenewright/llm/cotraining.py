@@ -1,12 +1,13 @@
 """A quality classifier by co-training two views of a document: what it says, and what is known about its page.
 
-The content view sees the distinct words and their first letters. The metadata view sees source, language, length and layout: lines, words
-to a line, shares of capitals, digits, marks and repeated words. Each is a logistic regression on labelled
-documents. Over some rounds each view labels the pool documents that it is surest about, as many of either class as
+The content view sees the distinct words, without marks around them and in lower case, and their first letters. The
+metadata view sees none of them: source, language, length and layout alone, that is lines, words to a line, and the
+shares of capitals, digits, repeated words and every mark. Each is a logistic regression on labelled documents. Over some rounds each view labels the pool documents that it is surest about, as many of either class as
 their shares allow, for the other view to train on. Then, on labelled documents that neither has seen, each view is
 calibrated (a logistic curve over its score) and the two calibrated views are combined by a third regression.
 
-Models are fitted on a bounded sample, LABELLED and POOL documents about; all documents are scored.
+Models are fitted on a bounded sample, LABELLED and POOL documents about, of each document at most SEEN features, those
+with the smallest hashes; all documents are scored, by all their words.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from scenewright.llm.common import documents, utf8, word_runs
 
 #: About how many labelled and unlabelled documents the models are fitted on, those with a hash of doc_id under a bound.
-LABELLED, POOL = 8_000, 4_000
+LABELLED, POOL, SEEN = 8_000, 4_000, 8_192
 #: Rounds of exchange; pool documents that a view labels in each; passes over the data in each fit.
 ROUNDS, EXCHANGED, PASSES = 4, 400, 12
 #: Step of a weight in a fit; least probability of a good document that stays.
@@ -57,8 +58,9 @@ def metadata(text: bytes, words: int, distinct: int, source: str | None, lang: s
     step = lambda x, k: min(k, int(x * k))
     got = {
         "source": source, "lang": lang, "bytes": int(math.log2(n) * 2), "lines": int(math.log2(lines) * 2), "line": int(math.log2(words / lines + 1) * 2), "word": step(n / (words + 1) / 40, 20),
-        "capitals": step(share(CAPITALS), 40), "digits": step(share(DIGITS), 40), "marks": step(share(MARKS), 40), "distinct": step(distinct / (words or 1), 20), "bars": step(share(b"|"), 40), "cries": step(share(b"!"), 40),
+        "capitals": step(share(CAPITALS), 40), "digits": step(share(DIGITS), 40), "marks": step(share(MARKS), 40), "distinct": step(distinct / (words or 1), 20),
     }
+    got |= {chr(m): step(text.count(m) / n, 40) for m in MARKS}
     return [zlib.crc32(f"{k}={v}".encode()) & (1 << META) - 1 for k, v in got.items()]
 
 
@@ -176,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> Model:
             rows = []
             for doc, text, lang, source, good in zip(b.column(0).to_pylist(), utf8(b.column(1)), *(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
                 words, n = content(text)
-                rows.append({"doc_id": doc, "good": good, "words": numbered(words).tobytes(), "meta": metadata(text, n, len(words), source, lang)})
+                rows.append({"doc_id": doc, "good": good, "words": numbered(words)[:SEEN].tobytes(), "meta": metadata(text, n, len(words), source, lang)})
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("good", pa.int32()), ("words", pa.binary()), ("meta", pa.list_(pa.int32()))]))
 
     picked = _read(docs).join(F.broadcast(sample(docs, labels)), "doc_id").mapInArrow(features, "doc_id long, good int, words binary, meta array<int>")

@@ -57,6 +57,34 @@ def test_classifier_on_held_out_documents(labelled):
     assert all(0 <= r["quality_score"] <= 1 for r in scored)
 
 
+def test_scores_equal_those_by_hand(docs, rows, labelled):
+    """Each document's features, sums and curves, one word and one mark at a time."""
+    model = cotraining.fit(*labelled[:2])
+    weights, marks = model.weights(), "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+    number = lambda x, bits: zlib.crc32(x) & (1 << bits) - 1
+    curve = lambda x: 1 / (1 + math.exp(-x))
+    clip = lambda x: max(-12.0, min(12.0, x))
+    got = {r["doc_id"]: r for r in cotraining.score(docs, model).collect()}
+    for d, t, lang, source, *_ in rows:
+        text = (t or "").encode()
+        seen = text.lower().split()
+        words = {w.strip(marks.encode()) or w for w in seen}
+        features = {number(x, 22) for w in words for x in [w] + [b" " + w[:k] for k in (5, 7) if len(w) > k]}
+        n, lines = len(text) or 1, text.count(b"\n") + 1
+        share = lambda which, text=text, n=n: min(40, int(sum(chr(b) in which for b in text) / n * 40))
+        layout = {
+            "source": source, "lang": lang, "bytes": int(math.log2(n) * 2), "lines": int(math.log2(lines) * 2), "line": int(math.log2(len(seen) / lines + 1) * 2), "word": min(20, int(n / (len(seen) + 1) / 40 * 20)),
+            "capitals": share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "digits": share("0123456789"), "marks": share(marks), "distinct": min(20, int(len(words) / (len(seen) or 1) * 20)), **{m: share(m) for m in marks},
+        }
+        first = model.bias + sum(weights.get(i, 0.0) for i in features)
+        second = model.meta_bias + sum(model.meta[number(f"{k}={v}".encode(), 12)] for k, v in layout.items())
+        a, b = (clip(c[0] * x + c[1]) for c, x in zip(model.curves, (first, second), strict=True))
+        both = curve(model.mix[0] * a + model.mix[1] * b + model.mix[2])
+        r = got[d]
+        assert (r["content_score"], r["metadata_score"], r["quality_score"]) == pytest.approx((curve(a), curve(b), both))
+        assert r["quality_keep"] == (both >= cotraining.THRESHOLD)
+
+
 def test_classifier_is_the_same_again(labelled):
     docs, labels, _ = labelled
     a, b = ({r["doc_id"]: r["quality_score"] for r in cotraining.score(d, cotraining.fit(d, labels)).collect()} for d in (docs, docs.repartition(7)))
