@@ -102,3 +102,21 @@ def valid_id(text: Column, namespace: str | None = None) -> Column:
 def parse_id(text: Column) -> Column:
     """struct(ns, num), null for what isn't an id."""
     return F.when(valid_id(text), F.struct(F.regexp_extract(text, ID, 1).alias("ns"), F.regexp_extract(text, ID, 2).cast("bigint").alias("num")))
+
+
+def required(document: Column, path: str) -> Column:
+    """struct(value, err): what a JSON document has at a path of names; err tells a missing name from a null value.
+
+    value is JSON text, a string without its quotes. A document that is no JSON object has none of the names.
+    """
+    root = F.try_parse_json(document)
+    err, at = F.lit(None).cast("string"), "$"
+    found = []
+    for name in path.split("."):
+        at += f".{name}"
+        found.append((F.try_variant_get(root, at, "variant"), f"missing: {path}"))
+    for v, message in reversed(found):
+        err = F.when(v.isNull(), message).otherwise(err)
+    last = found[-1][0]
+    err = F.coalesce(err, F.when(F.is_variant_null(last), f"null: {path}"))
+    return F.struct(F.when(err.isNull(), last.try_cast("string")).alias("value"), err.alias("err"))

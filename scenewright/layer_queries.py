@@ -114,12 +114,12 @@ def e4_snapshots(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(V.with_views(_VOTES + f", cn AS (SELECT instance_id, label, (y1 - y0 + 1)*(x1 - x0 + 1) AS mask_pixels, CASE {_CASES} ELSE 'other' END AS canonical FROM v_masks) SELECT w.instance_id, {V._CLASS_LIST}[class_id + 1] AS category, label AS label_proposed, canonical AS label_proposed_canonical, {V._CLASS_LIST}[class_id + 1] = canonical AS category_agrees, mask_pixels FROM w JOIN cn USING (instance_id) WHERE k = 1", "masks", "pixels"))
+@query(V.with_views(_VOTES + f", cn AS (SELECT instance_id, label, (y1 - y0 + 1)*(x1 - x0 + 1) AS mask_pixels, CASE {_CASES} ELSE 'other' END AS canonical FROM v_masks) SELECT w.instance_id, {V._CLASS_LIST}[class_id + 1] AS category, label AS label_proposed, canonical AS label_proposed_canonical, {V._CLASS_LIST}[class_id + 1] = canonical AS category_agrees, mask_pixels, 'grounded_sam2::gdino_base+sam2.1_hiera_bplus' AS boundary_from, 'oneformer_ade20k_swin_large' AS category_from FROM w JOIN cn USING (instance_id) WHERE k = 1", "masks", "pixels"))
 def e5_proposed_labels(spark: SparkSession, sf: str) -> DataFrame:
     """Whether the label proposed for an instance agrees with the vote that names it."""
     m = V.masks(spark, sf)
     out = entities.with_proposals(entities.fuse_instances(m, V.pixels(spark, sf), [0]), m, T.CLASSES)
-    return out.select("instance_id", "category", "label_proposed", "label_proposed_canonical", "category_agrees", "mask_pixels")
+    return out.select("instance_id", "category", "label_proposed", "label_proposed_canonical", "category_agrees", "mask_pixels", "boundary_from", "category_from")
 
 
 @query("SELECT instance_id, k, iou FROM (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY iou DESC NULLS LAST, k) AS r FROM (SELECT p_partkey AS instance_id, CAST(u.k AS BIGINT) AS k, CASE WHEN (p_partkey + u.k) % 11 = 0 THEN NULL ELSE (p_partkey*(u.k + 3)*7 % 10)/10.0::DOUBLE END AS iou FROM part, unnest(range(0, 3)) AS u(k))) WHERE r = 1")
@@ -219,3 +219,16 @@ def j13_graded_answers(spark: SparkSession, sf: str) -> DataFrame:
     result = grading.check_grounding(F.struct("object_id", F.lit(False).alias("ambiguous")), wanted, F.array(wanted, F.lit("<obj_999999>")), F.array())
     counted = grading.hits(met.withColumn("result", result), ["scene_id", "spec_id", "is_ambiguous"])
     return counted.select("scene_id", "arm", "hits", "trials", "is_ambiguous", render.answer_hint(F.col("spec_id")).alias("hint"))
+
+
+@query(
+    """WITH d AS (SELECT event_id, event_id % 5 AS k FROM events)
+  SELECT event_id, CASE k WHEN 0 THEN 'v' || event_id WHEN 4 THEN CAST(event_id AS VARCHAR) END AS value,
+    CASE k WHEN 1 THEN 'null: a.b' WHEN 2 THEN 'missing: a.b' WHEN 3 THEN 'missing: a.b' END AS err FROM d"""
+)
+def f25_required_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Fields that are there, null, or missing at either level, and a number."""
+    k, i = F.col("event_id") % 5, F.col("event_id").cast("string")
+    said = F.when(k == 0, F.concat(F.lit('{"a": {"b": "v'), i, F.lit('"}}'))).when(k == 1, '{"a": {"b": null}}').when(k == 2, '{"a": {"c": 1}}').when(k == 3, '{"b": 1}').otherwise(F.concat(F.lit('{"a": {"b": '), i, F.lit("}}")))
+    r = T.required(said, "a.b")
+    return V.table(spark, sf, "events").select("event_id", r.alias("r")).select("event_id", "r.value", "r.err")

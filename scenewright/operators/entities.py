@@ -11,6 +11,8 @@ from pyspark.sql.types import ArrayType, DoubleType
 from scenewright.functions import geometry as G
 from scenewright.functions import text as T
 
+#: What boundaries and categories of fused instances rest on.
+BOUNDARY_SOURCE, CATEGORY_SOURCE = "grounded_sam2::gdino_base+sam2.1_hiera_bplus", "oneformer_ade20k_swin_large"
 #: Quantile of confidence below which a scene's pixels are dropped; least pixels of a component and valid points of an object.
 FLOOR_QUANTILE, LEAST_PIXELS, LEAST_POINTS = 0.25, 400, 120
 
@@ -229,12 +231,13 @@ def best_masks(candidates: DataFrame) -> DataFrame:
 def with_proposals(fused: DataFrame, masks: DataFrame, classes: list[str]) -> DataFrame:
     """fused instances with their class's name, the label that was proposed for them, its canonical class, and whether both agree.
 
-    The name comes from the vote alone; a proposal never changes it.
+    The name comes from the vote alone; a proposal never changes it. boundary_from and category_from say what each rests on.
     """
     rows = fused.join(masks.select("instance_id", F.col("label").alias("label_proposed"), ((F.col("y1") - F.col("y0") + 1) * (F.col("x1") - F.col("x0") + 1)).alias("mask_pixels")), "instance_id")
     name = F.coalesce(F.get(F.array(*[F.lit(c) for c in classes]), F.col("class_id").cast("int")), F.lit("other"))
     rows = rows.withColumn("category", name).withColumn("label_proposed_canonical", T.canonical_class(F.col("label_proposed")))
-    return rows.withColumn("category_agrees", F.col("category") == F.col("label_proposed_canonical"))
+    rows = rows.withColumn("category_agrees", F.col("category") == F.col("label_proposed_canonical"))
+    return rows.withColumns({"boundary_from": F.lit(BOUNDARY_SOURCE), "category_from": F.lit(CATEGORY_SOURCE)})
 
 
 def camera_span(poses: DataFrame, keys: list[str]) -> DataFrame:

@@ -10,7 +10,6 @@ from scenewright.functions import text as T
 #: What wrote a layer, by where its semantics come from, and what every layer states about its scale.
 DEPTH_PRODUCER, CODE_VERSION, SCHEMA_VERSION = "VGGT-Omega/1b_512", "pipeline-0.1.0", "0.1.0"
 SEMANTIC_PRODUCERS = {"model": "OneFormer/ade20k_swin_large", "native": "uavscenes_native_semantic"}
-BOUNDARY_SOURCE, CATEGORY_SOURCE = "grounded_sam2::gdino_base+sam2.1_hiera_bplus", "oneformer_ade20k_swin_large"
 #: A snapshot with fewer entities lets pass with a warning only.
 LEAST_ENTITIES = 3
 

@@ -360,11 +360,11 @@ def s17_resize_nearest(spark: SparkSession, sf: str) -> DataFrame:
 @query(V.with_views(" SELECT instance_id, round((y1 - y0 + 1)*(x1 - x0 + 1)/400.0, 6) AS box_share, round(sum(CASE WHEN p.class_id = 1 THEN 1 ELSE 0 END)/((y1 - y0 + 1)*(x1 - x0 + 1)), 6) AS mask_share, round(sum(CASE WHEN p.class_id = 1 AND NOT (p.y BETWEEN y0 + 2 AND y1 - 2 AND p.x BETWEEN x0 + 2 AND x1 - 2) THEN 1.0 ELSE 0.0 END)/greatest(sum(CASE WHEN p.class_id = 1 THEN 1 ELSE 0 END), 1), 6) AS rim_share FROM v_masks m JOIN v_pixels p ON p.frame = m.frame AND p.y BETWEEN m.y0 AND m.y1 AND p.x BETWEEN m.x0 AND m.x1 GROUP BY instance_id, y0, y1, x0, x1", "masks", "pixels"))
 def a22_mask_box_ratio(spark: SparkSession, sf: str) -> DataFrame:
     """Of each box the share of the frame, of it the share that is mask (class 1), and how much of the mask lies on its two-pixel rim."""
-    cover = V.masks(spark, sf).withColumn("y", F.explode(F.sequence("y0", "y1"))).withColumn("x", F.explode(F.sequence("x0", "x1")))
+    cover = V.masks(spark, sf).withColumn("y", F.explode(F.sequence("y0", "y1")))  # a run for each line
     mask = (F.col("class_id") == 1).cast("int")
     inner = F.col("y").between(F.col("y0") + 2, F.col("y1") - 2) & F.col("x").between(F.col("x0") + 2, F.col("x1") - 2)
     area = (F.col("y1") - F.col("y0") + 1) * (F.col("x1") - F.col("x0") + 1)
-    met = cover.join(V.pixels(spark, sf).select("frame", "y", "x", "class_id"), ["frame", "y", "x"]).groupBy("instance_id", "y0", "y1", "x0", "x1").agg(F.sum(mask).alias("m"), F.sum(mask * (~inner).cast("int")).alias("rim"))
+    met = cover.join(V.pixels(spark, sf).select("frame", "y", "x", "class_id"), ["frame", "y"]).filter(F.col("x").between(F.col("x0"), F.col("x1"))).groupBy("instance_id", "y0", "y1", "x0", "x1").agg(F.sum(mask).alias("m"), F.sum(mask * (~inner).cast("int")).alias("rim"))
     return met.select("instance_id", F.round(area / 400.0, 6).alias("box_share"), F.round(F.col("m") / area, 6).alias("mask_share"), F.round(F.col("rim") / F.greatest("m", F.lit(1)), 6).alias("rim_share"))
 
 

@@ -133,6 +133,19 @@ def write_documents(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").json(path)
 
 
+PIXELS = "scene_id string, frame bigint, y bigint, x bigint, depth float, conf float"
+
+
+def write_pixels(pixels: DataFrame, path: str) -> None:
+    """Depth and confidence of every pixel, write-once, by scene; single precision, which holds what half precision did."""
+    pixels.select("scene_id", "frame", "y", "x", F.col("depth").cast("float").alias("depth"), F.col("conf").cast("float").alias("conf")).write.mode("errorifexists").partitionBy("scene_id").parquet(path)
+
+
+def read_pixels(spark: SparkSession, path: str) -> DataFrame:
+    """The same back; a filter on scene_id reads that scene's files only."""
+    return spark.read.schema(PIXELS).parquet(path).select(*[f.split()[0] for f in PIXELS.split(", ")])
+
+
 def write_records(compiled: DataFrame, path: str) -> None:
     """Outcomes of compiling by status, so that each channel is read without the others."""
     compiled.write.mode("errorifexists").partitionBy("status").parquet(path)

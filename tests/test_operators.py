@@ -136,3 +136,13 @@ def test_scenes_from_archives(spark, tmp_path):
     assert a["frames"][2]["semantic_2d"] == f"labels_cam/{stamp(2)}.png" and a["frames"][0]["lidar_uri"] is None
     none = scenes.build_scenes(scenes.pair_frames(members.drop("content"), poses.limit(0)), track).first()
     assert none["err"] == "no frame has a pose" and none["frames_missing_pose"] == 25 and none["track_samples"] == 0
+
+
+def test_pixels_are_written_once_and_read_back(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1, 0, 0, 1.5, 0.25), ("a", 1, 0, 1, None, 0.5), ("b", 2, 0, 0, 2.0, 1.0)], "scene_id string, frame bigint, y bigint, x bigint, depth double, conf double")
+    path = str(tmp_path / "pixels")
+    readers.write_pixels(df, path)
+    assert sorted(map(str, readers.read_pixels(spark, path).collect())) == sorted(map(str, df.collect()))
+    assert "PartitionFilters: [isnotnull(scene_id" in readers.read_pixels(spark, path).filter("scene_id = 'a'")._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(Exception, match="already exists"):
+        readers.write_pixels(df, path)
