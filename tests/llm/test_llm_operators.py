@@ -174,15 +174,36 @@ def test_packing_edges(none, odd):
 # --- 3: media ---
 
 
+def plain_hash(payload, width=192):
+    """The low-frequency cosine hash by its sums, one coefficient at a time."""
+    image = [payload[i : i + width] for i in range(0, len(payload), width)]
+    side, low, h = media.SIDE, media.LOW, len(image)
+
+    def bands(n):
+        return [range(min(i * n // side, n - 1), max((i + 1) * n // side, min(i * n // side, n - 1) + 1)) for i in range(side)]
+
+    small = [[sum(image[y][x] for y in ys for x in xs) / (len(ys) * len(xs)) for xs in bands(width)] for ys in bands(h)]
+    wave = [[math.cos(math.pi * k * (2 * x + 1) / (2 * side)) for x in range(side)] for k in range(low)]
+    found = [round(sum(wave[a][y] * wave[b][x] * small[y][x] for y in range(side) for x in range(side)), 6) for a in range(low) for b in range(low)]
+    middle = sorted(found[1:])
+    n = len(middle)
+    median = middle[n // 2] if n % 2 else (middle[n // 2 - 1] + middle[n // 2]) / 2
+    return f"{int(''.join('1' if f > median else '0' for f in found), 2):0{low * low // 4}x}"
+
+
 def test_media_columns(docs, rows, none, odd):
     stored = media.store_texts(docs)
+    kept = {r["doc_id"]: r["media"] for r in stored.collect()}
     got = {r["doc_id"]: r for r in media.media_features(stored).collect()}
     for d, text, *_ in rows:
         data = (text or "").encode()
         padded = data + b" " * (-len(data) % 192) if data else b" " * 192
         r = got[d]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]))
-        assert len(r["feature"]) == 16
+        assert len(r["feature"]) == 16 and r["feature"] == plain_hash(padded)
+        media_of = bytes(kept[d])
+        assert (r["media_bytes"], r["media_sha256"]) == (len(media_of), hashlib.sha256(media_of).hexdigest())
+        assert media.decode_png(media_of).tobytes() == padded
     assert got[3]["media_sha256"] == got[20]["media_sha256"] and got[3]["feature"] == got[20]["feature"]
     assert media.media_features(media.store_texts(none)).count() == 0 and media.media_features(media.store_texts(odd)).count() == 5
 
