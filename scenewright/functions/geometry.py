@@ -96,30 +96,53 @@ def _segment_distance(p: Column, a: Column, b: Column) -> Column:
 
 def point_to_segment(p: Column, a: Column, b: Column) -> Column:
     ab = sub(b, a)
-    return outcome(_segment_distance(p, a, b), (~(is_point(p) & is_point(a) & is_point(b)), "not three finite points"), (dot(ab, ab) == 0, "segment of no length"))
+    return outcome(
+        _segment_distance(p, a, b), (~(is_point(p) & is_point(a) & is_point(b)), "not three finite points"), (dot(ab, ab) == 0, "segment of no length"),
+    )
 
 
 def all_close(a: Column, b: Column) -> Column:
-    return reduce(lambda c, i: c & (F.abs(at(a, i) - at(b, i)) <= ATOL + RTOL * F.abs(at(b, i))), range(1, 3), F.abs(at(a, 0) - at(b, 0)) <= ATOL + RTOL * F.abs(at(b, 0)))
+    return reduce(
+        lambda c, i: c & (F.abs(at(a, i) - at(b, i)) <= ATOL + RTOL * F.abs(at(b, i))), range(1, 3), F.abs(at(a, 0) - at(b, 0)) <= ATOL + RTOL * F.abs(at(b, 0)),
+    )
 
 
 def point_to_polyline(p: Column, line: Column) -> Column:
     """value: struct(d, seg) of the nearest segment, the first of equal ones. Segments of no length are passed over."""
     # guarded: nothing is built from a line of fewer than two vertices
     starts = F.when(is_points(line) & (F.size(line) >= 2), F.sequence(F.lit(0), F.size(line) - 2))
-    there = F.filter(F.transform(starts, lambda i: F.struct(F.get(line, i).alias("a"), F.get(line, i + 1).alias("b"), i.alias("i"))), lambda s: ~all_close(s["a"], s["b"]))
+    there = F.filter(
+        F.transform(starts, lambda i: F.struct(F.get(line, i).alias("a"), F.get(line, i + 1).alias("b"), i.alias("i"))), lambda s: ~all_close(s["a"], s["b"]),
+    )
     best = F.array_min(F.transform(there, lambda s: F.struct(_segment_distance(p, s["a"], s["b"]).alias("d"), s["i"].alias("seg"))))
     none = F.lit(None).cast("struct<d:double,seg:int>")
-    return let(F.coalesce(best, none), lambda b: outcome(b, (~is_point(p), "not a finite point"), (~is_points(line), "not a line of finite points"), (F.size(line) < 2, "fewer than two vertices"), (b.isNull(), "no segment has a length")))
+    return let(
+        F.coalesce(best, none),
+        lambda b: outcome(
+            b,
+            (~is_point(p), "not a finite point"),
+            (~is_points(line), "not a line of finite points"),
+            (F.size(line) < 2, "fewer than two vertices"),
+            (b.isNull(), "no segment has a length"),
+        ),
+    )
 
 
 def nearest_polyline(p: Column, lines: Column, line_of: Callable[[Column], Column], id_of: Callable[[Column], Column]) -> Column:
     """value: struct(id, d, seg) of the nearest of an array of lines; of equal distances the earlier entry. One bad line spoils all."""
 
     def best(found: Column) -> Column:
-        top = F.array_min(F.transform(found, lambda x: F.struct(x["r"]["value"]["d"].alias("d"), x["pos"].alias("pos"), x["r"]["value"]["seg"].alias("seg"), x["id"].alias("id"))))
+        top = F.array_min(
+            F.transform(
+                found, lambda x: F.struct(x["r"]["value"]["d"].alias("d"), x["pos"].alias("pos"), x["r"]["value"]["seg"].alias("seg"), x["id"].alias("id")),
+            )
+        )
         bad = F.exists(found, lambda x: x["r"]["err"].isNotNull())
-        return outcome(let(top, lambda t: F.struct(t["id"].alias("id"), t["d"].alias("d"), t["seg"].alias("seg"))), (F.coalesce(F.size(lines), F.lit(0)) <= 0, "no lines"), (bad, "a line is degenerate"))
+        return outcome(
+            let(top, lambda t: F.struct(t["id"].alias("id"), t["d"].alias("d"), t["seg"].alias("seg"))),
+            (F.coalesce(F.size(lines), F.lit(0)) <= 0, "no lines"),
+            (bad, "a line is degenerate"),
+        )
 
     return let(F.transform(lines, lambda x, i: F.struct(point_to_polyline(p, line_of(x)).alias("r"), i.alias("pos"), id_of(x).alias("id"))), best)
 
@@ -135,7 +158,11 @@ def is_pose(t: Column) -> Column:
     shaped = F.coalesce((F.size(t) == 4) & F.forall(t, lambda r: (F.size(r) == 4) & F.forall(r, finite)), F.lit(False))
     row = lambda i: F.get(t, F.lit(i))
     last = reduce(lambda c, k: c & (F.abs(at(row(3), k) - (1.0 if k == 3 else 0.0)) <= 1e-6), range(4), F.lit(True))
-    rigid = reduce(lambda c, ij: c & (F.abs(dot(row(ij[0]), row(ij[1])) - (1.0 if ij[0] == ij[1] else 0.0)) <= 1e-4), [(i, j) for i in range(3) for j in range(i, 3)], F.lit(True))
+    rigid = reduce(
+        lambda c, ij: c & (F.abs(dot(row(ij[0]), row(ij[1])) - (1.0 if ij[0] == ij[1] else 0.0)) <= 1e-4),
+        [(i, j) for i in range(3) for j in range(i, 3)],
+        F.lit(True),
+    )
     return shaped & F.coalesce(last & rigid, F.lit(False))
 
 
@@ -165,7 +192,11 @@ def project(p: Column, t: Column, k: Column) -> Column:
     """struct(u, v, depth); u and v are null at depth zero."""
     c = world_to_camera(p, t)
     ratio = lambda i: F.try_divide(at(c, i), at(c, 2))
-    return F.struct((at(at(k, 0), 0) * ratio(0) + at(at(k, 0), 1) * ratio(1) + at(at(k, 0), 2)).alias("u"), (at(at(k, 1), 1) * ratio(1) + at(at(k, 1), 2)).alias("v"), at(c, 2).alias("depth"))
+    return F.struct(
+        (at(at(k, 0), 0) * ratio(0) + at(at(k, 0), 1) * ratio(1) + at(at(k, 0), 2)).alias("u"),
+        (at(at(k, 1), 1) * ratio(1) + at(at(k, 1), 2)).alias("v"),
+        at(c, 2).alias("depth"),
+    )
 
 
 def in_frustum(p: Column, t: Column, k: Column, height: int, width: int, near: float = 0.1, far: float = 1e4) -> Column:
@@ -198,7 +229,13 @@ def relative_direction(target: Column, observer: Column, forward: Column, up: Co
         angle.alias("lateral_angle_deg"),
     )
     good = is_point(target) & is_point(observer) & is_point(forward) & is_point(up)
-    return outcome(value, (~good, "not finite vectors"), (far < TINY, "target at the observer"), ((f < TINY) | (u < TINY), "zero direction"), (F.try_divide(norm(right), f * u) < TINY, "forward and up are parallel"))
+    return outcome(
+        value,
+        (~good, "not finite vectors"),
+        (far < TINY, "target at the observer"),
+        ((f < TINY) | (u < TINY), "zero direction"),
+        (F.try_divide(norm(right), f * u) < TINY, "forward and up are parallel"),
+    )
 
 
 def azimuth_elevation(target: Column, observer: Column, forward: Column, up: Column) -> Column:
@@ -207,8 +244,20 @@ def azimuth_elevation(target: Column, observer: Column, forward: Column, up: Col
 
     def measured(d: Column, unit: Column, flat: Column) -> Column:
         azimuth = F.degrees(F.atan2(dot(d, cross(flat, unit)), dot(d, flat)))
-        value = let(azimuth, lambda a: F.struct(F.when(a <= -180.0, F.lit(180.0)).otherwise(a).alias("azimuth_deg"), F.degrees(F.asin(_clamped(F.try_divide(dot(d, unit), norm(d))))).alias("elevation_deg")))
-        return outcome(value, (~good, "not finite vectors"), (norm(d) < TINY, "target at the observer"), (norm(up) < TINY, "zero direction"), (norm(flat) < TINY, "forward is vertical"))
+        value = let(
+            azimuth,
+            lambda a: F.struct(
+                F.when(a <= -180.0, F.lit(180.0)).otherwise(a).alias("azimuth_deg"),
+                F.degrees(F.asin(_clamped(F.try_divide(dot(d, unit), norm(d))))).alias("elevation_deg"),
+            ),
+        )
+        return outcome(
+            value,
+            (~good, "not finite vectors"),
+            (norm(d) < TINY, "target at the observer"),
+            (norm(up) < TINY, "zero direction"),
+            (norm(flat) < TINY, "forward is vertical"),
+        )
 
     unit = scale(up, F.try_divide(F.lit(1.0), norm(up)))
     flat = lambda u: sub(forward, scale(u, dot(forward, u)))
@@ -218,7 +267,11 @@ def azimuth_elevation(target: Column, observer: Column, forward: Column, up: Col
 def height_difference(target: Column, reference: Column, up: Column) -> Column:
     """Signed, along up."""
     u = norm(up)
-    return outcome(F.try_divide(dot(sub(target, reference), up), u), (~(is_point(target) & is_point(reference) & is_point(up)), "not finite vectors"), (u < TINY, "zero direction"))
+    return outcome(
+        F.try_divide(dot(sub(target, reference), up), u),
+        (~(is_point(target) & is_point(reference) & is_point(up)), "not finite vectors"),
+        (u < TINY, "zero direction"),
+    )
 
 
 def back_project(x: Column, y: Column, depth: Column, k: Column, t: Column) -> Column:
@@ -229,7 +282,11 @@ def back_project(x: Column, y: Column, depth: Column, k: Column, t: Column) -> C
 
 def invert_rigid(t: Column) -> Column:
     """World-from-camera of camera-from-world (3x4 or 4x4): the transposed rotation, and minus it times the translation."""
-    rows = [F.array(*[at(at(t, j), i) for j in range(3)], -reduce(lambda s, j: s + at(at(t, j), i) * at(at(t, j), 3), range(1, 3), at(at(t, 0), i) * at(at(t, 0), 3))) for i in range(3)]
+    rows = [
+        F.array(
+            *[at(at(t, j), i) for j in range(3)], -reduce(lambda s, j: s + at(at(t, j), i) * at(at(t, j), 3), range(1, 3), at(at(t, 0), i) * at(at(t, 0), 3))
+        ) for i in range(3)
+    ]
     return F.array(*rows, F.array(*[F.lit(v) for v in (0.0, 0.0, 0.0, 1.0)]))
 
 
@@ -241,4 +298,6 @@ def box_corners(cx: Column, cy: Column, w: Column, h: Column, width: Column, hei
 def supports_metric_target(depth_type: Column, domain_calibrated: Column, anchor_verified: Column) -> Column:
     """Whether a depth type can carry absolute metric answers; null for an unknown type."""
     calibrated, verified = F.coalesce(domain_calibrated, F.lit(False)), F.coalesce(anchor_verified, F.lit(False))
-    return F.when(depth_type == "metric", calibrated).when(depth_type == "externally_anchored", verified).when(depth_type.isin("relative", "affine_invariant", "pseudo"), F.lit(False))
+    return F.when(depth_type == "metric", calibrated).when(depth_type == "externally_anchored", verified).when(
+        depth_type.isin("relative", "affine_invariant", "pseudo"), F.lit(False),
+    )

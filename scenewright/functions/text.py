@@ -17,7 +17,38 @@ CLASS_KEYWORDS = [
     ("vehicle", ["car", "truck", "bus", "van", "boat", "ship", "bicycle", "motorbike", "airplane", "minibike"]),
     ("ground_paved", ["road", "sidewalk", "pavement", "runway", "path", "floor", "court", "parking"]),
     ("ground_natural", ["earth", "ground", "sand", "dirt", "land", "hill", "mountain", "mount", "rock", "stone"]),
-    ("structure", ["fence", "pole", "railing", "wall", "bridge", "bannister", "column", "rail", "signboard", "streetlight", "street lamp", "stair", "step", "bench", "table", "chair", "sculpture", "trash", "door", "awning", "booth", "kiosk", "solar panel", "power line", "powerline", "cable", "wire"]),
+    (
+        "structure",
+        [
+            "fence",
+            "pole",
+            "railing",
+            "wall",
+            "bridge",
+            "bannister",
+            "column",
+            "rail",
+            "signboard",
+            "streetlight",
+            "street lamp",
+            "stair",
+            "step",
+            "bench",
+            "table",
+            "chair",
+            "sculpture",
+            "trash",
+            "door",
+            "awning",
+            "booth",
+            "kiosk",
+            "solar panel",
+            "power line",
+            "powerline",
+            "cable",
+            "wire",
+        ],
+    ),
 ]
 CLASSES = [*(name for name, _ in CLASS_KEYWORDS), "other"]
 
@@ -49,10 +80,17 @@ def phrase_spans(text: Column, phrases: Column, offsets: Column) -> Column:
         p = F.lower(_stripped(phrase))
         found = F.expr("0") + F.call_function("locate", p, text, state["cursor"])
         span = F.struct((found - 1).cast("int").alias("a"), (found - 1 + F.length(p)).cast("int").alias("b"))
-        return F.struct((found + F.length(p)).cast("int").alias("cursor"), F.concat(state["spans"], F.array(span)).alias("spans"), (state["missing"] | (found == 0)).alias("missing"))
+        return F.struct(
+            (found + F.length(p)).cast("int").alias("cursor"),
+            F.concat(state["spans"], F.array(span)).alias("spans"),
+            (state["missing"] | (found == 0)).alias("missing"),
+        )
 
     done = F.aggregate(phrases, start, step)
-    tokens = F.transform(done["spans"], lambda s: F.filter(F.transform(offsets, lambda o, i: F.when((o["a"] < s["b"]) & (o["b"] > s["a"]) & (o["b"] > o["a"]), i)), lambda i: i.isNotNull()))
+    tokens = F.transform(
+        done["spans"],
+        lambda s: F.filter(F.transform(offsets, lambda o, i: F.when((o["a"] < s["b"]) & (o["b"] > s["a"]) & (o["b"] > o["a"]), i)), lambda i: i.isNotNull()),
+    )
     return F.struct(F.when(~done["missing"], tokens).alias("value"), F.when(done["missing"], F.lit("a phrase is missing")).alias("err"))
 
 
@@ -80,7 +118,9 @@ def json_object(text: Column) -> Column:
 def ns_of(timestamp: Column) -> Column:
     """"seconds.fraction" as nanoseconds, digits beyond the ninth dropped; no floating point."""
     parts = F.split(timestamp, r"\.", 2)
-    return F.get(parts, F.lit(0)).cast("bigint") * 1_000_000_000 + F.substring(F.rpad(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), 9, "0"), 1, 9).cast("bigint")
+    return F.get(parts, F.lit(0)).cast("bigint") * 1_000_000_000 + F.substring(
+        F.rpad(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), 9, "0"), 1, 9,
+    ).cast("bigint")
 
 
 #: Namespaces of entity ids.

@@ -42,10 +42,21 @@ def e6_scenes(spark: SparkSession, sf: str) -> DataFrame:
     """Whole scenes with every diagnostic: runs overlap in time, poses repeat, and a tenth of the frames has none."""
     s = scenes.build_scenes(scenes.pair_frames(V.members(spark, sf), V.poses(spark, sf)), V.tracks(spark, sf))
     names = ("scene_id", "split_group", "frames_requested", "frames_emitted", "frames_missing_pose", "frames_missing_lidar", "duration_s", "track_samples")
-    return s.select(*names, *[F.get("span", F.lit(k)).alias(f"span_{c}") for k, c in enumerate("xyz")], F.array_join("annotations", ",").alias("annotations"), F.sha2(F.array_join(F.col("frames.frame_id"), ","), 256).alias("frames"))
+    return s.select(
+        *names,
+        *[F.get("span", F.lit(k)).alias(f"span_{c}") for k, c in enumerate("xyz")],
+        F.array_join("annotations", ",").alias("annotations"),
+        F.sha2(F.array_join(F.col("frames.frame_id"), ","), 256).alias("frames"),
+    )
 
 
-@query(V.with_views(f", {_PAIRED}, po AS (SELECT run, stem, max(pos) AS pos, arg_max(z, pos) AS z FROM v_poses GROUP BY ALL) SELECT p.run, p.stem, coalesce(pos, -1) AS pos, z FROM paired p LEFT JOIN po ON p.run = po.run AND p.stem = po.stem", "members", "poses"))
+@query(
+    V.with_views(
+        f", {_PAIRED}, po AS (SELECT run, stem, max(pos) AS pos, arg_max(z, pos) AS z FROM v_poses GROUP BY ALL) SELECT p.run, p.stem, coalesce(pos, -1) AS pos, z FROM paired p LEFT JOIN po ON p.run = po.run AND p.stem = po.stem",
+        "members",
+        "poses",
+    )
+)
 def j1_frames_with_poses(spark: SparkSession, sf: str) -> DataFrame:
     """Frames with their run's pose, the last of repeated ones; null where there is none."""
     paired = scenes.pair_frames(V.members(spark, sf), V.poses(spark, sf))
@@ -57,7 +68,12 @@ def j1_frames_with_poses(spark: SparkSession, sf: str) -> DataFrame:
 
 def _cameras(spark: SparkSession, sf: str) -> DataFrame:
     s = V.table(spark, sf, "supplier")
-    return s.select(F.concat(F.lit("scene_"), F.expr("cast(s_suppkey div 10 as string)")).alias("scene_id"), (F.col("s_acctbal") / 100).alias("x"), F.col("s_suppkey").cast("double").alias("y"), F.col("s_nationkey").cast("double").alias("z"))
+    return s.select(
+        F.concat(F.lit("scene_"), F.expr("cast(s_suppkey div 10 as string)")).alias("scene_id"),
+        (F.col("s_acctbal") / 100).alias("x"),
+        F.col("s_suppkey").cast("double").alias("y"),
+        F.col("s_nationkey").cast("double").alias("z"),
+    )
 
 
 def _geometry(spark: SparkSession, sf: str) -> DataFrame:
@@ -71,10 +87,21 @@ _L0 = """, f AS (SELECT scene_id, quantile_cont(conf, 0.25) AS conf_floor, quant
     FROM v_pixels p JOIN f USING (scene_id) JOIN sp USING (scene_id) GROUP BY p.scene_id)"""
 
 
-@query(V.with_views(_L0 + " SELECT scene_id, 'vggt_omega_local::' || scene_id AS coordinate_frame, 'relative' AS scale_status, 'dep_' || substr(sha256(scene_id || '|vggt'), 1, 8) AS artifact_id, round(coverage, 6) AS coverage, round(median_depth, 6) AS median_depth, round(camera_span, 6) AS camera_span, round(parallax_ratio, 6) AS parallax_ratio FROM l0", "pixels"))
+@query(
+    V.with_views(
+        _L0 + " SELECT scene_id, 'vggt_omega_local::' || scene_id AS coordinate_frame, 'relative' AS scale_status, 'dep_' || substr(sha256(scene_id || '|vggt'), 1, 8) AS artifact_id, round(coverage, 6) AS coverage, round(median_depth, 6) AS median_depth, round(camera_span, 6) AS camera_span, round(parallax_ratio, 6) AS parallax_ratio FROM l0",
+        "pixels",
+    )
+)
 def e1_geometry_layer(spark: SparkSession, sf: str) -> DataFrame:
     g = _geometry(spark, sf)
-    return g.select("scene_id", "coordinate_frame", F.col("scale.status").alias("scale_status"), F.get("depth", F.lit(0))["artifact_id"].alias("artifact_id"), *[F.round(c, 6).alias(c) for c in ("coverage", "median_depth", "camera_span", "parallax_ratio")])
+    return g.select(
+        "scene_id",
+        "coordinate_frame",
+        F.col("scale.status").alias("scale_status"),
+        F.get("depth", F.lit(0))["artifact_id"].alias("artifact_id"),
+        *[F.round(c, 6).alias(c) for c in ("coverage", "median_depth", "camera_span", "parallax_ratio")],
+    )
 
 
 def _entities(spark: SparkSession, sf: str) -> DataFrame:
@@ -93,8 +120,15 @@ _L1 = """, fl AS (SELECT scene_id, quantile_cont(conf, 0.25) AS conf_floor, max(
 def e2_entity_layer(spark: SparkSession, sf: str) -> DataFrame:
     o = _entities(spark, sf)
     return o.select(
-        "scene_id", "object_id", "category", F.round(F.get("centroid", F.lit(0)), 3).alias("cx"), F.round(F.get("extent", F.lit(2)), 3).alias("extent_z"), "point_count",
-        F.array_join(F.col("visible_frames").cast("array<string>"), ",").alias("visible_frames"), F.round("confidence.geometry", 3).alias("confidence"), F.array_join("provenance.producers", ",").alias("producers"),
+        "scene_id",
+        "object_id",
+        "category",
+        F.round(F.get("centroid", F.lit(0)), 3).alias("cx"),
+        F.round(F.get("extent", F.lit(2)), 3).alias("extent_z"),
+        "point_count",
+        F.array_join(
+            F.col("visible_frames").cast("array<string>"), ",",
+        ).alias("visible_frames"), F.round("confidence.geometry", 3).alias("confidence"), F.array_join("provenance.producers", ",").alias("producers"),
     )
 
 
@@ -109,22 +143,40 @@ def e4_snapshots(spark: SparkSession, sf: str) -> DataFrame:
     groups = geometry.select("scene_id", F.concat(F.lit("g"), F.length("scene_id").cast("string")).alias("split_group"))
     s = layers.snapshots(geometry, layers.entity_rows(first, T.CLASSES), digests, groups, "uavscenes")
     return s.select(
-        "snapshot_id", "scene_id", F.col("split_group_id").alias("split_group"), F.round("capabilities.parallax_ratio", 6).alias("parallax_ratio"), "capabilities.entity_count",
-        F.col("gate.status").alias("gate_status"), F.array_join("gate.warnings", ",").alias("warnings"), F.try_element_at("layers", F.lit("l0_geometry")).alias("l0_digest"),
+        "snapshot_id",
+        "scene_id",
+        F.col("split_group_id").alias("split_group"),
+        F.round("capabilities.parallax_ratio", 6).alias("parallax_ratio"),
+        "capabilities.entity_count",
+        F.col("gate.status").alias("gate_status"),
+        F.array_join("gate.warnings", ",").alias("warnings"),
+        F.try_element_at("layers", F.lit("l0_geometry")).alias("l0_digest"),
     )
 
 
-@query(V.with_views(_VOTES + f", cn AS (SELECT instance_id, label, (y1 - y0 + 1)*(x1 - x0 + 1) AS mask_pixels, CASE {_CASES} ELSE 'other' END AS canonical FROM v_masks) SELECT w.instance_id, {V._CLASS_LIST}[class_id + 1] AS category, label AS label_proposed, canonical AS label_proposed_canonical, {V._CLASS_LIST}[class_id + 1] = canonical AS category_agrees, mask_pixels, 'grounded_sam2::gdino_base+sam2.1_hiera_bplus' AS boundary_from, 'oneformer_ade20k_swin_large' AS category_from FROM w JOIN cn USING (instance_id) WHERE k = 1", "masks", "pixels"))
+@query(
+    V.with_views(
+        _VOTES + f", cn AS (SELECT instance_id, label, (y1 - y0 + 1)*(x1 - x0 + 1) AS mask_pixels, CASE {_CASES} ELSE 'other' END AS canonical FROM v_masks) SELECT w.instance_id, {V._CLASS_LIST}[class_id + 1] AS category, label AS label_proposed, canonical AS label_proposed_canonical, {V._CLASS_LIST}[class_id + 1] = canonical AS category_agrees, mask_pixels, 'grounded_sam2::gdino_base+sam2.1_hiera_bplus' AS boundary_from, 'oneformer_ade20k_swin_large' AS category_from FROM w JOIN cn USING (instance_id) WHERE k = 1",
+        "masks",
+        "pixels",
+    )
+)
 def e5_proposed_labels(spark: SparkSession, sf: str) -> DataFrame:
     """Whether the label proposed for an instance agrees with the vote that names it."""
     m = V.masks(spark, sf)
     out = entities.with_proposals(entities.fuse_instances(m, V.pixels(spark, sf), [0]), m, T.CLASSES)
-    return out.select("instance_id", "category", "label_proposed", "label_proposed_canonical", "category_agrees", "mask_pixels", "boundary_from", "category_from")
+    return out.select(
+        "instance_id", "category", "label_proposed", "label_proposed_canonical", "category_agrees", "mask_pixels", "boundary_from", "category_from",
+    )
 
 
-@query("SELECT instance_id, k, iou FROM (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY iou DESC NULLS LAST, k) AS r FROM (SELECT p_partkey AS instance_id, CAST(u.k AS BIGINT) AS k, CASE WHEN (p_partkey + u.k) % 11 = 0 THEN NULL ELSE (p_partkey*(u.k + 3)*7 % 10)/10.0::DOUBLE END AS iou FROM part, unnest(range(0, 3)) AS u(k))) WHERE r = 1")
+@query(
+    "SELECT instance_id, k, iou FROM (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY iou DESC NULLS LAST, k) AS r FROM (SELECT p_partkey AS instance_id, CAST(u.k AS BIGINT) AS k, CASE WHEN (p_partkey + u.k) % 11 = 0 THEN NULL ELSE (p_partkey*(u.k + 3)*7 % 10)/10.0::DOUBLE END AS iou FROM part, unnest(range(0, 3)) AS u(k))) WHERE r = 1"
+)
 def t5_best_masks(spark: SparkSession, sf: str) -> DataFrame:
-    p = V.table(spark, sf, "part").select(F.col("p_partkey").alias("instance_id"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(2).cast("bigint"))).alias("k"))
+    p = V.table(spark, sf, "part").select(
+        F.col("p_partkey").alias("instance_id"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(2).cast("bigint"))).alias("k"),
+    )
     iou = F.when((F.col("instance_id") + F.col("k")) % 11 != 0, (F.col("instance_id") * (F.col("k") + 3) * 7 % 10) / 10.0)
     return entities.best_masks(p.withColumn("iou", iou))
 
@@ -132,10 +184,14 @@ def t5_best_masks(spark: SparkSession, sf: str) -> DataFrame:
 _LEVELS = [*specs.LEVELS, "unheard_of"]
 
 
-@query(f"SELECT level, coalesce(level IN ('strong', 'deterministic_derived'), false) AS for_evaluation, count(*) AS n FROM (SELECT [{', '.join(repr(x) for x in _LEVELS)}, NULL][p_partkey % {len(_LEVELS) + 1} + 1] AS level FROM part) GROUP BY ALL")
+@query(
+    f"SELECT level, coalesce(level IN ('strong', 'deterministic_derived'), false) AS for_evaluation, count(*) AS n FROM (SELECT [{', '.join(repr(x) for x in _LEVELS)}, NULL][p_partkey % {len(_LEVELS) + 1} + 1] AS level FROM part) GROUP BY ALL"
+)
 def p15_evaluation_levels(spark: SparkSession, sf: str) -> DataFrame:
     level = F.get(F.array(*[F.lit(x) for x in _LEVELS], F.lit(None).cast("string")), (F.col("p_partkey") % (len(_LEVELS) + 1)).cast("int"))
-    return V.table(spark, sf, "part").select(level.alias("level")).groupBy("level").agg(F.count("*").alias("n")).withColumn("for_evaluation", specs.for_evaluation(F.col("level"))).select("level", "for_evaluation", "n")
+    return V.table(spark, sf, "part").select(level.alias("level")).groupBy("level").agg(F.count("*").alias("n")).withColumn(
+        "for_evaluation", specs.for_evaluation(F.col("level")),
+    ).select("level", "for_evaluation", "n")
 
 
 @query(
@@ -153,23 +209,54 @@ def p15_evaluation_levels(spark: SparkSession, sf: str) -> DataFrame:
 def v2_layer_issues(spark: SparkSession, sf: str) -> DataFrame:
     """Documents of every layer, each broken in ways that its number decides."""
     k = F.col("s_suppkey")
-    s = V.table(spark, sf, "supplier").select(F.concat(F.lit("scene_"), k.cast("string")).alias("scene_id"), k.alias("k"), F.lit("0.1.0").alias("schema_version"))
+    s = V.table(spark, sf, "supplier").select(
+        F.concat(F.lit("scene_"), k.cast("string")).alias("scene_id"), k.alias("k"), F.lit("0.1.0").alias("schema_version"),
+    )
     k = F.col("k")
     good = F.array(F.lit("x"))
     l0 = s.select(
-        "scene_id", F.when(k % 9 == 0, "one").otherwise("0.1.0").alias("schema_version"), F.lit("local").alias("coordinate_frame"), F.when(k % 3 == 0, "feet").otherwise("meter").alias("unit"),
-        F.struct(F.when(k % 4 != 3, "metric").alias("status"), F.lit("relative").alias("depth_type")).alias("scale"), good.alias("cameras"), F.when(k % 5 == 0, F.slice(good, 1, 0)).otherwise(good).alias("depth"),
+        "scene_id",
+        F.when(k % 9 == 0, "one").otherwise("0.1.0").alias("schema_version"),
+        F.lit("local").alias("coordinate_frame"),
+        F.when(k % 3 == 0, "feet").otherwise("meter").alias("unit"),
+        F.struct(
+            F.when(k % 4 != 3, "metric").alias("status"), F.lit("relative").alias("depth_type"),
+        ).alias("scale"), good.alias("cameras"), F.when(k % 5 == 0, F.slice(good, 1, 0)).otherwise(good).alias("depth"),
     )
     ids = F.array(F.struct(F.when(k % 6 == 1, "obj_1").otherwise("<obj_001>").alias("object_id")))
     l1 = s.select("scene_id", "schema_version", ids.alias("objects"), good.alias("surfaces"), F.when(k % 7 != 0, good).alias("regions"))
     l2 = s.select("scene_id", "schema_version", F.when(k % 8 != 0, good).alias("relations"))
     refs = F.create_map(F.lit("l0_geometry"), F.lit("a"), F.lit("l1_entities"), F.lit("b"), F.when(k % 4 == 0, "l3").otherwise("l2_relations"), F.lit("c"))
-    caps = F.struct(F.lit("relative").alias("scale_status"), F.lit("relative").alias("depth_type"), F.lit(False).alias("metric_task_eligible"), F.when(k % 5 == 1, -1.0).when(k % 5 == 2, 0.5).alias("parallax_ratio"), F.lit(3).alias("entity_count"))
-    snap = s.select("scene_id", "schema_version", F.when(k % 10 == 0, "").otherwise("meta_1").alias("snapshot_id"), F.lit("d").alias("dataset_id"), F.lit("g").alias("split_group_id"), refs.alias("layers"), caps.alias("capabilities"), F.struct(F.lit("G2").alias("gate_id"), F.when(k % 6 == 0, "maybe").otherwise("warn").alias("status")).alias("gate"))
-    tags = F.when(k % 4 == 2, F.array().cast("array<string>")).when(k % 5 == 2, F.array(F.lit("perception"), F.lit("magic"))).otherwise(F.array(F.lit("perception")))
+    caps = F.struct(
+        F.lit("relative").alias("scale_status"),
+        F.lit("relative").alias("depth_type"),
+        F.lit(False).alias("metric_task_eligible"),
+        F.when(k % 5 == 1, -1.0).when(k % 5 == 2, 0.5).alias("parallax_ratio"),
+        F.lit(3).alias("entity_count"),
+    )
+    snap = s.select(
+        "scene_id",
+        "schema_version",
+        F.when(k % 10 == 0, "").otherwise("meta_1").alias("snapshot_id"),
+        F.lit("d").alias("dataset_id"),
+        F.lit("g").alias("split_group_id"),
+        refs.alias("layers"),
+        caps.alias("capabilities"),
+        F.struct(F.lit("G2").alias("gate_id"), F.when(k % 6 == 0, "maybe").otherwise("warn").alias("status")).alias("gate"),
+    )
+    tags = F.when(k % 4 == 2, F.array().cast("array<string>")).when(
+        k % 5 == 2, F.array(F.lit("perception"), F.lit("magic")),
+    ).otherwise(F.array(F.lit("perception")))
     record = s.select(
-        "scene_id", "schema_version", F.lit("task_sample_1").alias("sample_id"), F.when(k % 3 == 1, "Task 1").otherwise("3d_grounding.object@0.1.0").alias("task_spec_id"), F.lit("meta_1").alias("metadata_snapshot_id"), tags.alias("capability_tags"),
-        F.lit("strong").alias("supervision_level"), F.array(F.when(k % 7 == 1, "other").otherwise("multimodal_3d")).alias("adapters"), F.struct(F.when(k % 11 != 0, "object_grounding").alias("target_type")).alias("hidden_target"),
+        "scene_id",
+        "schema_version",
+        F.lit("task_sample_1").alias("sample_id"),
+        F.when(k % 3 == 1, "Task 1").otherwise("3d_grounding.object@0.1.0").alias("task_spec_id"),
+        F.lit("meta_1").alias("metadata_snapshot_id"),
+        tags.alias("capability_tags"),
+        F.lit("strong").alias("supervision_level"), F.array(F.when(k % 7 == 1, "other").otherwise("multimodal_3d")).alias("adapters"), F.struct(
+            F.when(k % 11 != 0, "object_grounding").alias("target_type")
+        ).alias("hidden_target"),
     )
     out = None
     for name, df in (("l0_geometry", l0), ("l1_entities", l1), ("l2_relations", l2), ("metadata_snapshot", snap), ("canonical_task_record", record)):
@@ -196,7 +283,14 @@ def f21_arms(spark: SparkSession, sf: str) -> DataFrame:
     seen = grading.arms(c, "metadata").withColumn("v", F.from_json("view", _SHOWN))
     own, given = F.col("metadata")["entities"], F.col("v")["entities"]
     other = F.filter(F.zip_with(own, given, lambda a, b: ~F.coalesce(a["geometry"]["centroid"] == b["geometry"]["centroid"], F.lit(False))), lambda x: x)
-    return seen.select("scene_id", "arm", F.array_join(given["object_id"], ",").alias("ids"), F.col("v")["observer"].isNotNull().alias("has_observer"), F.exists(given, lambda e: e["geometry"].isNotNull()).alias("has_geometry"), F.size(other).cast("bigint").alias("n_other"))
+    return seen.select(
+        "scene_id",
+        "arm",
+        F.array_join(given["object_id"], ",").alias("ids"),
+        F.col("v")["observer"].isNotNull().alias("has_observer"),
+        F.exists(given, lambda e: e["geometry"].isNotNull()).alias("has_geometry"),
+        F.size(other).cast("bigint").alias("n_other"),
+    )
 
 
 @query(
@@ -212,7 +306,9 @@ def j13_graded_answers(spark: SparkSession, sf: str) -> DataFrame:
     rendered = render.render(records, "multimodal_3d")
     label = F.split("scene_id", "_")[1].cast("int")
     trials = F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), F.lit(t).alias("trial")) for a in grading.ARMS for t in range(2)]))
-    said = records.filter("status = 'record'").select("sample_id", "scene_id", F.col("target.object_id").alias("right"), trials.alias("e")).select("sample_id", "e.*", F.when((F.col("e.arm") == "b") | (label % 2 == 0), F.col("right")).otherwise("<obj_999999>").alias("object_id"))
+    said = records.filter("status = 'record'").select("sample_id", "scene_id", F.col("target.object_id").alias("right"), trials.alias("e")).select(
+        "sample_id", "e.*", F.when((F.col("e.arm") == "b") | (label % 2 == 0), F.col("right")).otherwise("<obj_999999>").alias("object_id"),
+    )
     said = said.unionByName(said.withColumn("sample_id", F.lit("task_sample_none")))
     met = grading.answered(said, records, rendered)
     wanted = F.col("target")["object_id"]
@@ -229,6 +325,8 @@ def j13_graded_answers(spark: SparkSession, sf: str) -> DataFrame:
 def f25_required_fields(spark: SparkSession, sf: str) -> DataFrame:
     """Fields that are there, null, or missing at either level, and a number."""
     k, i = F.col("event_id") % 5, F.col("event_id").cast("string")
-    said = F.when(k == 0, F.concat(F.lit('{"a": {"b": "v'), i, F.lit('"}}'))).when(k == 1, '{"a": {"b": null}}').when(k == 2, '{"a": {"c": 1}}').when(k == 3, '{"b": 1}').otherwise(F.concat(F.lit('{"a": {"b": '), i, F.lit("}}")))
+    said = F.when(
+        k == 0, F.concat(F.lit('{"a": {"b": "v'), i, F.lit('"}}')),
+    ).when(k == 1, '{"a": {"b": null}}').when(k == 2, '{"a": {"c": 1}}').when(k == 3, '{"b": 1}').otherwise(F.concat(F.lit('{"a": {"b": '), i, F.lit("}}")))
     r = T.required(said, "a.b")
     return V.table(spark, sf, "events").select("event_id", r.alias("r")).select("event_id", "r.value", "r.err")

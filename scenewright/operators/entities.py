@@ -43,13 +43,20 @@ def depth_statistics(pixels: DataFrame) -> DataFrame:
     floors = exact_percentile(pixels, ["scene_id"], "conf", FLOOR_QUANTILE, "conf_floor")
     rows = pixels.join(floors, "scene_id")
     finite = F.coalesce(F.col("depth").isNotNull() & ~F.isnan("depth") & (F.abs("depth") < float("inf")), F.lit(False))
-    out = rows.groupBy("scene_id", "conf_floor").agg(F.count("*").alias("n_pixels"), F.avg((F.col("conf") > F.col("conf_floor")).cast("double")).alias("coverage"), F.avg((~finite).cast("double")).alias("invalid_ratio"), F.max("conf").alias("scene_conf"))
+    out = rows.groupBy("scene_id", "conf_floor").agg(
+        F.count("*").alias("n_pixels"),
+        F.avg((F.col("conf") > F.col("conf_floor")).cast("double")).alias("coverage"),
+        F.avg((~finite).cast("double")).alias("invalid_ratio"),
+        F.max("conf").alias("scene_conf"),
+    )
     return out.join(exact_percentile(pixels, ["scene_id"], "depth", 0.5, "median_depth"), "scene_id", "left")
 
 
 def kept_pixels(pixels: DataFrame, floors: DataFrame, skip: list[int]) -> DataFrame:
     """Pixels of classes not skipped, with a valid depth and a confidence at or over their scene's floor."""
-    return pixels.join(floors.select("scene_id", "conf_floor"), "scene_id").filter(valid_depth(F.col("depth")) & (F.col("conf") >= F.col("conf_floor")) & ~F.col("class_id").isin(skip))
+    return pixels.join(floors.select("scene_id", "conf_floor"), "scene_id").filter(
+        valid_depth(F.col("depth")) & (F.col("conf") >= F.col("conf_floor")) & ~F.col("class_id").isin(skip)
+    )
 
 
 def label_components(y: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -147,16 +154,35 @@ def oriented_boxes(points: DataFrame, keys: list[str]) -> DataFrame:
     stats = point_statistics(points, keys)
     axes = stats.withColumn("e", _axes(*[F.col(c) for c in ("vxx", "vyy", "vzz", "vxy", "vxz", "vyz")]))
     err = F.when(F.col("n") < 3, "fewer than three points").when(F.col("e").isNull() | (F.get("e", F.lit(0)) <= 1e-12), "points do not spread")
-    axes = axes.select(*keys, F.array("cx", "cy", "cz").alias("mean"), F.slice("e", 1, 3).alias("variances"), F.array(*[F.slice("e", 4 + 3 * k, 3) for k in range(3)]).alias("axes"), err.alias("err"))
+    axes = axes.select(
+        *keys,
+        F.array("cx", "cy", "cz").alias("mean"),
+        F.slice("e", 1, 3).alias("variances"),
+        F.array(*[F.slice("e", 4 + 3 * k, 3) for k in range(3)]).alias("axes"),
+        err.alias("err"),
+    )
     p = F.array("x", "y", "z")
     met = points.join(axes, keys)
     along = [G.dot(G.sub(p, F.col("mean")), F.get("axes", F.lit(k))) for k in range(3)]
-    out = met.groupBy(*keys).agg(F.first("mean").alias("mean"), F.first("variances").alias("variances"), F.first("axes").alias("axes"), F.first("err").alias("err"), *[f(a).alias(f"{n}{k}") for k, a in enumerate(along) for n, f in (("lo", F.min), ("hi", F.max))])
+    out = met.groupBy(*keys).agg(
+        F.first("mean").alias("mean"),
+        F.first("variances").alias("variances"),
+        F.first("axes").alias("axes"),
+        F.first("err").alias("err"),
+        *[f(a).alias(f"{n}{k}") for k, a in enumerate(along) for n, f in (("lo", F.min), ("hi", F.max))],
+    )
     center = F.col("mean")
     for k in range(3):
         center = G.add(center, G.scale(F.get("axes", F.lit(k)), (F.col(f"lo{k}") + F.col(f"hi{k}")) / 2))
     good = F.col("err").isNull()
-    return out.select(*keys, "variances", F.when(good, F.col("axes")).alias("axes"), F.when(good, F.array(*[F.col(f"hi{k}") - F.col(f"lo{k}") for k in range(3)])).alias("extent"), F.when(good, center).alias("center"), "err")
+    return out.select(
+        *keys,
+        "variances",
+        F.when(good, F.col("axes")).alias("axes"),
+        F.when(good, F.array(*[F.col(f"hi{k}") - F.col(f"lo{k}") for k in range(3)])).alias("extent"),
+        F.when(good, center).alias("center"),
+        "err",
+    )
 
 
 MERGED = "scene_id string, category string, seed long, cx double, cy double, cz double, point_count long, lo array<double>, hi array<double>, frames array<long>, merged_from array<long>"
@@ -185,7 +211,19 @@ def merge_objects(objects: DataFrame, factor: float = 0.25) -> DataFrame:
             free[take] = False
             w = weight[take]
             mean = (xyz[take] * w[:, None]).sum(axis=0) / max(w.sum(), 1)
-            rows.append((part["scene_id"].iat[i], part["category"].iat[i], part["pos"].iat[i], *mean, int(w.sum()), lo[take].min(axis=0).tolist(), hi[take].max(axis=0).tolist(), sorted(set(part["frame"].iloc[take].tolist())), part["pos"].iloc[take].tolist()))
+            rows.append(
+                (
+                    part["scene_id"].iat[i],
+                    part["category"].iat[i],
+                    part["pos"].iat[i],
+                    *mean,
+                    int(w.sum()),
+                    lo[take].min(axis=0).tolist(),
+                    hi[take].max(axis=0).tolist(),
+                    sorted(set(part["frame"].iloc[take].tolist())),
+                    part["pos"].iloc[take].tolist(),
+                )
+            )
         return pd.DataFrame(rows, columns=[f.split()[0] for f in MERGED.split(", ")])
 
     merged = rows.groupBy("scene_id", "category").applyInPandas(merge, MERGED)
@@ -201,7 +239,9 @@ def close_pairs(objects: DataFrame, radius: float) -> DataFrame:
         left = left.withColumn(f"g{c}", F.explode(F.sequence(F.col(f"g{c}") - 1, F.col(f"g{c}") + 1)))
     right = objects.select("scene_id", "category", F.col("pos").alias("b"), *[F.col(c).alias(f"b{c}") for c in "xyz"], *[cell(c).alias(f"g{c}") for c in "xyz"])
     d = F.sqrt(sum(F.pow(F.col(f"a{c}") - F.col(f"b{c}"), 2) for c in "xyz"))
-    return left.join(right, ["scene_id", "category", "gx", "gy", "gz"]).filter((F.col("a") < F.col("b")) & (d <= radius)).select("scene_id", "category", "a", "b", d.alias("distance"))
+    return left.join(right, ["scene_id", "category", "gx", "gy", "gz"]).filter((F.col("a") < F.col("b")) & (d <= radius)).select(
+        "scene_id", "category", "a", "b", d.alias("distance"),
+    )
 
 
 def runs_of(masks: DataFrame) -> DataFrame:
@@ -217,8 +257,12 @@ def fuse_instances(masks: DataFrame, pixels: DataFrame, ignore: list[int], min_p
     each run of an instance of any shape. They meet pixels by (frame, y), never pixel by pixel of their own.
     """
     cover = runs_of(masks)
-    votes = cover.join(pixels.select("frame", "y", "x", "class_id"), ["frame", "y"]).filter(F.col("x").between(F.col("x0"), F.col("x1"))).filter(~F.col("class_id").isin(ignore)).groupBy("instance_id", "class_id").agg(F.count("*").alias("votes"))
-    won = votes.groupBy("instance_id").agg(F.max_by("class_id", F.struct("votes", -F.col("class_id"))).alias("class_id"), F.max("votes").alias("votes"), F.sum("votes").alias("n_votes"))
+    votes = cover.join(
+        pixels.select("frame", "y", "x", "class_id"), ["frame", "y"],
+    ).filter(F.col("x").between(F.col("x0"), F.col("x1"))).filter(~F.col("class_id").isin(ignore)).groupBy("instance_id", "class_id").agg(F.count("*").alias("votes"))
+    won = votes.groupBy("instance_id").agg(
+        F.max_by("class_id", F.struct("votes", -F.col("class_id"))).alias("class_id"), F.max("votes").alias("votes"), F.sum("votes").alias("n_votes"),
+    )
     return won.withColumn("purity", F.round(F.col("votes") / F.col("n_votes"), 4)).filter(F.col("purity") >= min_purity)
 
 
@@ -233,7 +277,12 @@ def with_proposals(fused: DataFrame, masks: DataFrame, classes: list[str]) -> Da
 
     The name comes from the vote alone; a proposal never changes it. boundary_from and category_from say what each rests on.
     """
-    rows = fused.join(masks.select("instance_id", F.col("label").alias("label_proposed"), ((F.col("y1") - F.col("y0") + 1) * (F.col("x1") - F.col("x0") + 1)).alias("mask_pixels")), "instance_id")
+    rows = fused.join(
+        masks.select(
+            "instance_id", F.col("label").alias("label_proposed"), ((F.col("y1") - F.col("y0") + 1) * (F.col("x1") - F.col("x0") + 1)).alias("mask_pixels"),
+        ),
+        "instance_id",
+    )
     name = F.coalesce(F.get(F.array(*[F.lit(c) for c in classes]), F.col("class_id").cast("int")), F.lit("other"))
     rows = rows.withColumn("category", name).withColumn("label_proposed_canonical", T.canonical_class(F.col("label_proposed")))
     rows = rows.withColumn("category_agrees", F.col("category") == F.col("label_proposed_canonical"))
@@ -258,4 +307,6 @@ def resize_nearest(pixels: DataFrame, height: int, width: int, to_height: int, t
         low, high = first(F.col(c)), F.least(first(F.col(c) + 1), F.lit(m))
         return F.when(low < high, F.sequence(low, high - 1))
 
-    return pixels.withColumn("new_y", F.explode(targets("y", height, to_height))).withColumn("new_x", F.explode(targets("x", width, to_width))).drop("y", "x").withColumnsRenamed({"new_y": "y", "new_x": "x"})
+    return pixels.withColumn(
+        "new_y", F.explode(targets("y", height, to_height)),
+    ).withColumn("new_x", F.explode(targets("x", width, to_width))).drop("y", "x").withColumnsRenamed({"new_y": "y", "new_x": "x"})

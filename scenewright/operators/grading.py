@@ -29,12 +29,21 @@ def check_distance(answer: Column, observer: Column, lines: Column, tolerance: f
     def graded(ranked: Column) -> Column:
         first, second = F.get(ranked, F.lit(0)), F.get(ranked, F.lit(1))
         return _result(
-            (F.coalesce(F.size(lines), F.lit(0)) <= 0, None, None, "no evidence"), (F.exists(ranked, lambda x: x["err"].isNotNull()), None, None, "evidence is degenerate"),
-            (second["d"] - first["d"] <= tolerance, False, "NON_UNIQUE_ANSWER", None), (~F.coalesce(answer["object_id"] == first["id"], F.lit(False)), False, "CHECKER_DISAGREEMENT", None),
+            (F.coalesce(F.size(lines), F.lit(0)) <= 0, None, None, "no evidence"), (
+                F.exists(ranked, lambda x: x["err"].isNotNull()), None, None, "evidence is degenerate",
+            ),
+            (second["d"] - first["d"] <= tolerance, False, "NON_UNIQUE_ANSWER", None), (
+                ~F.coalesce(answer["object_id"] == first["id"], F.lit(False)), False, "CHECKER_DISAGREEMENT", None,
+            ),
             (answer["distance_m"].isNull() | number.isNull() | F.isnan(number), False, "INVALID_UNIT", None), otherwise=F.abs(number - first["d"]) <= tolerance,
         )
 
-    each = F.transform(lines, lambda x, i: G.let(G.point_to_polyline(observer, x["line"]), lambda r: F.struct(r["value"]["d"].alias("d"), i.alias("pos"), x["id"].alias("id"), r["err"].alias("err"))))
+    each = F.transform(
+        lines,
+        lambda x, i: G.let(
+            G.point_to_polyline(observer, x["line"]), lambda r: F.struct(r["value"]["d"].alias("d"), i.alias("pos"), x["id"].alias("id"), r["err"].alias("err")),
+        ),
+    )
     return G.let(F.array_sort(each), graded)
 
 
@@ -42,8 +51,12 @@ def check_grounding(answer: Column, target_id: Column, candidates: Column, ambig
     """answer: struct(object_id, ambiguous). Where several candidates fit, only "ambiguous" is right."""
     many, said = F.coalesce(F.size(ambiguous_ids), F.lit(0)) > 1, F.coalesce(answer["ambiguous"], F.lit(False))
     return _result(
-        (~F.coalesce(F.array_contains(candidates, target_id), F.lit(False)), None, None, "target is no candidate"), (many & ~said, False, "AMBIGUITY_UNMARKED", None), (many & said, True, None, None),
-        (said, False, "CHECKER_DISAGREEMENT", None), (~F.coalesce(F.array_contains(candidates, answer["object_id"]), F.lit(False)), False, "NONEXISTENT_ENTITY_REFERENCE", None),
+        (
+            ~F.coalesce(F.array_contains(candidates, target_id), F.lit(False)), None, None, "target is no candidate",
+        ), (many & ~said, False, "AMBIGUITY_UNMARKED", None), (many & said, True, None, None),
+        (said, False, "CHECKER_DISAGREEMENT", None), (
+            ~F.coalesce(F.array_contains(candidates, answer["object_id"]), F.lit(False)), False, "NONEXISTENT_ENTITY_REFERENCE", None,
+        ),
         otherwise=answer["object_id"] == target_id,
     )
 
@@ -52,14 +65,18 @@ def check_direction(answer: Column, target: Column, observer: Column, forward: C
     """answer: struct(longitudinal, lateral). Inside the dead zone no answer is right."""
     r = G.relative_direction(target, observer, forward, up, deadzone)
     same = F.coalesce((answer["longitudinal"] == r["value"]["longitudinal"]) & (answer["lateral"] == r["value"]["lateral"]), F.lit(False))
-    return _result((r["err"].isNotNull(), None, None, "evidence is degenerate"), (r["value"]["lateral"] == "ambiguous", False, "NON_UNIQUE_ANSWER", None), otherwise=same)
+    return _result(
+        (r["err"].isNotNull(), None, None, "evidence is degenerate"), (r["value"]["lateral"] == "ambiguous", False, "NON_UNIQUE_ANSWER", None), otherwise=same,
+    )
 
 
 def check_correspondence(answer: Column, same_entity: Column) -> Column:
     """answer: struct(same_entity, confidence)."""
     c = answer["confidence"]
     return _result(
-        (same_entity.isNull(), None, None, "no evidence"), (answer["same_entity"].isNull(), False, "SCHEMA_UNREPAIRABLE", None), (c.isNotNull() & (F.isnan(c) | (c < 0) | (c > 1)), False, "SCHEMA_UNREPAIRABLE", None),
+        (same_entity.isNull(), None, None, "no evidence"), (answer["same_entity"].isNull(), False, "SCHEMA_UNREPAIRABLE", None), (
+            c.isNotNull() & (F.isnan(c) | (c < 0) | (c > 1)), False, "SCHEMA_UNREPAIRABLE", None,
+        ),
         otherwise=answer["same_entity"] == same_entity,
     )
 
@@ -73,7 +90,10 @@ def wilson(hits: Column, n: Column, z: float = 1.96) -> Column:
     """struct(low, high) of a share; (0, 1) without trials."""
     p = F.try_divide(hits.cast("double"), n)
     mid, half = (p + z * z / (2 * n)) / (1 + z * z / n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
-    return F.struct(F.when(n > 0, F.greatest(F.lit(0.0), mid - half)).otherwise(0.0).alias("low"), F.when(n > 0, F.least(F.lit(1.0), mid + half)).otherwise(1.0).alias("high"))
+    return F.struct(
+        F.when(n > 0, F.greatest(F.lit(0.0), mid - half)).otherwise(0.0).alias("low"),
+        F.when(n > 0, F.least(F.lit(1.0), mid + half)).otherwise(1.0).alias("high"),
+    )
 
 
 def lift(trials: DataFrame) -> DataFrame:
@@ -81,7 +101,9 @@ def lift(trials: DataFrame) -> DataFrame:
     arms = trials.groupBy("arm").agg(F.sum("hit").alias("hits"), F.count("*").alias("n")).withColumn("accuracy", F.col("hits") / F.col("n"))
     arms = arms.withColumn("ci", wilson(F.col("hits"), F.col("n")))
     of = lambda a: F.max(F.when(F.col("arm") == a, F.col("accuracy")))
-    whole = trials.groupBy("arm").agg((F.sum("hit") / F.count("*")).alias("accuracy")).agg((of("b") - of("a")).alias("lift"), (of("c") - of("a")).alias("pseudo"), (of("b") - of("c")).alias("net"))
+    whole = trials.groupBy("arm").agg((F.sum("hit") / F.count("*")).alias("accuracy")).agg(
+        (of("b") - of("a")).alias("lift"), (of("c") - of("a")).alias("pseudo"), (of("b") - of("c")).alias("net"),
+    )
     return arms.crossJoin(F.broadcast(whole)).select("arm", "hits", "n", "accuracy", F.col("ci")["low"].alias("low"), F.col("ci")["high"].alias("high"), "lift", "pseudo", "net")  # one row beside three
 
 
@@ -150,7 +172,14 @@ def threshold_sweep(scores: DataFrame, thresholds: list[float], frames: int) ->
     out = every.join(counts, "threshold", "left").fillna(0, ["real", "false"])
     lowest = out.agg(F.min(F.when(F.col("false") == 0, F.col("threshold"))).alias("lowest"))
     out = out.crossJoin(F.broadcast(lowest))
-    return out.select("threshold", F.col("real").alias("n_real"), F.col("false").alias("n_negative"), (F.col("real") / frames).alias("real_rate"), F.try_divide(F.col("real").cast("double"), F.col("false")).alias("discriminability"), F.coalesce(F.col("threshold") == F.col("lowest"), F.lit(False)).alias("is_lowest_clean"))
+    return out.select(
+        "threshold",
+        F.col("real").alias("n_real"),
+        F.col("false").alias("n_negative"),
+        (F.col("real") / frames).alias("real_rate"),
+        F.try_divide(F.col("real").cast("double"), F.col("false")).alias("discriminability"),
+        F.coalesce(F.col("threshold") == F.col("lowest"), F.lit(False)).alias("is_lowest_clean"),
+    )
 
 
 def best_phrases(token_scores: DataFrame, threshold: float) -> DataFrame:

@@ -22,11 +22,28 @@ def parallax_ratio(span: Column, median_depth: Column) -> Column:
 def geometry_layer(statistics: DataFrame, spans: DataFrame) -> DataFrame:
     """One row per scene of depth_statistics and camera_span: the geometry layer without any claim to metric scale."""
     rows = statistics.join(spans.select("scene_id", "span"), "scene_id")
-    scale = F.struct(F.lit("relative").alias("status"), F.lit("none").alias("source"), F.lit("relative").alias("depth_type"), F.lit(False).alias("domain_calibrated"), F.lit(False).alias("anchor_provenance_verified"))
-    depth = F.struct(F.concat(F.lit("dep_"), T.short_hash(F.col("scene_id"), F.lit("vggt"))).alias("artifact_id"), F.lit(DEPTH_PRODUCER).alias("producer"), F.lit("primary").alias("role"), F.lit("relative").alias("depth_type"))
+    scale = F.struct(
+        F.lit("relative").alias("status"),
+        F.lit("none").alias("source"),
+        F.lit("relative").alias("depth_type"),
+        F.lit(False).alias("domain_calibrated"),
+        F.lit(False).alias("anchor_provenance_verified"),
+    )
+    depth = F.struct(
+        F.concat(F.lit("dep_"), T.short_hash(F.col("scene_id"), F.lit("vggt"))).alias("artifact_id"),
+        F.lit(DEPTH_PRODUCER).alias("producer"),
+        F.lit("primary").alias("role"),
+        F.lit("relative").alias("depth_type"),
+    )
     return rows.select(
-        F.lit(SCHEMA_VERSION).alias("schema_version"), "scene_id", F.concat(F.lit("vggt_omega_local::"), "scene_id").alias("coordinate_frame"), F.lit("unknown").alias("unit"), scale.alias("scale"), F.array(depth).alias("depth"),
-        "coverage", "invalid_ratio", F.col("span").alias("camera_span"), "median_depth", parallax_ratio(F.col("span"), F.col("median_depth")).alias("parallax_ratio"),
+        F.lit(SCHEMA_VERSION).alias("schema_version"), "scene_id", F.concat(
+            F.lit("vggt_omega_local::"), "scene_id",
+        ).alias("coordinate_frame"), F.lit("unknown").alias("unit"), scale.alias("scale"), F.array(depth).alias("depth"),
+        "coverage",
+        "invalid_ratio",
+        F.col("span").alias("camera_span"),
+        "median_depth",
+        parallax_ratio(F.col("span"), F.col("median_depth")).alias("parallax_ratio"),
     )
 
 
@@ -47,7 +64,12 @@ def entity_rows(objects: DataFrame, classes: list[str], semantic_source: str = "
         F.lit("deterministic_derived").alias("supervision_level"),
     )
     return objects.select(
-        "scene_id", T.format_id("obj", F.row_number().over(order)).alias("object_id"), name.alias("category"), centroid.alias("centroid"), F.concat(low, high).alias("aabb"), extent.alias("extent"),
+        "scene_id",
+        T.format_id("obj", F.row_number().over(order)).alias("object_id"),
+        name.alias("category"),
+        centroid.alias("centroid"),
+        F.concat(low, high).alias("aabb"),
+        extent.alias("extent"),
         F.col("n_points").alias("point_count"), F.array("frame").alias("visible_frames"), confidence.alias("confidence"), provenance.alias("provenance"),
     )
 
@@ -62,12 +84,21 @@ def snapshots(geometry: DataFrame, entities: DataFrame, digests: DataFrame, grou
     rows = geometry.select("scene_id", "parallax_ratio").join(counts, "scene_id", "left").fillna(0, ["entity_count"]).join(digests, "scene_id", "left").join(groups, "scene_id", "left")
     few = F.col("entity_count") < LEAST_ENTITIES
     caps = F.struct(
-        F.lit("relative").alias("scale_status"), F.lit("relative").alias("depth_type"), F.lit(False).alias("metric_task_eligible"), F.array(F.lit("object")).alias("available_entity_types"),
-        F.lit(None).cast("double").alias("camera_baseline_m"), "parallax_ratio", F.lit(None).cast("double").alias("nadir_angle_median_deg"), F.lit(None).cast("double").alias("depth_relief_ratio"), "entity_count",
+        F.lit("relative").alias("scale_status"),
+        F.lit("relative").alias("depth_type"),
+        F.lit(False).alias("metric_task_eligible"),
+        F.array(F.lit("object")).alias("available_entity_types"),
+        F.lit(None).cast("double").alias("camera_baseline_m"),
+        "parallax_ratio",
+        F.lit(None).cast("double").alias("nadir_angle_median_deg"),
+        F.lit(None).cast("double").alias("depth_relief_ratio"),
+        "entity_count",
     )
     warning = F.when(few, F.array(F.format_string(f"%d entities, fewer than {LEAST_ENTITIES}", "entity_count"))).otherwise(F.array().cast("array<string>"))
     gate = F.struct(F.lit("G2").alias("gate_id"), F.when(few, "warn").otherwise("pass").alias("status"), warning.alias("warnings"))
     return rows.select(
-        F.lit(SCHEMA_VERSION).alias("schema_version"), F.concat(F.lit("meta_"), T.short_hash(F.col("scene_id"), F.lit(CODE_VERSION))).alias("snapshot_id"), "scene_id", F.lit(dataset).alias("dataset_id"),
+        F.lit(SCHEMA_VERSION).alias("schema_version"), F.concat(
+            F.lit("meta_"), T.short_hash(F.col("scene_id"), F.lit(CODE_VERSION)),
+        ).alias("snapshot_id"), "scene_id", F.lit(dataset).alias("dataset_id"),
         F.col("split_group").alias("split_group_id"), "layers", caps.alias("capabilities"), gate.alias("gate"),
     )

@@ -16,7 +16,9 @@ DATASET = "uavscenes"
 def runs(members: DataFrame) -> DataFrame:
     """run and split_group of every run folder. Runs of one place share a group, so a split by group never parts them."""
     name = F.get(F.split("path", "/"), F.lit(1))
-    return members.filter((F.col("archive") == CAMERA_ARCHIVE) & (F.size(F.split("path", "/")) >= 3)).select(name.alias("run")).distinct().select("run", split_group(F.col("run")).alias("split_group"))
+    return members.filter(
+        (F.col("archive") == CAMERA_ARCHIVE) & (F.size(F.split("path", "/")) >= 3)
+    ).select(name.alias("run")).distinct().select("run", split_group(F.col("run")).alias("split_group"))
 
 
 def split_group(run: Column) -> Column:
@@ -41,8 +43,15 @@ def clouds(members: DataFrame) -> DataFrame:
     """run, stem (of the image it belongs to), lidar_path, lidar_ns; of several the last by path."""
     name = F.element_at(F.split("path", "/"), -1)
     found = members.filter((F.col("archive") == CAMERA_ARCHIVE) & F.col("path").contains("/interval5_LIDAR/") & name.rlike(LIDAR))
-    found = found.select(F.get(F.split("path", "/"), F.lit(1)).alias("run"), F.regexp_extract(name, LIDAR, 1).alias("stem"), F.regexp_extract(name, LIDAR, 2).alias("stamp"), "path")
-    return found.groupBy("run", "stem").agg(F.max("path").alias("lidar_path"), F.max_by("stamp", "path").alias("stamp")).select("run", "stem", "lidar_path", T.ns_of(F.col("stamp")).alias("lidar_ns"))
+    found = found.select(
+        F.get(F.split("path", "/"), F.lit(1)).alias("run"),
+        F.regexp_extract(name, LIDAR, 1).alias("stem"),
+        F.regexp_extract(name, LIDAR, 2).alias("stamp"),
+        "path",
+    )
+    return found.groupBy("run", "stem").agg(
+        F.max("path").alias("lidar_path"), F.max_by("stamp", "path").alias("stamp"),
+    ).select("run", "stem", "lidar_path", T.ns_of(F.col("stamp")).alias("lidar_ns"))
 
 
 def pair_frames(members: DataFrame, poses: DataFrame | None = None) -> DataFrame:
@@ -74,7 +83,9 @@ def positions(df: DataFrame, keys: list[str], ts: str, tie: str, width: int) ->
     before = Window.partitionBy(*keys).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("stretch_start", F.coalesce(F.sum("stretch_rows").over(before), F.lit(0))).drop("stretch_rows")
     within = Window.partitionBy(*keys, "stretch").orderBy(ts, tie)
-    return rows.withColumn("in_stretch", F.row_number().over(within) - 1).join(counts, [*keys, "stretch"]).withColumn("n", (F.col("stretch_start") + F.col("in_stretch")).cast("bigint")).drop("stretch", "stretch_start", "in_stretch")
+    return rows.withColumn("in_stretch", F.row_number().over(within) - 1).join(counts, [*keys, "stretch"]).withColumn(
+        "n", (F.col("stretch_start") + F.col("in_stretch")).cast("bigint"),
+    ).drop("stretch", "stretch_start", "in_stretch")
 
 
 def scene_windows(frames: DataFrame, length: int = 50, stride: int | None = None, least: int = 20, width: int = 3_600_000_000_000) -> DataFrame:
@@ -95,13 +106,17 @@ def scene_windows(frames: DataFrame, length: int = 50, stride: int | None = None
 
 def scenes(windows: DataFrame) -> DataFrame:
     """run, scene_index, n_frames, first_ns, last_ns, duration_s."""
-    return windows.groupBy("run", "scene_index").agg(F.count("*").alias("n_frames"), F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns")).withColumn("duration_s", F.round((F.col("last_ns") - F.col("first_ns")) / 1e9, 3))
+    return windows.groupBy("run", "scene_index").agg(
+        F.count("*").alias("n_frames"), F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns"),
+    ).withColumn("duration_s", F.round((F.col("last_ns") - F.col("first_ns")) / 1e9, 3))
 
 
 def rows_in_scenes(track: DataFrame, scene: DataFrame, width: int = 60_000_000_000) -> DataFrame:
     """Track rows of a run within [first_ns, last_ns] of its scenes, as an equi-join on run and stretches of time plus the exact test."""
     by = scene.withColumn("stretch", F.explode(F.sequence(F.floor(F.col("first_ns") / width), F.floor(F.col("last_ns") / width))))
-    return track.withColumn("stretch", F.floor(F.col("ts_ns") / width)).join(by, ["run", "stretch"]).filter("ts_ns BETWEEN first_ns AND last_ns").drop("stretch")
+    return track.withColumn(
+        "stretch", F.floor(F.col("ts_ns") / width),
+    ).join(by, ["run", "stretch"]).filter("ts_ns BETWEEN first_ns AND last_ns").drop("stretch")
 
 
 def span(rows: DataFrame, keys: list[str], axes: list[str]) -> DataFrame:
@@ -111,7 +126,12 @@ def span(rows: DataFrame, keys: list[str], axes: list[str]) -> DataFrame:
 
 def ingest_report(paired: DataFrame) -> DataFrame:
     """By run: images, those without point cloud, without label, whether any label exists."""
-    return paired.groupBy("run").agg(F.count("*").alias("requested"), F.count_if(F.col("lidar_path").isNull()).alias("missing_lidar"), F.count_if(F.col("label_path").isNull()).alias("missing_label"), F.bool_or(F.col("label_path").isNotNull()).alias("has_labels"))
+    return paired.groupBy("run").agg(
+        F.count("*").alias("requested"),
+        F.count_if(F.col("lidar_path").isNull()).alias("missing_lidar"),
+        F.count_if(F.col("label_path").isNull()).alias("missing_label"),
+        F.bool_or(F.col("label_path").isNotNull()).alias("has_labels"),
+    )
 
 
 def build_scenes(paired: DataFrame, track: DataFrame, length: int = 50, stride: int | None = None, least: int = 20) -> DataFrame:
@@ -129,21 +149,40 @@ def build_scenes(paired: DataFrame, track: DataFrame, length: int = 50, stride:
     at = [F.when(there, F.get(F.get(t, F.lit(k)), F.lit(3))) for k in range(3)]
     last = lambda c: F.element_at(F.split(c, "/"), -1)
     frame = F.struct(
-        "n", "frame_id", F.col("ts_ns").alias("timestamp_ns"), F.concat(F.lit("images/"), last("path")).alias("image_uri"), F.array("pose.Height", "pose.Width").alias("original_size"), F.col("pose.P3x3").alias("K"), t.alias("pose"),
-        F.concat(F.lit("lidar/"), last("lidar_path")).alias("lidar_uri"), "lidar_ns", F.concat(F.lit("labels_cam/"), last("label_path")).alias("semantic_2d"), F.concat(F.lit("labels_lidar/"), last("cloud_label_path")).alias("semantic_3d"),
+        "n",
+        "frame_id",
+        F.col("ts_ns").alias("timestamp_ns"),
+        F.concat(F.lit("images/"), last("path")).alias("image_uri"),
+        F.array("pose.Height", "pose.Width").alias("original_size"),
+        F.col("pose.P3x3").alias("K"),
+        t.alias("pose"),
+        F.concat(F.lit("lidar/"), last("lidar_path")).alias("lidar_uri"), "lidar_ns", F.concat(F.lit("labels_cam/"), last("label_path")).alias("semantic_2d"), F.concat(
+            F.lit("labels_lidar/"), last("cloud_label_path"),
+        ).alias("semantic_3d"),
     )
     has = lambda c, kind: F.when(F.max((there & F.col(c).isNotNull()).cast("int")) == 1, kind)
     scene = windows.groupBy("run", "scene_index").agg(
-        F.count("*").alias("frames_requested"), F.count_if(there).alias("frames_emitted"), F.count_if(~there).alias("frames_missing_pose"), F.count_if(there & F.col("lidar_path").isNull()).alias("frames_missing_lidar"),
+        F.count("*").alias("frames_requested"),
+        F.count_if(there).alias("frames_emitted"),
+        F.count_if(~there).alias("frames_missing_pose"),
+        F.count_if(there & F.col("lidar_path").isNull()).alias("frames_missing_lidar"),
         F.min(F.when(there, F.col("ts_ns"))).alias("first_ns"), F.max(F.when(there, F.col("ts_ns"))).alias("last_ns"),
         F.array(*[F.round(F.max(a) - F.min(a), 3) for a in at]).alias("span"),
         F.array_compact(F.array(has("label_path", "semantic_2d"), has("cloud_label_path", "semantic_3d"))).alias("annotations"),
         F.array_sort(F.collect_list(F.when(there, frame))).alias("frames"),
     )
-    counted = rows_in_scenes(track.select("run", "ts_ns"), scene.select("run", "scene_index", "first_ns", "last_ns").filter("first_ns is not null")).groupBy("run", "scene_index").agg(F.count("*").alias("track_samples"))
+    counted = rows_in_scenes(
+        track.select("run", "ts_ns"), scene.select("run", "scene_index", "first_ns", "last_ns").filter("first_ns is not null"),
+    ).groupBy("run", "scene_index").agg(F.count("*").alias("track_samples"))
     out = scene.join(counted, ["run", "scene_index"], "left")
     return out.select(
-        F.format_string(f"{DATASET}_%s_%04d", F.regexp_replace("run", "interval5_", ""), "scene_index").alias("scene_id"), split_group(F.col("run")).alias("split_group"), "run", "scene_index", "frames", "annotations",
-        "frames_requested", "frames_emitted", "frames_missing_pose", "frames_missing_lidar", F.round((F.col("last_ns") - F.col("first_ns")) / 1e9, 3).alias("duration_s"),
-        F.coalesce("track_samples", F.lit(0)).cast("bigint").alias("track_samples"), "span", F.when(F.col("frames_emitted") == 0, "no frame has a pose").alias("err"),
+        F.format_string(
+            f"{DATASET}_%s_%04d", F.regexp_replace("run", "interval5_", ""), "scene_index",
+        ).alias("scene_id"), split_group(F.col("run")).alias("split_group"), "run", "scene_index", "frames", "annotations",
+        "frames_requested", "frames_emitted", "frames_missing_pose", "frames_missing_lidar", F.round(
+            (F.col("last_ns") - F.col("first_ns")) / 1e9, 3,
+        ).alias("duration_s"),
+        F.coalesce("track_samples", F.lit(0)).cast("bigint").alias("track_samples"), "span", F.when(
+            F.col("frames_emitted") == 0, "no frame has a pose",
+        ).alias("err"),
     )

@@ -9,7 +9,20 @@ from scenewright.functions import text as T
 from scenewright.sources.readers import materialized
 
 #: States in their order with the gate that leads into each.
-ORDER = [("REGISTERED", None), ("SAMPLE_VERIFIED", "G0"), ("INGESTED", "G0"), ("GEOMETRY_READY", "G1"), ("EXPERT_OUTPUTS_READY", "G1"), ("METADATA_FUSED", "G2"), ("METADATA_VALIDATED", "G2"), ("TASK_COMPILED", "G3"), ("MODEL_OUTPUT_READY", "G4"), ("SAMPLE_VALIDATED", "G5"), ("RELEASE_CANDIDATE", "G5"), ("RELEASED", "G6")]
+ORDER = [
+    ("REGISTERED", None),
+    ("SAMPLE_VERIFIED", "G0"),
+    ("INGESTED", "G0"),
+    ("GEOMETRY_READY", "G1"),
+    ("EXPERT_OUTPUTS_READY", "G1"),
+    ("METADATA_FUSED", "G2"),
+    ("METADATA_VALIDATED", "G2"),
+    ("TASK_COMPILED", "G3"),
+    ("MODEL_OUTPUT_READY", "G4"),
+    ("SAMPLE_VALIDATED", "G5"),
+    ("RELEASE_CANDIDATE", "G5"),
+    ("RELEASED", "G6"),
+]
 FINAL = ("RELEASED", "REJECTED")
 PROGRESS = ("pass", "warn")
 
@@ -40,7 +53,9 @@ def mint_ids(rows: DataFrame, order: list[str], taken: DataFrame, start: int = 1
     Rows are dealt by ranges of (namespace, order) and stored, so that a range's rows stay its own; ranges are counted
     first, then each numbers its rows, and no task numbers a whole namespace.
     """
-    used = taken.select(T.parse_id(F.col("entity_id")).alias("id")).filter("id is not null").groupBy(F.col("id.ns").alias("namespace")).agg(F.max("id.num").alias("last"))
+    used = taken.select(
+        T.parse_id(F.col("entity_id")).alias("id")
+    ).filter("id is not null").groupBy(F.col("id.ns").alias("namespace")).agg(F.max("id.num").alias("last"))
     spread = materialized(rows.repartitionByRange("namespace", *order).withColumn("bucket", F.spark_partition_id()))
     counts = spread.groupBy("namespace", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("namespace").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -55,7 +70,12 @@ def derive(artifacts: DataFrame, kind: str, *content: Column) -> DataFrame:
     """New artifacts made from each row: the parent chain grows by the row's id, and the new id follows from content and parents."""
     parents = F.concat(F.col("parents"), F.array("artifact_id"))
     digest = F.sha2(F.concat_ws("|", F.lit(kind), F.array_join(parents, ","), *content), 256)
-    return artifacts.select(F.concat(F.lit(f"{kind}_"), F.substring(digest, 1, 12)).alias("artifact_id"), F.lit(kind).alias("kind"), parents.alias("parents"), digest.alias("content_sha256"))
+    return artifacts.select(
+        F.concat(F.lit(f"{kind}_"), F.substring(digest, 1, 12)).alias("artifact_id"),
+        F.lit(kind).alias("kind"),
+        parents.alias("parents"),
+        digest.alias("content_sha256"),
+    )
 
 
 def append_new(artifacts: DataFrame, path: str) -> DataFrame:

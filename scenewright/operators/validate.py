@@ -25,7 +25,12 @@ def duplicate_ids(entities: DataFrame) -> DataFrame:
 
 
 def malformed_ids(entities: DataFrame) -> DataFrame:
-    return _issues(entities.filter(F.col("entity_id").isNotNull() & ~T.valid_id(F.col("entity_id"))).select("scene_id", "entity_id").distinct(), "BROKEN_ID_REFERENCE", "l1_entities", F.col("entity_id"))
+    return _issues(
+        entities.filter(F.col("entity_id").isNotNull() & ~T.valid_id(F.col("entity_id"))).select("scene_id", "entity_id").distinct(),
+        "BROKEN_ID_REFERENCE",
+        "l1_entities",
+        F.col("entity_id"),
+    )
 
 
 def broken_references(references: DataFrame, entities: DataFrame, location: str = "l2_relations") -> DataFrame:
@@ -54,7 +59,9 @@ def unknown_programs(relations: DataFrame, known: list[str]) -> DataFrame:
 
 def collapsed_masks(geometry: DataFrame) -> DataFrame:
     """geometry: scene_id, combined_uri, n_reason_masks. Only a combined mask, without its reasons."""
-    return _issues(geometry.filter("coalesce(combined_uri, '') <> '' and coalesce(n_reason_masks, 0) = 0"), "REASON_MASKS_COLLAPSED", "l0_geometry", F.col("combined_uri"))
+    return _issues(
+        geometry.filter("coalesce(combined_uri, '') <> '' and coalesce(n_reason_masks, 0) = 0"), "REASON_MASKS_COLLAPSED", "l0_geometry", F.col("combined_uri"),
+    )
 
 
 def collapsed_confidence(entities: DataFrame, location: str = "l1_entities.objects") -> DataFrame:
@@ -66,8 +73,12 @@ def collapsed_confidence(entities: DataFrame, location: str = "l1_entities.objec
 
 def primary_depth(depths: DataFrame, family: str = "vggt") -> DataFrame:
     """depths: scene_id, role, producer. Scenes with primary depth need one of the given family, and only one."""
-    of = depths.filter("role = 'primary'").groupBy("scene_id").agg(F.count("*").alias("n"), F.bool_or(F.lower(F.coalesce("producer", F.lit(""))).contains(family)).alias("named"))
-    return _issues(of.filter("not named"), "CONFLICTING_SCALE_CLAIM", "l0_geometry.depth", F.lit("no primary of the required family")).unionByName(_issues(of.filter("n > 1"), "CONFLICTING_SCALE_CLAIM", "l0_geometry.depth", F.lit("more than one primary")))
+    of = depths.filter("role = 'primary'").groupBy("scene_id").agg(
+        F.count("*").alias("n"), F.bool_or(F.lower(F.coalesce("producer", F.lit(""))).contains(family)).alias("named"),
+    )
+    return _issues(
+        of.filter("not named"), "CONFLICTING_SCALE_CLAIM", "l0_geometry.depth", F.lit("no primary of the required family"),
+    ).unionByName(_issues(of.filter("n > 1"), "CONFLICTING_SCALE_CLAIM", "l0_geometry.depth", F.lit("more than one primary")))
 
 
 def missing_digests(layers: DataFrame) -> DataFrame:
@@ -92,8 +103,13 @@ def scene_rules() -> dict[str, Column]:
     frames = F.col("frames")
     matrix = lambda m, n: (F.size(m) == n) & F.forall(m, lambda r: (F.size(r) == n) & F.forall(r, G.finite))
     return {
-        "schema_version": F.col("schema_version").rlike(r"^\d+\.\d+\.\d+$"), "scene_id": F.length("scene_id") > 0, "split_group_id": F.length("split_group_id") > 0, "frames": F.size(frames) > 0,
-        "frame_id": F.forall(frames, lambda f: F.length(f["frame_id"]) > 0), "timestamp_ns": F.forall(frames, lambda f: f["timestamp_ns"] >= 0), "K": F.forall(frames, lambda f: matrix(f["K"], 3)), "pose": F.forall(frames, lambda f: G.is_pose(f["pose"])),
+        "schema_version": F.col("schema_version").rlike(r"^\d+\.\d+\.\d+$"),
+        "scene_id": F.length("scene_id") > 0,
+        "split_group_id": F.length("split_group_id") > 0,
+        "frames": F.size(frames) > 0,
+        "frame_id": F.forall(
+            frames, lambda f: F.length(f["frame_id"]) > 0,
+        ), "timestamp_ns": F.forall(frames, lambda f: f["timestamp_ns"] >= 0), "K": F.forall(frames, lambda f: matrix(f["K"], 3)), "pose": F.forall(frames, lambda f: G.is_pose(f["pose"])),
         "image_sha256": F.forall(frames, lambda f: f["image_sha256"].isNull() | f["image_sha256"].rlike("^[0-9a-f]{64}$")),
     }
 
@@ -118,7 +134,13 @@ def layer_rules(layer: str) -> dict[str, Column]:
     optional = lambda c: c.isNull() | (c >= 0)
     rules = {"schema_version": F.col("schema_version").rlike(VERSION)} | named("scene_id")
     if layer == "l0_geometry":
-        return rules | named("coordinate_frame") | {"unit": F.col("unit").isin(*UNITS), "scale.status": F.col("scale.status").isin(*SCALES), "scale.depth_type": F.col("scale.depth_type").isin(*DEPTH_TYPES), "cameras": F.size("cameras") > 0, "depth": F.size("depth") > 0}
+        return rules | named("coordinate_frame") | {
+            "unit": F.col("unit").isin(*UNITS),
+            "scale.status": F.col("scale.status").isin(*SCALES),
+            "scale.depth_type": F.col("scale.depth_type").isin(*DEPTH_TYPES),
+            "cameras": F.size("cameras") > 0,
+            "depth": F.size("depth") > 0,
+        }
     if layer == "l1_entities":
         return rules | there("objects", "surfaces", "regions") | {"objects.object_id": F.forall("objects", lambda o: T.valid_id(o["object_id"]))}
     if layer == "l2_relations":
@@ -127,13 +149,20 @@ def layer_rules(layer: str) -> dict[str, Column]:
         caps = F.col("capabilities")
         return rules | named("snapshot_id", "dataset_id", "split_group_id") | {
             "layers": F.size(F.array_except(F.array(*[F.lit(x) for x in ("l0_geometry", "l1_entities", "l2_relations")]), F.map_keys("layers"))) == 0,
-            "scale_status": caps["scale_status"].isin(*SCALES), "depth_type": caps["depth_type"].isin(*DEPTH_TYPES), "metric_task_eligible": caps["metric_task_eligible"].isNotNull(),
-            "parallax_ratio": optional(caps["parallax_ratio"]), "entity_count": optional(caps["entity_count"]), "gate_id": F.col("gate.gate_id").isin(*GATES), "status": F.col("gate.status").isin(*STATUSES),
+            "scale_status": caps["scale_status"].isin(*SCALES),
+            "depth_type": caps["depth_type"].isin(*DEPTH_TYPES),
+            "metric_task_eligible": caps["metric_task_eligible"].isNotNull(),
+            "parallax_ratio": optional(caps["parallax_ratio"]),
+            "entity_count": optional(caps["entity_count"]),
+            "gate_id": F.col("gate.gate_id").isin(*GATES),
+            "status": F.col("gate.status").isin(*STATUSES),
         }
     if layer == "canonical_task_record":
         words = lambda c, allowed: (F.size(c) > 0) & F.forall(c, lambda x: x.isin(*allowed))
         return rules | named("sample_id", "metadata_snapshot_id") | {
-            "task_spec_id": F.col("task_spec_id").rlike(TASK), "capability_tags": words("capability_tags", CAPABILITIES), "supervision_level": F.col("supervision_level").isin(*LEVELS),
+            "task_spec_id": F.col("task_spec_id").rlike(TASK),
+            "capability_tags": words("capability_tags", CAPABILITIES),
+            "supervision_level": F.col("supervision_level").isin(*LEVELS),
             "adapters": words("adapters", ADAPTERS), "hidden_target": F.col("hidden_target.target_type").isNotNull(),
         }
     raise KeyError(f"unknown layer {layer!r}")

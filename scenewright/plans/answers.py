@@ -43,18 +43,32 @@ def answer_rules(schema: str, answer: Column) -> dict[str, Column]:
     if schema == "grounding_object_answer":
         one = _has(answer, "object_id") & _only(answer, "object_id", "evidence_frames", "confidence") & T.valid_id(_get(answer, "object_id"))
         ids = F.from_json(_get(answer, "candidate_ids"), "array<string>")
-        many = _has(answer, "ambiguous") & _only(answer, "ambiguous", "candidate_ids", "reason") & (_get(answer, "ambiguous") == "true") & (~_has(answer, "candidate_ids") | ((F.size(ids) >= 2) & F.forall(ids, T.valid_id)))
+        many = _has(answer, "ambiguous") & _only(answer, "ambiguous", "candidate_ids", "reason") & (_get(answer, "ambiguous") == "true") & (
+            ~_has(answer, "candidate_ids") | ((F.size(ids) >= 2) & F.forall(ids, T.valid_id))
+        )
         return rules | {"one object or ambiguous": F.coalesce(one, F.lit(False)) | F.coalesce(many, F.lit(False)), **confidence}
     if schema == "vqa_metric_distance_answer":
-        return rules | {"keys": _has(answer, "object_id", "distance_m", "unit") & _only(answer, "object_id", "distance_m", "unit", "evidence_fields", "confidence"), "object_id": T.valid_id(_get(answer, "object_id")), "distance_m": _is_number(answer, "distance_m", 0), "unit": _get(answer, "unit") == "meter", **confidence}
+        return rules | {
+            "keys": _has(answer, "object_id", "distance_m", "unit") & _only(answer, "object_id", "distance_m", "unit", "evidence_fields", "confidence"),
+            "object_id": T.valid_id(_get(answer, "object_id")),
+            "distance_m": _is_number(answer, "distance_m", 0),
+            "unit": _get(answer, "unit") == "meter",
+            **confidence,
+        }
     if schema == "vqa_situated_direction_answer":
         return rules | {
-            "keys": _has(answer, "longitudinal", "lateral") & _only(answer, "longitudinal", "lateral", "vertical", "observer_pose_id", "confidence"), "longitudinal": _get(answer, "longitudinal").isin("front", "behind"), "lateral": _get(answer, "lateral").isin("left", "right", "ambiguous"),
-            "vertical": _absent_or(answer, "vertical", _one_of("above", "below")), "observer_pose_id": _absent_or(answer, "observer_pose_id", T.valid_id), **confidence,
+            "keys": _has(answer, "longitudinal", "lateral") & _only(
+                answer, "longitudinal", "lateral", "vertical", "observer_pose_id", "confidence",
+            ), "longitudinal": _get(answer, "longitudinal").isin("front", "behind"), "lateral": _get(answer, "lateral").isin("left", "right", "ambiguous"),
+            "vertical": _absent_or(
+                answer, "vertical", _one_of("above", "below"),
+            ), "observer_pose_id": _absent_or(answer, "observer_pose_id", T.valid_id), **confidence,
         }
     if schema == "cross_view_correspondence_answer":
         return rules | {
-            "keys": _has(answer, "same_entity") & _only(answer, "same_entity", "confidence", "reason", "insufficient_evidence"), "same_entity": _get(answer, "same_entity").isin("true", "false"), "reason": _absent_or(answer, "reason", lambda v: F.length(v) <= 500),
+            "keys": _has(answer, "same_entity") & _only(
+                answer, "same_entity", "confidence", "reason", "insufficient_evidence",
+            ), "same_entity": _get(answer, "same_entity").isin("true", "false"), "reason": _absent_or(answer, "reason", lambda v: F.length(v) <= 500),
             "insufficient_evidence": _absent_or(answer, "insufficient_evidence", _one_of("true", "false")), **confidence,
         }
     raise KeyError(f"unknown answer schema {schema!r}")

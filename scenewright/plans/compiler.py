@@ -24,7 +24,9 @@ TARGET = "struct<distance_to_observer:double,is_ambiguous:boolean,lateral:string
 MARGIN = 0.05
 #: Half length of the stand-in for a missing centre line, in metres.
 STUB = 0.001
-CHECKERS = {"check_minimum_distance_answer", "check_object_grounding_answer", "check_observer_relative_direction_answer", "check_cross_view_correspondence_answer"}
+CHECKERS = {
+    "check_minimum_distance_answer", "check_object_grounding_answer", "check_observer_relative_direction_answer", "check_cross_view_correspondence_answer",
+}
 
 
 def _target(**values: Column) -> Column:
@@ -34,7 +36,14 @@ def _target(**values: Column) -> Column:
 
 def _answer(target: Column, ambiguous: Column, equivalent: Column, *checks: tuple[Column, str]) -> Column:
     """struct(value: struct(target, is_ambiguous, equivalent), err)."""
-    return G.outcome(F.struct(target.alias("target"), F.coalesce(ambiguous, F.lit(False)).alias("is_ambiguous"), F.coalesce(equivalent, F.array().cast("array<string>")).alias("equivalent")), *checks)
+    return G.outcome(
+        F.struct(
+            target.alias("target"),
+            F.coalesce(ambiguous, F.lit(False)).alias("is_ambiguous"),
+            F.coalesce(equivalent, F.array().cast("array<string>")).alias("equivalent"),
+        ),
+        *checks,
+    )
 
 
 def observer_camera() -> Column:
@@ -49,7 +58,12 @@ def best_view_observer(objects: Column, cameras: Column) -> Column:
     """
     frame = F.get(F.get(objects, F.lit(0))["visibility"]["visible_frames"], F.lit(0))
     cam = F.get(F.filter(cameras, lambda c: c["frame_id"] == frame), F.lit(0))
-    return F.when(G.is_pose(cam["pose"]), F.struct(cam["pose_id"].alias("pose_id"), G.camera_center(cam["pose"])["value"].alias("position"), G.camera_forward(cam["pose"])["value"].alias("forward")))
+    return F.when(
+        G.is_pose(cam["pose"]),
+        F.struct(
+            cam["pose_id"].alias("pose_id"), G.camera_center(cam["pose"])["value"].alias("position"), G.camera_forward(cam["pose"])["value"].alias("forward"),
+        ),
+    )
 
 
 def minimum_distance(spec: Spec) -> Column:
@@ -59,14 +73,26 @@ def minimum_distance(spec: Spec) -> Column:
     def of(o: Column, i: Column) -> Column:
         c = o["geometry"]["centroid"]
         line = F.when(F.size(o["geometry"]["centerline"]) >= 2, o["geometry"]["centerline"]).otherwise(F.array(c, G.add(c, G.vec(STUB, 0, 0))))
-        return G.let(line, lambda at: G.let(G.point_to_polyline(eye, at), lambda r: F.struct(r["value"]["d"].alias("d"), i.alias("pos"), r["value"]["seg"].alias("seg"), o["object_id"].alias("id"), r["err"].alias("err"))))
+        return G.let(
+            line,
+            lambda at: G.let(
+                G.point_to_polyline(eye, at),
+                lambda r: F.struct(
+                    r["value"]["d"].alias("d"), i.alias("pos"), r["value"]["seg"].alias("seg"), o["object_id"].alias("id"), r["err"].alias("err"),
+                ),
+            ),
+        )
 
     def answer(ranked: Column) -> Column:
         first, second = F.get(ranked, F.lit(0)), F.get(ranked, F.lit(1))
         close = second["d"] - first["d"] <= (spec.tolerance or 0.1)
         return _answer(
-            _target(target_type=F.lit("minimum_distance"), object_id=first["id"], minimum_distance=F.round(first["d"], 4), nearest_segment_index=first["seg"]), close, F.when(close, F.array(first["id"], second["id"])),
-            (~G.is_point(eye), "observer has no position"), (F.size("objects") < 2, "fewer than two candidates"), (F.exists(ranked, lambda x: x["err"].isNotNull()), "a candidate is degenerate"),
+            _target(
+                target_type=F.lit("minimum_distance"), object_id=first["id"], minimum_distance=F.round(first["d"], 4), nearest_segment_index=first["seg"],
+            ), close, F.when(close, F.array(first["id"], second["id"])),
+            (~G.is_point(eye), "observer has no position"), (F.size("objects") < 2, "fewer than two candidates"), (
+                F.exists(ranked, lambda x: x["err"].isNotNull()), "a candidate is degenerate",
+            ),
         )
 
     return G.let(F.array_sort(F.transform("objects", of)), answer)
@@ -75,14 +101,20 @@ def minimum_distance(spec: Spec) -> Column:
 def farthest(spec: Spec) -> Column:
     """The candidate farthest from the observer, the earlier of equal ones."""
     eye = F.col("observer")["position"]
-    ranked = F.array_sort(F.transform("objects", lambda o, i: F.struct((-G.distance(o["geometry"]["centroid"], eye)).alias("d"), i.alias("pos"), o["object_id"].alias("id"))))
+    ranked = F.array_sort(
+        F.transform("objects", lambda o, i: F.struct((-G.distance(o["geometry"]["centroid"], eye)).alias("d"), i.alias("pos"), o["object_id"].alias("id")))
+    )
 
     def answer(ranked: Column) -> Column:
         first, second = F.get(ranked, F.lit(0)), F.get(ranked, F.lit(1))
         close = F.abs(first["d"] - second["d"]) < MARGIN * F.greatest(-first["d"], F.lit(1e-9))
         return _answer(
-            _target(target_type=F.lit("object_grounding"), object_id=first["id"], distance_to_observer=F.round(-first["d"], 4), is_ambiguous=close), close, F.when(close, F.array(first["id"], second["id"])),
-            (~G.is_point(eye), "observer has no position"), (F.size("objects") < 3, "fewer than three candidates"), (F.exists("objects", lambda o: ~G.is_point(o["geometry"]["centroid"])), "a candidate has no place"),
+            _target(
+                target_type=F.lit("object_grounding"), object_id=first["id"], distance_to_observer=F.round(-first["d"], 4), is_ambiguous=close,
+            ), close, F.when(close, F.array(first["id"], second["id"])),
+            (~G.is_point(eye), "observer has no position"), (F.size("objects") < 3, "fewer than three candidates"), (
+                F.exists("objects", lambda o: ~G.is_point(o["geometry"]["centroid"])), "a candidate has no place",
+            ),
         )
 
     return G.let(ranked, answer)
@@ -97,7 +129,13 @@ def direction(spec: Spec) -> Column:
     def answer(r: Column) -> Column:
         v = r["value"]
         return _answer(
-            _target(target_type=F.lit("relative_direction"), object_id=o["object_id"], longitudinal=v["longitudinal"], lateral=v["lateral"], lateral_angle_deg=F.round(v["lateral_angle_deg"], 4)), v["lateral"] == "ambiguous", F.lit(None).cast("array<string>"),
+            _target(
+                target_type=F.lit("relative_direction"),
+                object_id=o["object_id"],
+                longitudinal=v["longitudinal"],
+                lateral=v["lateral"],
+                lateral_angle_deg=F.round(v["lateral_angle_deg"], 4),
+            ), v["lateral"] == "ambiguous", F.lit(None).cast("array<string>"),
             (o.isNull(), "no candidate has a place"), (cam["forward"].isNull(), "observer has no direction"), (r["err"].isNotNull(), "direction is degenerate"),
         )
 
@@ -107,7 +145,12 @@ def direction(spec: Spec) -> Column:
 def correspondence(spec: Spec) -> Column:
     """The first resolved link between views."""
     link = F.get(F.filter("links", lambda x: x["same_entity"].isNotNull()), F.lit(0))
-    return _answer(_target(target_type=F.lit("cross_view_correspondence"), same_entity=link["same_entity"], point_support_iou=link["point_support_iou"]), F.lit(False), F.lit(None).cast("array<string>"), (link.isNull(), "no link is resolved"))
+    return _answer(
+        _target(target_type=F.lit("cross_view_correspondence"), same_entity=link["same_entity"], point_support_iou=link["point_support_iou"]),
+        F.lit(False),
+        F.lit(None).cast("array<string>"),
+        (link.isNull(), "no link is resolved"),
+    )
 
 
 PROGRAMS: dict[str, Callable[[Spec], Column]] = {
@@ -130,8 +173,12 @@ def facts(capabilities: StructType | None = None) -> dict[str, Column]:
         "parallax_ratio": c["parallax_ratio"],
         "association_confidence": F.coalesce(F.array_max(F.transform(links, lambda x: F.coalesce(x["probability"], F.lit(0.0)))), F.lit(0.0)),
         "all_candidates_have_valid_obb": F.coalesce(F.forall(o, lambda x: x["geometry"]["obb"].isNotNull()), F.lit(True)),
-        "all_centerlines_have_at_least_two_vertices": F.coalesce(F.forall(o, lambda x: F.coalesce(F.size(x["geometry"]["centerline"]), F.lit(0)) != 1), F.lit(True)),
-        "target_visible_in_at_least_n_views": F.coalesce(F.array_max(F.transform(o, lambda x: F.greatest(F.coalesce(F.size(x["visibility"]["visible_frames"]), F.lit(0)), F.lit(0)))), F.lit(0)),
+        "all_centerlines_have_at_least_two_vertices": F.coalesce(
+            F.forall(o, lambda x: F.coalesce(F.size(x["geometry"]["centerline"]), F.lit(0)) != 1), F.lit(True),
+        ),
+        "target_visible_in_at_least_n_views": F.coalesce(
+            F.array_max(F.transform(o, lambda x: F.greatest(F.coalesce(F.size(x["visibility"]["visible_frames"]), F.lit(0)), F.lit(0)))), F.lit(0),
+        ),
         "both_observations_have_valid_point_support": none(F.size(links) > 0),
         "observer_forward_available": none(F.exists("cameras", lambda x: x["forward"].isNotNull())),
         "entity_centroid_available": none(F.exists(o, lambda x: x["geometry"]["centroid"].isNotNull())),
@@ -221,17 +268,39 @@ def compile_spec(packages: DataFrame, spec: Spec) -> DataFrame:
     code = F.when(status == "failed", F.when(err.isNotNull(), errors.CODES["TARGET_NOT_RECOMPUTABLE"]).otherwise(errors.CODES["TARGET_LEAKAGE"]))
     q = spec.raw["quality_requirements"]
     number = lambda x: F.lit(None if x is None else float(x)).cast("double")
-    anchors = {"object_id_with_point_support": "point_indices", "entity_id_with_centerline_and_segment": "object_obb", "object_id_with_centroid_and_observer_pose": "spatial_relation", "entity_pair_with_point_support": "point_indices"}
+    anchors = {
+        "object_id_with_point_support": "point_indices",
+        "entity_id_with_centerline_and_segment": "object_obb",
+        "object_id_with_centroid_and_observer_pose": "spatial_relation",
+        "entity_pair_with_point_support": "point_indices",
+    }
     target_ids = F.array_compact(F.array(F.col("target")["object_id"]))
     return rows.select(
-        "scene_id", F.lit(spec.qualified_id).alias("spec_id"), status.alias("status"), "reasons", code.alias("code"), F.coalesce(err, F.get("findings", F.lit(0))).alias("detail"), "findings",
-        F.concat(F.lit("task_sample_"), F.substring(F.sha2(F.concat_ws("|", F.lit(spec.qualified_id), "scene_id", F.to_json("target")), 256), 1, 12)).alias("sample_id"),
+        "scene_id",
+        F.lit(spec.qualified_id).alias("spec_id"),
+        status.alias("status"),
+        "reasons",
+        code.alias("code"),
+        F.coalesce(err, F.get("findings", F.lit(0))).alias("detail"),
+        "findings",
+        F.concat(
+            F.lit("task_sample_"), F.substring(F.sha2(F.concat_ws("|", F.lit(spec.qualified_id), "scene_id", F.to_json("target")), 256), 1, 12),
+        ).alias("sample_id"),
         "target", F.col("derived")["value"]["is_ambiguous"].alias("is_ambiguous"), F.col("derived")["value"]["equivalent"].alias("equivalent"),
         F.to_json("visible").alias("visible"), F.col("asked").alias("question"), "visual_inputs", "pointcloud_ref",
-        F.struct(F.lit(spec.raw["checker"]).alias("name"), F.lit("0.1.0").alias("version"), number(q.get("numeric_tolerance_m")).alias("tolerance_m"), number(q.get("lateral_deadzone_deg")).alias("lateral_deadzone_deg")).alias("checker"),
+        F.struct(
+            F.lit(spec.raw["checker"]).alias("name"),
+            F.lit("0.1.0").alias("version"),
+            number(q.get("numeric_tolerance_m")).alias("tolerance_m"),
+            number(q.get("lateral_deadzone_deg")).alias("lateral_deadzone_deg"),
+        ).alias("checker"),
         F.lit(spec.raw["derivation_program"]).alias("derivation_program"),
-        F.struct(F.lit(anchors.get(spec.raw["target_anchor"]["kind"], "spatial_relation")).alias("anchor_kind"), target_ids.alias("entity_ids")).alias("target_geometry"),
-        (target_ids if spec.shows_ids else F.array().cast("array<string>")).alias("structural_ids"), low_altitude_tags(spec).alias("tags"), F.array(*[F.lit(a) for a in spec.raw["adapters"]]).alias("adapters"),
+        F.struct(
+            F.lit(anchors.get(spec.raw["target_anchor"]["kind"], "spatial_relation")).alias("anchor_kind"), target_ids.alias("entity_ids"),
+        ).alias("target_geometry"),
+        (
+            target_ids if spec.shows_ids else F.array().cast("array<string>")
+        ).alias("structural_ids"), low_altitude_tags(spec).alias("tags"), F.array(*[F.lit(a) for a in spec.raw["adapters"]]).alias("adapters"),
     )
 
 
@@ -242,4 +311,6 @@ def compile_all(packages: DataFrame, specs: list[Spec]) -> DataFrame:
 
 def accounting(compiled: DataFrame) -> DataFrame:
     """By specification: records, skipped, failed."""
-    return compiled.groupBy("spec_id").agg(*[F.count_if(F.col("status") == s).alias(n) for n, s in (("records", "record"), ("skipped", "skipped"), ("failed", "failed"))])
+    return compiled.groupBy("spec_id").agg(
+        *[F.count_if(F.col("status") == s).alias(n) for n, s in (("records", "record"), ("skipped", "skipped"), ("failed", "failed"))]
+    )

@@ -12,7 +12,9 @@ from scenewright.plans import projection
 #: Keys that never appear in a payload.
 FORBIDDEN = ("hidden_target", "evidence", "checker", "target_geometry", "derivation_program", "derivation_inputs", "used_fields", "used_entities")
 #: Keys that describe an answer without being it; suffixes of such keys; keys whose value is the same in every sample of a task.
-NO_ANSWER, NO_ANSWER_SUFFIX, IDENTITY = ("target_type", "unit", "answer_mode", "reason"), ("_index", "_count", "_id_hint"), ("task_spec_id", "adapter", "sample_id")
+NO_ANSWER, NO_ANSWER_SUFFIX, IDENTITY = (
+    "target_type", "unit", "answer_mode", "reason",
+), ("_index", "_count", "_id_hint"), ("task_spec_id", "adapter", "sample_id")
 #: Shortest string and shortest number (digits without the sign) that are specific enough to look for.
 LEAST_TEXT, LEAST_NUMBER = 8, 3
 ANY_ID = r"^<(?:" + "|".join(T.NAMESPACES) + r")_\d{3,}>$"

@@ -98,11 +98,17 @@ def leaves(col: Column, kind: DataType, path: Column | str = "", skip: tuple[str
         return F.concat(*parts) if parts else F.array().cast(LEAF)
     if isinstance(kind, ArrayType):
         of = kind.elementType
-        return F.coalesce(F.flatten(F.transform(col, lambda e, i: leaves(e, of, F.concat(where, F.lit("["), i.cast("string"), F.lit("]"))))), F.array().cast(LEAF))
+        return F.coalesce(
+            F.flatten(F.transform(col, lambda e, i: leaves(e, of, F.concat(where, F.lit("["), i.cast("string"), F.lit("]"))))), F.array().cast(LEAF),
+        )
     if isinstance(kind, StringType):
-        return F.when(col.isNotNull(), F.array(F.struct(where.alias("path"), col.alias("text"), F.lit(None).cast("double").alias("num")))).otherwise(F.array().cast(LEAF))
+        return F.when(
+            col.isNotNull(), F.array(F.struct(where.alias("path"), col.alias("text"), F.lit(None).cast("double").alias("num"))),
+        ).otherwise(F.array().cast(LEAF))
     if isinstance(kind, NumericType):
-        return F.when(col.isNotNull(), F.array(F.struct(where.alias("path"), F.lit(None).cast("string").alias("text"), col.cast("double").alias("num")))).otherwise(F.array().cast(LEAF))
+        return F.when(
+            col.isNotNull(), F.array(F.struct(where.alias("path"), F.lit(None).cast("string").alias("text"), col.cast("double").alias("num"))),
+        ).otherwise(F.array().cast(LEAF))
     return F.array().cast(LEAF)
 
 

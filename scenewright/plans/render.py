@@ -36,12 +36,27 @@ def answer_values() -> Column:
 def answer_text() -> Column:
     """k=v; k=v of the answer's parts, without its type."""
     t = F.col("target")
-    parts = [F.concat(F.lit(f"{n}="), t[n].cast("string")) for n in ("object_id", "minimum_distance", "nearest_segment_index", "distance_to_observer", "longitudinal", "lateral", "lateral_angle_deg", "same_entity", "point_support_iou")]
+    parts = [
+        F.concat(F.lit(f"{n}="), t[n].cast("string")) for n in (
+            "object_id",
+            "minimum_distance",
+            "nearest_segment_index",
+            "distance_to_observer",
+            "longitudinal",
+            "lateral",
+            "lateral_angle_deg",
+            "same_entity",
+            "point_support_iou",
+        )
+    ]
     return F.concat_ws("; ", *parts)
 
 
 #: The form of an answer that a model is asked for, by the beginning of a task's id or a part of it.
-HINTS = (("3d_grounding", True, '{"object_id": "<obj_XXX>"}'), ("observer_relative_direction", False, '{"longitudinal": "front|behind", "lateral": "left|right|ambiguous"}'))
+HINTS = (
+    ("3d_grounding", True, '{"object_id": "<obj_XXX>"}'),
+    ("observer_relative_direction", False, '{"longitudinal": "front|behind", "lateral": "left|right|ambiguous"}'),
+)
 
 
 def answer_hint(spec_id: Column) -> Column:
@@ -59,7 +74,9 @@ def _chat(rows: DataFrame) -> tuple[DataFrame, Column, tuple[str, ...]]:
     human = F.when(has, F.concat(human, F.lit("\n"), choice_lines(F.col("choices")))).otherwise(human)
     rows = rows.withColumn("key", answer_key(F.col("choices"), answer_values()))
     label = F.when(has, F.col("key")).otherwise(answer_text())
-    err = F.when(F.col("pointcloud_ref").isNull(), "no point cloud").when(F.col("question").isNull(), "no question").when(has & F.col("key").isNull(), "no choice is the answer")
+    err = F.when(F.col("pointcloud_ref").isNull(), "no point cloud").when(F.col("question").isNull(), "no question").when(
+        has & F.col("key").isNull(), "no choice is the answer",
+    )
     turns = F.array(F.struct(F.lit("human").alias("from"), human.alias("value")), F.struct(F.lit("gpt").alias("from"), label.alias("value")))
     payload = F.struct(F.col("sample_id").alias("sample_id"), F.col("pointcloud_ref").alias("point_cloud"), turns.alias("conversations"))
     return rows.withColumn("err", err).withColumn("bare", F.struct(F.col("question").alias("asked"))), payload, ("conversations[1].value",)
@@ -68,15 +85,32 @@ def _chat(rows: DataFrame) -> tuple[DataFrame, Column, tuple[str, ...]]:
 def _views(rows: DataFrame) -> tuple[DataFrame, Column, tuple[str, ...]]:
     """Images and metadata, never the point cloud."""
     err = F.when(F.coalesce(F.size("visual_inputs"), F.lit(0)) < 1, "no image").when(F.col("question").isNull(), "no question")
-    return rows.withColumn("err", err), F.struct("sample_id", F.split("spec_id", "@")[0].alias("task_spec_id"), F.col("visual_inputs").alias("images"), F.col("visible").alias("metadata"), "question", "choices"), ("metadata",)
+    return rows.withColumn("err", err), F.struct(
+        "sample_id",
+        F.split("spec_id", "@")[0].alias("task_spec_id"),
+        F.col("visual_inputs").alias("images"),
+        F.col("visible").alias("metadata"),
+        "question",
+        "choices",
+    ), ("metadata",)
 
 
 def _all(rows: DataFrame) -> tuple[DataFrame, Column, tuple[str, ...]]:
     err = F.when(F.col("question").isNull(), "no question")
-    return rows.withColumn("err", err), F.struct("sample_id", F.split("spec_id", "@")[0].alias("task_spec_id"), F.col("visual_inputs").alias("images"), F.col("pointcloud_ref").alias("point_cloud"), F.col("visible").alias("metadata"), "question", "choices"), ("metadata",)
+    return rows.withColumn("err", err), F.struct(
+        "sample_id",
+        F.split("spec_id", "@")[0].alias("task_spec_id"),
+        F.col("visual_inputs").alias("images"),
+        F.col("pointcloud_ref").alias("point_cloud"),
+        F.col("visible").alias("metadata"),
+        "question",
+        "choices",
+    ), ("metadata",)
 
 
-ADAPTERS: dict[str, Callable[[DataFrame], tuple[DataFrame, Column, tuple[str, ...]]]] = {"pointcloud_native": _chat, "qwen_2d_metadata": _views, "multimodal_3d": _all}
+ADAPTERS: dict[str, Callable[[DataFrame], tuple[DataFrame, Column, tuple[str, ...]]]] = {
+    "pointcloud_native": _chat, "qwen_2d_metadata": _views, "multimodal_3d": _all,
+}
 
 
 def render(records: DataFrame, adapter: str) -> DataFrame:
@@ -109,4 +143,13 @@ def render(records: DataFrame, adapter: str) -> DataFrame:
     supported = F.array_contains("adapters", adapter)
     status = F.when(~supported, "unsupported").when(F.col("err").isNotNull() | (F.size("leaks") > 0), "failed").otherwise("rendered")
     good = status == "rendered"
-    return rows.select("sample_id", "scene_id", "spec_id", F.lit(adapter).alias("adapter"), status.alias("status"), F.when(supported, F.coalesce("err", F.get("leaks", F.lit(0)))).alias("detail"), F.when(good, F.to_json("payload")).alias("payload"), F.when(good, verification()).alias("verification"))
+    return rows.select(
+        "sample_id",
+        "scene_id",
+        "spec_id",
+        F.lit(adapter).alias("adapter"),
+        status.alias("status"),
+        F.when(supported, F.coalesce("err", F.get("leaks", F.lit(0)))).alias("detail"),
+        F.when(good, F.to_json("payload")).alias("payload"),
+        F.when(good, verification()).alias("verification"),
+    )

@@ -12,8 +12,24 @@ from pyspark.sql import functions as F
 
 HERE = Path(__file__).parent / "task_specs"
 REQUIRED = (
-    "task_id", "version", "task_family", "generation_mode", "supervision_level", "three_d_necessity", "required_scene_capabilities", "target_anchor", "visual_input_policy",
-    "metadata_input_fields", "hidden_target_fields", "derivation_program", "checker", "output_schema", "leakage_rules", "eligibility", "quality_requirements", "adapters",
+    "task_id",
+    "version",
+    "task_family",
+    "generation_mode",
+    "supervision_level",
+    "three_d_necessity",
+    "required_scene_capabilities",
+    "target_anchor",
+    "visual_input_policy",
+    "metadata_input_fields",
+    "hidden_target_fields",
+    "derivation_program",
+    "checker",
+    "output_schema",
+    "leakage_rules",
+    "eligibility",
+    "quality_requirements",
+    "adapters",
 )
 #: Fixed values of the file format from here on: allowed words.
 MODES = ("program_first", "language_first", "hybrid")

@@ -50,24 +50,38 @@ _PAIRED = f"""paired AS (SELECT i.run, i.stem, i.ts_ns, l.lidar_ns, b.path AS la
   LEFT JOIN (SELECT DISTINCT path FROM v_members WHERE archive = 'interval5_CAM_label') b ON b.path = 'interval5_CAM_label/' || i.run || '/interval5_CAM_label_id/' || i.stem || '.png')"""
 
 
-@query(V.with_views(f"SELECT run, CASE WHEN {_RUN} <> '' THEN {_RUN} END AS split_group FROM (SELECT DISTINCT split_part(path, '/', 2) AS run FROM v_members WHERE archive = 'interval5_CAM_LIDAR')", "members"))
+@query(
+    V.with_views(
+        f"SELECT run, CASE WHEN {_RUN} <> '' THEN {_RUN} END AS split_group FROM (SELECT DISTINCT split_part(path, '/', 2) AS run FROM v_members WHERE archive = 'interval5_CAM_LIDAR')",
+        "members",
+    )
+)
 def s2_runs(spark: SparkSession, sf: str) -> DataFrame:
     return scenes.runs(V.members(spark, sf))
 
 
 @query(V.with_views(f", {_PAIRED} SELECT run, stem, ts_ns, coalesce(lidar_ns, -1) AS lidar_ns, label_path FROM paired", "members"))
 def s6_paired_frames(spark: SparkSession, sf: str) -> DataFrame:
-    return scenes.pair_frames(V.members(spark, sf)).select("run", "stem", "ts_ns", F.coalesce("lidar_ns", F.lit(-1).cast("bigint")).alias("lidar_ns"), "label_path")
+    return scenes.pair_frames(V.members(spark, sf)).select(
+        "run", "stem", "ts_ns", F.coalesce("lidar_ns", F.lit(-1).cast("bigint")).alias("lidar_ns"), "label_path",
+    )
 
 
-@query(V.with_views(f", {_PAIRED} SELECT run, count(*) AS requested, count(*) FILTER (lidar_ns IS NULL) AS missing_lidar, count(*) FILTER (label_path IS NULL) AS missing_label, bool_or(label_path IS NOT NULL) AS has_labels FROM paired GROUP BY run", "members"))
+@query(
+    V.with_views(
+        f", {_PAIRED} SELECT run, count(*) AS requested, count(*) FILTER (lidar_ns IS NULL) AS missing_lidar, count(*) FILTER (label_path IS NULL) AS missing_label, bool_or(label_path IS NOT NULL) AS has_labels FROM paired GROUP BY run",
+        "members",
+    )
+)
 def a27_ingest_report(spark: SparkSession, sf: str) -> DataFrame:
     return scenes.ingest_report(scenes.pair_frames(V.members(spark, sf)))
 
 
 @query("SELECT c_mktsegment AS run, c_nationkey AS stem, max(c_custkey) AS pos, arg_max(c_name, c_custkey) AS name FROM customer GROUP BY ALL")
 def s3_last_pose(spark: SparkSession, sf: str) -> DataFrame:
-    rows = V.table(spark, sf, "customer").select(F.col("c_mktsegment").alias("run"), F.col("c_nationkey").alias("stem"), F.col("c_custkey").alias("pos"), F.col("c_name").alias("name"))
+    rows = V.table(spark, sf, "customer").select(
+        F.col("c_mktsegment").alias("run"), F.col("c_nationkey").alias("stem"), F.col("c_custkey").alias("pos"), F.col("c_name").alias("name"),
+    )
     return scenes.last_pose(rows).select("run", "stem", "pose.pos", "pose.name")
 
 
@@ -95,7 +109,9 @@ def w3_window_by_index(spark: SparkSession, sf: str) -> DataFrame:
     return scenes.scenes(scenes.scene_windows(V.frames(spark, sf), stride=80).filter("scene_index = 3"))
 
 
-@query(_windows_sql(50) + " SELECT s.run, s.scene_index, count(*) AS n_rows, round(max(f.value) - min(f.value), 3) AS value_span FROM v_frames f JOIN sc s ON f.run = s.run AND f.ts_ns BETWEEN s.first_ns AND s.last_ns GROUP BY ALL")
+@query(
+    _windows_sql(50) + " SELECT s.run, s.scene_index, count(*) AS n_rows, round(max(f.value) - min(f.value), 3) AS value_span FROM v_frames f JOIN sc s ON f.run = s.run AND f.ts_ns BETWEEN s.first_ns AND s.last_ns GROUP BY ALL"
+)
 def j4_track_in_scenes(spark: SparkSession, sf: str) -> DataFrame:
     """A run's own track only, though runs overlap in time."""
     track = V.frames(spark, sf).select("run", "ts_ns", "value")
@@ -103,7 +119,9 @@ def j4_track_in_scenes(spark: SparkSession, sf: str) -> DataFrame:
     return scenes.span(found, ["run", "scene_index"], ["value"])
 
 
-@query("SELECT user_id % 7 AS k, CAST(x.sec AS BIGINT)*1000000000 + CAST(rpad(x.frac, 9, '0') AS BIGINT) AS ns FROM (SELECT user_id, CAST(event_id AS VARCHAR) AS sec, substr(lpad(CAST(user_id AS VARCHAR), 3, '0'), 1, 3) AS frac FROM events) x")
+@query(
+    "SELECT user_id % 7 AS k, CAST(x.sec AS BIGINT)*1000000000 + CAST(rpad(x.frac, 9, '0') AS BIGINT) AS ns FROM (SELECT user_id, CAST(event_id AS VARCHAR) AS sec, substr(lpad(CAST(user_id AS VARCHAR), 3, '0'), 1, 3) AS frac FROM events) x"
+)
 def s9_nanoseconds(spark: SparkSession, sf: str) -> DataFrame:
     stamp = F.concat(F.col("event_id").cast("string"), F.lit("."), F.substring(F.lpad(F.col("user_id").cast("string"), 3, "0"), 1, 3))
     return V.table(spark, sf, "events").select((F.col("user_id") % 7).alias("k"), T.ns_of(stamp).alias("ns"))
@@ -125,7 +143,11 @@ def d3_farthest_object(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("scene_id")  # scenes hold at most 500 objects
     o = o.withColumn("k", F.row_number().over(w.orderBy(F.desc("d"), "pos"))).withColumn("n", F.count("*").over(w)).filter("n >= 3 and k <= 2")
     first, second = F.max(F.when(F.col("k") == 1, F.col("d"))), F.max(F.when(F.col("k") == 2, F.col("d")))
-    return o.groupBy("scene_id").agg(F.max(F.when(F.col("k") == 1, F.col("object_id"))).alias("object_id"), F.max("n").alias("n_candidates"), (F.abs(first - second) < 0.05 * F.greatest(first, F.lit(1e-9))).alias("is_ambiguous"))
+    return o.groupBy("scene_id").agg(
+        F.max(F.when(F.col("k") == 1, F.col("object_id"))).alias("object_id"),
+        F.max("n").alias("n_candidates"),
+        (F.abs(first - second) < 0.05 * F.greatest(first, F.lit(1e-9))).alias("is_ambiguous"),
+    )
 
 
 _SEG = """, s AS (SELECT scene_id, pos, i, x AS ax, y AS ay, z AS az, lead(x) OVER w AS bx, lead(y) OVER w AS by_, lead(z) OVER w AS bz FROM v_points WINDOW w AS (PARTITION BY pos ORDER BY i)),
@@ -137,7 +159,9 @@ _SEG = """, s AS (SELECT scene_id, pos, i, x AS ax, y AS ay, z AS az, lead(x) OV
 @query(V.with_views(_SEG + " SELECT scene_id, pos, round(d, 6) AS d, seg FROM l", "points"))
 def g2_point_to_polyline(spark: SparkSession, sf: str) -> DataFrame:
     r = G.point_to_polyline(G.vec(*EYE), F.col("line"))
-    return V.polylines(spark, sf).withColumn("r", r).select("scene_id", "pos", F.round("r.value.d", 6).alias("d"), F.col("r.value.seg").cast("bigint").alias("seg"))
+    return V.polylines(spark, sf).withColumn("r", r).select(
+        "scene_id", "pos", F.round("r.value.d", 6).alias("d"), F.col("r.value.seg").cast("bigint").alias("seg"),
+    )
 
 
 @query(V.with_views(_SEG + " SELECT scene_id, arg_min(pos, d) AS pos, round(min(d), 6) AS d FROM l GROUP BY scene_id", "points"))
@@ -148,13 +172,23 @@ def g3_nearest_polyline(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("scene_id").agg(F.min(F.struct("r.value.d", "pos")).alias("b")).select("scene_id", "b.pos", F.round("b.d", 6).alias("d"))
 
 
-@query(V.with_views(", s AS (SELECT p.pos, p.x AS px, p.y AS py, p.z AS pz, q.x AS ax, q.y AS ay, q.z AS az, r.x AS bx, r.y AS by_, r.z AS bz FROM v_points p JOIN v_points q ON p.pos = q.pos AND q.i = 1 JOIN v_points r ON p.pos = r.pos AND r.i = 2 WHERE p.i = 0), t AS (SELECT *, greatest(0.0, least(1.0, ((px-ax)*(bx-ax) + (py-ay)*(by_-ay) + (pz-az)*(bz-az)) / ((bx-ax)**2 + (by_-ay)**2 + (bz-az)**2))) AS t FROM s) SELECT pos, round(sqrt((px-ax-t*(bx-ax))**2 + (py-ay-t*(by_-ay))**2 + (pz-az-t*(bz-az))**2), 6) AS d, CAST(NULL AS VARCHAR) AS err FROM t", "points"))
+@query(
+    V.with_views(
+        ", s AS (SELECT p.pos, p.x AS px, p.y AS py, p.z AS pz, q.x AS ax, q.y AS ay, q.z AS az, r.x AS bx, r.y AS by_, r.z AS bz FROM v_points p JOIN v_points q ON p.pos = q.pos AND q.i = 1 JOIN v_points r ON p.pos = r.pos AND r.i = 2 WHERE p.i = 0), t AS (SELECT *, greatest(0.0, least(1.0, ((px-ax)*(bx-ax) + (py-ay)*(by_-ay) + (pz-az)*(bz-az)) / ((bx-ax)**2 + (by_-ay)**2 + (bz-az)**2))) AS t FROM s) SELECT pos, round(sqrt((px-ax-t*(bx-ax))**2 + (py-ay-t*(by_-ay))**2 + (pz-az-t*(bz-az))**2), 6) AS d, CAST(NULL AS VARCHAR) AS err FROM t",
+        "points",
+    )
+)
 def g1_point_to_segment(spark: SparkSession, sf: str) -> DataFrame:
     at = lambda i: F.get("line", F.lit(i))
     return V.polylines(spark, sf).withColumn("r", G.point_to_segment(at(0), at(1), at(2))).select("pos", F.round("r.value", 6).alias("d"), "r.err")
 
 
-@query(V.with_views(" SELECT a.pos, round(min(sqrt((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2)), 6) AS d FROM v_points a JOIN v_points b ON b.pos = a.pos + 1 GROUP BY a.pos", "points"))
+@query(
+    V.with_views(
+        " SELECT a.pos, round(min(sqrt((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2)), 6) AS d FROM v_points a JOIN v_points b ON b.pos = a.pos + 1 GROUP BY a.pos",
+        "points",
+    )
+)
 def g4_pairwise_min(spark: SparkSession, sf: str) -> DataFrame:
     """Each object against the next one by number; both sides are 21 points."""
     line = V.polylines(spark, sf)
@@ -173,18 +207,34 @@ def g4_pairwise_min(spark: SparkSession, sf: str) -> DataFrame:
 )
 def g10_relative_direction(spark: SparkSession, sf: str) -> DataFrame:
     r = G.relative_direction(xyz(), G.vec(*EYE), G.vec(*AHEAD), G.vec(*UP))
-    return V.objects(spark, sf).withColumn("r", r).select("scene_id", "object_id", "r.value.longitudinal", "r.value.lateral", "r.value.vertical", F.round("r.value.lateral_angle_deg", 6).alias("lateral_angle_deg"))
+    return V.objects(spark, sf).withColumn("r", r).select(
+        "scene_id",
+        "object_id",
+        "r.value.longitudinal",
+        "r.value.lateral",
+        "r.value.vertical",
+        F.round("r.value.lateral_angle_deg", 6).alias("lateral_angle_deg"),
+    )
 
 
-@query(V.with_views(" SELECT object_id, round(degrees(atan2(-y, x)), 6) AS azimuth_deg, round(degrees(asin((z-30)/sqrt(x*x + y*y + (z-30)**2))), 6) AS elevation_deg FROM v_objects", "objects"))
+@query(
+    V.with_views(
+        " SELECT object_id, round(degrees(atan2(-y, x)), 6) AS azimuth_deg, round(degrees(asin((z-30)/sqrt(x*x + y*y + (z-30)**2))), 6) AS elevation_deg FROM v_objects",
+        "objects",
+    )
+)
 def g11_azimuth_elevation(spark: SparkSession, sf: str) -> DataFrame:
     r = G.azimuth_elevation(xyz(), G.vec(*EYE), G.vec(*AHEAD), G.vec(*UP))
-    return V.objects(spark, sf).withColumn("r", r).select("object_id", F.round("r.value.azimuth_deg", 6).alias("azimuth_deg"), F.round("r.value.elevation_deg", 6).alias("elevation_deg"))
+    return V.objects(spark, sf).withColumn("r", r).select(
+        "object_id", F.round("r.value.azimuth_deg", 6).alias("azimuth_deg"), F.round("r.value.elevation_deg", 6).alias("elevation_deg"),
+    )
 
 
 @query(V.with_views(" SELECT object_id, round(z - 30, 6) AS height FROM v_objects", "objects"))
 def g12_height_difference(spark: SparkSession, sf: str) -> DataFrame:
-    return V.objects(spark, sf).withColumn("r", G.height_difference(xyz(), G.vec(*EYE), G.vec(0, 0, 2))).select("object_id", F.round("r.value", 6).alias("height"))
+    return V.objects(spark, sf).withColumn(
+        "r", G.height_difference(xyz(), G.vec(*EYE), G.vec(0, 0, 2)),
+    ).select("object_id", F.round("r.value", 6).alias("height"))
 
 
 def _poses(spark: SparkSession, sf: str) -> DataFrame:
@@ -192,28 +242,53 @@ def _poses(spark: SparkSession, sf: str) -> DataFrame:
     yaw = F.radians("s_acctbal")
     c, s = F.cos(yaw), F.sin(yaw)
     bad = F.when(F.col("s_suppkey") % 11 == 0, 2.0).otherwise(1.0)
-    t = F.array(F.array(c * bad, -s, F.lit(0.0), F.col("s_suppkey").cast("double")), F.array(s, c, F.lit(0.0), F.lit(2.0)), F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(-5.0)), G.vec4(0, 0, 0, 1))
+    t = F.array(
+        F.array(c * bad, -s, F.lit(0.0), F.col("s_suppkey").cast("double")),
+        F.array(s, c, F.lit(0.0), F.lit(2.0)),
+        F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(-5.0)),
+        G.vec4(0, 0, 0, 1),
+    )
     return V.table(spark, sf, "supplier").select("s_suppkey", "s_acctbal", t.alias("t"))
 
 
-@query("SELECT s_suppkey, CASE WHEN s_suppkey % 11 <> 0 THEN CAST(s_suppkey AS DOUBLE) END AS cx, CASE WHEN s_suppkey % 11 <> 0 THEN CAST(-1.0 AS DOUBLE) END AS gl_forward_z, CASE WHEN s_suppkey % 11 = 0 THEN 'not a rigid pose' END AS err, round(-(cos(radians(s_acctbal))*s_suppkey*CASE WHEN s_suppkey % 11 = 0 THEN 2.0 ELSE 1.0 END + sin(radians(s_acctbal))*2), 6) AS inverse_x FROM supplier")
+@query(
+    "SELECT s_suppkey, CASE WHEN s_suppkey % 11 <> 0 THEN CAST(s_suppkey AS DOUBLE) END AS cx, CASE WHEN s_suppkey % 11 <> 0 THEN CAST(-1.0 AS DOUBLE) END AS gl_forward_z, CASE WHEN s_suppkey % 11 = 0 THEN 'not a rigid pose' END AS err, round(-(cos(radians(s_acctbal))*s_suppkey*CASE WHEN s_suppkey % 11 = 0 THEN 2.0 ELSE 1.0 END + sin(radians(s_acctbal))*2), 6) AS inverse_x FROM supplier"
+)
 def g5_pose_parts(spark: SparkSession, sf: str) -> DataFrame:
     p = _poses(spark, sf).withColumns({"c": G.camera_center(F.col("t")), "f": G.camera_forward(F.col("t"), "opengl"), "i": G.invert_rigid(F.col("t"))})
-    return p.select("s_suppkey", F.get("c.value", F.lit(0)).alias("cx"), F.get("f.value", F.lit(2)).alias("gl_forward_z"), "c.err", F.round(F.get(F.get("i", F.lit(0)), F.lit(3)), 6).alias("inverse_x"))
+    return p.select(
+        "s_suppkey",
+        F.get("c.value", F.lit(0)).alias("cx"),
+        F.get("f.value", F.lit(2)).alias("gl_forward_z"),
+        "c.err",
+        F.round(F.get(F.get("i", F.lit(0)), F.lit(3)), 6).alias("inverse_x"),
+    )
 
 
 _K = "array(array(100D, 0D, 50D), array(0D, 100D, 40D), array(0D, 0D, 1D))"
 
 
-@query(V.with_views(", c AS (SELECT pos, x, y, z + 25 AS d FROM v_points), p AS (SELECT pos, d, CASE WHEN d <> 0 THEN 100*x/d + 50 END AS u, CASE WHEN d <> 0 THEN 100*y/d + 40 END AS v FROM c) SELECT pos, round(avg(CASE WHEN d > 0.1 AND d < 10000 AND u >= 0 AND u < 100 AND v >= 0 AND v < 80 THEN 1.0 ELSE 0.0 END), 6) AS visible_ratio, round(min(u), 4) AS min_u, round(max(v), 4) AS max_v FROM p GROUP BY pos", "points"))
+@query(
+    V.with_views(
+        ", c AS (SELECT pos, x, y, z + 25 AS d FROM v_points), p AS (SELECT pos, d, CASE WHEN d <> 0 THEN 100*x/d + 50 END AS u, CASE WHEN d <> 0 THEN 100*y/d + 40 END AS v FROM c) SELECT pos, round(avg(CASE WHEN d > 0.1 AND d < 10000 AND u >= 0 AND u < 100 AND v >= 0 AND v < 80 THEN 1.0 ELSE 0.0 END), 6) AS visible_ratio, round(min(u), 4) AS min_u, round(max(v), 4) AS max_v FROM p GROUP BY pos",
+        "points",
+    )
+)
 def a4_visible_ratio(spark: SparkSession, sf: str) -> DataFrame:
     """Points of each object through a camera 25 behind the origin that looks along z."""
     pose = F.array(G.vec4(1, 0, 0, 0), G.vec4(0, 1, 0, 0), G.vec4(0, 0, 1, -25), G.vec4(0, 0, 0, 1))
     rows = V.points(spark, sf).select("pos", G.project(xyz(), pose, F.expr(_K)).alias("p"), G.in_frustum(xyz(), pose, F.expr(_K), 80, 100).alias("seen"))
-    return rows.groupBy("pos").agg(F.round(F.avg(F.col("seen").cast("double")), 6).alias("visible_ratio"), F.round(F.min("p.u"), 4).alias("min_u"), F.round(F.max("p.v"), 4).alias("max_v"))
+    return rows.groupBy("pos").agg(
+        F.round(F.avg(F.col("seen").cast("double")), 6).alias("visible_ratio"), F.round(F.min("p.u"), 4).alias("min_u"), F.round(F.max("p.v"), 4).alias("max_v"),
+    )
 
 
-@query(V.with_views(" SELECT pos, count(*) AS n, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, round(avg(z), 6) AS cz, round(min(x), 6) AS min_x, round(max(x), 6) AS max_x, round(min(y), 6) AS min_y, round(max(y), 6) AS max_y, round(min(z), 6) AS min_z, round(max(z), 6) AS max_z FROM v_points GROUP BY pos", "points"))
+@query(
+    V.with_views(
+        " SELECT pos, count(*) AS n, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, round(avg(z), 6) AS cz, round(min(x), 6) AS min_x, round(max(x), 6) AS max_x, round(min(y), 6) AS min_y, round(max(y), 6) AS max_y, round(min(z), 6) AS min_z, round(max(z), 6) AS max_z FROM v_points GROUP BY pos",
+        "points",
+    )
+)
 def a1_centroid_box(spark: SparkSession, sf: str) -> DataFrame:
     s = entities.point_statistics(V.points(spark, sf), ["pos"])
     return s.select("pos", "n", *[F.round(c, 6).alias(c) for c in ("cx", "cy", "cz", "min_x", "max_x", "min_y", "max_y", "min_z", "max_z")])
@@ -234,16 +309,29 @@ def a3_oriented_boxes(spark: SparkSession, sf: str) -> DataFrame:
     return b.select("pos", *[F.round(F.get("variances", F.lit(k)), 4).alias(f"v{k}") for k in range(3)])
 
 
-@query(V.with_views(" SELECT object_id, round((ex - ez/2)*200, 6) AS x0, round((ey - ez/2)*100, 6) AS y0, round((ex + ez/2)*200, 6) AS x1, round((ey + ez/2)*100, 6) AS y1 FROM v_objects", "objects"))
+@query(
+    V.with_views(
+        " SELECT object_id, round((ex - ez/2)*200, 6) AS x0, round((ey - ez/2)*100, 6) AS y0, round((ex + ez/2)*200, 6) AS x1, round((ey + ez/2)*100, 6) AS y1 FROM v_objects",
+        "objects",
+    )
+)
 def g20_box_corners(spark: SparkSession, sf: str) -> DataFrame:
     b = G.box_corners(F.col("ex"), F.col("ey"), F.col("ez"), F.col("ez"), F.lit(200), F.lit(100))
-    return V.objects(spark, sf).withColumn("b", b).select("object_id", *[F.round(F.get("b", F.lit(i)), 6).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))])
+    return V.objects(spark, sf).withColumn("b", b).select(
+        "object_id", *[F.round(F.get("b", F.lit(i)), 6).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))]
+    )
 
 
-@query("SELECT s, c, v, CASE s WHEN 'metric' THEN c WHEN 'externally_anchored' THEN v WHEN 'relative' THEN false END AS ok, n FROM (SELECT (['metric','externally_anchored','relative','odd'])[p_partkey % 4 + 1] AS s, p_size % 2 = 0 AS c, p_partkey % 3 = 0 AS v, count(*) AS n FROM part GROUP BY ALL)")
+@query(
+    "SELECT s, c, v, CASE s WHEN 'metric' THEN c WHEN 'externally_anchored' THEN v WHEN 'relative' THEN false END AS ok, n FROM (SELECT (['metric','externally_anchored','relative','odd'])[p_partkey % 4 + 1] AS s, p_size % 2 = 0 AS c, p_partkey % 3 = 0 AS v, count(*) AS n FROM part GROUP BY ALL)"
+)
 def p6_metric_eligibility(spark: SparkSession, sf: str) -> DataFrame:
     kinds = F.array(*[F.lit(x) for x in ("metric", "externally_anchored", "relative", "odd")])
-    rows = V.table(spark, sf, "part").select(F.element_at(kinds, (F.col("p_partkey") % 4 + 1).cast("int")).alias("s"), (F.col("p_size") % 2 == 0).alias("c"), (F.col("p_partkey") % 3 == 0).alias("v")).groupBy("s", "c", "v").agg(F.count("*").alias("n"))
+    rows = V.table(spark, sf, "part").select(
+        F.element_at(kinds, (F.col("p_partkey") % 4 + 1).cast("int")).alias("s"),
+        (F.col("p_size") % 2 == 0).alias("c"),
+        (F.col("p_partkey") % 3 == 0).alias("v"),
+    ).groupBy("s", "c", "v").agg(F.count("*").alias("n"))
     return rows.select("s", "c", "v", G.supports_metric_target(F.col("s"), F.col("c"), F.col("v")).alias("ok"), "n")
 
 
@@ -252,13 +340,23 @@ def p6_metric_eligibility(spark: SparkSession, sf: str) -> DataFrame:
 _STATS = """, f AS (SELECT scene_id, quantile_cont(conf, 0.25) AS conf_floor FROM v_pixels GROUP BY scene_id)"""
 
 
-@query(V.with_views(_STATS + " SELECT p.scene_id, f.conf_floor, count(*) AS n_pixels, round(avg(CASE WHEN conf > conf_floor THEN 1.0 ELSE 0.0 END), 6) AS coverage, round(avg(CASE WHEN depth > 0 THEN 0.0 ELSE 1.0 END), 6) AS invalid_ratio, round(quantile_cont(depth, 0.5), 6) AS median_depth FROM v_pixels p JOIN f USING (scene_id) GROUP BY ALL", "pixels"))
+@query(
+    V.with_views(
+        _STATS + " SELECT p.scene_id, f.conf_floor, count(*) AS n_pixels, round(avg(CASE WHEN conf > conf_floor THEN 1.0 ELSE 0.0 END), 6) AS coverage, round(avg(CASE WHEN depth > 0 THEN 0.0 ELSE 1.0 END), 6) AS invalid_ratio, round(quantile_cont(depth, 0.5), 6) AS median_depth FROM v_pixels p JOIN f USING (scene_id) GROUP BY ALL",
+        "pixels",
+    )
+)
 def a8_depth_statistics(spark: SparkSession, sf: str) -> DataFrame:
     s = entities.depth_statistics(V.pixels(spark, sf))
     return s.select("scene_id", "conf_floor", "n_pixels", *[F.round(c, 6).alias(c) for c in ("coverage", "invalid_ratio", "median_depth")])
 
 
-@query(V.with_views(_STATS + " SELECT scene_id, class_id, count(*) AS n FROM v_pixels JOIN f USING (scene_id) WHERE class_id <> 0 AND depth > 0 AND conf >= conf_floor GROUP BY ALL", "pixels"))
+@query(
+    V.with_views(
+        _STATS + " SELECT scene_id, class_id, count(*) AS n FROM v_pixels JOIN f USING (scene_id) WHERE class_id <> 0 AND depth > 0 AND conf >= conf_floor GROUP BY ALL",
+        "pixels",
+    )
+)
 def p8_kept_pixels(spark: SparkSession, sf: str) -> DataFrame:
     p = V.pixels(spark, sf)
     return entities.kept_pixels(p, entities.depth_statistics(p), [0]).groupBy("scene_id", "class_id").agg(F.count("*").alias("n"))
@@ -272,7 +370,9 @@ _REACH = """, e AS (SELECT frame, class_id, y*20 + x AS id, y, x FROM v_pixels),
 
 @query(V.with_views(_REACH + " SELECT frame, class_id, component, count(*) AS n_pixels, min(id) AS first FROM c GROUP BY ALL", "pixels", recursive=True))
 def e3_components(spark: SparkSession, sf: str) -> DataFrame:
-    return entities.components(V.pixels(spark, sf).select("frame", "class_id", "y", "x")).groupBy("frame", "class_id", "component").agg(F.count("*").alias("n_pixels"), F.min(F.col("y") * V.SIDE + F.col("x")).alias("first"))
+    return entities.components(V.pixels(spark, sf).select("frame", "class_id", "y", "x")).groupBy("frame", "class_id", "component").agg(
+        F.count("*").alias("n_pixels"), F.min(F.col("y") * V.SIDE + F.col("x")).alias("first"),
+    )
 
 
 def _lifted(spark: SparkSession, sf: str) -> DataFrame:
@@ -316,11 +416,26 @@ _NEAR_FIRST = "sqrt((o.x - rest[1].x)**2 + (o.y - rest[1].y)**2 + (o.z - rest[1]
 )
 def a6_merge_objects(spark: SparkSession, sf: str) -> DataFrame:
     """Greedy and dependent on order: the SQL takes the first object left, and all near it, again and again."""
-    o = V.objects(spark, sf).withColumns({"frame": F.col("pos") % 5, "lo": F.array(*[F.col(c) - F.col(f"e{c}") for c in "xyz"]), "hi": F.array(*[F.col(c) + F.col(f"e{c}") for c in "xyz"])})
-    return entities.merge_objects(o).select("scene_id", "category", "seed", "object_id", "point_count", F.size("merged_from").alias("n_merged"), F.array_join(F.transform("merged_from", lambda x: x.cast("string")), ",").alias("merged_from"))
+    o = V.objects(spark, sf).withColumns(
+        {"frame": F.col("pos") % 5, "lo": F.array(*[F.col(c) - F.col(f"e{c}") for c in "xyz"]), "hi": F.array(*[F.col(c) + F.col(f"e{c}") for c in "xyz"])}
+    )
+    return entities.merge_objects(o).select(
+        "scene_id",
+        "category",
+        "seed",
+        "object_id",
+        "point_count",
+        F.size("merged_from").alias("n_merged"),
+        F.array_join(F.transform("merged_from", lambda x: x.cast("string")), ",").alias("merged_from"),
+    )
 
 
-@query(V.with_views(" SELECT a.scene_id, a.category, a.pos AS a, b.pos AS b, round(sqrt((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2), 6) AS distance FROM v_objects a JOIN v_objects b ON a.scene_id = b.scene_id AND a.category = b.category AND a.pos < b.pos WHERE sqrt((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2) <= 10", "objects"))
+@query(
+    V.with_views(
+        " SELECT a.scene_id, a.category, a.pos AS a, b.pos AS b, round(sqrt((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2), 6) AS distance FROM v_objects a JOIN v_objects b ON a.scene_id = b.scene_id AND a.category = b.category AND a.pos < b.pos WHERE sqrt((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2) <= 10",
+        "objects",
+    )
+)
 def j11_close_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return entities.close_pairs(V.objects(spark, sf), 10.0).withColumn("distance", F.round("distance", 6))
 
@@ -329,28 +444,51 @@ _VOTES = """, v AS (SELECT m.instance_id, p.class_id, count(*) AS votes FROM v_m
   w AS (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY votes DESC, class_id) AS k, sum(votes) OVER (PARTITION BY instance_id) AS n FROM v)"""
 
 
-@query(V.with_views(_VOTES + " SELECT instance_id, class_id, votes, CAST(n AS BIGINT) AS n_votes, round(votes/n, 4) AS purity FROM w WHERE k = 1 AND round(votes/n, 4) >= 0.6", "masks", "pixels"))
+@query(
+    V.with_views(
+        _VOTES + " SELECT instance_id, class_id, votes, CAST(n AS BIGINT) AS n_votes, round(votes/n, 4) AS purity FROM w WHERE k = 1 AND round(votes/n, 4) >= 0.6",
+        "masks",
+        "pixels",
+    )
+)
 def e5_fused_instances(spark: SparkSession, sf: str) -> DataFrame:
     return entities.fuse_instances(V.masks(spark, sf), V.pixels(spark, sf), [0], 0.6)
 
 
-@query(V.with_views(_VOTES + " SELECT label, count(*) AS n, round(quantile_cont(p, 0.5), 6) AS median_purity, round(quantile_cont(p, 0.25), 6) AS p25_purity, round(avg(CASE WHEN p < 0.6 THEN 1.0 ELSE 0.0 END), 6) AS low_share FROM (SELECT w.instance_id, round(votes/n, 4) AS p, m.label FROM w JOIN v_masks m USING (instance_id) WHERE k = 1) GROUP BY label", "masks", "pixels"))
+@query(
+    V.with_views(
+        _VOTES + " SELECT label, count(*) AS n, round(quantile_cont(p, 0.5), 6) AS median_purity, round(quantile_cont(p, 0.25), 6) AS p25_purity, round(avg(CASE WHEN p < 0.6 THEN 1.0 ELSE 0.0 END), 6) AS low_share FROM (SELECT w.instance_id, round(votes/n, 4) AS p, m.label FROM w JOIN v_masks m USING (instance_id) WHERE k = 1) GROUP BY label",
+        "masks",
+        "pixels",
+    )
+)
 def a17_purity_report(spark: SparkSession, sf: str) -> DataFrame:
     m = V.masks(spark, sf)
     f = entities.fuse_instances(m, V.pixels(spark, sf), [0]).join(m.select("instance_id", "label"), "instance_id")
-    return f.groupBy("label").agg(F.count("*").alias("n"), F.round(F.percentile("purity", F.lit(0.5)), 6).alias("median_purity"), F.round(F.percentile("purity", F.lit(0.25)), 6).alias("p25_purity"), F.round(F.avg((F.col("purity") < 0.6).cast("double")), 6).alias("low_share"))
+    return f.groupBy("label").agg(
+        F.count("*").alias("n"),
+        F.round(F.percentile("purity", F.lit(0.5)), 6).alias("median_purity"),
+        F.round(F.percentile("purity", F.lit(0.25)), 6).alias("p25_purity"),
+        F.round(F.avg((F.col("purity") < 0.6).cast("double")), 6).alias("low_share"),
+    )
 
 
-@query("SELECT CAST(l_suppkey % 7 AS BIGINT) AS k, round(sqrt((max(l_quantity) - min(l_quantity))**2 + (max(l_discount) - min(l_discount))**2 + (max(l_tax) - min(l_tax))**2), 6) AS span FROM lineitem GROUP BY ALL")
+@query(
+    "SELECT CAST(l_suppkey % 7 AS BIGINT) AS k, round(sqrt((max(l_quantity) - min(l_quantity))**2 + (max(l_discount) - min(l_discount))**2 + (max(l_tax) - min(l_tax))**2), 6) AS span FROM lineitem GROUP BY ALL"
+)
 def a10_camera_span(spark: SparkSession, sf: str) -> DataFrame:
-    rows = V.table(spark, sf, "lineitem").select((F.col("l_suppkey") % 7).alias("k"), F.col("l_quantity").alias("x"), F.col("l_discount").alias("y"), F.col("l_tax").alias("z"))
+    rows = V.table(spark, sf, "lineitem").select(
+        (F.col("l_suppkey") % 7).alias("k"), F.col("l_quantity").alias("x"), F.col("l_discount").alias("y"), F.col("l_tax").alias("z"),
+    )
     return entities.camera_span(rows, ["k"]).withColumn("span", F.round("span", 6))
 
 
 _CASES = " ".join(f"WHEN regexp_matches(lower(label), '\\b(?:{'|'.join(keys)})') THEN '{name}'" for name, keys in T.CLASS_KEYWORDS)
 
 
-@query(f"SELECT label, category, count(*) AS n FROM (SELECT label, CASE {_CASES} ELSE 'other' END AS category FROM (SELECT {V._LABEL_LIST}[p_partkey % {len(V.LABELS)} + 1] AS label FROM part)) GROUP BY ALL")
+@query(
+    f"SELECT label, category, count(*) AS n FROM (SELECT label, CASE {_CASES} ELSE 'other' END AS category FROM (SELECT {V._LABEL_LIST}[p_partkey % {len(V.LABELS)} + 1] AS label FROM part)) GROUP BY ALL"
+)
 def f1_canonical_classes(spark: SparkSession, sf: str) -> DataFrame:
     rows = V.table(spark, sf, "part").select(V.labels_of(F.col("p_partkey")).alias("label"))
     return rows.groupBy("label").agg(F.count("*").alias("n")).select("label", T.canonical_class(F.col("label")).alias("category"), "n")
@@ -366,36 +504,67 @@ def j15_relabel(spark: SparkSession, sf: str) -> DataFrame:
     return entities.relabel(V.pixels(spark, sf), T.CLASSES).groupBy("frame", "category").agg(F.count("*").alias("n"))
 
 
-@query(V.with_views(" SELECT frame, CAST(a.i AS BIGINT) AS y, CAST(b.i AS BIGINT) AS x, class_id FROM v_pixels p JOIN unnest(range(0, 8)) AS a(i) ON floor((a.i + 0.5)*20/8) = p.y JOIN unnest(range(0, 8)) AS b(i) ON floor((b.i + 0.5)*20/8) = p.x", "pixels"))
+@query(
+    V.with_views(
+        " SELECT frame, CAST(a.i AS BIGINT) AS y, CAST(b.i AS BIGINT) AS x, class_id FROM v_pixels p JOIN unnest(range(0, 8)) AS a(i) ON floor((a.i + 0.5)*20/8) = p.y JOIN unnest(range(0, 8)) AS b(i) ON floor((b.i + 0.5)*20/8) = p.x",
+        "pixels",
+    )
+)
 def s17_resize_nearest(spark: SparkSession, sf: str) -> DataFrame:
     p = entities.resize_nearest(V.pixels(spark, sf).select("frame", "y", "x", "class_id"), V.SIDE, V.SIDE, 8, 8)
     return p.select("frame", F.col("y").cast("bigint").alias("y"), F.col("x").cast("bigint").alias("x"), "class_id")
 
 
-@query(V.with_views(" SELECT instance_id, round((y1 - y0 + 1)*(x1 - x0 + 1)/400.0, 6) AS box_share, round(sum(CASE WHEN p.class_id = 1 THEN 1 ELSE 0 END)/((y1 - y0 + 1)*(x1 - x0 + 1)), 6) AS mask_share, round(sum(CASE WHEN p.class_id = 1 AND NOT (p.y BETWEEN y0 + 2 AND y1 - 2 AND p.x BETWEEN x0 + 2 AND x1 - 2) THEN 1.0 ELSE 0.0 END)/greatest(sum(CASE WHEN p.class_id = 1 THEN 1 ELSE 0 END), 1), 6) AS rim_share FROM v_masks m JOIN v_pixels p ON p.frame = m.frame AND p.y BETWEEN m.y0 AND m.y1 AND p.x BETWEEN m.x0 AND m.x1 GROUP BY instance_id, y0, y1, x0, x1", "masks", "pixels"))
+@query(
+    V.with_views(
+        " SELECT instance_id, round((y1 - y0 + 1)*(x1 - x0 + 1)/400.0, 6) AS box_share, round(sum(CASE WHEN p.class_id = 1 THEN 1 ELSE 0 END)/((y1 - y0 + 1)*(x1 - x0 + 1)), 6) AS mask_share, round(sum(CASE WHEN p.class_id = 1 AND NOT (p.y BETWEEN y0 + 2 AND y1 - 2 AND p.x BETWEEN x0 + 2 AND x1 - 2) THEN 1.0 ELSE 0.0 END)/greatest(sum(CASE WHEN p.class_id = 1 THEN 1 ELSE 0 END), 1), 6) AS rim_share FROM v_masks m JOIN v_pixels p ON p.frame = m.frame AND p.y BETWEEN m.y0 AND m.y1 AND p.x BETWEEN m.x0 AND m.x1 GROUP BY instance_id, y0, y1, x0, x1",
+        "masks",
+        "pixels",
+    )
+)
 def a22_mask_box_ratio(spark: SparkSession, sf: str) -> DataFrame:
     """Of each box the share of the frame, of it the share that is mask (class 1), and how much of the mask lies on its two-pixel rim."""
     cover = V.masks(spark, sf).withColumn("y", F.explode(F.sequence("y0", "y1")))  # a run for each line
     mask = (F.col("class_id") == 1).cast("int")
     inner = F.col("y").between(F.col("y0") + 2, F.col("y1") - 2) & F.col("x").between(F.col("x0") + 2, F.col("x1") - 2)
     area = (F.col("y1") - F.col("y0") + 1) * (F.col("x1") - F.col("x0") + 1)
-    met = cover.join(V.pixels(spark, sf).select("frame", "y", "x", "class_id"), ["frame", "y"]).filter(F.col("x").between(F.col("x0"), F.col("x1"))).groupBy("instance_id", "y0", "y1", "x0", "x1").agg(F.sum(mask).alias("m"), F.sum(mask * (~inner).cast("int")).alias("rim"))
-    return met.select("instance_id", F.round(area / 400.0, 6).alias("box_share"), F.round(F.col("m") / area, 6).alias("mask_share"), F.round(F.col("rim") / F.greatest("m", F.lit(1)), 6).alias("rim_share"))
+    met = cover.join(
+        V.pixels(spark, sf).select("frame", "y", "x", "class_id"), ["frame", "y"],
+    ).filter(F.col("x").between(F.col("x0"), F.col("x1"))).groupBy("instance_id", "y0", "y1", "x0", "x1").agg(F.sum(mask).alias("m"), F.sum(mask * (~inner).cast("int")).alias("rim"))
+    return met.select(
+        "instance_id",
+        F.round(area / 400.0, 6).alias("box_share"),
+        F.round(F.col("m") / area, 6).alias("mask_share"),
+        F.round(F.col("rim") / F.greatest("m", F.lit(1)), 6).alias("rim_share"),
+    )
 
 
 # --- text, digests, ids ---
 
 
-@query("SELECT o_orderkey, format('{:.6g}', sqrt(o_totalprice)) AS a, format('{:.6g}', sqrt(o_totalprice) / 10000000) AS b, format('{:.6g}', CAST(round(o_totalprice) AS DOUBLE)) AS c FROM orders")
+@query(
+    "SELECT o_orderkey, format('{:.6g}', sqrt(o_totalprice)) AS a, format('{:.6g}', sqrt(o_totalprice) / 10000000) AS b, format('{:.6g}', CAST(round(o_totalprice) AS DOUBLE)) AS c FROM orders"
+)
 def f10_six_digits(spark: SparkSession, sf: str) -> DataFrame:
     o = V.table(spark, sf, "orders")
-    return o.select("o_orderkey", T.six_digits(F.sqrt("o_totalprice")).alias("a"), T.six_digits(F.sqrt("o_totalprice") / 10000000).alias("b"), T.six_digits(F.round("o_totalprice")).alias("c"))
+    return o.select(
+        "o_orderkey",
+        T.six_digits(F.sqrt("o_totalprice")).alias("a"),
+        T.six_digits(F.sqrt("o_totalprice") / 10000000).alias("b"),
+        T.six_digits(F.round("o_totalprice")).alias("c"),
+    )
 
 
-@query("SELECT c_custkey, substr(sha256(c_name || '|' || c_mktsegment), 1, 8) AS short, sha256('{\"a\":\"' || c_mktsegment || '\",\"b\":' || c_custkey || '}') AS digest FROM customer")
+@query(
+    "SELECT c_custkey, substr(sha256(c_name || '|' || c_mktsegment), 1, 8) AS short, sha256('{\"a\":\"' || c_mktsegment || '\",\"b\":' || c_custkey || '}') AS digest FROM customer"
+)
 def f5_digests(spark: SparkSession, sf: str) -> DataFrame:
     c = V.table(spark, sf, "customer")
-    return c.select("c_custkey", T.short_hash(F.col("c_name"), F.col("c_mktsegment")).alias("short"), T.digest(("b", F.col("c_custkey")), ("a", F.col("c_mktsegment"))).alias("digest"))
+    return c.select(
+        "c_custkey",
+        T.short_hash(F.col("c_name"), F.col("c_mktsegment")).alias("short"),
+        T.digest(("b", F.col("c_custkey")), ("a", F.col("c_mktsegment"))).alias("digest"),
+    )
 
 
 @query(f"SELECT frame, string_agg(lower(trim(label, ' .')), '. ' ORDER BY instance_id) || '.' AS prompt FROM ({V.SQL['masks']}) GROUP BY frame")
@@ -404,7 +573,9 @@ def f2_prompt_text(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("frame", T.prompt_text(F.transform("m", lambda x: x["label"])).alias("prompt"))
 
 
-@query("SELECT k, CASE WHEN regexp_matches(k, '^<(obj|part|wire|region|route|track|pose)_\\d{3,}>$') THEN regexp_extract(k, '_(\\d+)>', 1)::BIGINT ELSE -1 END AS num, regexp_matches(k, '^<wire_\\d{3,}>$') AS is_wire FROM (SELECT '<' || (['obj','wire','pose','box','track'])[p_partkey % 5 + 1] || '_' || lpad(CAST(p_partkey AS VARCHAR), CAST(greatest(length(CAST(p_partkey AS VARCHAR)), 2 + p_partkey % 2) AS INT), '0') || '>' AS k FROM part)")
+@query(
+    "SELECT k, CASE WHEN regexp_matches(k, '^<(obj|part|wire|region|route|track|pose)_\\d{3,}>$') THEN regexp_extract(k, '_(\\d+)>', 1)::BIGINT ELSE -1 END AS num, regexp_matches(k, '^<wire_\\d{3,}>$') AS is_wire FROM (SELECT '<' || (['obj','wire','pose','box','track'])[p_partkey % 5 + 1] || '_' || lpad(CAST(p_partkey AS VARCHAR), CAST(greatest(length(CAST(p_partkey AS VARCHAR)), 2 + p_partkey % 2) AS INT), '0') || '>' AS k FROM part)"
+)
 def p11_ids(spark: SparkSession, sf: str) -> DataFrame:
     kinds, n = F.array(*[F.lit(x) for x in ("obj", "wire", "pose", "box", "track")]), F.col("p_partkey").cast("string")
     width = F.greatest(F.length(n), (2 + F.col("p_partkey") % 2).cast("int"))
@@ -417,7 +588,9 @@ def p11_ids(spark: SparkSession, sf: str) -> DataFrame:
 def f16_json_salvage(spark: SparkSession, sf: str) -> DataFrame:
     """Answers wrapped in fences, in prose, or without an object."""
     p = F.col("props")
-    said = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("```json\n"), p, F.lit("\n```"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("The answer is "), p, F.lit(", I think."))).otherwise("no idea")
+    said = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("```json\n"), p, F.lit("\n```"))).when(
+        F.col("event_id") % 3 == 1, F.concat(F.lit("The answer is "), p, F.lit(", I think.")),
+    ).otherwise("no idea")
     return V.table(spark, sf, "events").select("event_id", F.get_json_object(T.json_object(said), "$.k").alias("k"))
 
 
@@ -436,7 +609,14 @@ def _entity_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Objects as entities of one scene, some ids malformed, some repeated, some with a single confidence."""
     o, pos = V.objects(spark, sf), F.col("pos")
     eid = F.when(pos % 97 == 0, F.concat(F.lit("odd_"), pos.cast("string"))).when(pos % 50 == 7, T.format_id("obj", pos - 1)).otherwise(F.col("object_id"))
-    return o.select(F.lit("all").alias("scene_id"), eid.alias("entity_id"), "semantic", F.when(pos % 3 != 0, F.lit(0.5)).alias("geometry"), F.when(pos % 6 == 0, F.lit(0.5)).alias("cross_view_support"), "pos")
+    return o.select(
+        F.lit("all").alias("scene_id"),
+        eid.alias("entity_id"),
+        "semantic",
+        F.when(pos % 3 != 0, F.lit(0.5)).alias("geometry"),
+        F.when(pos % 6 == 0, F.lit(0.5)).alias("cross_view_support"),
+        "pos",
+    )
 
 
 @query(
@@ -455,8 +635,23 @@ def _entity_rows(spark: SparkSession, sf: str) -> DataFrame:
 )
 def v1_entity_issues(spark: SparkSession, sf: str) -> DataFrame:
     e, r = _entity_rows(spark, sf), V.relations(spark, sf).withColumn("scene_id", F.lit("all"))
-    refs = r.select("scene_id", F.col("relation_id").alias("source"), F.explode(F.array(F.struct(F.lit("subject_id").alias("field"), F.col("subject_id").alias("ref")), F.struct(F.lit("object_id").alias("field"), F.col("object_id").alias("ref")))).alias("r")).select("scene_id", "source", "r.field", "r.ref")
-    found = validate.all_issues(validate.duplicate_ids(e), validate.malformed_ids(e), validate.broken_references(refs, e), validate.unknown_programs(r, ["height_difference", "pairwise_min_distance"]), validate.collapsed_confidence(e))
+    refs = r.select(
+        "scene_id",
+        F.col("relation_id").alias("source"),
+        F.explode(
+            F.array(
+                F.struct(F.lit("subject_id").alias("field"), F.col("subject_id").alias("ref")),
+                F.struct(F.lit("object_id").alias("field"), F.col("object_id").alias("ref")),
+            )
+        ).alias("r"),
+    ).select("scene_id", "source", "r.field", "r.ref")
+    found = validate.all_issues(
+        validate.duplicate_ids(e),
+        validate.malformed_ids(e),
+        validate.broken_references(refs, e),
+        validate.unknown_programs(r, ["height_difference", "pairwise_min_distance"]),
+        validate.collapsed_confidence(e),
+    )
     return found.groupBy("code", "location", "detail").agg(F.count("*").alias("n"))
 
 
@@ -477,31 +672,52 @@ def v1_scene_issues(spark: SparkSession, sf: str) -> DataFrame:
     s = V.table(spark, sf, "supplier").select(F.concat(F.lit("scene_"), k.cast("string")).alias("scene_id"), k.alias("k"))
     kinds = F.array(*[F.lit(x) for x in ("metric", "externally_anchored", "relative", "odd")])
     k = F.col("k")
-    caps = s.select("scene_id", F.element_at(kinds, (k % 4 + 1).cast("int")).alias("depth_type"), (k % 3 == 0).alias("domain_calibrated"), (k % 5 == 0).alias("anchor_verified"), (k % 2 == 0).alias("metric_task_eligible"), F.when(k % 7 == 0, "relative").otherwise("metric").alias("scale_status"))
+    caps = s.select(
+        "scene_id",
+        F.element_at(kinds, (k % 4 + 1).cast("int")).alias("depth_type"),
+        (k % 3 == 0).alias("domain_calibrated"),
+        (k % 5 == 0).alias("anchor_verified"),
+        (k % 2 == 0).alias("metric_task_eligible"),
+        F.when(k % 7 == 0, "relative").otherwise("metric").alias("scale_status"),
+    )
     masks = s.select("scene_id", F.when(k % 3 == 0, "mask").alias("combined_uri"), F.when(k % 9 != 0, 2).alias("n_reason_masks"))
     primary = F.when(k % 4 == 1, F.array(F.lit("other"))).when(k % 4 == 2, F.array(F.lit("VGGT-x"), F.lit("b"))).when(k % 4 == 3, F.array(F.lit("VGGT-x")))
     depths = s.select("scene_id", F.lit("primary").alias("role"), F.explode(primary).alias("producer"))
-    layers = s.select("scene_id", F.lit("l1_entities").alias("layer"), F.when(k % 10 != 4, "uri").alias("uri"), F.when(~(k % 10).isin(3, 4), "ab").alias("content_sha256"))
-    return validate.all_issues(validate.metric_claims(caps), validate.collapsed_masks(masks), validate.primary_depth(depths), validate.missing_digests(layers)).select("scene_id", "code", "location", "detail")
+    layers = s.select(
+        "scene_id", F.lit("l1_entities").alias("layer"), F.when(k % 10 != 4, "uri").alias("uri"), F.when(~(k % 10).isin(3, 4), "ab").alias("content_sha256"),
+    )
+    return validate.all_issues(
+        validate.metric_claims(caps), validate.collapsed_masks(masks), validate.primary_depth(depths), validate.missing_digests(layers),
+    ).select("scene_id", "code", "location", "detail")
 
 
 _STATES = [s for s, _ in state.ORDER] + ["QUARANTINED", "REJECTED"]
 
 
 @query(
-    "WITH t(from_state, to_state, gate) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{g}')" for (a, _), (b, g) in zip(state.ORDER, state.ORDER[1:], strict=False)) + ", "
-    + ", ".join(f"('{s}', '{o}', NULL)" for s, _ in state.ORDER[:-1] for o in ("QUARANTINED", "REJECTED")) + ", ('QUARANTINED', 'REGISTERED', NULL), ('QUARANTINED', 'REJECTED', NULL)), "
+    "WITH t(from_state, to_state, gate) AS (VALUES " + ", ".join(
+        f"('{a}', '{b}', '{g}')" for (a, _), (b, g) in zip(state.ORDER, state.ORDER[1:], strict=False)
+    ) + ", "
+    + ", ".join(
+        f"('{s}', '{o}', NULL)" for s, _ in state.ORDER[:-1] for o in ("QUARANTINED", "REJECTED")
+    ) + ", ('QUARANTINED', 'REGISTERED', NULL), ('QUARANTINED', 'REJECTED', NULL)), "
     + f"m AS (SELECT [{', '.join(repr(s) for s in _STATES)}][p_partkey % 14 + 1] AS from_state, [{', '.join(repr(s) for s in _STATES)}][(p_partkey % 14 + p_size) % 14 + 1] AS to_state, (['pass','warn','quarantine', NULL])[p_partkey % 4 + 1] AS gate_status FROM part), "
     + "j AS (SELECT m.*, t.from_state IS NOT NULL AND (gate IS NULL OR coalesce(gate_status IN ('pass', 'warn'), false)) AS allowed FROM m LEFT JOIN t USING (from_state, to_state)) SELECT from_state, to_state, gate_status, allowed, count(*) AS n FROM j GROUP BY ALL"
 )
 def p13_transitions(spark: SparkSession, sf: str) -> DataFrame:
     names, p = F.array(*[F.lit(s) for s in _STATES]), F.col("p_partkey") % 14
     gates = F.array(F.lit("pass"), F.lit("warn"), F.lit("quarantine"), F.lit(None).cast("string"))
-    m = V.table(spark, sf, "part").select(F.element_at(names, (p + 1).cast("int")).alias("from_state"), F.element_at(names, ((p + F.col("p_size")) % 14 + 1).cast("int")).alias("to_state"), F.element_at(gates, (F.col("p_partkey") % 4 + 1).cast("int")).alias("gate_status"))
+    m = V.table(spark, sf, "part").select(
+        F.element_at(names, (p + 1).cast("int")).alias("from_state"),
+        F.element_at(names, ((p + F.col("p_size")) % 14 + 1).cast("int")).alias("to_state"),
+        F.element_at(gates, (F.col("p_partkey") % 4 + 1).cast("int")).alias("gate_status"),
+    )
     return state.judge_transitions(m).groupBy("from_state", "to_state", "gate_status", "allowed").agg(F.count("*").alias("n"))
 
 
-@query("SELECT c_custkey, format('<obj_{:03d}>', 500 + (SELECT max(vec_id) FROM embeddings) + row_number() OVER (ORDER BY c_acctbal, c_custkey)) AS entity_id FROM customer")
+@query(
+    "SELECT c_custkey, format('<obj_{:03d}>', 500 + (SELECT max(vec_id) FROM embeddings) + row_number() OVER (ORDER BY c_acctbal, c_custkey)) AS entity_id FROM customer"
+)
 def w7_minted_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Numbers go on after the largest reserved one, in the order given."""
     taken = V.table(spark, sf, "embeddings").select(T.format_id("obj", F.col("vec_id") + 500).alias("entity_id"))
@@ -509,9 +725,13 @@ def w7_minted_ids(spark: SparkSession, sf: str) -> DataFrame:
     return state.mint_ids(rows, ["c_acctbal", "c_custkey"], taken).select("c_custkey", "entity_id")
 
 
-@query("SELECT 'artifact_' || s_suppkey AS parent, sha256('l1_entities|root,artifact_' || s_suppkey || '|' || s_name) AS content_sha256, 'l1_entities_' || substr(sha256('l1_entities|root,artifact_' || s_suppkey || '|' || s_name), 1, 12) AS artifact_id FROM supplier")
+@query(
+    "SELECT 'artifact_' || s_suppkey AS parent, sha256('l1_entities|root,artifact_' || s_suppkey || '|' || s_name) AS content_sha256, 'l1_entities_' || substr(sha256('l1_entities|root,artifact_' || s_suppkey || '|' || s_name), 1, 12) AS artifact_id FROM supplier"
+)
 def ar1_derived_artifacts(spark: SparkSession, sf: str) -> DataFrame:
-    a = V.table(spark, sf, "supplier").select(F.concat(F.lit("artifact_"), F.col("s_suppkey").cast("string")).alias("artifact_id"), F.array(F.lit("root")).alias("parents"), "s_name")
+    a = V.table(spark, sf, "supplier").select(
+        F.concat(F.lit("artifact_"), F.col("s_suppkey").cast("string")).alias("artifact_id"), F.array(F.lit("root")).alias("parents"), "s_name",
+    )
     return state.derive(a, "l1_entities", F.col("s_name")).select(F.element_at("parents", -1).alias("parent"), "content_sha256", "artifact_id")
 
 
@@ -533,19 +753,46 @@ def packages(spark: SparkSession, sf: str) -> DataFrame:
     views = F.transform(F.sequence(F.lit(1).cast("bigint"), "n_views"), lambda i: F.format_string("f%04d", i))
     entity = F.struct(
         "pos", "object_id", "category",
-        F.struct(centre.alias("centroid"), F.when(~F.col("scene_id").startswith("scene_6") | (F.col("pos") % 6 != 0), obb).alias("obb"), line.alias("centerline")).alias("geometry"),
+        F.struct(
+            centre.alias("centroid"), F.when(~F.col("scene_id").startswith("scene_6") | (F.col("pos") % 6 != 0), obb).alias("obb"), line.alias("centerline"),
+        ).alias("geometry"),
         F.struct(views.alias("visible_frames")).alias("visibility"), F.struct(F.col("semantic").alias("semantic")).alias("confidence"),
     )
     g = o.groupBy("scene_id").agg(F.array_sort(F.collect_list(entity)).alias("objects"))
     label = F.split("scene_id", "_")[1].cast("int")
     cam = lambda n, x: F.struct(F.lit(f"<pose_{n:03d}>").alias("pose_id"), G.vec(x, 0, 30).alias("position"), G.vec(*AHEAD).alias("forward"), G.vec(*UP).alias("up"))
     seen = lambda k: F.struct(F.concat("scene_id", F.lit(f"/o{k}")).alias("observation_id"), F.lit(f"f000{k}").alias("frame_id"), F.lit("box").alias("mask_or_box"), F.array(F.lit("car"), F.lit("vehicle")).alias("category_candidates"))
-    link = F.struct(F.lit("link_1").alias("link_id"), F.lit("<obj_001>").alias("entity_id"), F.when(label % 2 == 1, label % 4 == 1).alias("same_entity"), F.lit(0.9).alias("probability"), (label / 16.0).alias("point_support_iou"), seen(1).alias("observation_a"), seen(2).alias("observation_b"))
+    link = F.struct(
+        F.lit("link_1").alias("link_id"),
+        F.lit("<obj_001>").alias("entity_id"),
+        F.when(label % 2 == 1, label % 4 == 1).alias("same_entity"),
+        F.lit(0.9).alias("probability"),
+        (label / 16.0).alias("point_support_iou"),
+        seen(1).alias("observation_a"),
+        seen(2).alias("observation_b"),
+    )
     caps = F.struct(
-        F.when(label == 5, "relative").otherwise("metric").alias("scale_status"), F.lit("externally_anchored").alias("depth_type"), (label != 5).alias("metric_task_eligible"), F.array(F.lit("object")).alias("available_entity_types"), F.lit(12.0).alias("camera_baseline_m"),
-        F.when(label == 3, 0.01).when(label != 4, 0.3).alias("parallax_ratio"), F.lit(87.6).alias("nadir_angle_median_deg"), F.when(label % 2 == 0, 1.15).otherwise(5.0).alias("depth_relief_ratio"), F.lit(None).cast("boolean").alias("domain_calibrated"),
+        F.when(label == 5, "relative").otherwise("metric").alias("scale_status"),
+        F.lit("externally_anchored").alias("depth_type"),
+        (label != 5).alias("metric_task_eligible"),
+        F.array(F.lit("object")).alias("available_entity_types"),
+        F.lit(12.0).alias("camera_baseline_m"),
+        F.when(label == 3, 0.01).when(label != 4, 0.3).alias("parallax_ratio"),
+        F.lit(87.6).alias("nadir_angle_median_deg"),
+        F.when(label % 2 == 0, 1.15).otherwise(5.0).alias("depth_relief_ratio"),
+        F.lit(None).cast("boolean").alias("domain_calibrated"),
     )
-    return g.select("scene_id", caps.alias("caps"), F.array(cam(3, 9.0), cam(7, 0.0)).alias("cameras"), "objects", F.array(link).alias("links"), F.lit("<pose_007>").alias("observer_pose_id"), F.lit(QUESTION).alias("question"), F.array(F.lit("f0001.jpg"), F.lit("f0002.jpg")).alias("visual_inputs"), F.lit("cloud.ply").alias("pointcloud_ref"))
+    return g.select(
+        "scene_id",
+        caps.alias("caps"),
+        F.array(cam(3, 9.0), cam(7, 0.0)).alias("cameras"),
+        "objects",
+        F.array(link).alias("links"),
+        F.lit("<pose_007>").alias("observer_pose_id"),
+        F.lit(QUESTION).alias("question"),
+        F.array(F.lit("f0001.jpg"), F.lit("f0002.jpg")).alias("visual_inputs"),
+        F.lit("cloud.ply").alias("pointcloud_ref"),
+    )
 
 
 def compiled(spark: SparkSession, sf: str, task: str | None = None) -> DataFrame:
@@ -566,16 +813,41 @@ _PKG = """, p AS (SELECT scene_id, CAST(split_part(scene_id, '_', 2) AS INT) AS
   q AS (SELECT scene_id, concat_ws(',', CASE WHEN label = 5 THEN 'scale_status:metric,metric_task_eligible' END, CASE WHEN label = 5 THEN 'scale_status_is_metric:true,domain_calibrated:true' END) AS reasons FROM p)"""
 
 
-@query(V.with_views(_PKG + " SELECT scene_id, CASE WHEN reasons = '' THEN 'record' ELSE 'skipped' END AS status, reasons, CASE WHEN reasons = '' THEN id1 END AS object_id, reasons = '' AND abs(d1 - d2) < 0.05*greatest(d1, 1e-9) AS is_ambiguous, CASE WHEN reasons = '' AND abs(d1 - d2) < 0.05*greatest(d1, 1e-9) THEN id1 || ',' || id2 WHEN reasons = '' THEN '' END AS equivalent FROM g JOIN f USING (scene_id)", "objects"))
+@query(
+    V.with_views(
+        _PKG + " SELECT scene_id, CASE WHEN reasons = '' THEN 'record' ELSE 'skipped' END AS status, reasons, CASE WHEN reasons = '' THEN id1 END AS object_id, reasons = '' AND abs(d1 - d2) < 0.05*greatest(d1, 1e-9) AS is_ambiguous, CASE WHEN reasons = '' AND abs(d1 - d2) < 0.05*greatest(d1, 1e-9) THEN id1 || ',' || id2 WHEN reasons = '' THEN '' END AS equivalent FROM g JOIN f USING (scene_id)",
+        "objects",
+    )
+)
 def k1_compile_grounding(spark: SparkSession, sf: str) -> DataFrame:
     c, ok = compiled(spark, sf, "3d_grounding.object"), F.col("status") == "record"
-    return c.select("scene_id", "status", F.array_join("reasons", ",").alias("reasons"), F.when(ok, F.col("target.object_id")).alias("object_id"), (ok & F.coalesce("is_ambiguous", F.lit(False))).alias("is_ambiguous"), F.when(ok, F.array_join("equivalent", ",")).alias("equivalent"))
+    return c.select(
+        "scene_id",
+        "status",
+        F.array_join("reasons", ",").alias("reasons"),
+        F.when(ok, F.col("target.object_id")).alias("object_id"),
+        (ok & F.coalesce("is_ambiguous", F.lit(False))).alias("is_ambiguous"),
+        F.when(ok, F.array_join("equivalent", ",")).alias("equivalent"),
+    )
 
 
-@query(V.with_views(_PKG + " SELECT scene_id, CASE WHEN reasons = '' THEN 'record' ELSE 'skipped' END AS status, reasons, CASE WHEN reasons = '' THEN id1 END AS object_id, CASE WHEN reasons = '' THEN round(d1, 4) END AS minimum_distance, reasons = '' AND d2 - d1 <= 0.1 AS is_ambiguous, CASE WHEN split_part(scene_id, '_', 2)::INT % 2 = 0 THEN 'nadir_view,uav_pose_altitude,weak_depth_cue' ELSE 'nadir_view,uav_pose_altitude' END AS tags FROM q JOIN m USING (scene_id)", "objects"))
+@query(
+    V.with_views(
+        _PKG + " SELECT scene_id, CASE WHEN reasons = '' THEN 'record' ELSE 'skipped' END AS status, reasons, CASE WHEN reasons = '' THEN id1 END AS object_id, CASE WHEN reasons = '' THEN round(d1, 4) END AS minimum_distance, reasons = '' AND d2 - d1 <= 0.1 AS is_ambiguous, CASE WHEN split_part(scene_id, '_', 2)::INT % 2 = 0 THEN 'nadir_view,uav_pose_altitude,weak_depth_cue' ELSE 'nadir_view,uav_pose_altitude' END AS tags FROM q JOIN m USING (scene_id)",
+        "objects",
+    )
+)
 def k1_compile_distance(spark: SparkSession, sf: str) -> DataFrame:
     c, ok = compiled(spark, sf, "3d_vqa.metric.minimum_distance"), F.col("status") == "record"
-    return c.select("scene_id", "status", F.array_join("reasons", ",").alias("reasons"), F.when(ok, F.col("target.object_id")).alias("object_id"), F.when(ok, F.col("target.minimum_distance")).alias("minimum_distance"), (ok & F.coalesce("is_ambiguous", F.lit(False))).alias("is_ambiguous"), F.array_join("tags", ",").alias("tags"))
+    return c.select(
+        "scene_id",
+        "status",
+        F.array_join("reasons", ",").alias("reasons"),
+        F.when(ok, F.col("target.object_id")).alias("object_id"),
+        F.when(ok, F.col("target.minimum_distance")).alias("minimum_distance"),
+        (ok & F.coalesce("is_ambiguous", F.lit(False))).alias("is_ambiguous"),
+        F.array_join("tags", ",").alias("tags"),
+    )
 
 
 @query(
@@ -591,9 +863,16 @@ def k1_compile_direction(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("scene_id", "status", "target.object_id", "target.longitudinal", "target.lateral", F.col("target.lateral_angle_deg").alias("angle"))
 
 
-@query(V.with_views(" SELECT scene_id, CASE WHEN l % 2 = 1 THEN 'record' ELSE 'failed' END AS status, CASE WHEN l % 2 = 0 THEN 'G3-E07' END AS code, l % 4 = 1 AS same_entity, CASE WHEN l % 2 = 1 THEN l/16.0::DOUBLE END AS iou FROM (SELECT DISTINCT scene_id, CAST(split_part(scene_id, '_', 2) AS INT) AS l FROM v_objects)", "objects"))
+@query(
+    V.with_views(
+        " SELECT scene_id, CASE WHEN l % 2 = 1 THEN 'record' ELSE 'failed' END AS status, CASE WHEN l % 2 = 0 THEN 'G3-E07' END AS code, l % 4 = 1 AS same_entity, CASE WHEN l % 2 = 1 THEN l/16.0::DOUBLE END AS iou FROM (SELECT DISTINCT scene_id, CAST(split_part(scene_id, '_', 2) AS INT) AS l FROM v_objects)",
+        "objects",
+    )
+)
 def k1_compile_correspondence(spark: SparkSession, sf: str) -> DataFrame:
-    return compiled(spark, sf, "cross_view_correspondence.object").select("scene_id", "status", "code", F.coalesce("target.same_entity", F.lit(False)).alias("same_entity"), F.col("target.point_support_iou").alias("iou"))
+    return compiled(spark, sf, "cross_view_correspondence.object").select(
+        "scene_id", "status", "code", F.coalesce("target.same_entity", F.lit(False)).alias("same_entity"), F.col("target.point_support_iou").alias("iou"),
+    )
 
 
 @query(
@@ -608,19 +887,43 @@ def a25_compile_accounting(spark: SparkSession, sf: str) -> DataFrame:
     return compiler.accounting(compiled(spark, sf))
 
 
-@query(V.with_views(" SELECT scene_id, count(*) AS n_entities, string_agg(object_id, ',' ORDER BY sha256(scene_id || '|entities|' || object_id)) AS ids, '<pose_007>' AS pose_id, false AS shows_more FROM v_objects GROUP BY scene_id", "objects"))
+@query(
+    V.with_views(
+        " SELECT scene_id, count(*) AS n_entities, string_agg(object_id, ',' ORDER BY sha256(scene_id || '|entities|' || object_id)) AS ids, '<pose_007>' AS pose_id, false AS shows_more FROM v_objects GROUP BY scene_id",
+        "objects",
+    )
+)
 def p1_masked_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """What the direction task shows: the order follows a hash, and no field outside the mask is there."""
     c = compiled(spark, sf, "3d_vqa.situated.observer_relative_direction")
     v = F.from_json("visible", "observer struct<pose_id:string>, entities array<struct<object_id:string>>")
-    return c.select("scene_id", F.size(v["entities"]).cast("bigint").alias("n_entities"), F.array_join(v["entities"]["object_id"], ",").alias("ids"), v["observer"]["pose_id"].alias("pose_id"), F.col("visible").rlike('"(obb|confidence|visibility|centerline)"').alias("shows_more"))
+    return c.select(
+        "scene_id",
+        F.size(v["entities"]).cast("bigint").alias("n_entities"),
+        F.array_join(v["entities"]["object_id"], ",").alias("ids"),
+        v["observer"]["pose_id"].alias("pose_id"),
+        F.col("visible").rlike('"(obb|confidence|visibility|centerline)"').alias("shows_more"),
+    )
 
 
-@query(V.with_views(" SELECT object_id, category || ' at ' || format('{:.6g}', round(d, CASE WHEN pos % 2 = 0 THEN 4 ELSE 1 END)) || ' meters' LIKE '%' || format('{:.6g}', round(d, 4)) || '%' AS leaks FROM (SELECT *, sqrt(x*x + y*y + (z-30)**2) AS d FROM v_objects)", "objects"))
+@query(
+    V.with_views(
+        " SELECT object_id, category || ' at ' || format('{:.6g}', round(d, CASE WHEN pos % 2 = 0 THEN 4 ELSE 1 END)) || ' meters' LIKE '%' || format('{:.6g}', round(d, 4)) || '%' AS leaks FROM (SELECT *, sqrt(x*x + y*y + (z-30)**2) AS d FROM v_objects)",
+        "objects",
+    )
+)
 def f11_leakage_scan(spark: SparkSession, sf: str) -> DataFrame:
     """A category text that holds the distance it should hide, in every other object; where it was found."""
     d = G.distance(xyz(), G.vec(*EYE))
-    o = V.objects(spark, sf).select("object_id", F.struct(F.concat("category", F.lit(" at "), T.six_digits(F.when(F.col("pos") % 2 == 0, F.round(d, 4)).otherwise(F.round(d, 1))), F.lit(" meters")).alias("category")).alias("payload"), F.struct(F.round(d, 4).alias("minimum_distance"), F.lit("minimum_distance").alias("target_type")).alias("target"))
+    o = V.objects(spark, sf).select(
+        "object_id",
+        F.struct(
+            F.concat(
+                "category", F.lit(" at "), T.six_digits(F.when(F.col("pos") % 2 == 0, F.round(d, 4)).otherwise(F.round(d, 1))), F.lit(" meters"),
+            ).alias("category")
+        ).alias("payload"),
+        F.struct(F.round(d, 4).alias("minimum_distance"), F.lit("minimum_distance").alias("target_type")).alias("target"),
+    )
     found = leakage.findings(F.col("payload"), o.schema["payload"].dataType, leakage.atoms(F.col("target"), o.schema["target"].dataType))
     return o.select("object_id", (F.size(found) > 0).alias("leaks"))
 
@@ -638,12 +941,25 @@ def r4_rendered_samples(spark: SparkSession, sf: str) -> DataFrame:
     out = None
     for adapter in render.ADAPTERS:
         asked = F.coalesce(F.get_json_object("payload", "$.question"), F.get_json_object("payload", "$.conversations[0].value"))
-        got = render.render(records, adapter).select("spec_id", "adapter", "status", asked.contains(QUESTION).alias("asked"), (F.split("spec_id", "@")[0] == F.col("verification.task_spec_id")).alias("verified"))
+        got = render.render(records, adapter).select(
+            "spec_id",
+            "adapter",
+            "status",
+            asked.contains(QUESTION).alias("asked"),
+            (F.split("spec_id", "@")[0] == F.col("verification.task_spec_id")).alias("verified"),
+        )
         out = got if out is None else out.unionByName(got)
-    return out.groupBy("spec_id", "adapter", "status").agg(F.count("*").alias("n"), F.count_if("asked").alias("n_asked"), F.count_if("verified").alias("n_verified"))
+    return out.groupBy("spec_id", "adapter", "status").agg(
+        F.count("*").alias("n"), F.count_if("asked").alias("n_asked"), F.count_if("verified").alias("n_verified"),
+    )
 
 
-@query(V.with_views(" SELECT object_id, 'A. ' || category || chr(10) || 'B. ' || object_id AS lines, CASE WHEN pos % 3 = 0 THEN 'A' WHEN pos % 3 = 1 THEN 'B' END AS key FROM v_objects", "objects"))
+@query(
+    V.with_views(
+        " SELECT object_id, 'A. ' || category || chr(10) || 'B. ' || object_id AS lines, CASE WHEN pos % 3 = 0 THEN 'A' WHEN pos % 3 = 1 THEN 'B' END AS key FROM v_objects",
+        "objects",
+    )
+)
 def f13_choices(spark: SparkSession, sf: str) -> DataFrame:
     choices = F.array(F.struct(F.lit("A").alias("key"), F.col("category").alias("text")), F.struct(F.lit("B").alias("key"), F.col("object_id").alias("text")))
     said = F.array(F.when(F.col("pos") % 3 == 0, F.upper("category")).when(F.col("pos") % 3 == 1, F.col("object_id")).otherwise("none of them"))
@@ -660,10 +976,22 @@ def f13_choices(spark: SparkSession, sf: str) -> DataFrame:
 def c1_check_distance(spark: SparkSession, sf: str) -> DataFrame:
     """The right answer, a wrong id, no number, no distance, and a distance too far off."""
     p = packages(spark, sf)
-    lines = F.transform("objects", lambda o: F.struct(o["object_id"].alias("id"), F.when(F.size(o["geometry"]["centerline"]) >= 2, o["geometry"]["centerline"]).otherwise(F.array(o["geometry"]["centroid"], G.add(o["geometry"]["centroid"], G.vec(0.001, 0, 0)))).alias("line")))
+    lines = F.transform(
+        "objects",
+        lambda o: F.struct(
+            o["object_id"].alias("id"),
+            F.when(F.size(o["geometry"]["centerline"]) >= 2, o["geometry"]["centerline"]).otherwise(
+                F.array(o["geometry"]["centroid"], G.add(o["geometry"]["centroid"], G.vec(0.001, 0, 0)))
+            ).alias("line"),
+        ),
+    )
     best = G.nearest_polyline(G.vec(*EYE), F.col("lines"), lambda x: x["line"], lambda x: x["id"])["value"]
-    rows = p.select("scene_id", lines.alias("lines")).withColumn("best", best).withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(4).cast("bigint"))))
-    text = F.when(F.col("k") == 2, "three metres").when(F.col("k") == 4, (F.col("best.d") + 0.5).cast("string")).when(F.col("k") != 3, F.col("best.d").cast("string"))
+    rows = p.select("scene_id", lines.alias("lines")).withColumn("best", best).withColumn(
+        "k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(4).cast("bigint"))),
+    )
+    text = F.when(F.col("k") == 2, "three metres").when(
+        F.col("k") == 4, (F.col("best.d") + 0.5).cast("string"),
+    ).when(F.col("k") != 3, F.col("best.d").cast("string"))
     answer = F.struct(F.when(F.col("k") == 1, "<obj_999999>").otherwise(F.col("best.id")).alias("object_id"), text.alias("distance_m"))
     return rows.withColumn("r", grading.check_distance(answer, G.vec(*EYE), F.col("lines"))).select("scene_id", "k", "r.passed", "r.code")
 
@@ -694,11 +1022,18 @@ def c3_check_direction(spark: SparkSession, sf: str) -> DataFrame:
 
 def _direction_grades(spark: SparkSession, sf: str) -> DataFrame:
     side = F.when(-F.col("y") > 0, "right").otherwise("left")
-    answer = F.struct(F.when(F.col("x") >= 0, "front").otherwise("behind").alias("longitudinal"), F.when(F.col("pos") % 3 == 0, "right").otherwise(side).alias("lateral"))
+    answer = F.struct(
+        F.when(F.col("x") >= 0, "front").otherwise("behind").alias("longitudinal"), F.when(F.col("pos") % 3 == 0, "right").otherwise(side).alias("lateral"),
+    )
     return V.objects(spark, sf).withColumn("r", grading.check_direction(answer, xyz(), G.vec(*EYE), G.vec(*AHEAD), G.vec(*UP)))
 
 
-@query(V.with_views(" SELECT object_id, pos % 5 = 0 AS passed, CASE pos % 5 WHEN 0 THEN NULL WHEN 1 THEN 'G5-E01' ELSE 'G4-E01' END AS code FROM v_objects WHERE pos % 5 <> 4 UNION ALL SELECT object_id, NULL, NULL FROM v_objects WHERE pos % 5 = 4", "objects"))
+@query(
+    V.with_views(
+        " SELECT object_id, pos % 5 = 0 AS passed, CASE pos % 5 WHEN 0 THEN NULL WHEN 1 THEN 'G5-E01' ELSE 'G4-E01' END AS code FROM v_objects WHERE pos % 5 <> 4 UNION ALL SELECT object_id, NULL, NULL FROM v_objects WHERE pos % 5 = 4",
+        "objects",
+    )
+)
 def c4_check_correspondence(spark: SparkSession, sf: str) -> DataFrame:
     k, truth = F.col("pos") % 5, F.col("pos") % 2 == 0
     answer = F.struct(F.when(k == 1, ~truth).when(k != 2, truth).alias("same_entity"), F.when(k == 3, 1.5).otherwise(0.5).alias("confidence"))
@@ -719,54 +1054,101 @@ def a18_lift_report(spark: SparkSession, sf: str) -> DataFrame:
     return grading.lift(trials).select("arm", "hits", "n", *[F.round(c, 6).alias(c) for c in ("accuracy", "low", "high", "lift", "net")])
 
 
-@query("WITH s AS (SELECT p_size % 4 = 0 AS negative, p_retailprice/2500 + CASE WHEN p_size % 4 = 0 THEN 0 ELSE 0.1 END AS score FROM part), t AS (SELECT CAST(t AS DOUBLE) AS threshold, count(*) FILTER (NOT negative AND score > t) AS n_real, count(*) FILTER (negative AND score > t) AS n_negative FROM s, (VALUES (0.2), (0.3), (0.35), (0.4), (0.45), (0.5), (0.6), (0.9)) v(t) GROUP BY t) SELECT *, round(n_real/12.0, 6) AS real_rate, CASE WHEN n_negative > 0 THEN round(n_real/n_negative, 6) END AS discriminability, coalesce(threshold = min(threshold) FILTER (n_negative = 0) OVER (), false) AS is_lowest_clean FROM t")
+@query(
+    "WITH s AS (SELECT p_size % 4 = 0 AS negative, p_retailprice/2500 + CASE WHEN p_size % 4 = 0 THEN 0 ELSE 0.1 END AS score FROM part), t AS (SELECT CAST(t AS DOUBLE) AS threshold, count(*) FILTER (NOT negative AND score > t) AS n_real, count(*) FILTER (negative AND score > t) AS n_negative FROM s, (VALUES (0.2), (0.3), (0.35), (0.4), (0.45), (0.5), (0.6), (0.9)) v(t) GROUP BY t) SELECT *, round(n_real/12.0, 6) AS real_rate, CASE WHEN n_negative > 0 THEN round(n_real/n_negative, 6) END AS discriminability, coalesce(threshold = min(threshold) FILTER (n_negative = 0) OVER (), false) AS is_lowest_clean FROM t"
+)
 def a20_threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    s = V.table(spark, sf, "part").select((F.col("p_size") % 4 == 0).alias("negative"), (F.col("p_retailprice") / 2500 + F.when(F.col("p_size") % 4 == 0, 0.0).otherwise(0.1)).alias("score"))
-    return grading.threshold_sweep(s, [0.2, 0.3, 0.35, 0.4, 0.45, 0.5, 0.6, 0.9], 12).withColumn("real_rate", F.round("real_rate", 6)).withColumn("discriminability", F.round("discriminability", 6))
+    s = V.table(spark, sf, "part").select(
+        (F.col("p_size") % 4 == 0).alias("negative"), (F.col("p_retailprice") / 2500 + F.when(F.col("p_size") % 4 == 0, 0.0).otherwise(0.1)).alias("score"),
+    )
+    return grading.threshold_sweep(s, [0.2, 0.3, 0.35, 0.4, 0.45, 0.5, 0.6, 0.9], 12).withColumn("real_rate", F.round("real_rate", 6)).withColumn(
+        "discriminability", F.round("discriminability", 6),
+    )
 
 
 @query("SELECT p_brand AS phrase, max(p_retailprice) AS peak, round(quantile_cont(p_retailprice, 0.99), 6) AS p99 FROM part GROUP BY p_brand")
 def a21_phrase_peaks(spark: SparkSession, sf: str) -> DataFrame:
-    return V.table(spark, sf, "part").groupBy(F.col("p_brand").alias("phrase")).agg(F.max("p_retailprice").alias("peak"), F.round(F.percentile("p_retailprice", F.lit(0.99)), 6).alias("p99"))
+    return V.table(spark, sf, "part").groupBy(F.col("p_brand").alias("phrase")).agg(
+        F.max("p_retailprice").alias("peak"), F.round(F.percentile("p_retailprice", F.lit(0.99)), 6).alias("p99"),
+    )
 
 
-@query("WITH s AS (SELECT p_partkey % 50 AS query, p_brand AS phrase, max(p_retailprice) AS score FROM part GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, phrase) AS k FROM s) SELECT query, score, phrase FROM r WHERE k = 1 AND score > 500")
+@query(
+    "WITH s AS (SELECT p_partkey % 50 AS query, p_brand AS phrase, max(p_retailprice) AS score FROM part GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, phrase) AS k FROM s) SELECT query, score, phrase FROM r WHERE k = 1 AND score > 500"
+)
 def t6_best_phrases(spark: SparkSession, sf: str) -> DataFrame:
     s = V.table(spark, sf, "part").select((F.col("p_partkey") % 50).alias("query"), F.col("p_brand").alias("phrase"), F.col("p_retailprice").alias("score"))
     return grading.best_phrases(s, 500.0)
 
 
-@query("SELECT t.id AS spec_id, t.program, t.checker, CAST(t.n AS BIGINT) AS n_visible FROM (VALUES ('3d_grounding.object@0.1.0', 'select_referent_by_spatial_predicate', 'check_object_grounding_answer', 8), ('3d_vqa.metric.minimum_distance@0.1.0', 'minimum_point_to_polyline_distance', 'check_minimum_distance_answer', 5), ('3d_vqa.situated.observer_relative_direction@0.1.0', 'observer_relative_direction', 'check_observer_relative_direction_answer', 7), ('cross_view_correspondence.object@0.1.0', 'link_observations_via_lifted_point_support', 'check_cross_view_correspondence_answer', 7)) t(id, program, checker, n)")
+@query(
+    "SELECT t.id AS spec_id, t.program, t.checker, CAST(t.n AS BIGINT) AS n_visible FROM (VALUES ('3d_grounding.object@0.1.0', 'select_referent_by_spatial_predicate', 'check_object_grounding_answer', 8), ('3d_vqa.metric.minimum_distance@0.1.0', 'minimum_point_to_polyline_distance', 'check_minimum_distance_answer', 5), ('3d_vqa.situated.observer_relative_direction@0.1.0', 'observer_relative_direction', 'check_observer_relative_direction_answer', 7), ('cross_view_correspondence.object@0.1.0', 'link_observations_via_lifted_point_support', 'check_cross_view_correspondence_answer', 7)) t(id, program, checker, n)"
+)
 def s15_task_specs(spark: SparkSession, sf: str) -> DataFrame:
     rows = [(s.qualified_id, s.raw["derivation_program"], s.raw["checker"], len(s.visible)) for s in task_specs()]
     return spark.createDataFrame(rows, "spec_id string, program string, checker string, n_visible bigint")
 
 
-@query(V.with_views(" SELECT object_id, list_contains(['building','structure'], category) AS supported, greatest(0, ex) AS e FROM v_objects WHERE category IN (SELECT category FROM v_objects EXCEPT SELECT 'sky')", "objects"))
+@query(
+    V.with_views(
+        " SELECT object_id, list_contains(['building','structure'], category) AS supported, greatest(0, ex) AS e FROM v_objects WHERE category IN (SELECT category FROM v_objects EXCEPT SELECT 'sky')",
+        "objects",
+    )
+)
 def u3_off_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
     o = V.objects(spark, sf)
     named = o.select("category").exceptAll(o.filter("category = 'sky'").select("category")).distinct()
-    return o.join(named, "category", "left_semi").select("object_id", F.array_contains(F.array(F.lit("building"), F.lit("structure")), F.col("category")).alias("supported"), F.greatest(F.lit(0.0), "ex").alias("e"))
+    return o.join(named, "category", "left_semi").select(
+        "object_id",
+        F.array_contains(F.array(F.lit("building"), F.lit("structure")), F.col("category")).alias("supported"),
+        F.greatest(F.lit(0.0), "ex").alias("e"),
+    )
 
 
-@query(V.with_views(" SELECT scene_id, category, count(*) AS n, CAST(grouping(scene_id) AS BIGINT) AS all_scenes, CAST(grouping(category) AS BIGINT) AS all_categories FROM v_objects GROUP BY CUBE (scene_id, category)", "objects"))
+@query(
+    V.with_views(
+        " SELECT scene_id, category, count(*) AS n, CAST(grouping(scene_id) AS BIGINT) AS all_scenes, CAST(grouping(category) AS BIGINT) AS all_categories FROM v_objects GROUP BY CUBE (scene_id, category)",
+        "objects",
+    )
+)
 def x_release_distribution(spark: SparkSession, sf: str) -> DataFrame:
     """Beyond the reference: how entities spread over scenes and categories, with all subtotals."""
-    return V.objects(spark, sf).cube("scene_id", "category").agg(F.count("*").alias("n"), F.grouping("scene_id").cast("bigint").alias("all_scenes"), F.grouping("category").cast("bigint").alias("all_categories"))
+    return V.objects(spark, sf).cube("scene_id", "category").agg(
+        F.count("*").alias("n"), F.grouping("scene_id").cast("bigint").alias("all_scenes"), F.grouping("category").cast("bigint").alias("all_categories"),
+    )
 
 
-@query(V.with_views(" SELECT p, CAST(crc AS BIGINT) AS n FROM (SELECT split_part(scene_id, '_', 2) AS p, count(*) AS crc FROM v_objects GROUP BY 1)", "objects"))
+@query(
+    V.with_views(" SELECT p, CAST(crc AS BIGINT) AS n FROM (SELECT split_part(scene_id, '_', 2) AS p, count(*) AS crc FROM v_objects GROUP BY 1)", "objects")
+)
 def t8_rotated_geometry(spark: SparkSession, sf: str) -> DataFrame:
     """Objects whose centroid moved to another one when their scene's geometry is turned: all of them."""
     p = packages(spark, sf).withColumn("turned", grading.rotated(F.col("objects")["geometry"]["centroid"], F.col("scene_id")))
-    moved = F.size(F.filter(F.transform(F.arrays_zip(F.col("objects")["geometry"]["centroid"].alias("a"), F.col("turned").alias("b")), lambda x: x["a"] != x["b"]), lambda x: x))
+    moved = F.size(
+        F.filter(
+            F.transform(F.arrays_zip(F.col("objects")["geometry"]["centroid"].alias("a"), F.col("turned").alias("b")), lambda x: x["a"] != x["b"]), lambda x: x,
+        )
+    )
     return p.groupBy(F.split("scene_id", "_")[1].alias("p")).agg(F.sum(moved.cast("bigint")).alias("n"))
 
 
-@query("SELECT object_id, CASE k WHEN 1 THEN 'unit' WHEN 2 THEN 'distance_m' WHEN 3 THEN 'keys' WHEN 4 THEN 'object_id' WHEN 5 THEN 'confidence' END AS broken FROM (SELECT format('<obj_{:03d}>', vec_id) AS object_id, vec_id % 6 AS k FROM embeddings) WHERE k > 0")
+@query(
+    "SELECT object_id, CASE k WHEN 1 THEN 'unit' WHEN 2 THEN 'distance_m' WHEN 3 THEN 'keys' WHEN 4 THEN 'object_id' WHEN 5 THEN 'confidence' END AS broken FROM (SELECT format('<obj_{:03d}>', vec_id) AS object_id, vec_id % 6 AS k FROM embeddings) WHERE k > 0"
+)
 def p19_answer_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Answers that each break one rule of the distance schema; good ones give no row."""
     k, i = F.col("pos") % 6, F.col("object_id")
-    said = F.concat(F.lit('{"object_id": "'), F.when(k == 4, "obj_1").otherwise(i), F.lit('", "distance_m": '), F.when(k == 2, '"about 3"').otherwise("3.5"), F.when(k == 1, ', "unit": "feet"').otherwise(', "unit": "meter"'), F.when(k == 3, ', "more": 1').otherwise(""), F.when(k == 5, ', "confidence": 1.5').otherwise(""), F.lit("}"))
+    said = F.concat(
+        F.lit('{"object_id": "'),
+        F.when(k == 4, "obj_1").otherwise(i),
+        F.lit('", "distance_m": '),
+        F.when(k == 2, '"about 3"').otherwise("3.5"),
+        F.when(k == 1, ', "unit": "feet"').otherwise(', "unit": "meter"'),
+        F.when(k == 3, ', "more": 1').otherwise(""),
+        F.when(k == 5, ', "confidence": 1.5').otherwise(""),
+        F.lit("}"),
+    )
     rows = V.objects(spark, sf).select("object_id", said.alias("answer"))
-    return validate.constraint_issues(rows, answers.answer_rules("vqa_metric_distance_answer", F.col("answer")), "object_id").withColumnRenamed("constraint", "broken")
+    return validate.constraint_issues(
+        rows, answers.answer_rules("vqa_metric_distance_answer", F.col("answer")), "object_id",
+    ).withColumnRenamed("constraint", "broken")

@@ -52,7 +52,9 @@ def read_archives(spark: SparkSession, folder: str, wanted: str | None = None) -
                         if m.is_dir():
                             continue
                         got = z.read(m) if pattern and pattern.search(m.filename) else None
-                        yield pa.RecordBatch.from_pylist([{"archive": path.rpartition("/")[2].removesuffix(".zip"), "path": m.filename, "content": got}], schema=_MEMBERS)
+                        yield pa.RecordBatch.from_pylist(
+                            [{"archive": path.rpartition("/")[2].removesuffix(".zip"), "path": m.filename, "content": got}], schema=_MEMBERS,
+                        )
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(folder).select("path", "content")
     return files.mapInArrow(members, "archive string, path string, content binary")
@@ -78,7 +80,10 @@ def read_poses(spark: SparkSession, path: str) -> DataFrame:
 
 def poses_of(files: DataFrame) -> DataFrame:
     """The same of unpacked members with path and content."""
-    rows = files.select(_run_of(F.col("path")).alias("run"), F.posexplode(F.from_json(F.col("content").cast("string"), f"array<struct<{POSES.replace(' ', ':')}>>".replace(",:", ","))).alias("pos", "p"))
+    rows = files.select(
+        _run_of(F.col("path")).alias("run"),
+        F.posexplode(F.from_json(F.col("content").cast("string"), f"array<struct<{POSES.replace(' ', ':')}>>".replace(",:", ","))).alias("pos", "p"),
+    )
     return rows.select("run", F.col("pos").cast("bigint").alias("pos"), _stem(F.col("p.OriginalImageName")).alias("stem"), "p.*").drop("OriginalImageName")
 
 
@@ -93,15 +98,21 @@ def read_track(spark: SparkSession, path: str) -> DataFrame:
     if not found:
         return spark.createDataFrame([], TRACK_ROWS)
     rows = spark.read.schema(TRACK).option("header", "true").csv(path)
-    return rows.select(_run_of(F.col("_metadata.file_path")).alias("run"), T.ns_of(F.col("headerstamp")).alias("ts_ns"), "lat", "lon", "alt", "easting", "northing")
+    return rows.select(
+        _run_of(F.col("_metadata.file_path")).alias("run"), T.ns_of(F.col("headerstamp")).alias("ts_ns"), "lat", "lon", "alt", "easting", "northing",
+    )
 
 
 def track_of(files: DataFrame) -> DataFrame:
     """The same of unpacked members with path and content; columns are found by the names in the header."""
     lines = F.filter(F.split(F.col("content").cast("string"), r"\r?\n"), lambda x: x != "")
-    rows = files.select(_run_of(F.col("path")).alias("run"), F.split(F.get(lines, F.lit(0)), ",").alias("names"), F.explode(F.slice(lines, 2, 1 << 30)).alias("line"))
+    rows = files.select(
+        _run_of(F.col("path")).alias("run"), F.split(F.get(lines, F.lit(0)), ",").alias("names"), F.explode(F.slice(lines, 2, 1 << 30)).alias("line"),
+    )
     cell = lambda n: F.try_element_at(F.map_from_arrays("names", F.split("line", ",")), F.lit(n))
-    return rows.select("run", T.ns_of(cell("headerstamp")).alias("ts_ns"), *[cell(n).cast("double").alias(n) for n in ("lat", "lon", "alt", "easting", "northing")])
+    return rows.select(
+        "run", T.ns_of(cell("headerstamp")).alias("ts_ns"), *[cell(n).cast("double").alias(n) for n in ("lat", "lon", "alt", "easting", "northing")]
+    )
 
 
 def read_layer(spark: SparkSession, path: str, layer: str) -> DataFrame:
@@ -138,7 +149,9 @@ PIXELS = "scene_id string, frame bigint, y bigint, x bigint, depth float, conf f
 
 def write_pixels(pixels: DataFrame, path: str) -> None:
     """Depth and confidence of every pixel, write-once, by scene; single precision, which holds what half precision did."""
-    pixels.select("scene_id", "frame", "y", "x", F.col("depth").cast("float").alias("depth"), F.col("conf").cast("float").alias("conf")).write.mode("errorifexists").partitionBy("scene_id").parquet(path)
+    pixels.select(
+        "scene_id", "frame", "y", "x", F.col("depth").cast("float").alias("depth"), F.col("conf").cast("float").alias("conf"),
+    ).write.mode("errorifexists").partitionBy("scene_id").parquet(path)
 
 
 def read_pixels(spark: SparkSession, path: str) -> DataFrame:

@@ -43,7 +43,12 @@ def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """21 points of each object: scene_id, pos, i, x, y, z."""
-    triples = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda k: F.struct(k.cast("bigint").alias("i"), *[(F.get(F.col("embedding"), k * 3 + 1 + d).cast("double") * 100).alias(n) for d, n in enumerate("xyz")]))
+    triples = F.transform(
+        F.sequence(F.lit(0), F.lit(20)),
+        lambda k: F.struct(
+            k.cast("bigint").alias("i"), *[(F.get(F.col("embedding"), k * 3 + 1 + d).cast("double") * 100).alias(n) for d, n in enumerate("xyz")]
+        ),
+    )
     return table(spark, sf_dir, "embeddings").select(_scene().alias("scene_id"), F.col("vec_id").alias("pos"), F.inline(triples))
 
 
@@ -55,12 +60,23 @@ def polylines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images: run, frame_id, ts_ns, user_id, value."""
-    return table(spark, sf_dir, "events").select(F.col("event_type").alias("run"), F.col("event_id").alias("frame_id"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("ts_ns"), "user_id", "value")
+    return table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("run"),
+        F.col("event_id").alias("frame_id"),
+        (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("ts_ns"),
+        "user_id",
+        "value",
+    )
 
 
 def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames with the names that recordings give them: frame_id, run, stamp, ts_ns, user_id, value."""
-    run = F.concat(F.lit("interval5_"), F.col("run"), F.when(F.col("frame_id") % 5 == 0, "_GNSS").when(F.col("frame_id") % 5 == 1, "_Evening").otherwise(""), F.lpad((F.col("frame_id") % 3 + 1).cast("string"), 2, "0"))
+    run = F.concat(
+        F.lit("interval5_"),
+        F.col("run"),
+        F.when(F.col("frame_id") % 5 == 0, "_GNSS").when(F.col("frame_id") % 5 == 1, "_Evening").otherwise(""),
+        F.lpad((F.col("frame_id") % 3 + 1).cast("string"), 2, "0"),
+    )
     stamp = F.concat(F.expr("cast(ts_ns div 1000000000 as string)"), F.lit("."), F.lpad((F.col("ts_ns") % 1_000_000_000).cast("string"), 9, "0"))
     return frames(spark, sf_dir).select("frame_id", run.alias("run"), stamp.alias("stamp"), "ts_ns", "user_id", "value")
 
@@ -70,9 +86,22 @@ def poses(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _named(spark, sf_dir).filter("frame_id % 10 <> 9")
     f = f.withColumn("again", F.explode(F.when(F.col("frame_id") % 7 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     row = lambda *xs: F.array(*[x if not isinstance(x, (int, float)) else F.lit(float(x)) for x in xs])
-    t = F.array(row(1, 0, 0, F.col("value")), row(0, 1, 0, F.col("user_id").cast("double")), row(0, 0, 1, (F.col("frame_id") % 13 + F.col("again")).cast("double")), row(0, 0, 0, 1))
+    t = F.array(
+        row(1, 0, 0, F.col("value")),
+        row(0, 1, 0, F.col("user_id").cast("double")),
+        row(0, 0, 1, (F.col("frame_id") % 13 + F.col("again")).cast("double")),
+        row(0, 0, 0, 1),
+    )
     k = F.array(row(100, 0, 50), row(0, 100, 40), row(0, 0, 1))
-    return f.select("run", F.col("stamp").alias("stem"), (F.col("frame_id") * 2 + F.col("again")).alias("pos"), F.lit(80).alias("Height"), F.lit(100).alias("Width"), k.alias("P3x3"), t.alias("T4x4"))
+    return f.select(
+        "run",
+        F.col("stamp").alias("stem"),
+        (F.col("frame_id") * 2 + F.col("again")).alias("pos"),
+        F.lit(80).alias("Height"),
+        F.lit(100).alias("Width"),
+        k.alias("P3x3"),
+        t.alias("T4x4"),
+    )
 
 
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,9 +114,22 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _named(spark, sf_dir)
     cam, lidar, label = "interval5_CAM_LIDAR", "interval5_CAM_LIDAR", "interval5_CAM_label"
     image = f.select(F.lit(cam).alias("archive"), F.concat(F.lit(f"{cam}/"), "run", F.lit("/interval5_CAM/"), "stamp", F.lit(".jpg")).alias("path"))
-    cloud = f.filter("frame_id % 4 <> 0").select(F.lit(lidar).alias("archive"), F.concat(F.lit(f"{lidar}/"), "run", F.lit("/interval5_LIDAR/image"), "stamp", F.lit("_lidar"), "stamp", F.lit(".txt")).alias("path"))
-    ids = f.filter("frame_id % 3 <> 0").select(F.lit(label).alias("archive"), F.concat(F.lit(f"{label}/"), "run", F.lit(f"/{label}_"), F.when(F.col("frame_id") % 2 == 0, "id").otherwise("color"), F.lit("/"), "stamp", F.lit(".png")).alias("path"))
-    points = f.filter("frame_id % 4 <> 0 and frame_id % 6 = 1").select(F.lit("interval5_LIDAR_label").alias("archive"), F.concat(F.lit("interval5_LIDAR_label/"), "run", F.lit("/interval5_LIDAR_label_id/image"), "stamp", F.lit("_lidar"), "stamp", F.lit(".txt")).alias("path"))
+    cloud = f.filter("frame_id % 4 <> 0").select(
+        F.lit(lidar).alias("archive"),
+        F.concat(F.lit(f"{lidar}/"), "run", F.lit("/interval5_LIDAR/image"), "stamp", F.lit("_lidar"), "stamp", F.lit(".txt")).alias("path"),
+    )
+    ids = f.filter("frame_id % 3 <> 0").select(
+        F.lit(label).alias("archive"),
+        F.concat(
+            F.lit(f"{label}/"), "run", F.lit(f"/{label}_"), F.when(F.col("frame_id") % 2 == 0, "id").otherwise("color"), F.lit("/"), "stamp", F.lit(".png"),
+        ).alias("path"),
+    )
+    points = f.filter("frame_id % 4 <> 0 and frame_id % 6 = 1").select(
+        F.lit("interval5_LIDAR_label").alias("archive"),
+        F.concat(
+            F.lit("interval5_LIDAR_label/"), "run", F.lit("/interval5_LIDAR_label_id/image"), "stamp", F.lit("_lidar"), "stamp", F.lit(".txt"),
+        ).alias("path"),
+    )
     other = f.filter("frame_id % 50 = 0").select(F.lit(cam).alias("archive"), F.concat(F.lit(f"{cam}/"), "run", F.lit("/readme.txt")).alias("path"))
     return image.unionByName(cloud).unionByName(ids).unionByName(points).unionByName(other)
 
@@ -98,7 +140,15 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "lineitem")
         .groupBy(F.col("l_suppkey").alias("frame"), (F.col("l_orderkey") % SIDE).alias("y"), (F.col("l_partkey") % SIDE).alias("x"))
         .agg(F.min("l_returnflag").alias("flag"), (F.max("l_extendedprice") / 1000).alias("depth"), (F.max("l_quantity") / 10).alias("conf"))
-        .select(F.concat(F.lit("scene_"), F.expr("cast(frame div 10 as string)")).alias("scene_id"), "frame", "y", "x", F.when(F.col("flag") == "A", 0).when(F.col("flag") == "N", 1).otherwise(2).cast("bigint").alias("class_id"), "depth", "conf")
+        .select(
+            F.concat(F.lit("scene_"), F.expr("cast(frame div 10 as string)")).alias("scene_id"),
+            "frame",
+            "y",
+            "x",
+            F.when(F.col("flag") == "A", 0).when(F.col("flag") == "N", 1).otherwise(2).cast("bigint").alias("class_id"),
+            "depth",
+            "conf",
+        )
     )
 
 
@@ -106,12 +156,47 @@ def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rectangles on the pixel grid as instances: instance_id, frame, y0, y1, x0, x1 (inclusive), label."""
     suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("frame"))
     last = suppliers.agg(F.max("frame").alias("last"))  # one row
-    p = table(spark, sf_dir, "part").crossJoin(F.broadcast(last)).select(F.col("p_partkey").alias("instance_id"), (F.col("p_partkey") % F.col("last") + 1).cast("bigint").alias("frame"), (F.col("p_partkey") * 3 % SIDE).alias("y0"), (F.col("p_partkey") * 7 % SIDE).alias("x0"), (2 + F.col("p_size") % 6).cast("bigint").alias("h"), labels_of(F.col("p_partkey")).alias("label"))
-    return p.join(suppliers, "frame", "left_semi").select("instance_id", "frame", "y0", F.least(F.col("y0") + F.col("h"), F.lit(SIDE - 1)).alias("y1"), "x0", F.least(F.col("x0") + F.col("h"), F.lit(SIDE - 1)).alias("x1"), "label")
+    p = table(spark, sf_dir, "part").crossJoin(F.broadcast(last)).select(
+        F.col("p_partkey").alias("instance_id"),
+        (F.col("p_partkey") % F.col("last") + 1).cast("bigint").alias("frame"),
+        (F.col("p_partkey") * 3 % SIDE).alias("y0"),
+        (F.col("p_partkey") * 7 % SIDE).alias("x0"),
+        (2 + F.col("p_size") % 6).cast("bigint").alias("h"),
+        labels_of(F.col("p_partkey")).alias("label"),
+    )
+    return p.join(suppliers, "frame", "left_semi").select(
+        "instance_id",
+        "frame",
+        "y0",
+        F.least(F.col("y0") + F.col("h"), F.lit(SIDE - 1)).alias("y1"),
+        "x0",
+        F.least(F.col("x0") + F.col("h"), F.lit(SIDE - 1)).alias("x1"),
+        "label",
+    )
 
 
 #: Labels with traps for keyword rules.
-LABELS = ["tower crane", "birdhouse", "snowman", "carpet", "bushes", "stonework", "courtyard", "cabling duct", "wiretap", "watershed", "old man", "grass strip", "landing pad", "chairlift", "bicycle rack", "skylight", "barn", "rockery", "seat cover"]
+LABELS = [
+    "tower crane",
+    "birdhouse",
+    "snowman",
+    "carpet",
+    "bushes",
+    "stonework",
+    "courtyard",
+    "cabling duct",
+    "wiretap",
+    "watershed",
+    "old man",
+    "grass strip",
+    "landing pad",
+    "chairlift",
+    "bicycle rack",
+    "skylight",
+    "barn",
+    "rockery",
+    "seat cover",
+]
 
 
 def labels_of(key):
@@ -125,7 +210,9 @@ def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("rel_"), F.col("o_orderkey").cast("string")).alias("relation_id"),
         T.format_id("obj", F.col("o_orderkey") % 520).alias("subject_id"),
         T.format_id("obj", F.col("o_custkey") % 505).alias("object_id"),
-        F.when(F.col("o_orderkey") % 7 == 0, "unheard_of").when(F.col("o_orderkey") % 2 == 0, "height_difference").otherwise("pairwise_min_distance").alias("program"),
+        F.when(F.col("o_orderkey") % 7 == 0, "unheard_of").when(
+            F.col("o_orderkey") % 2 == 0, "height_difference",
+        ).otherwise("pairwise_min_distance").alias("program"),
     )
 
 

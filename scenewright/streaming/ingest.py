@@ -15,12 +15,16 @@ from scenewright.operators.state import FINAL, ORDER, PROGRESS
 
 def frame_rates(frames: DataFrame, late: str = "10 minutes", window: str = "1 hour") -> DataFrame:
     """frames: ts (timestamp), run. Frames of each run and window of event time; rows later than late are dropped."""
-    return frames.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "run").agg(F.count("*").alias("n_frames")).select("run", F.col("w.start").alias("window_start"), "n_frames")
+    return frames.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "run").agg(F.count("*").alias("n_frames")).select(
+        "run", F.col("w.start").alias("window_start"), "n_frames",
+    )
 
 
 def recordings(frames: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """Runs cut into recordings where no frame comes for gap."""
-    return frames.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "run").agg(F.count("*").alias("n_frames")).select("run", F.col("w.start").alias("first"), F.col("w.end").alias("last"), "n_frames")
+    return frames.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "run").agg(F.count("*").alias("n_frames")).select(
+        "run", F.col("w.start").alias("first"), F.col("w.end").alias("last"), "n_frames",
+    )
 
 
 def first_sight(frames: DataFrame, late: str = "10 minutes") -> DataFrame:
