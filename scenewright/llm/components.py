@@ -32,4 +32,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if state == seen:
             break
         seen = state
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
+        now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    )

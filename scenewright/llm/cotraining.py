@@ -57,8 +57,16 @@ def metadata(text: bytes, words: int, distinct: int, source: str | None, lang: s
     lines = text.count(b"\n") + 1
     step = lambda x, k: min(k, int(x * k))
     got = {
-        "source": source, "lang": lang, "bytes": int(math.log2(n) * 2), "lines": int(math.log2(lines) * 2), "line": int(math.log2(words / lines + 1) * 2), "word": step(n / (words + 1) / 40, 20),
-        "capitals": step(share(CAPITALS), 40), "digits": step(share(DIGITS), 40), "marks": step(share(MARKS), 40), "distinct": step(distinct / (words or 1), 20),
+        "source": source,
+        "lang": lang,
+        "bytes": int(math.log2(n) * 2),
+        "lines": int(math.log2(lines) * 2),
+        "line": int(math.log2(words / lines + 1) * 2),
+        "word": step(n / (words + 1) / 40, 20),
+        "capitals": step(share(CAPITALS), 40),
+        "digits": step(share(DIGITS), 40),
+        "marks": step(share(MARKS), 40),
+        "distinct": step(distinct / (words or 1), 20),
     }
     got |= {chr(m): step(text.count(m) / n, 40) for m in MARKS}
     return [zlib.crc32(f"{k}={v}".encode()) & (1 << META) - 1 for k, v in got.items()]
@@ -161,7 +169,9 @@ def sample(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: i
 
     Good: quality 1 and not toxic. Of several labels of a document the worst counts; a null label is a good one.
     """
-    of = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min((F.coalesce(F.col("quality"), F.lit(1)) > 0).cast("int") * (F.coalesce(F.col("toxic"), F.lit(0)) < 1).cast("int")).alias("good"))
+    of = labels.filter("doc_id is not null").groupBy("doc_id").agg(
+        F.min((F.coalesce(F.col("quality"), F.lit(1)) > 0).cast("int") * (F.coalesce(F.col("toxic"), F.lit(0)) < 1).cast("int")).alias("good")
+    )
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
     share = lambda most, n: int(min(1.0, most / max(1, n)) * (1 << 32))
     known = of.filter(place < share(labelled, labels.count())).limit(2 * labelled)
@@ -179,7 +189,9 @@ def fit(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> Model:
             for doc, text, lang, source, good in zip(b.column(0).to_pylist(), utf8(b.column(1)), *(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
                 words, n = content(text)
                 rows.append({"doc_id": doc, "good": good, "words": numbered(words)[:SEEN].tobytes(), "meta": metadata(text, n, len(words), source, lang)})
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("good", pa.int32()), ("words", pa.binary()), ("meta", pa.list_(pa.int32()))]))
+            yield pa.RecordBatch.from_pylist(
+                rows, schema=pa.schema([("doc_id", pa.int64()), ("good", pa.int32()), ("words", pa.binary()), ("meta", pa.list_(pa.int32()))]),
+            )
 
     picked = _read(docs).join(F.broadcast(sample(docs, labels)), "doc_id").mapInArrow(features, "doc_id long, good int, words binary, meta array<int>")
     got = sorted(picked.collect(), key=lambda r: (r["doc_id"], bytes(r["words"])))
@@ -190,7 +202,10 @@ def fit(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> Model:
     if min((good[train] == 1).sum(), (good[train] == 0).sum(), (good[check] == 1).sum(), (good[check] == 0).sum()) < 1:
         return Model()
     rng = np.random.default_rng(11)
-    views = [View(Rows([np.frombuffer(r["words"], dtype=np.int32) for r in got]), 1 << BITS, LEAST, APART, train, good[train]), View(Rows([np.array(r["meta"], dtype=np.int32) for r in got]), 1 << META, 1, 0.0, train, good[train])]
+    views = [
+        View(Rows([np.frombuffer(r["words"], dtype=np.int32) for r in got]), 1 << BITS, LEAST, APART, train, good[train]),
+        View(Rows([np.array(r["meta"], dtype=np.int32) for r in got]), 1 << META, 1, 0.0, train, good[train]),
+    ]
     lessons = [(train, good[train].astype(float))] * 2
     pool = np.flatnonzero(good < 0)
     prior = good[train].mean()

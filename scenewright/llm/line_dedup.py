@@ -50,7 +50,9 @@ def line_hashes(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, text: s
     Of each window the gram with the smallest first hash is selected, the first of equals. A document with fewer
     lines than a window needs is one window; without a gram it has no place.
     """
-    rows = _keyed(docs, text, doc_id).select(F.col("_ld_doc").alias("doc"), F.col("_ld_x").alias("x"), F.transform(_lines(F.col("_ld_text"), 1), _hash).alias("h"))
+    rows = _keyed(docs, text, doc_id).select(
+        F.col("_ld_doc").alias("doc"), F.col("_ld_x").alias("x"), F.transform(_lines(F.col("_ld_text"), 1), _hash).alias("h"),
+    )
     grams = F.size("h") - (gram - 1)
     at = lambda p: F.get(F.col("h"), p)
 
@@ -97,7 +99,9 @@ def matched_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, text:
         return hashes.join(of, same(hashes, of)).drop("doc", "x", "at")
 
     owners = first.groupBy(F.col("doc").alias("of_doc"), F.col("x").alias("of_x")).agg(F.collect_list(F.struct("seed", "at")).alias("grams"))
-    lines = with_lines(owners).select("of_doc", "of_x", F.inline(F.transform("grams", lambda g: F.struct(g["seed"].alias("of_seed"), g["at"].alias("of_at"), around(g["at"]).alias("lines")))))
+    lines = with_lines(owners).select(
+        "of_doc", "of_x", F.inline(F.transform("grams", lambda g: F.struct(g["seed"].alias("of_seed"), g["at"].alias("of_at"), around(g["at"]).alias("lines")))),
+    )
     lines = stored(lines.dropDuplicates(["of_seed"]), "line-contexts")
     later = found.join(lines, (found["seed"] == lines["of_seed"]) & (place > F.struct("of_doc", "of_x", "of_at")))
     later = later.groupBy(F.col("doc"), F.col("x")).agg(F.collect_set(F.struct("at", "lines")).alias("places"))
@@ -124,7 +128,9 @@ def matched_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, text:
         return F.sequence(m["at"] - left, m["at"] + (gram - 1) + right)
 
     spans = F.transform(F.filter("m", lambda m: m["equal"].isNotNull()), span)
-    found = matches.select(F.col("of_doc").alias("doc"), F.col("of_x").alias("x"), F.array_sort(F.array_distinct(F.flatten(spans))).alias("lines")).filter(F.size("lines") > 0)
+    found = matches.select(
+        F.col("of_doc").alias("doc"), F.col("of_x").alias("x"), F.array_sort(F.array_distinct(F.flatten(spans))).alias("lines"),
+    ).filter(F.size("lines") > 0)
     found = stored(found.groupBy("doc", "x").agg(F.first("lines").alias("lines")), "line-matches")  # rows of one document say the same
     discard(hashes, later)
     return found
@@ -175,7 +181,9 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _reach_sql(offsets: list[int]) -> str:
     """How many of the lines at these offsets from a place, nearest first, are equal in both documents."""
-    cases = " ".join(f"WHEN p + {o} < 0 OR q + {o} < 0 OR h[p + {o + 1}] IS DISTINCT FROM fh[q + {o + 1}] OR h[p + {o + 1}] IS NULL THEN {i}" for i, o in enumerate(offsets))
+    cases = " ".join(
+        f"WHEN p + {o} < 0 OR q + {o} < 0 OR h[p + {o + 1}] IS DISTINCT FROM fh[q + {o + 1}] OR h[p + {o + 1}] IS NULL THEN {i}" for i, o in enumerate(offsets)
+    )
     return f"CASE {cases} ELSE {len(offsets)} END"
 
 

@@ -159,7 +159,10 @@ def store_texts(docs: DataFrame, text: str = "text", level: int = 6) -> DataFram
             ids, texts = batch.column(0), utf8(batch.column(1))
             for at in range(0, len(texts), 256):
                 run = texts[at : at + 256]
-                yield pa.RecordBatch.from_arrays([ids.slice(at, len(run)), pa.array([len(t) for t in run], pa.int64()), pa.array([encode_png(as_image(t), level) for t in run], pa.binary())], names=["doc_id", "n_bytes", "media"])
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(at, len(run)), pa.array([len(t) for t in run], pa.int64()), pa.array([encode_png(as_image(t), level) for t in run], pa.binary())],
+                    names=["doc_id", "n_bytes", "media"],
+                )
 
     return texts_of(docs, text).mapInArrow(write, STORED)
 
@@ -177,7 +180,19 @@ def media_features(media: DataFrame) -> DataFrame:
                 data = stored_form.as_py()
                 image = decode_png(data)
                 payload, code = image.tobytes(), cosine_hash(image)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), code.hex(), image.shape[1], image.shape[0], code))
+                rows.append(
+                    (
+                        len(payload),
+                        hashlib.sha256(payload).hexdigest(),
+                        zlib.crc32(payload[-16:]),
+                        len(data),
+                        hashlib.sha256(data).hexdigest(),
+                        code.hex(),
+                        image.shape[1],
+                        image.shape[0],
+                        code,
+                    )
+                )
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.binary())
             names = [f.split()[0] for f in FEATURES.split(", ")]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=names)

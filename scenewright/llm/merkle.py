@@ -61,7 +61,9 @@ def sections_of(fingerprint: Column) -> Column:
 
 def leaves(sections: Column) -> Column:
     """The paragraph digests of sections, in order."""
-    return F.regexp_extract_all(F.array_join(F.transform(sections, lambda x: F.substring(x, SECTION + 2, 1 << 30)), ""), F.lit("[0-9a-f]{%d}" % PARAGRAPH), F.lit(0))
+    return F.regexp_extract_all(
+        F.array_join(F.transform(sections, lambda x: F.substring(x, SECTION + 2, 1 << 30)), ""), F.lit("[0-9a-f]{%d}" % PARAGRAPH), F.lit(0),
+    )
 
 
 def likeness(a: Column, b: Column, of_a: Column, of_b: Column) -> Column:
@@ -78,7 +80,15 @@ def changed_paragraphs(a: Column, b: Column) -> Column:
     """Where two fingerprints differ: positions in a of the paragraphs that lie in sections which b has not, and are in none of b's sections which a has not."""
     of_a, of_b = sections_of(a), sections_of(b)
     others = leaves(F.array_except(of_b, of_a))
-    marked = F.flatten(F.transform(of_a, lambda x: F.transform(F.regexp_extract_all(F.substring(x, SECTION + 2, 1 << 30), F.lit("[0-9a-f]{%d}" % PARAGRAPH), F.lit(0)), lambda p: ~F.array_contains(of_b, x) & ~F.array_contains(others, p))))
+    marked = F.flatten(
+        F.transform(
+            of_a,
+            lambda x: F.transform(
+                F.regexp_extract_all(F.substring(x, SECTION + 2, 1 << 30), F.lit("[0-9a-f]{%d}" % PARAGRAPH), F.lit(0)),
+                lambda p: ~F.array_contains(of_b, x) & ~F.array_contains(others, p),
+            ),
+        )
+    )
     return F.filter(F.transform(marked, lambda m, i: F.when(m, i)), lambda i: i.isNotNull())
 
 
@@ -105,7 +115,10 @@ def with_next(rows: DataFrame, columns: dict[str, str], buckets: int, derive: Ca
         rows = rows.withColumn("b", F.when((nxt < len(bounds)) & (F.get(at, nxt) <= F.col("k")), nxt).otherwise(F.col("b")))
         step >>= 1
     n = len(bounds)
-    to = F.when(F.get(at, F.col("b")) == F.col("k"), F.array(F.struct(F.col("b").alias("to"), F.lit(0).alias("ghost")), F.struct(F.pmod(F.col("b") - 1, F.lit(n)).alias("to"), F.lit(1).alias("ghost")))).otherwise(F.array(F.struct(F.col("b").alias("to"), F.lit(0).alias("ghost"))))
+    to = F.when(
+        F.get(at, F.col("b")) == F.col("k"),
+        F.array(F.struct(F.col("b").alias("to"), F.lit(0).alias("ghost")), F.struct(F.pmod(F.col("b") - 1, F.lit(n)).alias("to"), F.lit(1).alias("ghost"))),
+    ).otherwise(F.array(F.struct(F.col("b").alias("to"), F.lit(0).alias("ghost"))))
     dealt = rows.withColumn("t", F.explode(to)).select(*[c for c in rows.columns if c not in ("b",)], "t.to", "t.ghost").repartition("to")
     dealt = derive(dealt)
     order = Window.partitionBy("to").orderBy("ghost", "k", "text")
@@ -123,13 +136,24 @@ def fingerprint_edits(docs: DataFrame, text: str = "text", buckets: int | None =
     n = buckets or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = with_next(texts_of(docs, text), {"text": "next_text", "fingerprint": "next_fingerprint"}, n, lambda df: with_fingerprint(df, "text", "fingerprint"))
     rows = rows.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("cut", F.floor(F.col("n_chars") / 4).cast("int"))
-    rows = rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - F.col("cut")).cast("int")), F.substring(F.col("next_text"), F.lit(1), F.col("cut"))))
+    rows = rows.withColumn(
+        "edited",
+        F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - F.col("cut")).cast("int")), F.substring(F.col("next_text"), F.lit(1), F.col("cut"))),
+    )
     rows = with_fingerprint(rows, "edited", "edited_fingerprint")
     names = ("fingerprint", "edited_fingerprint", "next_fingerprint")
     rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *names)
     rows = rows.withColumns({f"of_{c}": sections_of(F.col(c)) for c in names})
     near = lambda c: likeness(F.col("fingerprint"), F.col(c), F.col("of_fingerprint"), F.col(f"of_{c}"))
-    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("edited_fingerprint").alias("near_edited"), near("next_fingerprint").alias("near_next"))
+    return rows.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        "fingerprint",
+        "edited_fingerprint",
+        near("edited_fingerprint").alias("near_edited"),
+        near("next_fingerprint").alias("near_next"),
+    )
 
 
 def op4_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +170,17 @@ _NEAR = """SELECT *, CASE WHEN split_part(fingerprint, ':', 1) = split_part({0},
 
 def _near_sql(other: str, name: str, table: str) -> str:
     only = "list_filter({0}, lambda x: NOT list_contains({1}, x))"
-    return _NEAR.format(other, name, _LEAVES.format(only.format("sa", "sb")), _LEAVES.format(only.format("sb", "sa")), SECTION + 1, PARAGRAPH, _SECTIONS.format("fingerprint"), _SECTIONS.format(other), table)
+    return _NEAR.format(
+        other,
+        name,
+        _LEAVES.format(only.format("sa", "sb")),
+        _LEAVES.format(only.format("sb", "sa")),
+        SECTION + 1,
+        PARAGRAPH,
+        _SECTIONS.format("fingerprint"),
+        _SECTIONS.format(other),
+        table,
+    )
 
 
 OP4_SQL = rf"""

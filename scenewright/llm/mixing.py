@@ -25,7 +25,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     """
     of = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1  # one row per source
-    of = of.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int"))).withColumn("limit", F.lit(float(most)) * F.col("source_size"))
+    of = of.withColumn(
+        "weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int"))
+    ).withColumn("limit", F.lit(float(most)) * F.col("source_size"))
     everything = Window.partitionBy()
     order = Window.orderBy(F.col("limit") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     left = F.lit(float(share)) * F.sum("source_size").over(everything) - F.coalesce(F.sum("limit").over(order), F.lit(0.0))
@@ -66,7 +68,13 @@ def mix(
     shared_dir(docs.sparkSession)
     size = F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(WORD)), F.lit(0)).cast("long")
     q = F.lit(1.0) if quality is None else quality.cast("double")
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{source}`").cast("string").alias("source"), size.alias("size"), q.alias("quality"), *[F.col(f"`{c}`") for c in keep])
+    rows = docs.select(
+        F.col(f"`{doc_id}`").cast("long").alias("doc_id"),
+        F.col(f"`{source}`").cast("string").alias("source"),
+        size.alias("size"),
+        q.alias("quality"),
+        *[F.col(f"`{c}`") for c in keep],
+    )
     if labels is not None:
         of = label_quality(labels).withColumnRenamed("doc_id", "labelled_id")
         rows = rows.drop("quality").join(of, F.col("doc_id") == F.col("labelled_id"), "left").drop("labelled_id").withColumnRenamed("quality_weight", "quality")
@@ -74,13 +82,17 @@ def mix(
     key = sampling_key(F.col("doc_id"), F.col("quality"))
     rows = rows.withColumn("key", key).withColumn("range", F.least(F.floor(F.col("key") * RANGES), F.lit(RANGES - 1))).drop("quality").checkpoint()
     targets = source_targets(rows.groupBy("source", "range").agg(F.sum("size").alias("size")), weights, share, most)
-    targets = targets.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-9)).otherwise(0)).withColumn("rest", F.greatest(F.col("target") - F.col("epochs") * F.col("source_size"), F.lit(0.0)))
+    targets = targets.withColumn(
+        "epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-9)).otherwise(0),
+    ).withColumn("rest", F.greatest(F.col("target") - F.col("epochs") * F.col("source_size"), F.lit(0.0)))
     ranges = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES rows
     ranges = ranges.withColumn("range_start", F.coalesce(F.sum("range_size").over(before), F.lit(0)))
     # Every row of a range takes the same decision, but for the range in which the rest ends.
     plan = ranges.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    plan = plan.withColumn("whole", F.col("range_start") + F.col("range_size") <= F.col("rest")).withColumn("open", ~F.col("whole") & (F.col("range_start") <= F.col("rest")))
+    plan = plan.withColumn(
+        "whole", F.col("range_start") + F.col("range_size") <= F.col("rest"),
+    ).withColumn("open", ~F.col("whole") & (F.col("range_start") <= F.col("rest")))
     plan = plan.withColumnsRenamed({"source": "s", "range": "r"})
     met = rows.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
     decided = met.filter("not open").withColumn("more", F.col("whole"))

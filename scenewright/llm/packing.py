@@ -65,7 +65,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, te
                         rows.append((doc, k // capacity, k, len(piece) // 4, zlib.crc32(piece)))
                 cols = list(zip(*rows, strict=True))
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"]
+                )
 
     return texts_of(docs, text).mapInArrow(cut, PIECES)
 
@@ -85,7 +87,9 @@ def pack(pieces: DataFrame, capacity: int, rows: int, group: int = GROUP) -> Dat
         return part.drop(columns="pack_group").assign(sequence_id=(np.int64(key[0]) << 40) + at, offset=offset)
 
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema]
-    return pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n))).groupBy("pack_group").applyInPandas(place, ", ".join([*kept, "sequence_id long", "offset long"]))
+    return pieces.withColumn(
+        "pack_group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n)),
+    ).groupBy("pack_group").applyInPandas(place, ", ".join([*kept, "sequence_id long", "offset long"]))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, text: str = "text") -> DataFrame:

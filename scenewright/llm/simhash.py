@@ -85,15 +85,24 @@ def fingerprint_links(prints: DataFrame, radius: int = 2) -> DataFrame:
     grow with the members of a bucket, never with their pairs, and no link that matters is lost.
     """
     masks = covering_masks(radius)
-    tables = prints.select("fingerprint", F.posexplode(_masks(masks)).alias("t", "mask")).select("fingerprint", "t", F.col("fingerprint").bitwiseAND(F.col("mask")).alias("key"))
+    tables = prints.select("fingerprint", F.posexplode(_masks(masks)).alias("t", "mask")).select(
+        "fingerprint", "t", F.col("fingerprint").bitwiseAND(F.col("mask")).alias("key"),
+    )
     sizes = tables.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1")
     met = stored(tables.join(sizes, ["t", "key"]), "simhash-buckets")
     few = met.filter(F.col("n") <= PAIRWISE)
-    pairs = few.alias("x").join(few.alias("y"), (F.col("x.t") == F.col("y.t")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.fingerprint") < F.col("y.fingerprint")) & (F.bit_count(F.col("x.fingerprint").bitwiseXOR(F.col("y.fingerprint"))) <= radius))
+    pairs = few.alias("x").join(
+        few.alias("y"),
+        (F.col("x.t") == F.col("y.t")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.fingerprint") < F.col("y.fingerprint")) & (
+            F.bit_count(F.col("x.fingerprint").bitwiseXOR(F.col("y.fingerprint"))) <= radius
+        ),
+    )
     pairs = pairs.select(F.col("x.fingerprint").alias("a"), F.col("y.fingerprint").alias("b"))
     many = met.filter(F.col("n") > PAIRWISE)
     blanks = F.array(*[_masks(_choices(~m & (1 << BITS) - 1, radius)) for m in masks])
-    keyed = many.select("fingerprint", "t", F.explode(F.get(blanks, F.col("t"))).alias("blank")).select("fingerprint", "t", "blank", F.col("fingerprint").bitwiseAND(F.bitwise_not("blank")).alias("rest"))
+    keyed = many.select("fingerprint", "t", F.explode(F.get(blanks, F.col("t"))).alias("blank")).select(
+        "fingerprint", "t", "blank", F.col("fingerprint").bitwiseAND(F.bitwise_not("blank")).alias("rest"),
+    )
     # "blank" and "rest" name the table as well: the same choice of bits in another table links the same fingerprints.
     groups = keyed.groupBy("blank", "rest").agg(F.min("fingerprint").alias("a"), F.collect_set("fingerprint").alias("all")).filter(F.size("all") > 1)
     stars = groups.select("a", F.explode("all").alias("b")).filter("a != b")

@@ -84,8 +84,12 @@ class Entries:
             step = np.diff(x, prepend=np.uint32(0))
             step[at] = x[at]
             yield {
-                "part": int(part[run[0]]), "kind": kind, "docs": _dump(np.diff(e.doc[at], prepend=np.int64(0))), "marks": _dump(e.mark[at]), "buckets": _dump(e.bucket[at]),
-                "counts": _dump(np.diff(at, append=len(x)).astype(np.uint32)), "x": _dump(step), "y": _dump(e.y), "data": None if e.data is None else zstandard.compress(e.data.tobytes(), 1),
+                "part": int(part[run[0]]), "kind": kind, "docs": _dump(
+                    np.diff(e.doc[at], prepend=np.int64(0))
+                ), "marks": _dump(e.mark[at]), "buckets": _dump(e.bucket[at]),
+                "counts": _dump(
+                    np.diff(at, append=len(x)).astype(np.uint32)
+                ), "x": _dump(step), "y": _dump(e.y), "data": None if e.data is None else zstandard.compress(e.data.tobytes(), 1),
             }
 
     @staticmethod
@@ -99,9 +103,13 @@ class Entries:
             x -= np.repeat(x[first] - step[first], counts)
             spread = lambda a, c=counts: np.repeat(a, c)
             data = np.frombuffer(zstandard.decompress(r["data"]), dtype=np.uint8).reshape(-1, width) if width else None
-            out.append((spread(np.cumsum(_load(r["docs"], "i8"))), spread(_load(r["marks"], "u8")), spread(_load(r["buckets"], "i4")), x, _load(r["y"], kind), data))
+            out.append(
+                (spread(np.cumsum(_load(r["docs"], "i8"))), spread(_load(r["marks"], "u8")), spread(_load(r["buckets"], "i4")), x, _load(r["y"], kind), data)
+            )
         if not out:
-            return Entries(np.empty(0, "i8"), np.empty(0, "u8"), np.empty(0, "i4"), np.empty(0, "i8"), np.empty(0, kind), np.empty((0, width), np.uint8) if width else None)
+            return Entries(
+                np.empty(0, "i8"), np.empty(0, "u8"), np.empty(0, "i4"), np.empty(0, "i8"), np.empty(0, kind), np.empty((0, width), np.uint8) if width else None,
+            )
         cols = list(zip(*out, strict=True))
         return Entries(*(np.concatenate(c) for c in cols[:5]), np.concatenate(cols[5]) if width else None)
 
@@ -426,7 +434,9 @@ def covered(rows: DataFrame, shared: DataFrame, parts: int) -> DataFrame:
             done.x, done.y, done.data = done.x - before[full], (before + after)[full].astype(np.uint16), None
             out += done.packed(done.bucket % parts, COVERED)
             c = c.take(order[c.doc[order] == least])
-            h = _hashes(np.concatenate([np.ascontiguousarray(c.data[:, SIDE : SIDE + 32]).ravel(), np.zeros(32, np.uint8)]), 32 * len(c.x))[::32] if len(c.x) else np.empty(0, np.uint64)
+            h = _hashes(
+                np.concatenate([np.ascontiguousarray(c.data[:, SIDE : SIDE + 32]).ravel(), np.zeros(32, np.uint8)]), 32 * len(c.x),
+            )[::32] if len(c.x) else np.empty(0, np.uint64)
             out += c.packed(_part(h, parts), CONTEXTS)
         trim()
         return _table(out)
@@ -456,7 +466,9 @@ def union_of(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 RESULT = "doc_id long, n_bytes long, span_starts array<long>, span_ends array<long>, kept binary"
-_RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("span_starts", pa.list_(pa.int64())), ("span_ends", pa.list_(pa.int64())), ("kept", pa.binary())])
+_RESULT = pa.schema(
+    [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("span_starts", pa.list_(pa.int64())), ("span_ends", pa.list_(pa.int64())), ("kept", pa.binary())]
+)
 
 
 def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -483,9 +495,13 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
         e = Entries.unpacked(spans.to_pylist(), "u2")
         e = e.take(np.lexsort((e.mark, e.doc)))
         new = np.flatnonzero(np.concatenate([[True], (e.doc[1:] != e.doc[:-1]) | (e.mark[1:] != e.mark[:-1])])) if len(e.x) else np.empty(0, np.int64)
-        runs = {(int(e.doc[a]), int(e.mark[a])): union_of(e.x[a:b], e.x[a:b] + e.y[a:b]) for a, b in zip(new, np.append(new[1:], len(e.x))[: len(new)], strict=True)}
+        runs = {
+            (int(e.doc[a]), int(e.mark[a])): union_of(e.x[a:b], e.x[a:b] + e.y[a:b]) for a, b in zip(new, np.append(new[1:], len(e.x))[: len(new)], strict=True)
+        }
         out = []
-        for d, m, t in zip(docs.column("doc_id").to_pylist(), docs.column("mark").to_numpy().view("u8").tolist(), utf8(docs.column("text").combine_chunks()), strict=True):
+        for d, m, t in zip(
+            docs.column("doc_id").to_pylist(), docs.column("mark").to_numpy().view("u8").tolist(), utf8(docs.column("text").combine_chunks()), strict=True,
+        ):
             starts, ends = runs.get((d, m), ([], []))
             starts, ends = [int(s) for s in starts], [int(s) for s in ends]
             kept = b"".join(t[a:b] for a, b in zip([0, *ends], [*starts, len(t)], strict=True))
@@ -498,4 +514,10 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(documents(spark, sf_dir))
-    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("span_starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
+        F.size("span_starts").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )

@@ -26,7 +26,17 @@ from scenewright.llm import tokens
 from scenewright.llm.common import buckets_for, documents, scratch, texts_of
 
 BLOCKS = "shard int, block long, dictionary_hash string, doc_ids array<long>, n_tokens array<long>, offsets array<long>, payload binary"
-_BLOCKS = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("dictionary_hash", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("payload", pa.binary())])
+_BLOCKS = pa.schema(
+    [
+        ("shard", pa.int32()),
+        ("block", pa.int64()),
+        ("dictionary_hash", pa.string()),
+        ("doc_ids", pa.list_(pa.int64())),
+        ("n_tokens", pa.list_(pa.int64())),
+        ("offsets", pa.list_(pa.int64())),
+        ("payload", pa.binary()),
+    ]
+)
 #: About so many documents' ids are what the dictionary is trained on, those with a hash of doc_id under a bound. Of a
 #: longer document a slice of SLICE bytes of ids at a place that its id decides is the sample, so that the driver gets a
 #: bounded number of bytes. The dictionary has DICTIONARY bytes, fewer if the samples are small.
@@ -80,7 +90,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, le
     width = 2 if vocabulary <= 1 << 16 else 4
     dictionary = train_dictionary(docs, tokenizer, end_id, width, text=text)
     digest = hashlib.sha256(dictionary).hexdigest()
-    spark.createDataFrame([(bytearray(dictionary), digest, width)], "dictionary binary, dictionary_hash string, width int").coalesce(1).write.parquet(f"{path}/dictionary")
+    spark.createDataFrame(
+        [(bytearray(dictionary), digest, width)], "dictionary binary, dictionary_hash string, width int",
+    ).coalesce(1).write.parquet(f"{path}/dictionary")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -95,7 +107,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, le
 
         def block() -> pa.RecordBatch:
             offsets = np.concatenate([[0], np.cumsum([len(f) for f in frames])]).tolist()
-            return pa.RecordBatch.from_pylist([{"shard": shard, "block": at, "dictionary_hash": digest, "doc_ids": ids, "n_tokens": counts, "offsets": offsets, "payload": b"".join(frames)}], schema=_BLOCKS)
+            return pa.RecordBatch.from_pylist(
+                [{"shard": shard, "block": at, "dictionary_hash": digest, "doc_ids": ids, "n_tokens": counts, "offsets": offsets, "payload": b"".join(frames)}],
+                schema=_BLOCKS,
+            )
 
         for batch in batches:
             docs_in = batch.column(0).to_pylist()
@@ -113,7 +128,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, le
         if ids:
             yield block()
 
-    n = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets_for(texts_of(docs, text).agg(F.sum(F.octet_length("text"))).first()[0] or 0, SHARD))
+    n = shards or max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), buckets_for(texts_of(docs, text).agg(F.sum(F.octet_length("text"))).first()[0] or 0, SHARD),
+    )
     ordered = texts_of(docs, text).repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     ordered.mapInArrow(blocks, BLOCKS).write.parquet(f"{path}/blocks")
 
@@ -159,7 +176,9 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
                 rows.append((block["shard"], block["block"], block["doc_ids"][k], at, len(data) // 4, zlib.crc32(data)))
                 at += len(data) // 4
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["shard", "block", "doc_id", "at", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["shard", "block", "doc_id", "at", "n_tokens", "ids_crc32"]
+            )
 
     found = blocks.mapInArrow(read, "shard int, block long, doc_id long, at long, n_tokens long, ids_crc32 long")
     return found.join(starts, ["shard", "block"]).select("doc_id", (F.col("start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

@@ -54,7 +54,9 @@ def kind_of(tokenizer) -> str:
         return "spaced"
     steps = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
     split = {"type": "Split", "pattern": {"Regex": WORDS}, "behavior": "Removed", "invert": True}
-    if norm == {"type": "Sequence", "normalizers": steps} and before == {"type": "Sequence", "pretokenizers": [split, byte_level | {"use_regex": False}]} and model.get("end_of_word_suffix") == "</w>":
+    if norm == {"type": "Sequence", "normalizers": steps} and before == {
+        "type": "Sequence", "pretokenizers": [split, byte_level | {"use_regex": False}],
+    } and model.get("end_of_word_suffix") == "</w>":
         return "words"
     return "whole"
 

@@ -23,7 +23,21 @@ def rows():
     texts[20] = texts[3]
     texts[21] = texts[3]
     texts[40] = texts[7].replace("river", "rivers", 1)
-    texts += [None, "", "   ", "\n\n\t", "one", "two words", "Ünïcödé straße ça und " * 9, "日本語の文章。" * 30, "a" * 500, "  spaced   out  \r\n lines \x0b here ", "".join(sentence(rng, 12) for _ in range(1500)), "<|endoftext|> is text, <|startoftext|>as<|endoftext|> is <|ENDOFTEXT|>", "x\0y nul"]
+    texts += [
+        None,
+        "",
+        "   ",
+        "\n\n\t",
+        "one",
+        "two words",
+        "Ünïcödé straße ça und " * 9,
+        "日本語の文章。" * 30,
+        "a" * 500,
+        "  spaced   out  \r\n lines \x0b here ",
+        "".join(sentence(rng, 12) for _ in range(1500)),
+        "<|endoftext|> is text, <|startoftext|>as<|endoftext|> is <|ENDOFTEXT|>",
+        "x\0y nul",
+    ]
     sources = ["a", "b", None, "a", "a"]
     return [(i, t, "en", sources[i % 5], None if t is None else len(t)) for i, t in enumerate(texts)]
 
@@ -36,7 +50,13 @@ def docs(spark, rows):
 @pytest.fixture(scope="session")
 def odd(spark):
     """Repeated rows, a null id, and columns whose names clash with those the operators use."""
-    rows = [(1, "same same same. words here now. and again so. last one here.", "en", "a", 1), (1, "same same same. words here now. and again so. last one here.", "en", "a", 1), (1, "other", "en", "a", 2), (None, "no id", None, None, None), (None, None, None, None, None)]
+    rows = [
+        (1, "same same same. words here now. and again so. last one here.", "en", "a", 1),
+        (1, "same same same. words here now. and again so. last one here.", "en", "a", 1),
+        (1, "other", "en", "a", 2),
+        (None, "no id", None, None, None),
+        (None, None, None, None, None),
+    ]
     df = spark.createDataFrame(rows, DOCS)
     names = "bucket part key size seed h starts line_doc k to ghost range weight fingerprint component_id quality_weight copy first_id taken_id times kept_row labelled_id x y node n_lines n_removed quality_keep quality content_score".split()
     from pyspark.sql import functions as F

@@ -73,8 +73,15 @@ def test_scores_equal_those_by_hand(docs, rows, labelled):
         n, lines = len(text) or 1, text.count(b"\n") + 1
         share = lambda which, text=text, n=n: min(40, int(sum(chr(b) in which for b in text) / n * 40))
         layout = {
-            "source": source, "lang": lang, "bytes": int(math.log2(n) * 2), "lines": int(math.log2(lines) * 2), "line": int(math.log2(len(seen) / lines + 1) * 2), "word": min(20, int(n / (len(seen) + 1) / 40 * 20)),
-            "capitals": share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "digits": share("0123456789"), "marks": share(marks), "distinct": min(20, int(len(words) / (len(seen) or 1) * 20)), **{m: share(m) for m in marks},
+            "source": source,
+            "lang": lang,
+            "bytes": int(math.log2(n) * 2),
+            "lines": int(math.log2(lines) * 2),
+            "line": int(math.log2(len(seen) / lines + 1) * 2),
+            "word": min(20, int(n / (len(seen) + 1) / 40 * 20)),
+            "capitals": share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "digits": share("0123456789"), "marks": share(marks), "distinct": min(
+                20, int(len(words) / (len(seen) or 1) * 20),
+            ), **{m: share(m) for m in marks},
         }
         first = model.bias + sum(weights.get(i, 0.0) for i in features)
         second = model.meta_bias + sum(model.meta[number(f"{k}={v}".encode(), 12)] for k, v in layout.items())
@@ -199,7 +206,9 @@ def test_media_columns(docs, rows, none, odd):
         data = (text or "").encode()
         padded = data + b" " * (-len(data) % 192) if data else b" " * 192
         r = got[d]
-        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]))
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (
+            len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]),
+        )
         assert len(r["feature"]) == 16 and r["feature"] == plain_hash(padded)
         media_of = bytes(kept[d])
         assert (r["media_bytes"], r["media_sha256"]) == (len(media_of), hashlib.sha256(media_of).hexdigest())
@@ -234,7 +243,9 @@ def test_png_filters_and_checksums():
         raw += bytes([kind]) + ((line - (0, left, up, (left + up) // 2, paeth)[kind]) % 256).astype(np.uint8).tobytes()
     import struct
 
-    png = media.SIGNATURE + media._chunk(b"IHDR", struct.pack(">IIBBBBB", 6, 10, 8, 2, 0, 0, 0)) + media._chunk(b"IDAT", zlib.compress(bytes(raw))) + media._chunk(b"IEND", b"")
+    png = media.SIGNATURE + media._chunk(
+        b"IHDR", struct.pack(">IIBBBBB", 6, 10, 8, 2, 0, 0, 0),
+    ) + media._chunk(b"IDAT", zlib.compress(bytes(raw))) + media._chunk(b"IEND", b"")
     assert (media.decode_png(png) == image).all()
 
 
@@ -345,7 +356,14 @@ def test_merkle_insertions_change_few_paragraphs(spark):
 def test_merkle_keeps_what_an_edit_leaves_alone(spark):
     """Texts of 200 to 500 characters whose last quarter is replaced, whatever follows, also by nothing."""
     rng = np.random.default_rng(9)
-    made = [(f"{i}", " ".join("".join(rng.choice(list("aeinorstlmdcbg"), rng.integers(2, 9))) + str(rng.choice(["", "", ".", ","])) for _ in range(90))[: int(rng.integers(200, 501))]) for i in range(60)]
+    made = [
+        (
+            f"{i}",
+            " ".join(
+                "".join(rng.choice(list("aeinorstlmdcbg"), rng.integers(2, 9))) + str(rng.choice(["", "", ".", ","])) for _ in range(90)
+            )[: int(rng.integers(200, 501))],
+        ) for i in range(60)
+    ]
     rows = [(2 * i, t) for i, (_, t) in enumerate(made)] + [(2 * i + 1, ["", "short one", made[(i * 7) % 60][1]][i % 3]) for i in range(60)]
     got = merkle.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id % 2 = 0").collect()
     assert min(r["near_edited"] for r in got) > 0.5
@@ -683,7 +701,9 @@ def test_one_anchor_in_very_many_surroundings():
     data = rng.integers(97, 123, (n, suffix_dedup.SIDE + suffix_dedup.LENGTH), dtype=np.uint8)
     data[:, suffix_dedup.SIDE : suffix_dedup.SIDE + suffix_dedup.GRAM] = np.frombuffer(b"anchor of just 24 bytes!", np.uint8)
     data[70_000, 10:60] = data[5, 10:60]
-    e = suffix_dedup.Entries(np.arange(n), np.zeros(n, "u8"), np.zeros(n, "i4"), np.full(n, 100), np.full(n, suffix_dedup.SIDE * 64 + suffix_dedup.LENGTH, np.uint16), data)
+    e = suffix_dedup.Entries(
+        np.arange(n), np.zeros(n, "u8"), np.zeros(n, "i4"), np.full(n, 100), np.full(n, suffix_dedup.SIDE * 64 + suffix_dedup.LENGTH, np.uint16), data,
+    )
     tracemalloc.start()
     at, start, end = suffix_dedup.covered_contexts(e)
     peak = tracemalloc.get_traced_memory()[1]
@@ -729,7 +749,11 @@ def test_forward_equals_the_sum_over_paths():
     m = hmm.Model(norm(rng.random(3)), norm(rng.random((3, 3))), norm(rng.random((3, 5))))
     seqs = [rng.integers(0, 5, k).astype(np.int32) for k in (4, 1, 6)]
     for s, got in zip(seqs, m.forward(seqs), strict=True):
-        total = sum(m.start[p[0]] * m.emit[p[0], s[0]] * math.prod(m.move[p[i - 1], p[i]] * m.emit[p[i], s[i]] for i in range(1, len(s))) for p in product(range(3), repeat=len(s)))
+        total = sum(
+            m.start[p[0]] * m.emit[p[0], s[0]] * math.prod(
+                m.move[p[i - 1], p[i]] * m.emit[p[i], s[i]] for i in range(1, len(s))
+            ) for p in product(range(3), repeat=len(s))
+        )
         assert got == pytest.approx(math.log10(total))
 
 
@@ -742,7 +766,11 @@ def test_expected_counts_equal_those_over_all_paths():
     seqs = [rng.integers(0, 4, k).astype(np.int32) for k in (5, 1, 3)]
     start, move, emit = np.zeros(2), np.zeros((2, 2)), np.zeros((2, 4))
     for s in seqs:
-        paths = {p: m.start[p[0]] * m.emit[p[0], s[0]] * math.prod(m.move[p[i - 1], p[i]] * m.emit[p[i], s[i]] for i in range(1, len(s))) for p in product(range(2), repeat=len(s))}
+        paths = {
+            p: m.start[p[0]] * m.emit[p[0], s[0]] * math.prod(
+                m.move[p[i - 1], p[i]] * m.emit[p[i], s[i]] for i in range(1, len(s))
+            ) for p in product(range(2), repeat=len(s))
+        }
         for p, w in paths.items():
             w /= sum(paths.values())
             start[p[0]] += w
@@ -830,5 +858,7 @@ def test_model_beats_words_alone_on_held_out_text(spark):
 
 def test_model_edges(spark, none, odd):
     assert hmm.score_documents(none).count() == 0 and hmm.score_documents(odd).count() == 5
-    alone = spark.createDataFrame([(9, "only held out", "a", "b", 1)], "doc_id long, text string, lang string, source string, n_chars long").filter("crc32(cast(doc_id as string)) % 7 = 2")
+    alone = spark.createDataFrame(
+        [(9, "only held out", "a", "b", 1)], "doc_id long, text string, lang string, source string, n_chars long",
+    ).filter("crc32(cast(doc_id as string)) % 7 = 2")
     assert hmm.score_documents(alone).count() == alone.count()

@@ -10,7 +10,43 @@ from tokenizers import Tokenizer
 
 from scenewright.llm import tokens
 
-PARTS = ["a", "The", "word", "\n", "\n\n", "\n\n\n", " ", "  ", "\t", "\r\n", "été", "Straße", "x1", "42", "'s", "don't", "!!", "***", "日本", " ", "　", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "é", "İ", "ǅ", "\0", "-", "ﬁ", "ªº", "µ", ".", ","]
+PARTS = [
+    "a",
+    "The",
+    "word",
+    "\n",
+    "\n\n",
+    "\n\n\n",
+    " ",
+    "  ",
+    "\t",
+    "\r\n",
+    "été",
+    "Straße",
+    "x1",
+    "42",
+    "'s",
+    "don't",
+    "!!",
+    "***",
+    "日本",
+    " ",
+    "　",
+    "<|endoftext|>",
+    "<|startoftext|>",
+    "<|ENDOFTEXT|>",
+    "<|",
+    "é",
+    "İ",
+    "ǅ",
+    "\0",
+    "-",
+    "ﬁ",
+    "ªº",
+    "µ",
+    ".",
+    ",",
+]
 
 
 @pytest.mark.parametrize(("name", "kind"), [("byte_bpe_50k.json", "spaced"), ("word_bpe_49k.json", "words")])
