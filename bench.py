@@ -18,8 +18,26 @@ os.environ["PYTHONPATH"] = f"{HERE}:{os.environ.get('PYTHONPATH', '')}"
 from scenewright import queries  # noqa: E402
 
 HEADLINE = [
-    "s6_paired_frames", "w1_scene_windows", "j4_track_in_scenes", "d3_farthest_object", "g3_nearest_polyline", "g10_relative_direction", "a3_oriented_boxes", "a8_depth_statistics", "e3_components", "a5_objects_of_components",
-    "a6_merge_objects", "j11_close_pairs", "e5_fused_instances", "v1_entity_issues", "k1_compile_grounding", "k1_compile_distance", "r4_rendered_samples", "c1_check_distance", "a18_lift_report", "x_release_distribution",
+    "s6_paired_frames",
+    "w1_scene_windows",
+    "j4_track_in_scenes",
+    "d3_farthest_object",
+    "g3_nearest_polyline",
+    "g10_relative_direction",
+    "a3_oriented_boxes",
+    "a8_depth_statistics",
+    "e3_components",
+    "a5_objects_of_components",
+    "a6_merge_objects",
+    "j11_close_pairs",
+    "e5_fused_instances",
+    "v1_entity_issues",
+    "k1_compile_grounding",
+    "k1_compile_distance",
+    "r4_rendered_samples",
+    "c1_check_distance",
+    "a18_lift_report",
+    "x_release_distribution",
 ]
 
 

@@ -24,21 +24,50 @@ PACKAGE = (
 
 def thing(i, category, *centroid):
     obb = {"center": [float(c) for c in centroid], "extent": [2.0 + i, 5.0, 1.5 * i], "axes": [[0.0, 1.0, 0.0], [-1.0, 0.0, 0.0], [0.0, 0.0, 1.0]]}
-    return {"object_id": f"<obj_{i:03d}>", "category": category, "geometry": {"centroid": [float(c) for c in centroid], "obb": obb, "centerline": None}, "visibility": {"visible_frames": [f"k{4 * i:04d}", "k0031"]}}
+    return {
+        "object_id": f"<obj_{i:03d}>",
+        "category": category,
+        "geometry": {"centroid": [float(c) for c in centroid], "obb": obb, "centerline": None},
+        "visibility": {"visible_frames": [f"k{4 * i:04d}", "k0031"]},
+    }
 
 
 def package():
     seen = lambda k: {"observation_id": f"o{k}", "frame_id": f"k{k}", "mask_or_box": "box", "category_candidates": ["car"]}
     return {
-        "scene_id": "s1", "caps": {"scale_status": "metric", "depth_type": "externally_anchored", "metric_task_eligible": True, "available_entity_types": ["object"], "camera_baseline_m": 17.5, "parallax_ratio": 0.21, "nadir_angle_median_deg": 81.4, "depth_relief_ratio": 1.4, "domain_calibrated": None},
-        "cameras": [{"pose_id": "<pose_012>", "position": [3.0, -2.0, 41.0], "forward": [1.0, 0.0, 0.0], "up": [0.0, 0.0, 1.0]}], "objects": [thing(1, "crane", 17, 8, 4), thing(2, "shed", -21, 31, 2), thing(3, "mast", 44, -39, 9)],
-        "links": [{"link_id": "l", "entity_id": "<obj_001>", "same_entity": True, "probability": 0.9, "point_support_iou": 0.4, "observation_a": seen(1), "observation_b": seen(2)}],
+        "scene_id": "s1", "caps": {
+            "scale_status": "metric",
+            "depth_type": "externally_anchored",
+            "metric_task_eligible": True,
+            "available_entity_types": ["object"],
+            "camera_baseline_m": 17.5,
+            "parallax_ratio": 0.21,
+            "nadir_angle_median_deg": 81.4,
+            "depth_relief_ratio": 1.4,
+            "domain_calibrated": None,
+        },
+        "cameras": [
+            {"pose_id": "<pose_012>", "position": [3.0, -2.0, 41.0], "forward": [1.0, 0.0, 0.0], "up": [0.0, 0.0, 1.0]}
+        ], "objects": [thing(1, "crane", 17, 8, 4), thing(2, "shed", -21, 31, 2), thing(3, "mast", 44, -39, 9)],
+        "links": [
+            {
+                "link_id": "l",
+                "entity_id": "<obj_001>",
+                "same_entity": True,
+                "probability": 0.9,
+                "point_support_iou": 0.4,
+                "observation_a": seen(1),
+                "observation_b": seen(2),
+            }
+        ],
         "observer_pose_id": "<pose_012>", "question": "Which one, and how far off?", "visual_inputs": ["a.jpg"], "pointcloud_ref": "c.ply",
     }
 
 
 SPECS = {s.raw["task_id"]: s for s in specs.load_all(set(compiler.PROGRAMS), compiler.CHECKERS)}
-GROUNDING, DISTANCE, DIRECTION, CROSS = SPECS["3d_grounding.object"], SPECS["3d_vqa.metric.minimum_distance"], SPECS["3d_vqa.situated.observer_relative_direction"], SPECS["cross_view_correspondence.object"]
+GROUNDING, DISTANCE, DIRECTION, CROSS = SPECS["3d_grounding.object"], SPECS["3d_vqa.metric.minimum_distance"], SPECS[
+    "3d_vqa.situated.observer_relative_direction"
+], SPECS["cross_view_correspondence.object"]
 
 
 def compiled(spark, spec, *packages):
@@ -47,7 +76,9 @@ def compiled(spark, spec, *packages):
 
 def test_answers(spark):
     r = compiled(spark, DISTANCE, package()).first()
-    assert r["status"] == "record" and r["target"]["object_id"] == "<obj_001>" and r["target"]["minimum_distance"] == pytest.approx(math.sqrt(14**2 + 10**2 + 37**2), abs=1e-3)
+    assert r["status"] == "record" and r["target"]["object_id"] == "<obj_001>" and r["target"]["minimum_distance"] == pytest.approx(
+        math.sqrt(14**2 + 10**2 + 37**2), abs=1e-3,
+    )
     assert r["tags"] == ["nadir_view", "uav_pose_altitude", "weak_depth_cue"] and r["checker"]["tolerance_m"] == 0.1 and r["structural_ids"] == ["<obj_001>"]
     assert compiled(spark, GROUNDING, package()).first()["target"]["object_id"] == "<obj_003>"
     assert compiled(spark, DIRECTION, package()).first()["target"]["longitudinal"] == "front"
@@ -108,7 +139,9 @@ def test_rendering(spark):
     records = compiled(spark, DISTANCE, package())
     for adapter in render.ADAPTERS:
         r = render.render(records, adapter).first()
-        assert r["status"] == "rendered" and ("40.8044" not in r["payload"] or adapter == "pointcloud_native") and r["verification"]["target"]["object_id"] == "<obj_001>"
+        assert r["status"] == "rendered" and (
+            "40.8044" not in r["payload"] or adapter == "pointcloud_native"
+        ) and r["verification"]["target"]["object_id"] == "<obj_001>"
     assert "point_cloud" not in json.loads(render.render(records, "qwen_2d_metadata").first()["payload"])
     turns = json.loads(render.render(records, "pointcloud_native").first()["payload"])["conversations"]
     assert turns[0]["value"].startswith("<point_cloud>") and "40.8044" in turns[1]["value"]
@@ -163,11 +196,22 @@ def test_mask_prunes_nested_columns(spark, tmp_path):
 
 
 MUTATIONS = {
-    "checker is not registered": lambda r: r.update(checker="none"), "program is not registered": lambda r: r.update(derivation_program="none"), "nothing is hidden": lambda r: r.update(hidden_target_fields=[]),
-    "a hidden field is visible": lambda r: r["metadata_input_fields"].append("target.object_id"), "a forbidden field is visible": lambda r: r["metadata_input_fields"].append("entities.rank"), "a visible field holds a hidden one": lambda r: r["metadata_input_fields"].append("target"),
-    "a tolerance in metres needs a metric scene": lambda r: r["quality_requirements"].update(numeric_tolerance_m=0.1), "no reason for three dimensions": lambda r: r["three_d_necessity"].update(rationale=" "), "no conditions for three dimensions": lambda r: r["three_d_necessity"].update(conditions=[]),
-    "no reason for low altitude": lambda r: r["low_altitude_specificity"].update(rationale=""), "no signals of low altitude": lambda r: r["low_altitude_specificity"].update(signals=[]), "target has no anchor": lambda r: r.update(target_anchor={}),
-    "unknown generation mode": lambda r: r.update(generation_mode="x"), "unknown supervision level": lambda r: r.update(supervision_level="x"), "unknown answer schema": lambda r: r.update(output_schema="x"), "missing keys: adapters": lambda r: r.pop("adapters"),
+    "checker is not registered": lambda r: r.update(checker="none"),
+    "program is not registered": lambda r: r.update(derivation_program="none"),
+    "nothing is hidden": lambda r: r.update(hidden_target_fields=[]),
+    "a hidden field is visible": lambda r: r["metadata_input_fields"].append("target.object_id"),
+    "a forbidden field is visible": lambda r: r["metadata_input_fields"].append("entities.rank"),
+    "a visible field holds a hidden one": lambda r: r["metadata_input_fields"].append("target"),
+    "a tolerance in metres needs a metric scene": lambda r: r["quality_requirements"].update(numeric_tolerance_m=0.1),
+    "no reason for three dimensions": lambda r: r["three_d_necessity"].update(rationale=" "),
+    "no conditions for three dimensions": lambda r: r["three_d_necessity"].update(conditions=[]),
+    "no reason for low altitude": lambda r: r["low_altitude_specificity"].update(rationale=""),
+    "no signals of low altitude": lambda r: r["low_altitude_specificity"].update(signals=[]),
+    "target has no anchor": lambda r: r.update(target_anchor={}),
+    "unknown generation mode": lambda r: r.update(generation_mode="x"),
+    "unknown supervision level": lambda r: r.update(supervision_level="x"),
+    "unknown answer schema": lambda r: r.update(output_schema="x"),
+    "missing keys: adapters": lambda r: r.pop("adapters"),
 }
 
 
@@ -192,7 +236,9 @@ def test_distance_grades(spark):
         entry = lambda i, y: F.struct(F.lit(i).alias("id"), F.array(F.array(F.lit(0.0), F.lit(y), F.lit(0.0)), F.array(F.lit(10.0), F.lit(y), F.lit(0.0))).alias("line"))
         wires = F.array(entry("<wire_004>", 3.0), entry("<wire_007>", second))
         answer = F.struct(F.lit(object_id).alias("object_id"), F.lit(distance).cast("string").alias("distance_m"))
-        r = spark.range(1).select(grading.check_distance(answer, F.array(F.lit(5.0), F.lit(0.0), F.lit(0.0)), wires if lines else F.slice(wires, 1, 0)).alias("r")).first()["r"]
+        r = spark.range(1).select(
+            grading.check_distance(answer, F.array(F.lit(5.0), F.lit(0.0), F.lit(0.0)), wires if lines else F.slice(wires, 1, 0)).alias("r")
+        ).first()["r"]
         return r["passed"], r["code"], r["error"]
 
     assert grade("<wire_004>", "3.02") == (True, None, None)
@@ -218,7 +264,11 @@ def test_scene_rules(spark):
     kind = "schema_version string, scene_id string, split_group_id string, frames array<struct<frame_id:string,timestamp_ns:bigint,K:array<array<double>>,pose:array<array<double>>,image_sha256:string>>"
     good = ("0.1.0", "a", "g", [("f", 1, k, pose, None)])
     bad = ("one", "b", "", [("f", -1, k[:2], pose[:3], "xyz")])
-    got = {(r["scene_id"], r["constraint"]) for r in validate.constraint_issues(spark.createDataFrame([good, bad], kind), validate.scene_rules(), "scene_id").collect()}
+    got = {
+        (r["scene_id"], r["constraint"]) for r in validate.constraint_issues(
+            spark.createDataFrame([good, bad], kind), validate.scene_rules(), "scene_id",
+        ).collect()
+    }
     assert got == {("b", c) for c in ("schema_version", "split_group_id", "timestamp_ns", "K", "pose", "image_sha256")}
 
 
@@ -229,10 +279,18 @@ def test_cameras_of_both_layers_surfaces_and_every_capability(spark):
     p = package()
     cam = {"pose_id": "<pose_099>", "position": [0.0, 0.0, 5.0], "forward": [1.0, 0.0, 0.0], "up": [0.0, 0.0, 1.0]}
     kind = dict(f.split(" ", 1) for f in PACKAGE.replace(", ", "\n").split("\n"))
-    l1 = spark.createDataFrame([("s1", p["cameras"], p["objects"], [(f"<surf_{i:03d}>",) for i in range(9)], [])], f"scene_id string, cameras {kind['cameras']}, objects {kind['objects']}, surfaces array<struct<surface_id:string>>, regions array<struct<region_id:string>>")
-    l2 = spark.createDataFrame([("s1", [cam, {**p["cameras"][0], "position": [7.0, 7.0, 7.0]}], p["links"])], f"scene_id string, cameras {kind['cameras']}, cross_view_links {kind['links']}")
+    l1 = spark.createDataFrame(
+        [("s1", p["cameras"], p["objects"], [(f"<surf_{i:03d}>",) for i in range(9)], [])],
+        f"scene_id string, cameras {kind['cameras']}, objects {kind['objects']}, surfaces array<struct<surface_id:string>>, regions array<struct<region_id:string>>",
+    )
+    l2 = spark.createDataFrame(
+        [("s1", [cam, {**p["cameras"][0], "position": [7.0, 7.0, 7.0]}], p["links"])],
+        f"scene_id string, cameras {kind['cameras']}, cross_view_links {kind['links']}",
+    )
     snap = spark.createDataFrame([("s1", p["caps"])], f"scene_id string, capabilities {kind['caps']}")
-    asked = spark.createDataFrame([("s1", "<pose_099>", "q", ["a"], "c")], "scene_id string, observer_pose_id string, question string, visual_inputs array<string>, pointcloud_ref string")
+    asked = spark.createDataFrame(
+        [("s1", "<pose_099>", "q", ["a"], "c")], "scene_id string, observer_pose_id string, question string, visual_inputs array<string>, pointcloud_ref string",
+    )
     made = readers.packages(l1, l2, snap, asked)
     assert [c["pose_id"] for c in made.first()["cameras"]] == ["<pose_012>", "<pose_099>", "<pose_012>"]
     assert made.select(compiler.observer_camera().alias("c")).first()["c"]["position"] == [0.0, 0.0, 5.0]

@@ -34,7 +34,12 @@ def test_components_equal_a_flood_fill():
 
 def test_merge_is_greedy_and_in_order(spark):
     # a takes b; c lies near b but not near a, so it stays alone: no transitive closure
-    rows = [("s", "car", 1, 0, 0.0, 0.0, 0.0, 10), ("s", "car", 2, 1, 2.0, 0.0, 0.0, 30), ("s", "car", 3, 2, 4.0, 0.0, 0.0, 10), ("s", "bus", 4, 0, 10.0, 0.0, 0.0, 5)]
+    rows = [
+        ("s", "car", 1, 0, 0.0, 0.0, 0.0, 10),
+        ("s", "car", 2, 1, 2.0, 0.0, 0.0, 30),
+        ("s", "car", 3, 2, 4.0, 0.0, 0.0, 10),
+        ("s", "bus", 4, 0, 10.0, 0.0, 0.0, 5),
+    ]
     df = spark.createDataFrame(rows, "scene_id string, category string, pos long, frame long, x double, y double, z double, point_count long")
     df = df.withColumns({"lo": F.array("x", "y", "z"), "hi": F.array(F.col("x") + 1, "y", "z")})
     got = {r["seed"]: r for r in entities.merge_objects(df).collect()}
@@ -44,7 +49,10 @@ def test_merge_is_greedy_and_in_order(spark):
 
 
 def test_fusion_votes(spark):
-    pixels = spark.createDataFrame([(1, y, x, 1 if x < 4 else 2) for y in range(8) for x in range(8)] + [(2, y, x, 0) for y in range(8) for x in range(8)], "frame long, y long, x long, class_id long")
+    pixels = spark.createDataFrame(
+        [(1, y, x, 1 if x < 4 else 2) for y in range(8) for x in range(8)] + [(2, y, x, 0) for y in range(8) for x in range(8)],
+        "frame long, y long, x long, class_id long",
+    )
     masks = spark.createDataFrame([(1, 1, 0, 7, 2, 5), (2, 2, 0, 7, 0, 7)], "instance_id long, frame long, y0 long, y1 long, x0 long, x1 long")
     got = entities.fuse_instances(masks, pixels, [0]).collect()
     assert [(r["instance_id"], r["class_id"], r["purity"]) for r in got] == [(1, 1, 0.5)]  # a tie goes to the lower class; a mask of ignored classes goes
@@ -75,7 +83,17 @@ def test_wilson_and_rotation(spark):
 
 
 def test_states_and_lineage(spark, tmp_path):
-    moves = spark.createDataFrame([("REGISTERED", "SAMPLE_VERIFIED", "pass"), ("REGISTERED", "SAMPLE_VERIFIED", None), ("INGESTED", "GEOMETRY_READY", "reject"), ("RELEASED", "REJECTED", None), ("TASK_COMPILED", "QUARANTINED", None), ("QUARANTINED", "INGESTED", "pass")], "from_state string, to_state string, gate_status string")
+    moves = spark.createDataFrame(
+        [
+            ("REGISTERED", "SAMPLE_VERIFIED", "pass"),
+            ("REGISTERED", "SAMPLE_VERIFIED", None),
+            ("INGESTED", "GEOMETRY_READY", "reject"),
+            ("RELEASED", "REJECTED", None),
+            ("TASK_COMPILED", "QUARANTINED", None),
+            ("QUARANTINED", "INGESTED", "pass"),
+        ],
+        "from_state string, to_state string, gate_status string",
+    )
     got = {(r[0], r[1], r[2]): r["why_not"] for r in state.judge_transitions(moves).select("from_state", "to_state", "gate_status", "why_not").collect()}
     assert list(got.values()).count(None) == 2 and got["RELEASED", "REJECTED", None] == "final state" and got["REGISTERED", "SAMPLE_VERIFIED", None] == "gate report missing"
     a = spark.createDataFrame([("scene_1", ["x"])], "artifact_id string, parents array<string>")
@@ -107,7 +125,9 @@ def test_scenes_from_archives(spark, tmp_path):
     stamp = lambda i: f"{100 + i}.500000000"
     t = lambda x: [[1, 0, 0, x], [0, 1, 0, 2], [0, 0, 1, 3], [0, 0, 0, 1]]
     pose = lambda i, x: {"OriginalImageName": f"{stamp(i)}.jpg", "Height": 4, "Width": 6, "P3x3": [[1, 0, 0], [0, 1, 0], [0, 0, 1]], "K1": 0, "K2": 0, "P1": 0, "P2": 0, "K3": 0, "T4x4": t(x)}
-    with zipfile.ZipFile(tmp_path / "interval5_CAM_LIDAR.zip", "w") as z, zipfile.ZipFile(tmp_path / "interval5_CAM_label.zip", "w") as label, zipfile.ZipFile(tmp_path / "interval5_LIDAR_label.zip", "w") as cloud:
+    with zipfile.ZipFile(tmp_path / "interval5_CAM_LIDAR.zip", "w") as z, zipfile.ZipFile(tmp_path / "interval5_CAM_label.zip", "w") as label, zipfile.ZipFile(
+        tmp_path / "interval5_LIDAR_label.zip", "w",
+    ) as cloud:
         for run, x in (("interval5_Bay01", 0), ("interval5_Bay_GNSS02", 50)):
             top = f"interval5_CAM_LIDAR/{run}"
             for i in range(25):
@@ -116,7 +136,10 @@ def test_scenes_from_archives(spark, tmp_path):
                     z.writestr(f"{top}/interval5_LIDAR/image{stamp(i)}_lidar{stamp(i)}.txt", b"")
             z.writestr(f"{top}/sampleinfos_interpolated.json", json.dumps([pose(i, x + i) for i in range(24)] + [pose(3, x + 90)]))
             if x:
-                z.writestr(f"{top}/rtk_positions_raw.csv", "lat,headerstamp,lon,alt,easting,northing\n" + "".join(f"1.5,{stamp(i)},2,3,{i},5\n" for i in range(0, 40, 2)))
+                z.writestr(
+                    f"{top}/rtk_positions_raw.csv",
+                    "lat,headerstamp,lon,alt,easting,northing\n" + "".join(f"1.5,{stamp(i)},2,3,{i},5\n" for i in range(0, 40, 2)),
+                )
             label.writestr(f"interval5_CAM_label/{run}/interval5_CAM_label_id/{stamp(2)}.png", b"")
         cloud.writestr(f"interval5_LIDAR_label/interval5_Bay01/interval5_LIDAR_label_id/image{stamp(1)}_lidar{stamp(1)}.txt", b"")
     members = readers.read_archives(spark, str(tmp_path), r"\.(json|csv)$")
@@ -128,7 +151,9 @@ def test_scenes_from_archives(spark, tmp_path):
     got = {r["run"]: r for r in scenes.build_scenes(paired, track).collect()}
     a, b = got["interval5_Bay01"], got["interval5_Bay_GNSS02"]
     for r in (a, b):
-        assert (r["split_group"], r["frames_requested"], r["frames_emitted"], r["frames_missing_pose"], r["frames_missing_lidar"], r["duration_s"], r["err"]) == ("Bay", 25, 24, 1, 6, 23.0, None)
+        assert (
+            r["split_group"], r["frames_requested"], r["frames_emitted"], r["frames_missing_pose"], r["frames_missing_lidar"], r["duration_s"], r["err"],
+        ) == ("Bay", 25, 24, 1, 6, 23.0, None)
         assert [f["frame_id"] for f in r["frames"]] == [stamp(i) for i in range(24)]
     assert (a["track_samples"], b["track_samples"]) == (0, 12)
     assert a["span"] == [90.0, 0.0, 0.0] and b["span"] == [90.0, 0.0, 0.0] and b["frames"][3]["pose"][0][3] == 140.0
@@ -139,7 +164,10 @@ def test_scenes_from_archives(spark, tmp_path):
 
 
 def test_pixels_are_written_once_and_read_back(spark, tmp_path):
-    df = spark.createDataFrame([("a", 1, 0, 0, 1.5, 0.25), ("a", 1, 0, 1, None, 0.5), ("b", 2, 0, 0, 2.0, 1.0)], "scene_id string, frame bigint, y bigint, x bigint, depth double, conf double")
+    df = spark.createDataFrame(
+        [("a", 1, 0, 0, 1.5, 0.25), ("a", 1, 0, 1, None, 0.5), ("b", 2, 0, 0, 2.0, 1.0)],
+        "scene_id string, frame bigint, y bigint, x bigint, depth double, conf double",
+    )
     path = str(tmp_path / "pixels")
     readers.write_pixels(df, path)
     assert sorted(map(str, readers.read_pixels(spark, path).collect())) == sorted(map(str, df.collect()))

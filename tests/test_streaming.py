@@ -41,6 +41,13 @@ def test_first_sight(spark, tmp_path):
 
 
 def test_states_follow_allowed_moves_only(spark, tmp_path):
-    rows = [("x", 1, "SAMPLE_VERIFIED", "pass"), ("x", 2, "GEOMETRY_READY", "pass"), ("x", 3, "INGESTED", "reject"), ("x", 4, "QUARANTINED", None), ("y", 1, "REJECTED", None), ("y", 2, "REGISTERED", "pass")]
+    rows = [
+        ("x", 1, "SAMPLE_VERIFIED", "pass"),
+        ("x", 2, "GEOMETRY_READY", "pass"),
+        ("x", 3, "INGESTED", "reject"),
+        ("x", 4, "QUARANTINED", None),
+        ("y", 1, "REJECTED", None),
+        ("y", 2, "REGISTERED", "pass"),
+    ]
     got = drive(spark, tmp_path / "in", rows, "artifact_id string, seq long, to_state string, gate_status string", ingest.artifact_states, "update", "states")
     assert {(r["artifact_id"], r["state"], r["refused"]) for r in got} == {("x", "QUARANTINED", 2), ("y", "REJECTED", 1)}
