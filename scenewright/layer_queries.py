@@ -30,8 +30,10 @@ _SCENES = f""", {_PAIRED},
 
 @query(
     V.with_views(
-        _SCENES + f""" SELECT 'uavscenes_' || replace(run, 'interval5_', '') || '_' || lpad(CAST(scene_index AS VARCHAR), 4, '0') AS scene_id, {_RUN} AS split_group, frames_requested, frames_emitted, frames_missing_pose, frames_missing_lidar,
-    round((b - a)/1e9, 3) AS duration_s, (SELECT count(*) FROM v_tracks t WHERE t.run = sc.run AND t.ts_ns BETWEEN sc.a AND sc.b) AS track_samples, span_x, span_y, span_z,
+        _SCENES + f""" SELECT 'uavscenes_' || replace(run, 'interval5_', '') || '_' || lpad(CAST(scene_index AS VARCHAR), 4, '0') AS scene_id, {_RUN} AS split_group,
+          frames_requested, frames_emitted, frames_missing_pose, frames_missing_lidar,
+    round((b - a)/1e9, 3) AS duration_s, (SELECT count(*) FROM v_tracks t WHERE t.run = sc.run AND t.ts_ns BETWEEN sc.a AND sc.b) AS track_samples, span_x, span_y,
+      span_z,
     concat_ws(',', CASE WHEN labels_2d THEN 'semantic_2d' END, CASE WHEN labels_3d THEN 'semantic_3d' END) AS annotations, sha256(stems) AS frames FROM sc""",
         "members",
         "poses",
@@ -52,7 +54,8 @@ def e6_scenes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     V.with_views(
-        f", {_PAIRED}, po AS (SELECT run, stem, max(pos) AS pos, arg_max(z, pos) AS z FROM v_poses GROUP BY ALL) SELECT p.run, p.stem, coalesce(pos, -1) AS pos, z FROM paired p LEFT JOIN po ON p.run = po.run AND p.stem = po.stem",
+        f", {_PAIRED}, po AS (SELECT run, stem, max(pos) AS pos, arg_max(z, pos) AS z FROM v_poses GROUP BY ALL) SELECT p.run, p.stem, coalesce(pos, -1) AS pos, "
+            f"z FROM paired p LEFT JOIN po ON p.run = po.run AND p.stem = po.stem",
         "members",
         "poses",
     )
@@ -83,13 +86,17 @@ def _geometry(spark: SparkSession, sf: str) -> DataFrame:
 _L0 = """, f AS (SELECT scene_id, quantile_cont(conf, 0.25) AS conf_floor, quantile_cont(depth, 0.5) AS median_depth FROM v_pixels GROUP BY scene_id),
   ca AS (SELECT 'scene_' || (s_suppkey // 10) AS scene_id, s_acctbal/100 AS x, CAST(s_suppkey AS DOUBLE) AS y, CAST(s_nationkey AS DOUBLE) AS z FROM supplier),
   sp AS (SELECT scene_id, sqrt((max(x)-min(x))**2 + (max(y)-min(y))**2 + (max(z)-min(z))**2) AS span FROM ca GROUP BY scene_id),
-  l0 AS (SELECT p.scene_id, avg(CASE WHEN conf > conf_floor THEN 1.0 ELSE 0.0 END) AS coverage, max(median_depth) AS median_depth, max(span) AS camera_span, max(span)/greatest(max(median_depth), 1e-9) AS parallax_ratio
+  l0 AS (SELECT p.scene_id, avg(CASE WHEN conf > conf_floor THEN 1.0 ELSE 0.0 END) AS coverage, max(median_depth) AS median_depth, max(span) AS camera_span,
+    max(span)/greatest(max(median_depth), 1e-9) AS parallax_ratio
     FROM v_pixels p JOIN f USING (scene_id) JOIN sp USING (scene_id) GROUP BY p.scene_id)"""
 
 
 @query(
     V.with_views(
-        _L0 + " SELECT scene_id, 'vggt_omega_local::' || scene_id AS coordinate_frame, 'relative' AS scale_status, 'dep_' || substr(sha256(scene_id || '|vggt'), 1, 8) AS artifact_id, round(coverage, 6) AS coverage, round(median_depth, 6) AS median_depth, round(camera_span, 6) AS camera_span, round(parallax_ratio, 6) AS parallax_ratio FROM l0",
+        _L0 +
+            " SELECT scene_id, 'vggt_omega_local::' || scene_id AS coordinate_frame, 'relative' AS scale_status, 'dep_' || substr(sha256(scene_id || '|vggt'), 1, "
+            "8) AS artifact_id, round(coverage, 6) AS coverage, round(median_depth, 6) AS median_depth, round(camera_span, 6) AS camera_span, round(parallax_ratio, "
+            "6) AS parallax_ratio FROM l0",
         "pixels",
     )
 )
@@ -111,12 +118,15 @@ def _entities(spark: SparkSession, sf: str) -> DataFrame:
 _L1 = """, fl AS (SELECT scene_id, quantile_cont(conf, 0.25) AS conf_floor, max(conf) AS top FROM v_pixels GROUP BY scene_id),
   pw AS (SELECT p.*, c.component, fl.top, (p.x - 10)/20.0*depth + 1 AS px, (p.y - 10)/20.0*depth + 2 AS py, depth + 3 AS pz, p.conf >= fl.conf_floor AS good
     FROM v_pixels p JOIN c ON p.frame = c.frame AND p.class_id = c.class_id AND p.y*20 + p.x = c.id JOIN fl ON p.scene_id = fl.scene_id),
-  ob AS (SELECT scene_id, frame, class_id, component, count(*) FILTER (good) AS n_points, avg(px) FILTER (good) AS cx, max(pz) FILTER (good) - min(pz) FILTER (good) AS ez, avg(conf) FILTER (good)/(max(top) + 1e-9) AS confidence
+  ob AS (SELECT scene_id, frame, class_id, component, count(*) FILTER (good) AS n_points, avg(px) FILTER (good) AS cx,
+    max(pz) FILTER (good) - min(pz) FILTER (good) AS ez, avg(conf) FILTER (good)/(max(top) + 1e-9) AS confidence
     FROM pw GROUP BY ALL HAVING count(*) >= 5 AND count(*) FILTER (good) >= 3)"""
 
 
-@query(V.with_views(_REACH + _L1 + f""" SELECT scene_id, format('<obj_{{:03d}}>', row_number() OVER (PARTITION BY scene_id ORDER BY frame, class_id, component)) AS object_id, coalesce({V._CLASS_LIST}[:2][class_id + 1], 'class_' || class_id) AS category,
-  round(cx, 3) AS cx, round(ez, 3) AS extent_z, n_points AS point_count, CAST(frame AS VARCHAR) AS visible_frames, round(confidence, 3) AS confidence, 'uavscenes_native_semantic,VGGT-Omega/1b_512' AS producers FROM ob""", "pixels", recursive=True))
+@query(V.with_views(_REACH + _L1 + f""" SELECT scene_id, format('<obj_{{:03d}}>', row_number() OVER (PARTITION BY scene_id ORDER BY frame, class_id,
+    component)) AS object_id, coalesce({V._CLASS_LIST}[:2][class_id + 1], 'class_' || class_id) AS category,
+  round(cx, 3) AS cx, round(ez, 3) AS extent_z, n_points AS point_count, CAST(frame AS VARCHAR) AS visible_frames, round(confidence, 3) AS confidence,
+    'uavscenes_native_semantic,VGGT-Omega/1b_512' AS producers FROM ob""", "pixels", recursive=True))
 def e2_entity_layer(spark: SparkSession, sf: str) -> DataFrame:
     o = _entities(spark, sf)
     return o.select(
@@ -132,9 +142,13 @@ def e2_entity_layer(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(V.with_views(_REACH + _L1 + _L0.replace(" f AS", " fq AS").replace("JOIN f USING", "JOIN fq USING") + """, en AS (SELECT scene_id, count(*) AS n FROM ob WHERE class_id = 0 AND component = 0 GROUP BY scene_id)
-  SELECT 'meta_' || substr(sha256(l0.scene_id || '|pipeline-0.1.0'), 1, 8) AS snapshot_id, l0.scene_id, 'g' || length(l0.scene_id) AS split_group, round(parallax_ratio, 6) AS parallax_ratio, coalesce(n, 0) AS entity_count,
-  CASE WHEN coalesce(n, 0) < 3 THEN 'warn' ELSE 'pass' END AS gate_status, CASE WHEN coalesce(n, 0) < 3 THEN coalesce(n, 0) || ' entities, fewer than 3' ELSE '' END AS warnings, sha256(l0.scene_id) AS l0_digest FROM l0 LEFT JOIN en ON l0.scene_id = en.scene_id""", "pixels", recursive=True))
+@query(V.with_views(_REACH + _L1 + _L0.replace(" f AS", " fq AS").replace("JOIN f USING", "JOIN fq USING") + """, en AS (SELECT scene_id, count(*) AS n FROM ob
+    WHERE class_id = 0 AND component = 0 GROUP BY scene_id)
+  SELECT 'meta_' || substr(sha256(l0.scene_id || '|pipeline-0.1.0'), 1, 8) AS snapshot_id, l0.scene_id, 'g' || length(l0.scene_id) AS split_group, round(parallax_ratio,
+    6) AS parallax_ratio, coalesce(n, 0) AS entity_count,
+  CASE WHEN coalesce(n, 0) < 3 THEN 'warn' ELSE 'pass' END AS gate_status, CASE WHEN coalesce(n, 0) < 3 THEN coalesce(n,
+    0) || ' entities, fewer than 3' ELSE '' END AS warnings, sha256(l0.scene_id) AS l0_digest FROM l0 LEFT JOIN en ON l0.scene_id = en.scene_id""", "pixels",
+    recursive=True))
 def e4_snapshots(spark: SparkSession, sf: str) -> DataFrame:
     """Snapshots over the geometry layer and the first components of class 0 only, so that some scenes have too few entities."""
     first = entities.objects_of(_lifted(spark, sf), entities.depth_statistics(V.pixels(spark, sf)), 5, 3).filter("class_id = 0 and component = 0")
@@ -156,7 +170,11 @@ def e4_snapshots(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     V.with_views(
-        _VOTES + f", cn AS (SELECT instance_id, label, (y1 - y0 + 1)*(x1 - x0 + 1) AS mask_pixels, CASE {_CASES} ELSE 'other' END AS canonical FROM v_masks) SELECT w.instance_id, {V._CLASS_LIST}[class_id + 1] AS category, label AS label_proposed, canonical AS label_proposed_canonical, {V._CLASS_LIST}[class_id + 1] = canonical AS category_agrees, mask_pixels, 'grounded_sam2::gdino_base+sam2.1_hiera_bplus' AS boundary_from, 'oneformer_ade20k_swin_large' AS category_from FROM w JOIN cn USING (instance_id) WHERE k = 1",
+        _VOTES +
+            f", cn AS (SELECT instance_id, label, (y1 - y0 + 1)*(x1 - x0 + 1) AS mask_pixels, CASE {_CASES} ELSE 'other' END AS canonical FROM v_masks) "
+            f"SELECT w.instance_id, {V._CLASS_LIST}[class_id + 1] AS category, label AS label_proposed, canonical AS label_proposed_canonical, "
+            f"{V._CLASS_LIST}[class_id + 1] = canonical AS category_agrees, mask_pixels, 'grounded_sam2::gdino_base+sam2.1_hiera_bplus' AS boundary_from, "
+            f"'oneformer_ade20k_swin_large' AS category_from FROM w JOIN cn USING (instance_id) WHERE k = 1",
         "masks",
         "pixels",
     )
@@ -171,7 +189,9 @@ def e5_proposed_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "SELECT instance_id, k, iou FROM (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY iou DESC NULLS LAST, k) AS r FROM (SELECT p_partkey AS instance_id, CAST(u.k AS BIGINT) AS k, CASE WHEN (p_partkey + u.k) % 11 = 0 THEN NULL ELSE (p_partkey*(u.k + 3)*7 % 10)/10.0::DOUBLE END AS iou FROM part, unnest(range(0, 3)) AS u(k))) WHERE r = 1"
+    "SELECT instance_id, k, iou FROM (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY iou DESC NULLS LAST, k) AS r "
+        "FROM (SELECT p_partkey AS instance_id, CAST(u.k AS BIGINT) AS k, CASE WHEN (p_partkey + u.k) % 11 = 0 THEN NULL ELSE (p_partkey*(u.k + 3)*7 % "
+        "10)/10.0::DOUBLE END AS iou FROM part, unnest(range(0, 3)) AS u(k))) WHERE r = 1"
 )
 def t5_best_masks(spark: SparkSession, sf: str) -> DataFrame:
     p = V.table(spark, sf, "part").select(
@@ -185,7 +205,8 @@ _LEVELS = [*specs.LEVELS, "unheard_of"]
 
 
 @query(
-    f"SELECT level, coalesce(level IN ('strong', 'deterministic_derived'), false) AS for_evaluation, count(*) AS n FROM (SELECT [{', '.join(repr(x) for x in _LEVELS)}, NULL][p_partkey % {len(_LEVELS) + 1} + 1] AS level FROM part) GROUP BY ALL"
+    f"SELECT level, coalesce(level IN ('strong', 'deterministic_derived'), false) AS for_evaluation, count(*) AS n "
+        f"FROM (SELECT [{', '.join(repr(x) for x in _LEVELS)}, NULL][p_partkey % {len(_LEVELS) + 1} + 1] AS level FROM part) GROUP BY ALL"
 )
 def p15_evaluation_levels(spark: SparkSession, sf: str) -> DataFrame:
     level = F.get(F.array(*[F.lit(x) for x in _LEVELS], F.lit(None).cast("string")), (F.col("p_partkey") % (len(_LEVELS) + 1)).cast("int"))
@@ -196,14 +217,18 @@ def p15_evaluation_levels(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     """WITH s AS (SELECT 'scene_' || s_suppkey AS scene_id, s_suppkey AS k FROM supplier),
-  i AS (SELECT scene_id, 'l0_geometry' AS layer, 'unit' AS c FROM s WHERE k % 3 = 0 UNION ALL SELECT scene_id, 'l0_geometry', 'depth' FROM s WHERE k % 5 = 0 UNION ALL SELECT scene_id, 'l0_geometry', 'scale.status' FROM s WHERE k % 4 = 3
+  i AS (SELECT scene_id, 'l0_geometry' AS layer, 'unit' AS c FROM s WHERE k % 3 = 0 UNION ALL SELECT scene_id, 'l0_geometry', 'depth' FROM s WHERE k % 5 = 0 UNION ALL
+    SELECT scene_id, 'l0_geometry', 'scale.status' FROM s WHERE k % 4 = 3
   UNION ALL SELECT scene_id, 'l0_geometry', 'schema_version' FROM s WHERE k % 9 = 0
   UNION ALL SELECT scene_id, 'l1_entities', 'objects.object_id' FROM s WHERE k % 6 = 1 UNION ALL SELECT scene_id, 'l1_entities', 'regions' FROM s WHERE k % 7 = 0
   UNION ALL SELECT scene_id, 'l2_relations', 'relations' FROM s WHERE k % 8 = 0
-  UNION ALL SELECT scene_id, 'metadata_snapshot', 'layers' FROM s WHERE k % 4 = 0 UNION ALL SELECT scene_id, 'metadata_snapshot', 'parallax_ratio' FROM s WHERE k % 5 = 1 UNION ALL SELECT scene_id, 'metadata_snapshot', 'status' FROM s WHERE k % 6 = 0
+  UNION ALL SELECT scene_id, 'metadata_snapshot', 'layers' FROM s WHERE k % 4 = 0 UNION ALL SELECT scene_id, 'metadata_snapshot', 'parallax_ratio' FROM s WHERE k % 5 = 1
+    UNION ALL SELECT scene_id, 'metadata_snapshot', 'status' FROM s WHERE k % 6 = 0
   UNION ALL SELECT scene_id, 'metadata_snapshot', 'snapshot_id' FROM s WHERE k % 10 = 0
-  UNION ALL SELECT scene_id, 'canonical_task_record', 'task_spec_id' FROM s WHERE k % 3 = 1 UNION ALL SELECT scene_id, 'canonical_task_record', 'capability_tags' FROM s WHERE k % 4 = 2 OR k % 5 = 2
-  UNION ALL SELECT scene_id, 'canonical_task_record', 'adapters' FROM s WHERE k % 7 = 1 UNION ALL SELECT scene_id, 'canonical_task_record', 'hidden_target' FROM s WHERE k % 11 = 0)
+  UNION ALL SELECT scene_id, 'canonical_task_record', 'task_spec_id' FROM s WHERE k % 3 = 1 UNION ALL SELECT scene_id, 'canonical_task_record', 'capability_tags' FROM s
+    WHERE k % 4 = 2 OR k % 5 = 2
+  UNION ALL SELECT scene_id, 'canonical_task_record', 'adapters' FROM s WHERE k % 7 = 1 UNION ALL SELECT scene_id, 'canonical_task_record', 'hidden_target' FROM s
+    WHERE k % 11 = 0)
   SELECT scene_id, layer, c AS "constraint" FROM i"""
 )
 def v2_layer_issues(spark: SparkSession, sf: str) -> DataFrame:
@@ -272,8 +297,10 @@ _SHOWN = "observer struct<pose_id:string>, entities array<struct<object_id:strin
 
 @query(
     V.with_views(
-        """, o AS (SELECT scene_id, string_agg(object_id, ',' ORDER BY sha256(scene_id || '|entities|' || object_id)) AS ids, count(*) AS n FROM v_objects GROUP BY scene_id)
-  SELECT scene_id, arm, ids, arm <> 'a' AS has_observer, arm <> 'a' AS has_geometry, CASE WHEN arm = 'c' AND n > 1 THEN n WHEN arm = 'a' THEN n ELSE 0 END AS n_other FROM o, (VALUES ('a'), ('b'), ('c')) t(arm)""",
+        """, o AS (SELECT scene_id, string_agg(object_id, ',' ORDER BY sha256(scene_id || '|entities|' || object_id)) AS ids, count(*) AS n FROM v_objects
+          GROUP BY scene_id)
+  SELECT scene_id, arm, ids, arm <> 'a' AS has_observer, arm <> 'a' AS has_geometry, CASE WHEN arm = 'c' AND n > 1 THEN n WHEN arm = 'a' THEN n ELSE 0 END AS n_other
+    FROM o, (VALUES ('a'), ('b'), ('c')) t(arm)""",
         "objects",
     )
 )
@@ -295,7 +322,8 @@ def f21_arms(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     V.with_views(
-        _PKG + """ SELECT f.scene_id, arm, CAST(CASE WHEN arm = 'b' OR label % 2 = 0 THEN 2 ELSE 0 END AS BIGINT) AS hits, CAST(2 AS BIGINT) AS trials, abs(d1 - d2) < 0.05*greatest(d1, 1e-9) AS is_ambiguous, '{"object_id": "<obj_XXX>"}' AS hint
+        _PKG + """ SELECT f.scene_id, arm, CAST(CASE WHEN arm = 'b' OR label % 2 = 0 THEN 2 ELSE 0 END AS BIGINT) AS hits, CAST(2 AS BIGINT) AS trials,
+          abs(d1 - d2) < 0.05*greatest(d1, 1e-9) AS is_ambiguous, '{"object_id": "<obj_XXX>"}' AS hint
   FROM f JOIN g USING (scene_id) JOIN p USING (scene_id), (VALUES ('a'), ('b'), ('c')) t(arm) WHERE reasons = ''""",
         "objects",
     )

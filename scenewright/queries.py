@@ -43,16 +43,20 @@ def task_specs() -> list[specs.Spec]:
 _RUN = "regexp_extract(run, '^interval5_([A-Za-z]+?)(?:_GNSS)?(?:_Evening)?(\\d*)$', 1)"
 _PAIRED = f"""paired AS (SELECT i.run, i.stem, i.ts_ns, l.lidar_ns, b.path AS label_path FROM (
   SELECT split_part(path, '/', 2) AS run, replace(split_part(path, '/', 4), '.jpg', '') AS stem,
-    CAST(split_part(replace(split_part(path, '/', 4), '.jpg', ''), '.', 1) AS BIGINT)*1000000000 + CAST(split_part(replace(split_part(path, '/', 4), '.jpg', ''), '.', 2) AS BIGINT) AS ts_ns
+    CAST(split_part(replace(split_part(path, '/', 4), '.jpg', ''), '.', 1) AS BIGINT)*1000000000 + CAST(split_part(replace(split_part(path, '/', 4), '.jpg', ''), '.',
+      2) AS BIGINT) AS ts_ns
   FROM v_members WHERE path LIKE '%/interval5_CAM/%.jpg') i
   LEFT JOIN (SELECT split_part(path, '/', 2) AS run, regexp_extract(path, 'image([\\d.]+)_lidar', 1) AS stem,
-    max(CAST(replace(regexp_extract(path, '_lidar([\\d.]+)\\.txt', 1), '.', '') AS BIGINT)) AS lidar_ns FROM v_members WHERE path LIKE '%/interval5_LIDAR/%' GROUP BY ALL) l ON i.run = l.run AND i.stem = l.stem
-  LEFT JOIN (SELECT DISTINCT path FROM v_members WHERE archive = 'interval5_CAM_label') b ON b.path = 'interval5_CAM_label/' || i.run || '/interval5_CAM_label_id/' || i.stem || '.png')"""
+    max(CAST(replace(regexp_extract(path, '_lidar([\\d.]+)\\.txt', 1), '.', '') AS BIGINT)) AS lidar_ns FROM v_members WHERE path LIKE '%/interval5_LIDAR/%'
+      GROUP BY ALL) l ON i.run = l.run AND i.stem = l.stem
+  LEFT JOIN (SELECT DISTINCT path FROM v_members WHERE archive = 'interval5_CAM_label') b ON b.path = 'interval5_CAM_label/' || i.run || '/interval5_CAM_label_id/' ||
+    i.stem || '.png')"""
 
 
 @query(
     V.with_views(
-        f"SELECT run, CASE WHEN {_RUN} <> '' THEN {_RUN} END AS split_group FROM (SELECT DISTINCT split_part(path, '/', 2) AS run FROM v_members WHERE archive = 'interval5_CAM_LIDAR')",
+        f"SELECT run, CASE WHEN {_RUN} <> '' THEN {_RUN} END AS split_group FROM (SELECT DISTINCT split_part(path, '/', 2) AS run FROM v_members "
+            f"WHERE archive = 'interval5_CAM_LIDAR')",
         "members",
     )
 )
@@ -69,7 +73,8 @@ def s6_paired_frames(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     V.with_views(
-        f", {_PAIRED} SELECT run, count(*) AS requested, count(*) FILTER (lidar_ns IS NULL) AS missing_lidar, count(*) FILTER (label_path IS NULL) AS missing_label, bool_or(label_path IS NOT NULL) AS has_labels FROM paired GROUP BY run",
+        f", {_PAIRED} SELECT run, count(*) AS requested, count(*) FILTER (lidar_ns IS NULL) AS missing_lidar, "
+            f"count(*) FILTER (label_path IS NULL) AS missing_label, bool_or(label_path IS NOT NULL) AS has_labels FROM paired GROUP BY run",
         "members",
     )
 )
@@ -89,7 +94,8 @@ def _windows_sql(step: int, length: int = 50, least: int = 20) -> str:
     return V.with_views(
         f""", r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY ts_ns, frame_id) - 1 AS n, count(*) OVER (PARTITION BY run) AS total FROM v_frames),
   w AS (SELECT r.*, k AS scene_index FROM r, unnest(range(0, r.n // {step} + 1)) AS u(k) WHERE n < k*{step} + {length} AND least({length}, total - k*{step}) >= {least}),
-  sc AS (SELECT run, CAST(scene_index AS BIGINT) AS scene_index, count(*) AS n_frames, min(ts_ns) AS first_ns, max(ts_ns) AS last_ns, round((max(ts_ns) - min(ts_ns))/1e9, 3) AS duration_s FROM w GROUP BY ALL)""",
+  sc AS (SELECT run, CAST(scene_index AS BIGINT) AS scene_index, count(*) AS n_frames, min(ts_ns) AS first_ns, max(ts_ns) AS last_ns,
+    round((max(ts_ns) - min(ts_ns))/1e9, 3) AS duration_s FROM w GROUP BY ALL)""",
         "frames",
     )
 
@@ -110,7 +116,9 @@ def w3_window_by_index(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    _windows_sql(50) + " SELECT s.run, s.scene_index, count(*) AS n_rows, round(max(f.value) - min(f.value), 3) AS value_span FROM v_frames f JOIN sc s ON f.run = s.run AND f.ts_ns BETWEEN s.first_ns AND s.last_ns GROUP BY ALL"
+    _windows_sql(50) +
+        " SELECT s.run, s.scene_index, count(*) AS n_rows, round(max(f.value) - min(f.value), 3) AS value_span FROM v_frames f "
+        "JOIN sc s ON f.run = s.run AND f.ts_ns BETWEEN s.first_ns AND s.last_ns GROUP BY ALL"
 )
 def j4_track_in_scenes(spark: SparkSession, sf: str) -> DataFrame:
     """A run's own track only, though runs overlap in time."""
@@ -120,7 +128,8 @@ def j4_track_in_scenes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "SELECT user_id % 7 AS k, CAST(x.sec AS BIGINT)*1000000000 + CAST(rpad(x.frac, 9, '0') AS BIGINT) AS ns FROM (SELECT user_id, CAST(event_id AS VARCHAR) AS sec, substr(lpad(CAST(user_id AS VARCHAR), 3, '0'), 1, 3) AS frac FROM events) x"
+    "SELECT user_id % 7 AS k, CAST(x.sec AS BIGINT)*1000000000 + CAST(rpad(x.frac, 9, '0') AS BIGINT) AS ns FROM (SELECT user_id, "
+        "CAST(event_id AS VARCHAR) AS sec, substr(lpad(CAST(user_id AS VARCHAR), 3, '0'), 1, 3) AS frac FROM events) x"
 )
 def s9_nanoseconds(spark: SparkSession, sf: str) -> DataFrame:
     stamp = F.concat(F.col("event_id").cast("string"), F.lit("."), F.substring(F.lpad(F.col("user_id").cast("string"), 3, "0"), 1, 3))
@@ -132,8 +141,10 @@ def s9_nanoseconds(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     V.with_views(
-        """, d AS (SELECT *, sqrt(x*x + y*y + (z-30)*(z-30)) AS d FROM v_objects), r AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY d DESC, pos) AS k, count(*) OVER (PARTITION BY scene_id) AS n FROM d)
-  SELECT scene_id, max(object_id) FILTER (k = 1) AS object_id, max(n) AS n_candidates, abs(max(d) FILTER (k = 1) - max(d) FILTER (k = 2)) < 0.05*greatest(max(d) FILTER (k = 1), 1e-9) AS is_ambiguous FROM r WHERE n >= 3 GROUP BY scene_id""",
+        """, d AS (SELECT *, sqrt(x*x + y*y + (z-30)*(z-30)) AS d FROM v_objects), r AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY d DESC, pos) AS k,
+          count(*) OVER (PARTITION BY scene_id) AS n FROM d)
+  SELECT scene_id, max(object_id) FILTER (k = 1) AS object_id, max(n) AS n_candidates,
+    abs(max(d) FILTER (k = 1) - max(d) FILTER (k = 2)) < 0.05*greatest(max(d) FILTER (k = 1), 1e-9) AS is_ambiguous FROM r WHERE n >= 3 GROUP BY scene_id""",
         "objects",
     )
 )
@@ -150,8 +161,10 @@ def d3_farthest_object(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_SEG = """, s AS (SELECT scene_id, pos, i, x AS ax, y AS ay, z AS az, lead(x) OVER w AS bx, lead(y) OVER w AS by_, lead(z) OVER w AS bz FROM v_points WINDOW w AS (PARTITION BY pos ORDER BY i)),
-  t AS (SELECT *, greatest(0.0, least(1.0, ((0-ax)*(bx-ax) + (0-ay)*(by_-ay) + (30-az)*(bz-az)) / ((bx-ax)**2 + (by_-ay)**2 + (bz-az)**2))) AS t FROM s WHERE bx IS NOT NULL),
+_SEG = """, s AS (SELECT scene_id, pos, i, x AS ax, y AS ay, z AS az, lead(x) OVER w AS bx, lead(y) OVER w AS by_, lead(z) OVER w AS bz
+    FROM v_points WINDOW w AS (PARTITION BY pos ORDER BY i)),
+  t AS (SELECT *, greatest(0.0, least(1.0, ((0-ax)*(bx-ax) + (0-ay)*(by_-ay) + (30-az)*(bz-az)) / ((bx-ax)**2 + (by_-ay)**2 + (bz-az)**2))) AS t FROM s
+    WHERE bx IS NOT NULL),
   g AS (SELECT scene_id, pos, i, sqrt((ax+t*(bx-ax))**2 + (ay+t*(by_-ay))**2 + (30-az-t*(bz-az))**2) AS d FROM t),
   l AS (SELECT scene_id, pos, min(d) AS d, arg_min(i, d) AS seg FROM g GROUP BY ALL)"""
 
@@ -174,7 +187,10 @@ def g3_nearest_polyline(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     V.with_views(
-        ", s AS (SELECT p.pos, p.x AS px, p.y AS py, p.z AS pz, q.x AS ax, q.y AS ay, q.z AS az, r.x AS bx, r.y AS by_, r.z AS bz FROM v_points p JOIN v_points q ON p.pos = q.pos AND q.i = 1 JOIN v_points r ON p.pos = r.pos AND r.i = 2 WHERE p.i = 0), t AS (SELECT *, greatest(0.0, least(1.0, ((px-ax)*(bx-ax) + (py-ay)*(by_-ay) + (pz-az)*(bz-az)) / ((bx-ax)**2 + (by_-ay)**2 + (bz-az)**2))) AS t FROM s) SELECT pos, round(sqrt((px-ax-t*(bx-ax))**2 + (py-ay-t*(by_-ay))**2 + (pz-az-t*(bz-az))**2), 6) AS d, CAST(NULL AS VARCHAR) AS err FROM t",
+        ", s AS (SELECT p.pos, p.x AS px, p.y AS py, p.z AS pz, q.x AS ax, q.y AS ay, q.z AS az, r.x AS bx, r.y AS by_, r.z AS bz FROM v_points p "
+            "JOIN v_points q ON p.pos = q.pos AND q.i = 1 JOIN v_points r ON p.pos = r.pos AND r.i = 2 WHERE p.i = 0), t AS (SELECT *, greatest(0.0, least(1.0, "
+            "((px-ax)*(bx-ax) + (py-ay)*(by_-ay) + (pz-az)*(bz-az)) / ((bx-ax)**2 + (by_-ay)**2 + (bz-az)**2))) AS t FROM s) SELECT pos, "
+            "round(sqrt((px-ax-t*(bx-ax))**2 + (py-ay-t*(by_-ay))**2 + (pz-az-t*(bz-az))**2), 6) AS d, CAST(NULL AS VARCHAR) AS err FROM t",
         "points",
     )
 )
@@ -200,7 +216,8 @@ def g4_pairwise_min(spark: SparkSession, sf: str) -> DataFrame:
     V.with_views(
         """, d AS (SELECT scene_id, object_id, x AS ahead, -y AS r, z - 30 AS above, sqrt(x*x + y*y + (z-30)**2) AS far FROM v_objects),
   a AS (SELECT *, degrees(asin(greatest(-1.0, least(1.0, r/far)))) AS angle FROM d)
-  SELECT scene_id, object_id, CASE WHEN ahead >= 0 THEN 'front' ELSE 'behind' END AS longitudinal, CASE WHEN abs(angle) < 10 THEN 'ambiguous' WHEN r > 0 THEN 'right' ELSE 'left' END AS lateral,
+  SELECT scene_id, object_id, CASE WHEN ahead >= 0 THEN 'front' ELSE 'behind' END AS longitudinal,
+    CASE WHEN abs(angle) < 10 THEN 'ambiguous' WHEN r > 0 THEN 'right' ELSE 'left' END AS lateral,
     CASE WHEN above >= 0 THEN 'above' ELSE 'below' END AS vertical, round(angle, 6) AS lateral_angle_deg FROM a""",
         "objects",
     )
@@ -252,7 +269,9 @@ def _poses(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "SELECT s_suppkey, CASE WHEN s_suppkey % 11 <> 0 THEN CAST(s_suppkey AS DOUBLE) END AS cx, CASE WHEN s_suppkey % 11 <> 0 THEN CAST(-1.0 AS DOUBLE) END AS gl_forward_z, CASE WHEN s_suppkey % 11 = 0 THEN 'not a rigid pose' END AS err, round(-(cos(radians(s_acctbal))*s_suppkey*CASE WHEN s_suppkey % 11 = 0 THEN 2.0 ELSE 1.0 END + sin(radians(s_acctbal))*2), 6) AS inverse_x FROM supplier"
+    "SELECT s_suppkey, CASE WHEN s_suppkey % 11 <> 0 THEN CAST(s_suppkey AS DOUBLE) END AS cx, "
+        "CASE WHEN s_suppkey % 11 <> 0 THEN CAST(-1.0 AS DOUBLE) END AS gl_forward_z, CASE WHEN s_suppkey % 11 = 0 THEN 'not a rigid pose' END AS err, "
+        "round(-(cos(radians(s_acctbal))*s_suppkey*CASE WHEN s_suppkey % 11 = 0 THEN 2.0 ELSE 1.0 END + sin(radians(s_acctbal))*2), 6) AS inverse_x FROM supplier"
 )
 def g5_pose_parts(spark: SparkSession, sf: str) -> DataFrame:
     p = _poses(spark, sf).withColumns({"c": G.camera_center(F.col("t")), "f": G.camera_forward(F.col("t"), "opengl"), "i": G.invert_rigid(F.col("t"))})
@@ -270,7 +289,9 @@ _K = "array(array(100D, 0D, 50D), array(0D, 100D, 40D), array(0D, 0D, 1D))"
 
 @query(
     V.with_views(
-        ", c AS (SELECT pos, x, y, z + 25 AS d FROM v_points), p AS (SELECT pos, d, CASE WHEN d <> 0 THEN 100*x/d + 50 END AS u, CASE WHEN d <> 0 THEN 100*y/d + 40 END AS v FROM c) SELECT pos, round(avg(CASE WHEN d > 0.1 AND d < 10000 AND u >= 0 AND u < 100 AND v >= 0 AND v < 80 THEN 1.0 ELSE 0.0 END), 6) AS visible_ratio, round(min(u), 4) AS min_u, round(max(v), 4) AS max_v FROM p GROUP BY pos",
+        ", c AS (SELECT pos, x, y, z + 25 AS d FROM v_points), p AS (SELECT pos, d, CASE WHEN d <> 0 THEN 100*x/d + 50 END AS u, "
+            "CASE WHEN d <> 0 THEN 100*y/d + 40 END AS v FROM c) SELECT pos, round(avg(CASE WHEN d > 0.1 AND d < 10000 AND u >= 0 AND u < 100 AND v >= 0 AND v < 80 "
+            "THEN 1.0 ELSE 0.0 END), 6) AS visible_ratio, round(min(u), 4) AS min_u, round(max(v), 4) AS max_v FROM p GROUP BY pos",
         "points",
     )
 )
@@ -285,7 +306,8 @@ def a4_visible_ratio(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     V.with_views(
-        " SELECT pos, count(*) AS n, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, round(avg(z), 6) AS cz, round(min(x), 6) AS min_x, round(max(x), 6) AS max_x, round(min(y), 6) AS min_y, round(max(y), 6) AS max_y, round(min(z), 6) AS min_z, round(max(z), 6) AS max_z FROM v_points GROUP BY pos",
+        " SELECT pos, count(*) AS n, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, round(avg(z), 6) AS cz, round(min(x), 6) AS min_x, round(max(x), "
+            "6) AS max_x, round(min(y), 6) AS min_y, round(max(y), 6) AS max_y, round(min(z), 6) AS min_z, round(max(z), 6) AS max_z FROM v_points GROUP BY pos",
         "points",
     )
 )
@@ -296,10 +318,13 @@ def a1_centroid_box(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     V.with_views(
-        """, c AS (SELECT pos, var_samp(x) AS a, var_samp(y) AS b, var_samp(z) AS c, covar_samp(x, y) AS d, covar_samp(x, z) AS e, covar_samp(y, z) AS f FROM v_points GROUP BY pos),
+        """, c AS (SELECT pos, var_samp(x) AS a, var_samp(y) AS b, var_samp(z) AS c, covar_samp(x, y) AS d, covar_samp(x, z) AS e, covar_samp(y, z) AS f FROM v_points
+          GROUP BY pos),
   q AS (SELECT *, (a+b+c)/3 AS q, d*d+e*e+f*f AS p1 FROM c), r AS (SELECT *, sqrt(((a-q)**2 + (b-q)**2 + (c-q)**2 + 2*p1)/6) AS p FROM q),
-  t AS (SELECT *, acos(greatest(-1.0, least(1.0, (((a-q)/p)*(((b-q)/p)*((c-q)/p) - (f/p)*(f/p)) - (d/p)*((d/p)*((c-q)/p) - (f/p)*(e/p)) + (e/p)*((d/p)*(f/p) - ((b-q)/p)*(e/p)))/2)))/3 AS phi FROM r)
-  SELECT pos, round(q + 2*p*cos(phi), 4) AS v0, round(3*q - (q + 2*p*cos(phi)) - (q + 2*p*cos(phi + 2*pi()/3)), 4) AS v1, round(q + 2*p*cos(phi + 2*pi()/3), 4) AS v2 FROM t""",
+  t AS (SELECT *, acos(greatest(-1.0, least(1.0, (((a-q)/p)*(((b-q)/p)*((c-q)/p) - (f/p)*(f/p)) - (d/p)*((d/p)*((c-q)/p) - (f/p)*(e/p)) + (e/p)*((d/p)*(f/p) -
+    ((b-q)/p)*(e/p)))/2)))/3 AS phi FROM r)
+  SELECT pos, round(q + 2*p*cos(phi), 4) AS v0, round(3*q - (q + 2*p*cos(phi)) - (q + 2*p*cos(phi + 2*pi()/3)), 4) AS v1, round(q + 2*p*cos(phi + 2*pi()/3), 4) AS v2
+    FROM t""",
         "points",
     )
 )
@@ -311,7 +336,8 @@ def a3_oriented_boxes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     V.with_views(
-        " SELECT object_id, round((ex - ez/2)*200, 6) AS x0, round((ey - ez/2)*100, 6) AS y0, round((ex + ez/2)*200, 6) AS x1, round((ey + ez/2)*100, 6) AS y1 FROM v_objects",
+        " SELECT object_id, round((ex - ez/2)*200, 6) AS x0, round((ey - ez/2)*100, 6) AS y0, round((ex + ez/2)*200, 6) AS x1, round((ey + ez/2)*100, 6) AS y1 "
+            "FROM v_objects",
         "objects",
     )
 )
@@ -323,7 +349,9 @@ def g20_box_corners(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "SELECT s, c, v, CASE s WHEN 'metric' THEN c WHEN 'externally_anchored' THEN v WHEN 'relative' THEN false END AS ok, n FROM (SELECT (['metric','externally_anchored','relative','odd'])[p_partkey % 4 + 1] AS s, p_size % 2 = 0 AS c, p_partkey % 3 = 0 AS v, count(*) AS n FROM part GROUP BY ALL)"
+    "SELECT s, c, v, CASE s WHEN 'metric' THEN c WHEN 'externally_anchored' THEN v WHEN 'relative' THEN false END AS ok, n "
+        "FROM (SELECT (['metric','externally_anchored','relative','odd'])[p_partkey % 4 + 1] AS s, p_size % 2 = 0 AS c, p_partkey % 3 = 0 AS v, count(*) AS n "
+        "FROM part GROUP BY ALL)"
 )
 def p6_metric_eligibility(spark: SparkSession, sf: str) -> DataFrame:
     kinds = F.array(*[F.lit(x) for x in ("metric", "externally_anchored", "relative", "odd")])
@@ -342,7 +370,10 @@ _STATS = """, f AS (SELECT scene_id, quantile_cont(conf, 0.25) AS conf_floor FRO
 
 @query(
     V.with_views(
-        _STATS + " SELECT p.scene_id, f.conf_floor, count(*) AS n_pixels, round(avg(CASE WHEN conf > conf_floor THEN 1.0 ELSE 0.0 END), 6) AS coverage, round(avg(CASE WHEN depth > 0 THEN 0.0 ELSE 1.0 END), 6) AS invalid_ratio, round(quantile_cont(depth, 0.5), 6) AS median_depth FROM v_pixels p JOIN f USING (scene_id) GROUP BY ALL",
+        _STATS +
+            " SELECT p.scene_id, f.conf_floor, count(*) AS n_pixels, round(avg(CASE WHEN conf > conf_floor THEN 1.0 ELSE 0.0 END), 6) AS coverage, "
+            "round(avg(CASE WHEN depth > 0 THEN 0.0 ELSE 1.0 END), 6) AS invalid_ratio, round(quantile_cont(depth, 0.5), 6) AS median_depth FROM v_pixels p "
+            "JOIN f USING (scene_id) GROUP BY ALL",
         "pixels",
     )
 )
@@ -365,7 +396,8 @@ def p8_kept_pixels(spark: SparkSession, sf: str) -> DataFrame:
 _REACH = """, e AS (SELECT frame, class_id, y*20 + x AS id, y, x FROM v_pixels),
   n AS (SELECT a.frame, a.class_id, a.id AS a, b.id AS b FROM e a JOIN e b ON a.frame = b.frame AND a.class_id = b.class_id AND abs(a.y - b.y) + abs(a.x - b.x) <= 1),
   r AS (SELECT frame, class_id, a, b FROM n UNION SELECT r.frame, r.class_id, r.a, n.b FROM r JOIN n ON r.frame = n.frame AND r.class_id = n.class_id AND r.b = n.a),
-  m AS (SELECT frame, class_id, a AS id, min(b) AS first FROM r GROUP BY ALL), c AS (SELECT *, dense_rank() OVER (PARTITION BY frame, class_id ORDER BY first) - 1 AS component FROM m)"""
+  m AS (SELECT frame, class_id, a AS id, min(b) AS first FROM r GROUP BY ALL), c AS (SELECT *, dense_rank() OVER (PARTITION BY frame,
+    class_id ORDER BY first) - 1 AS component FROM m)"""
 
 
 @query(V.with_views(_REACH + " SELECT frame, class_id, component, count(*) AS n_pixels, min(id) AS first FROM c GROUP BY ALL", "pixels", recursive=True))
@@ -388,7 +420,8 @@ def _lifted(spark: SparkSession, sf: str) -> DataFrame:
         _REACH + """, f AS (SELECT scene_id, quantile_cont(conf, 0.25) AS conf_floor, max(conf) AS top FROM v_pixels GROUP BY scene_id),
   w AS (SELECT p.*, c.component, f.conf_floor, f.top, (p.x - 10)/20.0*depth + 1 AS px, (p.y - 10)/20.0*depth + 2 AS py, depth + 3 AS pz, p.conf >= f.conf_floor AS good
     FROM v_pixels p JOIN c ON p.frame = c.frame AND p.class_id = c.class_id AND p.y*20 + p.x = c.id JOIN f ON p.scene_id = f.scene_id)
-  SELECT frame, class_id, component, count(*) AS n_pixels, count(*) FILTER (good) AS n_points, round(avg(px) FILTER (good), 3) AS cx, round(max(pz) FILTER (good), 3) AS max_z, round(avg(conf) FILTER (good)/(max(top) + 1e-9), 3) AS confidence FROM w GROUP BY ALL HAVING count(*) >= 5 AND count(*) FILTER (good) >= 3""",
+  SELECT frame, class_id, component, count(*) AS n_pixels, count(*) FILTER (good) AS n_points, round(avg(px) FILTER (good), 3) AS cx, round(max(pz) FILTER (good),
+    3) AS max_z, round(avg(conf) FILTER (good)/(max(top) + 1e-9), 3) AS confidence FROM w GROUP BY ALL HAVING count(*) >= 5 AND count(*) FILTER (good) >= 3""",
         "pixels",
         recursive=True,
     )
@@ -404,11 +437,14 @@ _NEAR_FIRST = "sqrt((o.x - rest[1].x)**2 + (o.y - rest[1].y)**2 + (o.z - rest[1]
 @query(
     V.with_views(
         f""", size AS (SELECT scene_id, sqrt((max(x)-min(x))**2 + (max(y)-min(y))**2 + (max(z)-min(z))**2) AS s FROM v_objects GROUP BY scene_id),
-  g AS (SELECT o.scene_id, category, CASE WHEN max(s) > 0 THEN max(s)*0.25 ELSE 1.0 END AS threshold, list({{'pos': pos, 'x': x, 'y': y, 'z': z, 'n': point_count}} ORDER BY pos) AS rest
+  g AS (SELECT o.scene_id, category, CASE WHEN max(s) > 0 THEN max(s)*0.25 ELSE 1.0 END AS threshold,
+    list({{'pos': pos, 'x': x, 'y': y, 'z': z, 'n': point_count}} ORDER BY pos) AS rest
     FROM v_objects o JOIN size ON o.scene_id = size.scene_id GROUP BY o.scene_id, category),
   r AS (SELECT scene_id, category, threshold, rest, rest[:0] AS taken FROM g
-    UNION ALL SELECT scene_id, category, threshold, list_filter(rest, lambda o: o.pos <> rest[1].pos AND NOT ({_NEAR_FIRST})), list_filter(rest, lambda o: o.pos = rest[1].pos OR {_NEAR_FIRST}) FROM r WHERE len(rest) > 0)
-  SELECT scene_id, category, taken[1].pos AS seed, format('<obj_{{:03d}}>', row_number() OVER (PARTITION BY scene_id ORDER BY taken[1].pos)) AS object_id, CAST(list_sum(list_transform(taken, lambda o: o.n)) AS BIGINT) AS point_count,
+    UNION ALL SELECT scene_id, category, threshold, list_filter(rest, lambda o: o.pos <> rest[1].pos AND NOT ({_NEAR_FIRST})), list_filter(rest,
+      lambda o: o.pos = rest[1].pos OR {_NEAR_FIRST}) FROM r WHERE len(rest) > 0)
+  SELECT scene_id, category, taken[1].pos AS seed, format('<obj_{{:03d}}>', row_number() OVER (PARTITION BY scene_id ORDER BY taken[1].pos)) AS object_id,
+    CAST(list_sum(list_transform(taken, lambda o: o.n)) AS BIGINT) AS point_count,
     CAST(len(taken) AS INTEGER) AS n_merged, array_to_string(list_transform(taken, lambda o: CAST(o.pos AS VARCHAR)), ',') AS merged_from FROM r WHERE len(taken) > 0""",
         "objects",
         recursive=True,
@@ -432,7 +468,8 @@ def a6_merge_objects(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     V.with_views(
-        " SELECT a.scene_id, a.category, a.pos AS a, b.pos AS b, round(sqrt((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2), 6) AS distance FROM v_objects a JOIN v_objects b ON a.scene_id = b.scene_id AND a.category = b.category AND a.pos < b.pos WHERE sqrt((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2) <= 10",
+        " SELECT a.scene_id, a.category, a.pos AS a, b.pos AS b, round(sqrt((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2), 6) AS distance FROM v_objects a "
+            "JOIN v_objects b ON a.scene_id = b.scene_id AND a.category = b.category AND a.pos < b.pos WHERE sqrt((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2) <= 10",
         "objects",
     )
 )
@@ -440,7 +477,8 @@ def j11_close_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return entities.close_pairs(V.objects(spark, sf), 10.0).withColumn("distance", F.round("distance", 6))
 
 
-_VOTES = """, v AS (SELECT m.instance_id, p.class_id, count(*) AS votes FROM v_masks m JOIN v_pixels p ON p.frame = m.frame AND p.y BETWEEN m.y0 AND m.y1 AND p.x BETWEEN m.x0 AND m.x1 WHERE p.class_id <> 0 GROUP BY ALL),
+_VOTES = """, v AS (SELECT m.instance_id, p.class_id, count(*) AS votes FROM v_masks m
+    JOIN v_pixels p ON p.frame = m.frame AND p.y BETWEEN m.y0 AND m.y1 AND p.x BETWEEN m.x0 AND m.x1 WHERE p.class_id <> 0 GROUP BY ALL),
   w AS (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY votes DESC, class_id) AS k, sum(votes) OVER (PARTITION BY instance_id) AS n FROM v)"""
 
 
@@ -457,7 +495,10 @@ def e5_fused_instances(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     V.with_views(
-        _VOTES + " SELECT label, count(*) AS n, round(quantile_cont(p, 0.5), 6) AS median_purity, round(quantile_cont(p, 0.25), 6) AS p25_purity, round(avg(CASE WHEN p < 0.6 THEN 1.0 ELSE 0.0 END), 6) AS low_share FROM (SELECT w.instance_id, round(votes/n, 4) AS p, m.label FROM w JOIN v_masks m USING (instance_id) WHERE k = 1) GROUP BY label",
+        _VOTES +
+            " SELECT label, count(*) AS n, round(quantile_cont(p, 0.5), 6) AS median_purity, round(quantile_cont(p, 0.25), 6) AS p25_purity, "
+            "round(avg(CASE WHEN p < 0.6 THEN 1.0 ELSE 0.0 END), 6) AS low_share FROM (SELECT w.instance_id, round(votes/n, 4) AS p, m.label FROM w "
+            "JOIN v_masks m USING (instance_id) WHERE k = 1) GROUP BY label",
         "masks",
         "pixels",
     )
@@ -474,7 +515,8 @@ def a17_purity_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "SELECT CAST(l_suppkey % 7 AS BIGINT) AS k, round(sqrt((max(l_quantity) - min(l_quantity))**2 + (max(l_discount) - min(l_discount))**2 + (max(l_tax) - min(l_tax))**2), 6) AS span FROM lineitem GROUP BY ALL"
+    "SELECT CAST(l_suppkey % 7 AS BIGINT) AS k, round(sqrt((max(l_quantity) - min(l_quantity))**2 + (max(l_discount) - min(l_discount))**2 + (max(l_tax) - "
+        "min(l_tax))**2), 6) AS span FROM lineitem GROUP BY ALL"
 )
 def a10_camera_span(spark: SparkSession, sf: str) -> DataFrame:
     rows = V.table(spark, sf, "lineitem").select(
@@ -487,7 +529,8 @@ _CASES = " ".join(f"WHEN regexp_matches(lower(label), '\\b(?:{'|'.join(keys)})')
 
 
 @query(
-    f"SELECT label, category, count(*) AS n FROM (SELECT label, CASE {_CASES} ELSE 'other' END AS category FROM (SELECT {V._LABEL_LIST}[p_partkey % {len(V.LABELS)} + 1] AS label FROM part)) GROUP BY ALL"
+    f"SELECT label, category, count(*) AS n FROM (SELECT label, CASE {_CASES} ELSE 'other' END AS category "
+        f"FROM (SELECT {V._LABEL_LIST}[p_partkey % {len(V.LABELS)} + 1] AS label FROM part)) GROUP BY ALL"
 )
 def f1_canonical_classes(spark: SparkSession, sf: str) -> DataFrame:
     rows = V.table(spark, sf, "part").select(V.labels_of(F.col("p_partkey")).alias("label"))
@@ -506,7 +549,8 @@ def j15_relabel(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     V.with_views(
-        " SELECT frame, CAST(a.i AS BIGINT) AS y, CAST(b.i AS BIGINT) AS x, class_id FROM v_pixels p JOIN unnest(range(0, 8)) AS a(i) ON floor((a.i + 0.5)*20/8) = p.y JOIN unnest(range(0, 8)) AS b(i) ON floor((b.i + 0.5)*20/8) = p.x",
+        " SELECT frame, CAST(a.i AS BIGINT) AS y, CAST(b.i AS BIGINT) AS x, class_id FROM v_pixels p JOIN unnest(range(0, "
+            "8)) AS a(i) ON floor((a.i + 0.5)*20/8) = p.y JOIN unnest(range(0, 8)) AS b(i) ON floor((b.i + 0.5)*20/8) = p.x",
         "pixels",
     )
 )
@@ -517,7 +561,11 @@ def s17_resize_nearest(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     V.with_views(
-        " SELECT instance_id, round((y1 - y0 + 1)*(x1 - x0 + 1)/400.0, 6) AS box_share, round(sum(CASE WHEN p.class_id = 1 THEN 1 ELSE 0 END)/((y1 - y0 + 1)*(x1 - x0 + 1)), 6) AS mask_share, round(sum(CASE WHEN p.class_id = 1 AND NOT (p.y BETWEEN y0 + 2 AND y1 - 2 AND p.x BETWEEN x0 + 2 AND x1 - 2) THEN 1.0 ELSE 0.0 END)/greatest(sum(CASE WHEN p.class_id = 1 THEN 1 ELSE 0 END), 1), 6) AS rim_share FROM v_masks m JOIN v_pixels p ON p.frame = m.frame AND p.y BETWEEN m.y0 AND m.y1 AND p.x BETWEEN m.x0 AND m.x1 GROUP BY instance_id, y0, y1, x0, x1",
+        " SELECT instance_id, round((y1 - y0 + 1)*(x1 - x0 + 1)/400.0, 6) AS box_share, "
+            "round(sum(CASE WHEN p.class_id = 1 THEN 1 ELSE 0 END)/((y1 - y0 + 1)*(x1 - x0 + 1)), 6) AS mask_share, "
+            "round(sum(CASE WHEN p.class_id = 1 AND NOT (p.y BETWEEN y0 + 2 AND y1 - 2 AND p.x BETWEEN x0 + 2 AND x1 - 2) THEN 1.0 ELSE 0.0 END)/greatest(sum(CASE "
+            "WHEN p.class_id = 1 THEN 1 ELSE 0 END), 1), 6) AS rim_share FROM v_masks m "
+            "JOIN v_pixels p ON p.frame = m.frame AND p.y BETWEEN m.y0 AND m.y1 AND p.x BETWEEN m.x0 AND m.x1 GROUP BY instance_id, y0, y1, x0, x1",
         "masks",
         "pixels",
     )
@@ -543,7 +591,8 @@ def a22_mask_box_ratio(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "SELECT o_orderkey, format('{:.6g}', sqrt(o_totalprice)) AS a, format('{:.6g}', sqrt(o_totalprice) / 10000000) AS b, format('{:.6g}', CAST(round(o_totalprice) AS DOUBLE)) AS c FROM orders"
+    "SELECT o_orderkey, format('{:.6g}', sqrt(o_totalprice)) AS a, format('{:.6g}', sqrt(o_totalprice) / 10000000) AS b, format('{:.6g}', "
+        "CAST(round(o_totalprice) AS DOUBLE)) AS c FROM orders"
 )
 def f10_six_digits(spark: SparkSession, sf: str) -> DataFrame:
     o = V.table(spark, sf, "orders")
@@ -556,7 +605,8 @@ def f10_six_digits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "SELECT c_custkey, substr(sha256(c_name || '|' || c_mktsegment), 1, 8) AS short, sha256('{\"a\":\"' || c_mktsegment || '\",\"b\":' || c_custkey || '}') AS digest FROM customer"
+    "SELECT c_custkey, substr(sha256(c_name || '|' || c_mktsegment), 1, 8) AS short, "
+        "sha256('{\"a\":\"' || c_mktsegment || '\",\"b\":' || c_custkey || '}') AS digest FROM customer"
 )
 def f5_digests(spark: SparkSession, sf: str) -> DataFrame:
     c = V.table(spark, sf, "customer")
@@ -574,7 +624,10 @@ def f2_prompt_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "SELECT k, CASE WHEN regexp_matches(k, '^<(obj|part|wire|region|route|track|pose)_\\d{3,}>$') THEN regexp_extract(k, '_(\\d+)>', 1)::BIGINT ELSE -1 END AS num, regexp_matches(k, '^<wire_\\d{3,}>$') AS is_wire FROM (SELECT '<' || (['obj','wire','pose','box','track'])[p_partkey % 5 + 1] || '_' || lpad(CAST(p_partkey AS VARCHAR), CAST(greatest(length(CAST(p_partkey AS VARCHAR)), 2 + p_partkey % 2) AS INT), '0') || '>' AS k FROM part)"
+    "SELECT k, CASE WHEN regexp_matches(k, '^<(obj|part|wire|region|route|track|pose)_\\d{3,}>$') THEN regexp_extract(k, '_(\\d+)>', "
+        "1)::BIGINT ELSE -1 END AS num, regexp_matches(k, '^<wire_\\d{3,}>$') AS is_wire "
+        "FROM (SELECT '<' || (['obj','wire','pose','box','track'])[p_partkey % 5 + 1] || '_' || lpad(CAST(p_partkey AS VARCHAR), "
+        "CAST(greatest(length(CAST(p_partkey AS VARCHAR)), 2 + p_partkey % 2) AS INT), '0') || '>' AS k FROM part)"
 )
 def p11_ids(spark: SparkSession, sf: str) -> DataFrame:
     kinds, n = F.array(*[F.lit(x) for x in ("obj", "wire", "pose", "box", "track")]), F.col("p_partkey").cast("string")
@@ -622,7 +675,8 @@ def _entity_rows(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     V.with_views(
         _ENT + """, i AS (
-  SELECT 'DUPLICATE' AS k, 'G2-E02' AS code, 'l1_entities' AS location, entity_id AS detail FROM (SELECT entity_id, count(*) AS n FROM e GROUP BY entity_id), unnest(range(1, n)) AS u(j)
+  SELECT 'DUPLICATE' AS k, 'G2-E02' AS code, 'l1_entities' AS location, entity_id AS detail FROM (SELECT entity_id, count(*) AS n FROM e GROUP BY entity_id),
+    unnest(range(1, n)) AS u(j)
   UNION ALL SELECT DISTINCT 'FORMAT', 'G2-E01', 'l1_entities', entity_id FROM e WHERE NOT regexp_matches(entity_id, '^<(obj|part|wire|region|route|track|pose)_\\d{3,}>$')
   UNION ALL SELECT 'REF', 'G2-E01', 'l2_relations', relation_id || '|subject_id|' || subject_id FROM v_relations WHERE subject_id NOT IN (SELECT entity_id FROM e)
   UNION ALL SELECT 'REF', 'G2-E01', 'l2_relations', relation_id || '|object_id|' || object_id FROM v_relations WHERE object_id NOT IN (SELECT entity_id FROM e)
@@ -656,7 +710,9 @@ def v1_entity_issues(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH s AS (SELECT 'scene_' || s_suppkey AS scene_id, s_suppkey AS k, (['metric','externally_anchored','relative','odd'])[s_suppkey % 4 + 1] AS depth_type, s_suppkey % 3 = 0 AS cal, s_suppkey % 5 = 0 AS ver, s_suppkey % 2 = 0 AS declared, CASE WHEN s_suppkey % 7 = 0 THEN 'relative' ELSE 'metric' END AS scale FROM supplier),
+    """WITH s AS (SELECT 'scene_' || s_suppkey AS scene_id, s_suppkey AS k, (['metric','externally_anchored','relative','odd'])[s_suppkey % 4 + 1] AS depth_type,
+      s_suppkey % 3 = 0 AS cal, s_suppkey % 5 = 0 AS ver, s_suppkey % 2 = 0 AS declared, CASE WHEN s_suppkey % 7 = 0 THEN 'relative' ELSE 'metric' END AS scale
+      FROM supplier),
   w AS (SELECT *, CASE depth_type WHEN 'metric' THEN cal WHEN 'externally_anchored' THEN ver WHEN 'relative' THEN false END AS want FROM s),
   i AS (SELECT scene_id, 'G0-E08' AS code, 'capabilities' AS location, 'unknown depth type' AS detail FROM w WHERE want IS NULL
   UNION ALL SELECT scene_id, 'G0-E08', 'capabilities', 'claim does not follow' FROM w WHERE want IS NOT NULL AND want <> declared
@@ -701,8 +757,13 @@ _STATES = [s for s, _ in state.ORDER] + ["QUARANTINED", "REJECTED"]
     + ", ".join(
         f"('{s}', '{o}', NULL)" for s, _ in state.ORDER[:-1] for o in ("QUARANTINED", "REJECTED")
     ) + ", ('QUARANTINED', 'REGISTERED', NULL), ('QUARANTINED', 'REJECTED', NULL)), "
-    + f"m AS (SELECT [{', '.join(repr(s) for s in _STATES)}][p_partkey % 14 + 1] AS from_state, [{', '.join(repr(s) for s in _STATES)}][(p_partkey % 14 + p_size) % 14 + 1] AS to_state, (['pass','warn','quarantine', NULL])[p_partkey % 4 + 1] AS gate_status FROM part), "
-    + "j AS (SELECT m.*, t.from_state IS NOT NULL AND (gate IS NULL OR coalesce(gate_status IN ('pass', 'warn'), false)) AS allowed FROM m LEFT JOIN t USING (from_state, to_state)) SELECT from_state, to_state, gate_status, allowed, count(*) AS n FROM j GROUP BY ALL"
+    +
+        f"m AS (SELECT [{', '.join(repr(s) for s in _STATES)}][p_partkey % 14 + 1] AS from_state, "
+        f"[{', '.join(repr(s) for s in _STATES)}][(p_partkey % 14 + p_size) % 14 + 1] AS to_state, (['pass','warn','quarantine', "
+        f"NULL])[p_partkey % 4 + 1] AS gate_status FROM part), "
+    +
+        "j AS (SELECT m.*, t.from_state IS NOT NULL AND (gate IS NULL OR coalesce(gate_status IN ('pass', 'warn'), false)) AS allowed FROM m LEFT "
+        "JOIN t USING (from_state, to_state)) SELECT from_state, to_state, gate_status, allowed, count(*) AS n FROM j GROUP BY ALL"
 )
 def p13_transitions(spark: SparkSession, sf: str) -> DataFrame:
     names, p = F.array(*[F.lit(s) for s in _STATES]), F.col("p_partkey") % 14
@@ -726,7 +787,8 @@ def w7_minted_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "SELECT 'artifact_' || s_suppkey AS parent, sha256('l1_entities|root,artifact_' || s_suppkey || '|' || s_name) AS content_sha256, 'l1_entities_' || substr(sha256('l1_entities|root,artifact_' || s_suppkey || '|' || s_name), 1, 12) AS artifact_id FROM supplier"
+    "SELECT 'artifact_' || s_suppkey AS parent, sha256('l1_entities|root,artifact_' || s_suppkey || '|' || s_name) AS content_sha256, "
+        "'l1_entities_' || substr(sha256('l1_entities|root,artifact_' || s_suppkey || '|' || s_name), 1, 12) AS artifact_id FROM supplier"
 )
 def ar1_derived_artifacts(spark: SparkSession, sf: str) -> DataFrame:
     a = V.table(spark, sf, "supplier").select(
@@ -802,20 +864,28 @@ def compiled(spark: SparkSession, sf: str, task: str | None = None) -> DataFrame
     return compiler.compile_all(readers.materialized(p) if len(chosen) > 1 else p, chosen)
 
 
-_PKG = """, p AS (SELECT scene_id, CAST(split_part(scene_id, '_', 2) AS INT) AS label, count(*) AS n, max(n_views) AS views, count(*) FILTER (split_part(scene_id, '_', 2) = '6' AND pos % 6 = 0) AS boxless FROM v_objects GROUP BY scene_id),
+_PKG = """, p AS (SELECT scene_id, CAST(split_part(scene_id, '_', 2) AS INT) AS label, count(*) AS n, max(n_views) AS views, count(*) FILTER (split_part(scene_id, '_',
+    2) = '6' AND pos % 6 = 0) AS boxless FROM v_objects GROUP BY scene_id),
   far AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY d DESC, pos) AS k FROM (SELECT *, sqrt(x*x + y*y + (z-30)**2) AS d FROM v_objects)),
-  f AS (SELECT scene_id, max(object_id) FILTER (k = 1) AS id1, max(object_id) FILTER (k = 2) AS id2, max(d) FILTER (k = 1) AS d1, max(d) FILTER (k = 2) AS d2 FROM far GROUP BY scene_id),
+  f AS (SELECT scene_id, max(object_id) FILTER (k = 1) AS id1, max(object_id) FILTER (k = 2) AS id2, max(d) FILTER (k = 1) AS d1, max(d) FILTER (k = 2) AS d2 FROM far
+    GROUP BY scene_id),
   c AS (SELECT *, CASE WHEN pos % 2 = 0 THEN x + ex ELSE x + 0.001 END AS bx, CASE WHEN pos % 2 = 0 THEN y + ey ELSE y END AS by_ FROM v_objects),
   c2 AS (SELECT *, greatest(0.0, least(1.0, (-x*(bx-x) - y*(by_-y))/((bx-x)**2 + (by_-y)**2))) AS t FROM c),
   near AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY d, pos) AS k FROM (SELECT *, sqrt((x+t*(bx-x))**2 + (y+t*(by_-y))**2 + (30-z)**2) AS d FROM c2)),
   m AS (SELECT scene_id, max(object_id) FILTER (k = 1) AS id1, max(d) FILTER (k = 1) AS d1, max(d) FILTER (k = 2) AS d2 FROM near GROUP BY scene_id),
-  g AS (SELECT scene_id, concat_ws(',', CASE WHEN n < 3 THEN 'candidates:3' END, CASE WHEN n < 3 THEN 'candidate_count_at_least:3' END, CASE WHEN boxless > 0 THEN 'all_candidates_have_valid_obb:true' END, CASE WHEN label = 4 THEN 'unknown:parallax_ratio' WHEN label = 3 THEN 'parallax_ratio_at_least:0.05' END) AS reasons FROM p),
-  q AS (SELECT scene_id, concat_ws(',', CASE WHEN label = 5 THEN 'scale_status:metric,metric_task_eligible' END, CASE WHEN label = 5 THEN 'scale_status_is_metric:true,domain_calibrated:true' END) AS reasons FROM p)"""
+  g AS (SELECT scene_id, concat_ws(',', CASE WHEN n < 3 THEN 'candidates:3' END, CASE WHEN n < 3 THEN 'candidate_count_at_least:3' END,
+    CASE WHEN boxless > 0 THEN 'all_candidates_have_valid_obb:true' END, CASE WHEN label = 4 THEN 'unknown:parallax_ratio' WHEN label = 3 THEN
+    'parallax_ratio_at_least:0.05' END) AS reasons FROM p),
+  q AS (SELECT scene_id, concat_ws(',', CASE WHEN label = 5 THEN 'scale_status:metric,metric_task_eligible' END,
+    CASE WHEN label = 5 THEN 'scale_status_is_metric:true,domain_calibrated:true' END) AS reasons FROM p)"""
 
 
 @query(
     V.with_views(
-        _PKG + " SELECT scene_id, CASE WHEN reasons = '' THEN 'record' ELSE 'skipped' END AS status, reasons, CASE WHEN reasons = '' THEN id1 END AS object_id, reasons = '' AND abs(d1 - d2) < 0.05*greatest(d1, 1e-9) AS is_ambiguous, CASE WHEN reasons = '' AND abs(d1 - d2) < 0.05*greatest(d1, 1e-9) THEN id1 || ',' || id2 WHEN reasons = '' THEN '' END AS equivalent FROM g JOIN f USING (scene_id)",
+        _PKG +
+            " SELECT scene_id, CASE WHEN reasons = '' THEN 'record' ELSE 'skipped' END AS status, reasons, CASE WHEN reasons = '' THEN id1 END AS object_id, "
+            "reasons = '' AND abs(d1 - d2) < 0.05*greatest(d1, 1e-9) AS is_ambiguous, CASE WHEN reasons = '' AND abs(d1 - d2) < 0.05*greatest(d1, "
+            "1e-9) THEN id1 || ',' || id2 WHEN reasons = '' THEN '' END AS equivalent FROM g JOIN f USING (scene_id)",
         "objects",
     )
 )
@@ -833,7 +903,10 @@ def k1_compile_grounding(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     V.with_views(
-        _PKG + " SELECT scene_id, CASE WHEN reasons = '' THEN 'record' ELSE 'skipped' END AS status, reasons, CASE WHEN reasons = '' THEN id1 END AS object_id, CASE WHEN reasons = '' THEN round(d1, 4) END AS minimum_distance, reasons = '' AND d2 - d1 <= 0.1 AS is_ambiguous, CASE WHEN split_part(scene_id, '_', 2)::INT % 2 = 0 THEN 'nadir_view,uav_pose_altitude,weak_depth_cue' ELSE 'nadir_view,uav_pose_altitude' END AS tags FROM q JOIN m USING (scene_id)",
+        _PKG +
+            " SELECT scene_id, CASE WHEN reasons = '' THEN 'record' ELSE 'skipped' END AS status, reasons, CASE WHEN reasons = '' THEN id1 END AS object_id, "
+            "CASE WHEN reasons = '' THEN round(d1, 4) END AS minimum_distance, reasons = '' AND d2 - d1 <= 0.1 AS is_ambiguous, CASE WHEN split_part(scene_id, '_', "
+            "2)::INT % 2 = 0 THEN 'nadir_view,uav_pose_altitude,weak_depth_cue' ELSE 'nadir_view,uav_pose_altitude' END AS tags FROM q JOIN m USING (scene_id)",
         "objects",
     )
 )
@@ -853,7 +926,8 @@ def k1_compile_distance(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     V.with_views(
         """, o AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY pos) AS k, degrees(asin(-y/sqrt(x*x + y*y + (z-30)**2))) AS a FROM v_objects)
-  SELECT scene_id, CASE WHEN split_part(scene_id, '_', 2) IN ('3', '4') THEN 'skipped' ELSE 'record' END AS status, object_id, CASE WHEN x >= 0 THEN 'front' ELSE 'behind' END AS longitudinal,
+  SELECT scene_id, CASE WHEN split_part(scene_id, '_', 2) IN ('3', '4') THEN 'skipped' ELSE 'record' END AS status, object_id,
+    CASE WHEN x >= 0 THEN 'front' ELSE 'behind' END AS longitudinal,
     CASE WHEN abs(a) < 10 THEN 'ambiguous' WHEN a > 0 THEN 'right' ELSE 'left' END AS lateral, round(a, 4) AS angle FROM o WHERE k = 1""",
         "objects",
     )
@@ -865,7 +939,9 @@ def k1_compile_direction(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     V.with_views(
-        " SELECT scene_id, CASE WHEN l % 2 = 1 THEN 'record' ELSE 'failed' END AS status, CASE WHEN l % 2 = 0 THEN 'G3-E07' END AS code, l % 4 = 1 AS same_entity, CASE WHEN l % 2 = 1 THEN l/16.0::DOUBLE END AS iou FROM (SELECT DISTINCT scene_id, CAST(split_part(scene_id, '_', 2) AS INT) AS l FROM v_objects)",
+        " SELECT scene_id, CASE WHEN l % 2 = 1 THEN 'record' ELSE 'failed' END AS status, CASE WHEN l % 2 = 0 THEN 'G3-E07' END AS code, "
+            "l % 4 = 1 AS same_entity, CASE WHEN l % 2 = 1 THEN l/16.0::DOUBLE END AS iou FROM (SELECT DISTINCT scene_id, CAST(split_part(scene_id, '_', "
+            "2) AS INT) AS l FROM v_objects)",
         "objects",
     )
 )
@@ -877,8 +953,10 @@ def k1_compile_correspondence(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     V.with_views(
-        _PKG + """, a AS (SELECT '3d_grounding.object@0.1.0' AS spec_id, CASE WHEN reasons = '' THEN 'r' ELSE 's' END AS s FROM g UNION ALL SELECT '3d_vqa.metric.minimum_distance@0.1.0', CASE WHEN reasons = '' THEN 'r' ELSE 's' END FROM q
-  UNION ALL SELECT '3d_vqa.situated.observer_relative_direction@0.1.0', CASE WHEN label IN (3, 4) THEN 's' ELSE 'r' END FROM p UNION ALL SELECT 'cross_view_correspondence.object@0.1.0', CASE WHEN label % 2 = 1 THEN 'r' ELSE 'f' END FROM p)
+        _PKG + """, a AS (SELECT '3d_grounding.object@0.1.0' AS spec_id, CASE WHEN reasons = '' THEN 'r' ELSE 's' END AS s FROM g UNION ALL
+          SELECT '3d_vqa.metric.minimum_distance@0.1.0', CASE WHEN reasons = '' THEN 'r' ELSE 's' END FROM q
+  UNION ALL SELECT '3d_vqa.situated.observer_relative_direction@0.1.0', CASE WHEN label IN (3, 4) THEN 's' ELSE 'r' END FROM p UNION ALL
+    SELECT 'cross_view_correspondence.object@0.1.0', CASE WHEN label % 2 = 1 THEN 'r' ELSE 'f' END FROM p)
   SELECT spec_id, count(*) FILTER (s = 'r') AS records, count(*) FILTER (s = 's') AS skipped, count(*) FILTER (s = 'f') AS failed FROM a GROUP BY spec_id""",
         "objects",
     )
@@ -889,7 +967,8 @@ def a25_compile_accounting(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     V.with_views(
-        " SELECT scene_id, count(*) AS n_entities, string_agg(object_id, ',' ORDER BY sha256(scene_id || '|entities|' || object_id)) AS ids, '<pose_007>' AS pose_id, false AS shows_more FROM v_objects GROUP BY scene_id",
+        " SELECT scene_id, count(*) AS n_entities, string_agg(object_id, ',' ORDER BY sha256(scene_id || '|entities|' || object_id)) AS ids, "
+            "'<pose_007>' AS pose_id, false AS shows_more FROM v_objects GROUP BY scene_id",
         "objects",
     )
 )
@@ -908,7 +987,8 @@ def p1_masked_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     V.with_views(
-        " SELECT object_id, category || ' at ' || format('{:.6g}', round(d, CASE WHEN pos % 2 = 0 THEN 4 ELSE 1 END)) || ' meters' LIKE '%' || format('{:.6g}', round(d, 4)) || '%' AS leaks FROM (SELECT *, sqrt(x*x + y*y + (z-30)**2) AS d FROM v_objects)",
+        " SELECT object_id, category || ' at ' || format('{:.6g}', round(d, CASE WHEN pos % 2 = 0 THEN 4 ELSE 1 END)) || ' meters' LIKE '%' || format('{:.6g}', "
+            "round(d, 4)) || '%' AS leaks FROM (SELECT *, sqrt(x*x + y*y + (z-30)**2) AS d FROM v_objects)",
         "objects",
     )
 )
@@ -930,9 +1010,14 @@ def f11_leakage_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     V.with_views(
-        _PKG + """, r AS (SELECT scene_id, '3d_grounding.object@0.1.0' AS spec_id, ['pointcloud_native', 'qwen_2d_metadata', 'multimodal_3d'] AS a FROM g WHERE reasons = '' UNION ALL SELECT scene_id, '3d_vqa.metric.minimum_distance@0.1.0', ['pointcloud_native', 'qwen_2d_metadata', 'multimodal_3d'] FROM q WHERE reasons = ''
-  UNION ALL SELECT scene_id, '3d_vqa.situated.observer_relative_direction@0.1.0', ['pointcloud_native', 'qwen_2d_metadata', 'multimodal_3d'] FROM p WHERE label NOT IN (3, 4) UNION ALL SELECT scene_id, 'cross_view_correspondence.object@0.1.0', ['qwen_2d_metadata', 'multimodal_3d'] FROM p WHERE label % 2 = 1)
-  SELECT spec_id, adapter, CASE WHEN list_contains(a, adapter) THEN 'rendered' ELSE 'unsupported' END AS status, count(*) AS n, count(*) FILTER (list_contains(a, adapter)) AS n_asked, count(*) FILTER (list_contains(a, adapter)) AS n_verified FROM r, (VALUES ('pointcloud_native'), ('qwen_2d_metadata'), ('multimodal_3d')) t(adapter) GROUP BY ALL""",
+        _PKG + """, r AS (SELECT scene_id, '3d_grounding.object@0.1.0' AS spec_id, ['pointcloud_native', 'qwen_2d_metadata', 'multimodal_3d'] AS a FROM g
+          WHERE reasons = '' UNION ALL SELECT scene_id, '3d_vqa.metric.minimum_distance@0.1.0', ['pointcloud_native', 'qwen_2d_metadata', 'multimodal_3d'] FROM q
+          WHERE reasons = ''
+  UNION ALL SELECT scene_id, '3d_vqa.situated.observer_relative_direction@0.1.0', ['pointcloud_native', 'qwen_2d_metadata', 'multimodal_3d'] FROM p
+    WHERE label NOT IN (3, 4) UNION ALL SELECT scene_id, 'cross_view_correspondence.object@0.1.0', ['qwen_2d_metadata', 'multimodal_3d'] FROM p WHERE label % 2 = 1)
+  SELECT spec_id, adapter, CASE WHEN list_contains(a, adapter) THEN 'rendered' ELSE 'unsupported' END AS status, count(*) AS n, count(*) FILTER (list_contains(a,
+    adapter)) AS n_asked, count(*) FILTER (list_contains(a, adapter)) AS n_verified FROM r, (VALUES ('pointcloud_native'), ('qwen_2d_metadata'),
+    ('multimodal_3d')) t(adapter) GROUP BY ALL""",
         "objects",
     )
 )
@@ -956,7 +1041,8 @@ def r4_rendered_samples(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     V.with_views(
-        " SELECT object_id, 'A. ' || category || chr(10) || 'B. ' || object_id AS lines, CASE WHEN pos % 3 = 0 THEN 'A' WHEN pos % 3 = 1 THEN 'B' END AS key FROM v_objects",
+        " SELECT object_id, 'A. ' || category || chr(10) || 'B. ' || object_id AS lines, CASE WHEN pos % 3 = 0 THEN 'A' WHEN pos % 3 = 1 THEN 'B' END AS key "
+            "FROM v_objects",
         "objects",
     )
 )
@@ -969,7 +1055,8 @@ def f13_choices(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     V.with_views(
         _PKG + """, a AS (SELECT m.scene_id, k, CASE k WHEN 0 THEN (id1 = id1) ELSE true END AS x, d1, d2, k FROM m, unnest(range(0, 5)) AS u(k))
-  SELECT scene_id, CAST(k AS BIGINT) AS k, d2 - d1 > 0.1 AND k = 0 AS passed, CASE WHEN d2 - d1 <= 0.1 THEN 'G3-E04' WHEN k = 1 THEN 'G5-E01' WHEN k IN (2, 3) THEN 'G4-E03' WHEN k = 4 THEN 'G5-E01' END AS code FROM a""",
+  SELECT scene_id, CAST(k AS BIGINT) AS k, d2 - d1 > 0.1 AND k = 0 AS passed, CASE WHEN d2 - d1 <= 0.1 THEN 'G3-E04' WHEN k = 1 THEN 'G5-E01' WHEN k IN (2,
+    3) THEN 'G4-E03' WHEN k = 4 THEN 'G5-E01' END AS code FROM a""",
         "objects",
     )
 )
@@ -999,7 +1086,8 @@ def c1_check_distance(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     V.with_views(
         """, k AS (SELECT object_id, pos, pos % 7 AS k FROM v_objects)
-  SELECT object_id, CASE WHEN k <> 6 THEN k IN (0, 4) END AS passed, CASE k WHEN 1 THEN 'G5-E01' WHEN 2 THEN 'G4-E02' WHEN 3 THEN 'G5-E04' WHEN 5 THEN 'G5-E01' END AS code, CASE k WHEN 6 THEN 'target is no candidate' END AS error FROM k""",
+  SELECT object_id, CASE WHEN k <> 6 THEN k IN (0, 4) END AS passed, CASE k WHEN 1 THEN 'G5-E01' WHEN 2 THEN 'G4-E02' WHEN 3 THEN 'G5-E04' WHEN 5 THEN 'G5-E01' END AS
+    code, CASE k WHEN 6 THEN 'target is no candidate' END AS error FROM k""",
         "objects",
     )
 )
@@ -1011,7 +1099,8 @@ def c2_check_grounding(spark: SparkSession, sf: str) -> DataFrame:
     return V.objects(spark, sf).withColumn("r", grading.check_grounding(answer, i, cands, many)).select("object_id", "r.passed", "r.code", "r.error")
 
 
-_DIR = """, d AS (SELECT *, degrees(asin(-y/sqrt(x*x + y*y + (z-30)**2))) AS a FROM v_objects), e AS (SELECT *, CASE WHEN pos % 3 = 0 THEN 'right' ELSE CASE WHEN a > 0 THEN 'right' ELSE 'left' END END AS said FROM d),
+_DIR = """, d AS (SELECT *, degrees(asin(-y/sqrt(x*x + y*y + (z-30)**2))) AS a FROM v_objects), e AS (SELECT *,
+    CASE WHEN pos % 3 = 0 THEN 'right' ELSE CASE WHEN a > 0 THEN 'right' ELSE 'left' END END AS said FROM d),
   r AS (SELECT *, abs(a) >= 10 AND (said = CASE WHEN a > 0 THEN 'right' ELSE 'left' END) AS passed FROM e)"""
 
 
@@ -1030,7 +1119,8 @@ def _direction_grades(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     V.with_views(
-        " SELECT object_id, pos % 5 = 0 AS passed, CASE pos % 5 WHEN 0 THEN NULL WHEN 1 THEN 'G5-E01' ELSE 'G4-E01' END AS code FROM v_objects WHERE pos % 5 <> 4 UNION ALL SELECT object_id, NULL, NULL FROM v_objects WHERE pos % 5 = 4",
+        " SELECT object_id, pos % 5 = 0 AS passed, CASE pos % 5 WHEN 0 THEN NULL WHEN 1 THEN 'G5-E01' ELSE 'G4-E01' END AS code FROM v_objects "
+            "WHERE pos % 5 <> 4 UNION ALL SELECT object_id, NULL, NULL FROM v_objects WHERE pos % 5 = 4",
         "objects",
     )
 )
@@ -1042,9 +1132,13 @@ def c4_check_correspondence(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     V.with_views(
-        _DIR + """, t AS (SELECT (['a','b','c'])[pos % 3 + 1] AS arm, CASE WHEN passed THEN 1.0 ELSE 0.0 END AS hit FROM r), g AS (SELECT arm, sum(hit) AS hits, count(*) AS n, sum(hit)/count(*) AS p FROM t GROUP BY arm)
-  SELECT arm, CAST(hits AS DOUBLE) AS hits, n, round(p, 6) AS accuracy, round(greatest(0, (p + 1.96*1.96/(2*n))/(1 + 1.96*1.96/n) - 1.96*sqrt(p*(1-p)/n + 1.96*1.96/(4*n*n))/(1 + 1.96*1.96/n)), 6) AS low,
-    round(least(1, (p + 1.96*1.96/(2*n))/(1 + 1.96*1.96/n) + 1.96*sqrt(p*(1-p)/n + 1.96*1.96/(4*n*n))/(1 + 1.96*1.96/n)), 6) AS high, round(max(p) FILTER (arm = 'b') OVER () - max(p) FILTER (arm = 'a') OVER (), 6) AS lift, round(max(p) FILTER (arm = 'b') OVER () - max(p) FILTER (arm = 'c') OVER (), 6) AS net FROM g""",
+        _DIR + """, t AS (SELECT (['a','b','c'])[pos % 3 + 1] AS arm, CASE WHEN passed THEN 1.0 ELSE 0.0 END AS hit FROM r), g AS (SELECT arm, sum(hit) AS hits,
+          count(*) AS n, sum(hit)/count(*) AS p FROM t GROUP BY arm)
+  SELECT arm, CAST(hits AS DOUBLE) AS hits, n, round(p, 6) AS accuracy, round(greatest(0,
+    (p + 1.96*1.96/(2*n))/(1 + 1.96*1.96/n) - 1.96*sqrt(p*(1-p)/n + 1.96*1.96/(4*n*n))/(1 + 1.96*1.96/n)), 6) AS low,
+    round(least(1, (p + 1.96*1.96/(2*n))/(1 + 1.96*1.96/n) + 1.96*sqrt(p*(1-p)/n + 1.96*1.96/(4*n*n))/(1 + 1.96*1.96/n)), 6) AS high,
+      round(max(p) FILTER (arm = 'b') OVER () - max(p) FILTER (arm = 'a') OVER (), 6) AS lift,
+      round(max(p) FILTER (arm = 'b') OVER () - max(p) FILTER (arm = 'c') OVER (), 6) AS net FROM g""",
         "objects",
     )
 )
@@ -1055,7 +1149,11 @@ def a18_lift_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "WITH s AS (SELECT p_size % 4 = 0 AS negative, p_retailprice/2500 + CASE WHEN p_size % 4 = 0 THEN 0 ELSE 0.1 END AS score FROM part), t AS (SELECT CAST(t AS DOUBLE) AS threshold, count(*) FILTER (NOT negative AND score > t) AS n_real, count(*) FILTER (negative AND score > t) AS n_negative FROM s, (VALUES (0.2), (0.3), (0.35), (0.4), (0.45), (0.5), (0.6), (0.9)) v(t) GROUP BY t) SELECT *, round(n_real/12.0, 6) AS real_rate, CASE WHEN n_negative > 0 THEN round(n_real/n_negative, 6) END AS discriminability, coalesce(threshold = min(threshold) FILTER (n_negative = 0) OVER (), false) AS is_lowest_clean FROM t"
+    "WITH s AS (SELECT p_size % 4 = 0 AS negative, p_retailprice/2500 + CASE WHEN p_size % 4 = 0 THEN 0 ELSE 0.1 END AS score FROM part), "
+        "t AS (SELECT CAST(t AS DOUBLE) AS threshold, count(*) FILTER (NOT negative AND score > t) AS n_real, count(*) FILTER (negative AND score > t) AS n_negative "
+        "FROM s, (VALUES (0.2), (0.3), (0.35), (0.4), (0.45), (0.5), (0.6), (0.9)) v(t) GROUP BY t) SELECT *, round(n_real/12.0, 6) AS real_rate, "
+        "CASE WHEN n_negative > 0 THEN round(n_real/n_negative, 6) END AS discriminability, coalesce(threshold = min(threshold) FILTER (n_negative = 0) OVER (), "
+        "false) AS is_lowest_clean FROM t"
 )
 def a20_threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
     s = V.table(spark, sf, "part").select(
@@ -1074,7 +1172,8 @@ def a21_phrase_peaks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "WITH s AS (SELECT p_partkey % 50 AS query, p_brand AS phrase, max(p_retailprice) AS score FROM part GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, phrase) AS k FROM s) SELECT query, score, phrase FROM r WHERE k = 1 AND score > 500"
+    "WITH s AS (SELECT p_partkey % 50 AS query, p_brand AS phrase, max(p_retailprice) AS score FROM part GROUP BY ALL), r AS (SELECT *, "
+        "row_number() OVER (PARTITION BY query ORDER BY score DESC, phrase) AS k FROM s) SELECT query, score, phrase FROM r WHERE k = 1 AND score > 500"
 )
 def t6_best_phrases(spark: SparkSession, sf: str) -> DataFrame:
     s = V.table(spark, sf, "part").select((F.col("p_partkey") % 50).alias("query"), F.col("p_brand").alias("phrase"), F.col("p_retailprice").alias("score"))
@@ -1082,7 +1181,11 @@ def t6_best_phrases(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "SELECT t.id AS spec_id, t.program, t.checker, CAST(t.n AS BIGINT) AS n_visible FROM (VALUES ('3d_grounding.object@0.1.0', 'select_referent_by_spatial_predicate', 'check_object_grounding_answer', 8), ('3d_vqa.metric.minimum_distance@0.1.0', 'minimum_point_to_polyline_distance', 'check_minimum_distance_answer', 5), ('3d_vqa.situated.observer_relative_direction@0.1.0', 'observer_relative_direction', 'check_observer_relative_direction_answer', 7), ('cross_view_correspondence.object@0.1.0', 'link_observations_via_lifted_point_support', 'check_cross_view_correspondence_answer', 7)) t(id, program, checker, n)"
+    "SELECT t.id AS spec_id, t.program, t.checker, CAST(t.n AS BIGINT) AS n_visible FROM (VALUES ('3d_grounding.object@0.1.0', "
+        "'select_referent_by_spatial_predicate', 'check_object_grounding_answer', 8), ('3d_vqa.metric.minimum_distance@0.1.0', 'minimum_point_to_polyline_distance', "
+        "'check_minimum_distance_answer', 5), ('3d_vqa.situated.observer_relative_direction@0.1.0', 'observer_relative_direction', "
+        "'check_observer_relative_direction_answer', 7), ('cross_view_correspondence.object@0.1.0', 'link_observations_via_lifted_point_support', "
+        "'check_cross_view_correspondence_answer', 7)) t(id, program, checker, n)"
 )
 def s15_task_specs(spark: SparkSession, sf: str) -> DataFrame:
     rows = [(s.qualified_id, s.raw["derivation_program"], s.raw["checker"], len(s.visible)) for s in task_specs()]
@@ -1091,7 +1194,8 @@ def s15_task_specs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     V.with_views(
-        " SELECT object_id, list_contains(['building','structure'], category) AS supported, greatest(0, ex) AS e FROM v_objects WHERE category IN (SELECT category FROM v_objects EXCEPT SELECT 'sky')",
+        " SELECT object_id, list_contains(['building','structure'], category) AS supported, greatest(0, ex) AS e FROM v_objects "
+            "WHERE category IN (SELECT category FROM v_objects EXCEPT SELECT 'sky')",
         "objects",
     )
 )
@@ -1107,7 +1211,8 @@ def u3_off_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     V.with_views(
-        " SELECT scene_id, category, count(*) AS n, CAST(grouping(scene_id) AS BIGINT) AS all_scenes, CAST(grouping(category) AS BIGINT) AS all_categories FROM v_objects GROUP BY CUBE (scene_id, category)",
+        " SELECT scene_id, category, count(*) AS n, CAST(grouping(scene_id) AS BIGINT) AS all_scenes, CAST(grouping(category) AS BIGINT) AS all_categories "
+            "FROM v_objects GROUP BY CUBE (scene_id, category)",
         "objects",
     )
 )
@@ -1133,7 +1238,8 @@ def t8_rotated_geometry(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "SELECT object_id, CASE k WHEN 1 THEN 'unit' WHEN 2 THEN 'distance_m' WHEN 3 THEN 'keys' WHEN 4 THEN 'object_id' WHEN 5 THEN 'confidence' END AS broken FROM (SELECT format('<obj_{:03d}>', vec_id) AS object_id, vec_id % 6 AS k FROM embeddings) WHERE k > 0"
+    "SELECT object_id, CASE k WHEN 1 THEN 'unit' WHEN 2 THEN 'distance_m' WHEN 3 THEN 'keys' WHEN 4 THEN 'object_id' WHEN 5 THEN 'confidence' END AS broken "
+        "FROM (SELECT format('<obj_{:03d}>', vec_id) AS object_id, vec_id % 6 AS k FROM embeddings) WHERE k > 0"
 )
 def p19_answer_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Answers that each break one rule of the distance schema; good ones give no row."""

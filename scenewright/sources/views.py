@@ -220,7 +220,8 @@ _SEGMENTS = "list_transform(range(0, 21), lambda k: {'i': CAST(k AS BIGINT), 'x'
 _CLASS_LIST = "[" + ", ".join(f"'{c}'" for c in T.CLASSES) + "]"
 _LABEL_LIST = "[" + ", ".join(f"'{c}'" for c in LABELS) + "]"
 
-_NAMED = """SELECT *, 'interval5_' || event_type || CASE event_id % 5 WHEN 0 THEN '_GNSS' WHEN 1 THEN '_Evening' ELSE '' END || lpad(CAST(event_id % 3 + 1 AS VARCHAR), 2, '0') AS run,
+_NAMED = """SELECT *, 'interval5_' || event_type || CASE event_id % 5 WHEN 0 THEN '_GNSS' WHEN 1 THEN '_Evening' ELSE '' END || lpad(CAST(event_id % 3 + 1 AS VARCHAR),
+    2, '0') AS run,
     CAST(epoch_us(ts) // 1000000 AS VARCHAR) || '.' || lpad(CAST(epoch_us(ts)*1000 % 1000000000 AS VARCHAR), 9, '0') AS stamp FROM events"""
 
 #: The same tables for a WITH clause.
@@ -228,24 +229,34 @@ SQL = {
     "poses": f"""SELECT run, stamp AS stem, event_id*2 + a.again AS pos, value AS x, CAST(user_id AS DOUBLE) AS y, CAST(event_id % 13 + a.again AS DOUBLE) AS z
   FROM ({_NAMED}), unnest(range(0, CASE WHEN event_id % 7 = 0 THEN 2 ELSE 1 END)) AS a(again) WHERE event_id % 10 <> 9""",
     "tracks": f"SELECT run, epoch_us(ts)*1000 + 500000000 AS ts_ns, value AS easting FROM ({_NAMED})",
-    "objects": f"""SELECT 'scene_' || label || '_' || vec_id // 500 AS scene_id, format('<obj_{{:03d}}>', vec_id) AS object_id, {_CLASS_LIST}[vec_id % 10 + 1] AS category,
+    "objects": f"""SELECT 'scene_' || label || '_' || vec_id // 500 AS scene_id, format('<obj_{{:03d}}>', vec_id) AS object_id,
+      {_CLASS_LIST}[vec_id % 10 + 1] AS category,
   CAST(embedding[1] AS DOUBLE)*100 AS x, CAST(embedding[2] AS DOUBLE)*100 AS y, CAST(embedding[3] AS DOUBLE)*100 AS z,
   abs(CAST(embedding[4] AS DOUBLE)*100/10) AS ex, abs(CAST(embedding[5] AS DOUBLE)*100/10) AS ey, abs(CAST(embedding[6] AS DOUBLE)*100/10) AS ez,
   100 + vec_id*7 % 400 AS point_count, 1 + vec_id % 4 AS n_views, (vec_id*13 % 100) / 100.0 AS semantic, vec_id AS pos FROM embeddings""",
-    "points": f"SELECT scene_id, pos, p.i AS i, p.x AS x, p.y AS y, p.z AS z FROM (SELECT 'scene_' || label || '_' || vec_id // 500 AS scene_id, vec_id AS pos, unnest({_SEGMENTS}) AS p FROM embeddings)",
+    "points":
+        f"SELECT scene_id, pos, p.i AS i, p.x AS x, p.y AS y, p.z AS z FROM (SELECT 'scene_' || label || '_' || vec_id // 500 AS scene_id, vec_id AS pos, "
+        f"unnest({_SEGMENTS}) AS p FROM embeddings)",
     "frames": "SELECT event_type AS run, event_id AS frame_id, epoch_us(ts)*1000 AS ts_ns, user_id, value FROM events",
     "members": f"""SELECT archive, path FROM ({_NAMED}) f,
   LATERAL (SELECT 'interval5_CAM_LIDAR' AS archive, 'interval5_CAM_LIDAR/' || f.run || '/interval5_CAM/' || f.stamp || '.jpg' AS path
-    UNION ALL SELECT 'interval5_CAM_LIDAR', 'interval5_CAM_LIDAR/' || f.run || '/interval5_LIDAR/image' || f.stamp || '_lidar' || f.stamp || '.txt' WHERE f.event_id % 4 <> 0
-    UNION ALL SELECT 'interval5_CAM_label', 'interval5_CAM_label/' || f.run || '/interval5_CAM_label_' || CASE WHEN f.event_id % 2 = 0 THEN 'id' ELSE 'color' END || '/' || f.stamp || '.png' WHERE f.event_id % 3 <> 0
-    UNION ALL SELECT 'interval5_LIDAR_label', 'interval5_LIDAR_label/' || f.run || '/interval5_LIDAR_label_id/image' || f.stamp || '_lidar' || f.stamp || '.txt' WHERE f.event_id % 4 <> 0 AND f.event_id % 6 = 1
+    UNION ALL SELECT 'interval5_CAM_LIDAR', 'interval5_CAM_LIDAR/' || f.run || '/interval5_LIDAR/image' || f.stamp || '_lidar' || f.stamp || '.txt'
+      WHERE f.event_id % 4 <> 0
+    UNION ALL SELECT 'interval5_CAM_label', 'interval5_CAM_label/' || f.run || '/interval5_CAM_label_' || CASE WHEN f.event_id % 2 = 0 THEN 'id' ELSE 'color' END || '/'
+      || f.stamp || '.png' WHERE f.event_id % 3 <> 0
+    UNION ALL SELECT 'interval5_LIDAR_label', 'interval5_LIDAR_label/' || f.run || '/interval5_LIDAR_label_id/image' || f.stamp || '_lidar' || f.stamp || '.txt'
+      WHERE f.event_id % 4 <> 0 AND f.event_id % 6 = 1
     UNION ALL SELECT 'interval5_CAM_LIDAR', 'interval5_CAM_LIDAR/' || f.run || '/readme.txt' WHERE f.event_id % 50 = 0) m""",
-    "pixels": f"""SELECT 'scene_' || (frame // 10) AS scene_id, frame, y, x, CAST(CASE flag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS BIGINT) AS class_id, depth, conf FROM (
-  SELECT l_suppkey AS frame, l_orderkey % {SIDE} AS y, l_partkey % {SIDE} AS x, min(l_returnflag) AS flag, max(l_extendedprice)/1000 AS depth, max(l_quantity)/10 AS conf FROM lineitem GROUP BY ALL)""",
+    "pixels": f"""SELECT 'scene_' || (frame // 10) AS scene_id, frame, y, x, CAST(CASE flag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS BIGINT) AS class_id, depth,
+      conf FROM (
+  SELECT l_suppkey AS frame, l_orderkey % {SIDE} AS y, l_partkey % {SIDE} AS x, min(l_returnflag) AS flag, max(l_extendedprice)/1000 AS depth, max(l_quantity)/10 AS conf
+    FROM lineitem GROUP BY ALL)""",
     "masks": f"""SELECT instance_id, frame, y0, least(y0 + h, {SIDE - 1}) AS y1, x0, least(x0 + h, {SIDE - 1}) AS x1, label FROM (
-  SELECT p_partkey AS instance_id, p_partkey % (SELECT max(s_suppkey) FROM supplier) + 1 AS frame, p_partkey*3 % {SIDE} AS y0, p_partkey*7 % {SIDE} AS x0, CAST(2 + p_size % 6 AS BIGINT) AS h, {_LABEL_LIST}[p_partkey % {len(LABELS)} + 1] AS label FROM part)
+  SELECT p_partkey AS instance_id, p_partkey % (SELECT max(s_suppkey) FROM supplier) + 1 AS frame, p_partkey*3 % {SIDE} AS y0, p_partkey*7 % {SIDE} AS x0,
+    CAST(2 + p_size % 6 AS BIGINT) AS h, {_LABEL_LIST}[p_partkey % {len(LABELS)} + 1] AS label FROM part)
   WHERE frame IN (SELECT s_suppkey FROM supplier)""",
-    "relations": """SELECT 'rel_' || o_orderkey AS relation_id, format('<obj_{:03d}>', o_orderkey % 520) AS subject_id, format('<obj_{:03d}>', o_custkey % 505) AS object_id,
+    "relations": """SELECT 'rel_' || o_orderkey AS relation_id, format('<obj_{:03d}>', o_orderkey % 520) AS subject_id, format('<obj_{:03d}>',
+      o_custkey % 505) AS object_id,
   CASE WHEN o_orderkey % 7 = 0 THEN 'unheard_of' WHEN o_orderkey % 2 = 0 THEN 'height_difference' ELSE 'pairwise_min_distance' END AS program FROM orders""",
 }
 
