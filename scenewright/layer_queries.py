@@ -147,7 +147,7 @@ def e2_entity_layer(spark: SparkSession, sf: str) -> DataFrame:
   SELECT 'meta_' || substr(sha256(l0.scene_id || '|pipeline-0.1.0'), 1, 8) AS snapshot_id, l0.scene_id, 'g' || length(l0.scene_id) AS split_group, round(parallax_ratio,
     6) AS parallax_ratio, coalesce(n, 0) AS entity_count,
   CASE WHEN coalesce(n, 0) < 3 THEN 'warn' ELSE 'pass' END AS gate_status, CASE WHEN coalesce(n, 0) < 3 THEN coalesce(n,
-    0) || ' entities, fewer than 3' ELSE '' END AS warnings, sha256(l0.scene_id) AS l0_digest FROM l0 LEFT JOIN en ON l0.scene_id = en.scene_id""", "pixels",
+    0) || ' entities, fewer than 3' ELSE '' END AS warnings, sha256(l0.scene_id) AS l0_digest, '2026-01-01T00:00:00Z|pipeline-0.1.0' AS made FROM l0 LEFT JOIN en ON l0.scene_id = en.scene_id""", "pixels",
     recursive=True))
 def e4_snapshots(spark: SparkSession, sf: str) -> DataFrame:
     """Snapshots over the geometry layer and the first components of class 0 only, so that some scenes have too few entities."""
@@ -155,7 +155,7 @@ def e4_snapshots(spark: SparkSession, sf: str) -> DataFrame:
     geometry = readers.materialized(_geometry(spark, sf))
     digests = geometry.select("scene_id", F.create_map(F.lit("l0_geometry"), F.sha2("scene_id", 256)).alias("layers"))
     groups = geometry.select("scene_id", F.concat(F.lit("g"), F.length("scene_id").cast("string")).alias("split_group"))
-    s = layers.snapshots(geometry, layers.entity_rows(first, T.CLASSES), digests, groups, "uavscenes")
+    s = layers.snapshots(geometry, layers.entity_rows(first, T.CLASSES), digests, groups, "uavscenes", "2026-01-01T00:00:00Z")
     return s.select(
         "snapshot_id",
         "scene_id",
@@ -164,7 +164,7 @@ def e4_snapshots(spark: SparkSession, sf: str) -> DataFrame:
         "capabilities.entity_count",
         F.col("gate.status").alias("gate_status"),
         F.array_join("gate.warnings", ",").alias("warnings"),
-        F.try_element_at("layers", F.lit("l0_geometry")).alias("l0_digest"),
+        F.try_element_at("layers", F.lit("l0_geometry")).alias("l0_digest"), F.concat_ws("|", "provenance.created_at", "provenance.code_version").alias("made"),
     )
 
 
@@ -188,6 +188,22 @@ def e5_proposed_labels(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    V.with_views(
+        """ SELECT instance_id, frame, CASE WHEN frame % 4 = 0 THEN 'no such frame' ELSE 'shape differs from the frame''s' END AS err FROM v_masks
+  WHERE frame % 4 = 0 OR (frame % 3 = 0 AND (y1 >= 15 OR x1 >= 18))""",
+        "masks",
+    )
+)
+def j12_misfits(spark: SparkSession, sf: str) -> DataFrame:
+    """Masks over frames of 20 x 20, but every third has 15 x 18 and every fourth is missing."""
+    frame = F.col("s_suppkey")
+    small = frame % 3 == 0
+    height, width = (F.when(small, n).otherwise(V.SIDE) for n in (15, 18))
+    shapes = V.table(spark, sf, "supplier").filter("s_suppkey % 4 <> 0").select(frame.alias("frame"), height.alias("height"), width.alias("width"))
+    return entities.misfits(V.masks(spark, sf), shapes)
+
+
 @query(
     "SELECT instance_id, k, iou FROM (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY iou DESC NULLS LAST, k) AS r "
         "FROM (SELECT p_partkey AS instance_id, CAST(u.k AS BIGINT) AS k, CASE WHEN (p_partkey + u.k) % 11 = 0 THEN NULL ELSE (p_partkey*(u.k + 3)*7 % "

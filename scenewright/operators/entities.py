@@ -266,6 +266,18 @@ def fuse_instances(masks: DataFrame, pixels: DataFrame, ignore: list[int], min_p
     return won.withColumn("purity", F.round(F.col("votes") / F.col("n_votes"), 4)).filter(F.col("purity") >= min_purity)
 
 
+def misfits(masks: DataFrame, shapes: DataFrame) -> DataFrame:
+    """instance_id, frame, err of masks that can't be laid over their frame: beyond its height and width, or of a frame that shapes (frame, height, width) hasn't.
+
+    Fusing such a mask would count only the part that fits, so it is an error of the input.
+    """
+    runs = runs_of(masks).groupBy("instance_id", "frame").agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x0").alias("x0"), F.max("x1").alias("x1"))
+    met = runs.join(shapes.select("frame", "height", "width"), "frame", "left")
+    out = (F.col("y0") < 0) | (F.col("x0") < 0) | (F.col("y1") >= F.col("height")) | (F.col("x1") >= F.col("width"))
+    err = F.when(F.col("height").isNull(), "no such frame").when(out, "shape differs from the frame's")
+    return met.withColumn("err", err).filter("err is not null").select("instance_id", "frame", "err")
+
+
 def best_masks(candidates: DataFrame) -> DataFrame:
     """Of each instance's candidate masks (instance_id, k, iou) the one with the largest predicted overlap, the first of equal ones."""
     known = F.when(~F.isnan("iou"), F.col("iou"))

@@ -74,11 +74,12 @@ def entity_rows(objects: DataFrame, classes: list[str], semantic_source: str = "
     )
 
 
-def snapshots(geometry: DataFrame, entities: DataFrame, digests: DataFrame, groups: DataFrame, dataset: str) -> DataFrame:
+def snapshots(geometry: DataFrame, entities: DataFrame, digests: DataFrame, groups: DataFrame, dataset: str, created_at: str | None = None) -> DataFrame:
     """One snapshot per scene of the geometry layer: capabilities, layer digests, entity_count and its gate.
 
     entities: scene_id of each; digests: scene_id, layers (map of name to digest); groups: scene_id, split_group. A
     scene without entities has a count of 0. Relations that nobody derived are an empty layer, not a missing one.
+    created_at is what the caller says it is; no clock is read, so that runs can be compared.
     """
     counts = entities.groupBy("scene_id").agg(F.count("*").alias("entity_count"))
     rows = geometry.select("scene_id", "parallax_ratio").join(counts, "scene_id", "left").fillna(0, ["entity_count"]).join(digests, "scene_id", "left").join(groups, "scene_id", "left")
@@ -96,9 +97,11 @@ def snapshots(geometry: DataFrame, entities: DataFrame, digests: DataFrame, grou
     )
     warning = F.when(few, F.array(F.format_string(f"%d entities, fewer than {LEAST_ENTITIES}", "entity_count"))).otherwise(F.array().cast("array<string>"))
     gate = F.struct(F.lit("G2").alias("gate_id"), F.when(few, "warn").otherwise("pass").alias("status"), warning.alias("warnings"))
+    versions = F.create_map(*[F.lit(x) for n in ("l0_geometry", "l1_entities", "metadata_snapshot") for x in (n, SCHEMA_VERSION)])
+    provenance = F.struct(F.lit(created_at).cast("string").alias("created_at"), F.lit(CODE_VERSION).alias("code_version"), versions.alias("schema_versions"))
     return rows.select(
         F.lit(SCHEMA_VERSION).alias("schema_version"), F.concat(
             F.lit("meta_"), T.short_hash(F.col("scene_id"), F.lit(CODE_VERSION)),
         ).alias("snapshot_id"), "scene_id", F.lit(dataset).alias("dataset_id"),
-        F.col("split_group").alias("split_group_id"), "layers", caps.alias("capabilities"), gate.alias("gate"),
+        F.col("split_group").alias("split_group_id"), "layers", caps.alias("capabilities"), gate.alias("gate"), provenance.alias("provenance"),
     )
