@@ -37,7 +37,7 @@ def by_hand(rows, most=3, least=10, cover=50, top=2000):
     return out
 
 
-def corpus(seed=5, docs=300):
+def corpus(seed=5, docs=900):
     rng = random.Random(seed)
     words = [f"w{i}" for i in range(7)] + ["É", "日本", "😀", "ﬀ", "B c", "x\x0by"]
     fixed = ["New York City", "in spite of", "red herring", "red herring sandwich", "aa aa aa aa", "of of"]
