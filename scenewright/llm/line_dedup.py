@@ -1,9 +1,10 @@
 """Removal of repeated runs of lines by winnowing, with DataFrame functions only.
 
-A line ends with sentence ends, line breaks or a few rare letters, which the same text always has at the same places,
-white space after them included, and at the latest after MOST characters. So a long sentence is several lines, a
-passage is several lines however it is punctuated, and but for its first and last words they are the same lines
-wherever it stands.
+A line ends with sentence ends, line breaks or certain letters, which the same text always has at the same places, white
+space after them included. These are a few rare letters of Latin and, by one rule over code points, some of every other
+script (scripts.py). So a long sentence is several lines, a passage is several lines however it is punctuated, and but
+for its first and last words they are the same lines wherever it stands. No line ends by its length; text without any
+such character is one line.
 
 Of every window of `window` successive grams (runs of `gram` lines) the one whose first line has the smallest hash is
 selected, the first of equals. Whatever gram + window - 1 lines two documents share, both select the same gram of
@@ -19,12 +20,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scenewright.llm.common import discard, documents, release, row_keys, stored
+from scenewright.llm.scripts import nested_class, plain_class
 
-#: Most characters of a line before its end; the letters that end one within a sentence: about one in fifty, in several languages.
-MOST, LETTERS = 100, "KQXZkqxz"
+#: Latin letters that end a line within a sentence: about one in fifty, in several languages.
+LETTERS = "KQXZkqxz"
 _BLANK, _END = r" \t\r\n", rf".!?\n\x{{3002}}{LETTERS}"
-#: Group 1 is a line without the white space that follows it.
-LINE = rf"([^{_END}]{{0,{MOST}}}[{_END}]+|[^{_END}]{{1,{MOST}}})[{_BLANK}]*"
+#: Group 1 is a line without the white space that follows it; the same for Spark and for SQL.
+LINE, LINE_SQL = (rf"([^{e}]*[{e}]+|[^{e}]+)[{_BLANK}]*" for e in (_END + nested_class(), _END + plain_class()))
 WORD = rf"[^{_BLANK}]+"
 GRAM, WINDOW, LEAST = 2, 3, 24
 
@@ -188,8 +190,8 @@ def _reach_sql(offsets: list[int]) -> str:
 
 
 OP5_SQL = rf"""
-WITH l AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{LINE}') AS ls FROM documents),
-hs AS (SELECT doc_id, list_transform(ls, lambda x: CAST('0x' || substr(md5(x), 1, 15) AS BIGINT)) AS h FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{LINE}', 1) AS ls FROM documents) WHERE len(ls) >= {GRAM}),
+WITH l AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{LINE_SQL}') AS ls FROM documents),
+hs AS (SELECT doc_id, list_transform(ls, lambda x: CAST('0x' || substr(md5(x), 1, 15) AS BIGINT)) AS h FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{LINE_SQL}', 1) AS ls FROM documents) WHERE len(ls) >= {GRAM}),
 ws AS (SELECT doc_id, h, s, h[s + 1:least(s + {WINDOW}, len(h) - {GRAM - 1})] AS win FROM hs, unnest(range(0, greatest(len(h) - {GRAM + WINDOW - 2}, 1))) AS u(s)),
 g AS (SELECT DISTINCT doc_id, s + list_position(win, list_min(win)) - 1 AS p FROM ws),
 k AS (SELECT g.doc_id, p, {", ".join(f"h[p + {i + 1}] AS k{i}" for i in range(GRAM))} FROM g JOIN hs USING (doc_id)),
@@ -198,7 +200,8 @@ m AS (SELECT f.doc_id, p, {_reach_sql([-i - 1 for i in range(WINDOW - 1)])} AS l
   FROM (SELECT f.*, a.h, b.h AS fh FROM f JOIN hs a ON a.doc_id = f.doc_id JOIN hs b ON b.doc_id = f.fd WHERE (f.doc_id, p) > (fd, q)) f),
 c AS (SELECT DISTINCT doc_id, unnest(range(p - lft, p + {GRAM} + rgt)) AS i FROM m),
 r AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM c),
-w AS (SELECT r.doc_id, r.i, sum(len(regexp_extract_all(l.ls[r.i + 1], '{WORD}'))) OVER (PARTITION BY r.doc_id, r.run) AS words FROM r JOIN l USING (doc_id)),
+j AS (SELECT r.doc_id, r.run, len(regexp_extract_all(string_agg(l.ls[r.i + 1], '' ORDER BY r.i), '{WORD}')) AS words FROM r JOIN l USING (doc_id) GROUP BY r.doc_id, r.run),
+w AS (SELECT r.doc_id, r.i, j.words FROM r JOIN j ON j.doc_id = r.doc_id AND j.run = r.run),
 k2 AS (SELECT doc_id, i, line FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(0, CAST(len(ls) AS BIGINT))) AS i FROM l)),
 t AS (SELECT k2.doc_id, count(w.i) AS n_removed, coalesce(string_agg(CASE WHEN w.i IS NULL THEN k2.line END, '' ORDER BY k2.i), '') AS kept
   FROM k2 LEFT JOIN (SELECT * FROM w WHERE words >= {LEAST}) w ON k2.doc_id = w.doc_id AND k2.i = w.i GROUP BY k2.doc_id)

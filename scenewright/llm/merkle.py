@@ -1,10 +1,10 @@
 """Merkle-tree fingerprints of texts, with DataFrame functions only.
 
 A text of any length is cut into paragraphs by one rule that looks at a few characters only: a paragraph ends after a
-sentence end or line break, after white space that follows one of every second letter or digit, or after one of
-about every eighth character of scripts without spaces. So a cut stays where it is whatever is put in front of it,
-and an edit changes the few paragraphs it touches. Only where no such place comes within MOST code points, a
-paragraph ends there; the cuts that follow are again those of the content.
+sentence end or line break, after white space that follows one of every second Latin letter or digit, or after certain
+letters of every other script, by one rule over code points (scripts.py). So a cut stays where it is whatever is put in
+front of it, and an edit changes the few paragraphs it touches. Only where no such place comes within MOST code points,
+a paragraph ends there; from the next such place on the cuts are again those of the content.
 
 A paragraph's digest is the first DIGITS hex digits of its SHA-256. A section ends with a paragraph whose digest begins with 0, and its
 digest is the SHA-256 of its paragraphs' digests; the root is the SHA-256 of the sections' digests. A fingerprint is
@@ -24,17 +24,22 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scenewright.llm.common import documents, texts_of
+from scenewright.llm.common import buckets_for, documents, texts_of
+from scenewright.llm.scripts import nested_class, plain_class
 
 #: Code points of a paragraph in which no place to cut comes; hex digits of a paragraph's digest in the tree.
 MOST, DIGITS = 24, 32
 #: Hex digits of a section's and of a paragraph's digest in a fingerprint.
 SECTION, PARAGRAPH = 8, 6
-#: Before white space: every second Latin letter and digit, and every second eight of Greek and Cyrillic letters.
-BEFORE_BLANK = r"ACEGIKMOQSUWYacegikmoqsuwy02468\x{03B0}-\x{03B7}\x{03C0}-\x{03C7}\x{0430}-\x{0437}\x{0440}-\x{0447}"
-#: By themselves: about every eighth kana, Chinese character and Hangul syllable.
-ALONE = r"\x{3066}-\x{306F}" + "".join(rf"\x{{{k:X}}}-\x{{{k + 0x1FF:X}}}" for k in range(0x4000, 0xE000, 0x1000))
-CUT = rf"(?s).{{0,{MOST - 1}}}?(?:[{BEFORE_BLANK}][ \t\r\n]+|[.!?\n\x{{3002}}]+ *|[{ALONE}])|.{{1,{MOST}}}"
+#: Bytes of text that one task puts in order.
+RANGE = 8 << 20
+#: Before white space: every second Latin letter and digit.
+BEFORE_BLANK = "ACEGIKMOQSUWYacegikmoqsuwy02468"
+#: The same for Spark and for SQL.
+CUT, CUT_SQL = (
+    rf"(?s).{{0,{MOST - 1}}}?(?:[{BEFORE_BLANK}][ \t\r\n]+|[.!?\n\x{{3002}}]+ *|{letter})|.{{1,{MOST}}}"
+    for letter in (nested_class(), f"[{plain_class()}]")
+)
 
 
 def paragraphs(text: Column) -> Column:
@@ -119,7 +124,8 @@ def with_next(rows: DataFrame, columns: dict[str, str], buckets: int, derive: Ca
         F.get(at, F.col("b")) == F.col("k"),
         F.array(F.struct(F.col("b").alias("to"), F.lit(0).alias("ghost")), F.struct(F.pmod(F.col("b") - 1, F.lit(n)).alias("to"), F.lit(1).alias("ghost"))),
     ).otherwise(F.array(F.struct(F.col("b").alias("to"), F.lit(0).alias("ghost"))))
-    dealt = rows.withColumn("t", F.explode(to)).select(*[c for c in rows.columns if c not in ("b",)], "t.to", "t.ghost").repartition("to")
+    dealt = rows.withColumn("t", F.explode(to)).select(*[c for c in rows.columns if c not in ("b",)], "t.to", "t.ghost")
+    dealt = dealt.repartitionById(n, F.col("to").cast("int"))  # a range is a task
     dealt = derive(dealt)
     order = Window.partitionBy("to").orderBy("ghost", "k", "text")
     dealt = dealt.withColumns({new: F.lead(old).over(order) for old, new in columns.items()})
@@ -131,9 +137,11 @@ def fingerprint_edits(docs: DataFrame, text: str = "text", buckets: int | None =
 
     The edited text has the last floor(n_chars / 4) code points replaced by as many of the first of the next row, by
     (doc_id, text), or all of it. Null and empty texts have no paragraphs and are like each other alone. Rows that
-    share a doc_id come in the order of their texts. A single row is its own next. No documents: no rows.
+    share a doc_id come in the order of their texts. A single row is its own next. Texts of any length are cut whole;
+    other columns are not looked at. No documents: no rows. buckets: ranges of doc_id to be put in order on their own,
+    by default one for RANGE bytes of text.
     """
-    n = buckets or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets or buckets_for(texts_of(docs, text).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0], RANGE)
     rows = with_next(texts_of(docs, text), {"text": "next_text", "fingerprint": "next_fingerprint"}, n, lambda df: with_fingerprint(df, "text", "fingerprint"))
     rows = rows.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("cut", F.floor(F.col("n_chars") / 4).cast("int"))
     rows = rows.withColumn(
@@ -188,7 +196,7 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, ''))
 x AS (SELECT doc_id, text, n, coalesce(lead(text) OVER o, first_value(text) OVER o) AS nxt FROM d WINDOW o AS (ORDER BY doc_id)),
 e AS (SELECT *, substring(text, 1, n - n // 4) || substring(nxt, 1, n // 4) AS edited FROM x),
 t AS (SELECT doc_id, 1 AS k, text AS s FROM e UNION ALL SELECT doc_id, 2, edited FROM e),
-p AS (SELECT doc_id, k, list_transform(regexp_extract_all(s, '{CUT}'), lambda q: substr(sha256(q), 1, {DIGITS})) AS hs FROM t),
+p AS (SELECT doc_id, k, list_transform(regexp_extract_all(s, '{CUT_SQL}'), lambda q: substr(sha256(q), 1, {DIGITS})) AS hs FROM t),
 c AS (SELECT doc_id, k,
   list_transform(list_filter(string_split(array_to_string(list_transform(hs, lambda h: h || CASE WHEN h[1] = '0' THEN ';' ELSE ',' END), ''), ';'), lambda q: q <> ''), lambda q: sha256(q)) AS secs,
   list_filter(string_split(array_to_string(list_transform(hs, lambda h: substr(h, 1, {PARAGRAPH}) || CASE WHEN h[1] = '0' THEN ';' ELSE '' END), ''), ';'), lambda q: q <> '') AS short FROM p),

@@ -75,9 +75,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, te
 def pack(pieces: DataFrame, capacity: int, rows: int, group: int = GROUP) -> DataFrame:
     """Add sequence_id and offset to rows with doc_id, piece and length (1 to capacity).
 
-    rows: how many there are, for the number of groups. Pieces are dealt into groups by a hash of
-    (doc_id, piece), so no key decides a group's size; each group is packed on its own, longest piece first.
-    Every piece gets a place; equal input gives equal sequences whatever the partitioning.
+    rows: how many there are, for the number of groups. Pieces are dealt into groups by a hash of all their columns
+    and, as rows may be equal in all of them, of the task that holds them and their place in it; so neither a null or
+    repeated doc_id nor a repeated row decides a group's size. Each group is packed on its own, longest piece first.
+    Every piece gets a place; the same stored rows give the same sequences.
     """
     n = buckets_for(rows, group)
 
@@ -87,9 +88,8 @@ def pack(pieces: DataFrame, capacity: int, rows: int, group: int = GROUP) -> Dat
         return part.drop(columns="pack_group").assign(sequence_id=(np.int64(key[0]) << 40) + at, offset=offset)
 
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema]
-    return pieces.withColumn(
-        "pack_group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n)),
-    ).groupBy("pack_group").applyInPandas(place, ", ".join([*kept, "sequence_id long", "offset long"]))
+    dealt = F.xxhash64(*[F.col(f"`{c}`") for c in pieces.columns], F.monotonically_increasing_id())
+    return pieces.withColumn("pack_group", F.pmod(dealt, F.lit(n))).groupBy("pack_group").applyInPandas(place, ", ".join([*kept, "sequence_id long", "offset long"]))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, text: str = "text") -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from scenewright.llm import cotraining, hmm, line_dedup, media, merkle, mixing, packing, simhash, suffix_dedup, token_store
+from scenewright.llm.scripts import nested_class, plain_class, taken
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -262,8 +263,7 @@ def test_cosine_hash_of_like_images_is_near():
 
 def plain_leaves(text):
     """Cuts found one character at a time."""
-    alone = {*range(0x3066, 0x3070)} | {c for k in range(0x4000, 0xE000, 0x1000) for c in range(k, k + 0x200)}
-    before = {*"ACEGIKMOQSUWYacegikmoqsuwy02468", *map(chr, [*range(0x3B0, 0x3B8), *range(0x3C0, 0x3C8), *range(0x430, 0x438), *range(0x440, 0x448)])}
+    before = {*"ACEGIKMOQSUWYacegikmoqsuwy02468"}
     out, at = [], 0
     while at < len(text):
         end = min(at + merkle.MOST, len(text))
@@ -277,7 +277,7 @@ def plain_leaves(text):
                     j += 1
                 while j < len(text) and text[j] == " ":
                     j += 1
-            elif ord(text[i]) not in alone:
+            elif not taken(ord(text[i])):
                 continue
             end = j
             break
@@ -381,9 +381,9 @@ def plain_split(text):
     blank, ends, out, i = " \t\r\n", ".!?\n\u3002KQXZkqxz", [], 0
     while i < len(text):
         j = i
-        while j < len(text) and text[j] not in ends and j - i < 100:
+        while j < len(text) and text[j] not in ends and not taken(ord(text[j])):
             j += 1
-        while j < len(text) and text[j] in ends:
+        while j < len(text) and (text[j] in ends or taken(ord(text[j]))):
             j += 1
         k = j
         while k < len(text) and text[k] in blank:
@@ -467,6 +467,61 @@ def test_shared_passages_go_however_they_are_punctuated(spark):
     assert left / words < 0.25
 
 
+#: Letters of running text, most frequent first.
+SCRIPTS = {
+    "latin": "etaoinshrdlucmfwypvbgkjqxz",
+    "cyrillic": "оеаинтсрвлкмдпуяыьгзбчйхжшюцщэф",
+    "greek": "αοιετσνηυρπκμλςωδγχθφβξζψ",
+    "arabic": "اليمنورتبةعدسفهكقحجشصطخضزذثغظ",
+    "devanagari": "रकनतसमहयपलवदजबगचशथखधभटडफठछझघषण",
+    "thai": "นรอกเงมลวายสดทตบคปหขพจใชถซผธไณฉ",
+    "hebrew": "יהולאתמבשרנדחפעקכטגצסזךםןףץ",
+    "georgian": "აიერსმნდობლვთგუხკცშზპტქყჩფღწჭჯჟძ",
+    "kana": "のいにはをしてとたがでなるかもれさこらりきつすあまおけう",
+}
+
+
+def written(rng, letters, n, mark=""):
+    """n words of a script, the letters drawn as they occur, without marks or with one after every mark-th word."""
+    weights = 1 / (np.arange(len(letters)) + 3.0)
+    words = ["".join(rng.choice(list(letters), int(rng.integers(2, 9)), p=weights / weights.sum())) for _ in range(n)]
+    return " ".join(w + mark * (i % 12 == 11) for i, w in enumerate(words))
+
+
+@pytest.mark.parametrize("mark", ["", "."])
+@pytest.mark.parametrize("script", sorted(SCRIPTS))
+def test_passages_of_every_script_go(spark, script, mark):
+    """20 passages of 120 words, each in two documents after different beginnings: most of every later copy is gone."""
+    rng = np.random.default_rng(21)
+    passages = [written(rng, SCRIPTS[script], 120, mark) for _ in range(20)]
+    rows = [(d, written(rng, SCRIPTS[script], 7 + d % 5) + " " + passages[d % 20] + " " + written(rng, SCRIPTS[script], 9)) for d in range(40)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[d] == t for d, t in rows[:20])
+    left = [len(set(got[d].split()) & set(passages[d % 20].split())) / len(set(passages[d % 20].split())) for d in range(20, 40)]
+    assert max(left) < 0.25 and np.mean(left) < 0.1
+
+
+@pytest.mark.parametrize("script", sorted(SCRIPTS))
+def test_paragraphs_of_every_script_stay_after_an_insertion(spark, script):
+    text = written(np.random.default_rng(22), SCRIPTS[script], 200)
+    for put in ("abcd", SCRIPTS[script][:4] + " "):
+        got = differing(spark, text, put + text)
+        assert len(got["c"]) <= 0.05 * len(plain_leaves(text)) and got["near"] > 0.9
+
+
+def test_classes_of_letters_are_the_rule(spark):
+    points = [p for p in range(1, 0x11000) if not 0xD800 <= p < 0xE000]
+    df = spark.createDataFrame([(p, chr(p)) for p in points], "p int, c string")
+    got = df.select("p", F.col("c").rlike(nested_class()).alias("a"), F.col("c").rlike(f"[^.K{nested_class()}]").alias("b"), F.col("c").rlike(f"[{plain_class()}]").alias("d"))
+    assert all((r["a"], r["b"], r["d"]) == (taken(r["p"]), not taken(r["p"]) and chr(r["p"]) not in ".K", taken(r["p"])) for r in got.collect())
+
+
+def test_rows_without_an_id_are_packed_in_many_groups(spark):
+    pieces = spark.range(0, 3000, 1, 3).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(7).cast("long").alias("length"))
+    got = packing.pack(pieces, 32, 3000, 300).groupBy(F.shiftright("sequence_id", 40).alias("g")).count().collect()
+    assert len(got) == 10 and max(r["count"] for r in got) < 450 and sum(r["count"] for r in got) == 3000
+
+
 def test_line_dedup_edges(none, odd):
     assert line_dedup.dedup_lines(none).count() == 0
     out = line_dedup.dedup_lines(odd)
