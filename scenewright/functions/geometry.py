@@ -29,6 +29,11 @@ def at(v: Column, i: int) -> Column:
     return F.get(v, F.lit(i))
 
 
+def vec4_of(*values: Column | float) -> Column:
+    """The same of columns and numbers."""
+    return F.array(*[(c if isinstance(c, Column) else F.lit(float(c))).cast("double") for c in values])
+
+
 def dot(a: Column, b: Column, n: int = 3) -> Column:
     return reduce(lambda s, i: s + at(a, i) * at(b, i), range(1, n), at(a, 0) * at(b, 0))
 

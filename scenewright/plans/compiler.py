@@ -300,7 +300,7 @@ def compile_spec(packages: DataFrame, spec: Spec) -> DataFrame:
         ).alias("target_geometry"),
         (
             target_ids if spec.shows_ids else F.array().cast("array<string>")
-        ).alias("structural_ids"), low_altitude_tags(spec).alias("tags"), F.array(*[F.lit(a) for a in spec.raw["adapters"]]).alias("adapters"),
+        ).alias("structural_ids"), low_altitude_tags(spec).alias("tags"), F.array(*[F.lit(a) for a in spec.raw.get("adapters") or ()]).cast("array<string>").alias("adapters"),
     )
 
 

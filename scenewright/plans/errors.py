@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Every error's name and code; the letter is E for hard, W for warning, S for stop.
 CODES = {
@@ -65,3 +66,9 @@ def catalog(spark: SparkSession) -> DataFrame:
     kinds = {"E": "hard", "W": "warning", "S": "stop"}
     rows = [(code, name, code[:2], kinds[code[3]], "warn" if code[3] == "W" else "quarantine") for name, code in CODES.items()]
     return spark.createDataFrame(rows, "code string, name string, gate string, severity string, gate_status string")
+
+
+def judged(found: DataFrame, code: str = "code") -> DataFrame:
+    """found with name, gate, severity and gate_status of each row's code. A code that the catalogue hasn't, or none, is quarantined and has no name."""
+    of = catalog(found.sparkSession).withColumnRenamed("code", "_code")
+    return found.join(F.broadcast(of), F.col(code) == F.col("_code"), "left").drop("_code").withColumn("gate_status", F.coalesce("gate_status", F.lit("quarantine")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from scenewright.functions import geometry as G
 from scenewright.functions import text as T
 from scenewright.operators import entities, grading, scenes, state, validate
-from scenewright.plans import answers, compiler, errors, leakage, render, specs
+from scenewright.plans import answers, compiler, leakage, render, specs
 from scenewright.sources import readers
 from scenewright.sources import views as V
 
@@ -650,11 +650,6 @@ def f16_json_salvage(spark: SparkSession, sf: str) -> DataFrame:
 # --- validation and states ---
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{n}', '{c[:2]}', '{ {'E': 'hard', 'W': 'warning', 'S': 'stop'}[c[3]]}', '{'warn' if c[3] == 'W' else 'quarantine'}')" for n, c in errors.CODES.items()) + ") t(code, name, gate, severity, gate_status)")
-def p14_error_catalog(spark: SparkSession, sf: str) -> DataFrame:
-    return errors.catalog(spark)
-
-
 _ENT = """, e AS (SELECT 'all' AS scene_id, CASE WHEN pos % 97 = 0 THEN 'odd_' || pos WHEN pos % 50 = 7 THEN format('<obj_{:03d}>', pos - 1) ELSE object_id END AS entity_id, semantic, pos FROM v_objects)"""
 
 
@@ -1180,18 +1175,6 @@ def t6_best_phrases(spark: SparkSession, sf: str) -> DataFrame:
     return grading.best_phrases(s, 500.0)
 
 
-@query(
-    "SELECT t.id AS spec_id, t.program, t.checker, CAST(t.n AS BIGINT) AS n_visible FROM (VALUES ('3d_grounding.object@0.1.0', "
-        "'select_referent_by_spatial_predicate', 'check_object_grounding_answer', 8), ('3d_vqa.metric.minimum_distance@0.1.0', 'minimum_point_to_polyline_distance', "
-        "'check_minimum_distance_answer', 5), ('3d_vqa.situated.observer_relative_direction@0.1.0', 'observer_relative_direction', "
-        "'check_observer_relative_direction_answer', 7), ('cross_view_correspondence.object@0.1.0', 'link_observations_via_lifted_point_support', "
-        "'check_cross_view_correspondence_answer', 7)) t(id, program, checker, n)"
-)
-def s15_task_specs(spark: SparkSession, sf: str) -> DataFrame:
-    rows = [(s.qualified_id, s.raw["derivation_program"], s.raw["checker"], len(s.visible)) for s in task_specs()]
-    return spark.createDataFrame(rows, "spec_id string, program string, checker string, n_visible bigint")
-
-
 @query(
     V.with_views(
         " SELECT object_id, list_contains(['building','structure'], category) AS supported, greatest(0, ex) AS e FROM v_objects "

@@ -211,7 +211,7 @@ MUTATIONS = {
     "unknown generation mode": lambda r: r.update(generation_mode="x"),
     "unknown supervision level": lambda r: r.update(supervision_level="x"),
     "unknown answer schema": lambda r: r.update(output_schema="x"),
-    "missing keys: adapters": lambda r: r.pop("adapters"),
+    "missing keys: leakage_rules": lambda r: r.pop("leakage_rules"),
 }
 
 
@@ -224,6 +224,32 @@ def test_each_rule_of_a_specification_bites(what, tmp_path):
         specs.load(tmp_path / "a.yaml", set(compiler.PROGRAMS), compiler.CHECKERS)
 
 
+def test_specifications_as_rows_are_judged_alike(spark):
+    """Every mutation as a JSON row, and what is none of a specification."""
+    raws = {"good": GROUNDING.raw}
+    for what, change in MUTATIONS.items():
+        raws[what] = copy.deepcopy(GROUNDING.raw)
+        change(raws[what])
+    raws |= {"list": [1], "empty": {}, "null lists": raws["good"] | {"hidden_target_fields": None, "leakage_rules": None, "three_d_necessity": None}}
+    texts = [(k, json.dumps(r)) for k, r in raws.items()] + [("broken", "{"), ("none", None)]
+    programs, checkers = set(compiler.PROGRAMS), compiler.CHECKERS
+    got = {}
+    for r in specs.judged(spark.createDataFrame(texts, "k string, t string"), "k", "t", programs, checkers).collect():
+        got.setdefault(r["k"], []).append(r["problem"])
+    assert got == {k: p for k, r in raws.items() if (p := specs.problems(r, programs, checkers))} | {"broken": ["not a mapping"], "none": ["not a mapping"]}
+
+
+def test_fixed_values_of_specifications(tmp_path):
+    """The allowed words and required keys of the format, and what is optional."""
+    assert set(specs.MODES) == {"program_first", "hybrid", "model_first_constrained"}
+    assert len(specs.REQUIRED) == 17 and "adapters" not in specs.REQUIRED
+    for change in ({"generation_mode": "model_first_constrained"}, {"generation_mode": "hybrid"}):
+        raw = {k: v for k, v in GROUNDING.raw.items() if k not in ("adapters", "low_altitude_specificity", "description")} | change
+        assert specs.problems(raw, set(compiler.PROGRAMS), compiler.CHECKERS) == []
+    raw = GROUNDING.raw | {"output_schema": "own_answer"}
+    assert specs.problems(raw, set(compiler.PROGRAMS), compiler.CHECKERS, (*specs.ANSWER_SCHEMAS, "own_answer")) == []
+
+
 def test_repeated_specifications(tmp_path):
     for n in "ab":
         (tmp_path / f"{n}.yaml").write_text(yaml.safe_dump(GROUNDING.raw))
