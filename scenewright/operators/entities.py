@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -96,14 +98,41 @@ def label_components(y: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def label_frames(part: pd.DataFrame) -> pd.DataFrame:
+    """Whole frames with component, numbered from 0 within (frame, class_id): all classes of all frames are laid out below each other, with a gap, and labelled at once."""
+    group = part.groupby(["frame", "class_id"], dropna=False, sort=False).ngroup().to_numpy()
+    y = part["y"].to_numpy() - part["y"].min()
+    label = label_components(group * (int(y.max()) + 2) + y, part["x"].to_numpy() - part["x"].min())
+    first = np.full(group.max() + 1, len(part), np.int64)
+    np.minimum.at(first, group, label)
+    return part.assign(component=label - first[group])
+
+
 def components(pixels: DataFrame) -> DataFrame:
-    """pixels with component, numbered from 0 within (frame, class_id). A group is one class of one frame, so a frame's size bounds it."""
+    """pixels with component, numbered from 0 within (frame, class_id).
 
-    def label(part: pd.DataFrame) -> pd.DataFrame:
-        return part.assign(component=label_components(part["y"].to_numpy(), part["x"].to_numpy()))
+    Frames come to a task one after the other and are labelled as many at a time as a batch brings, so memory is that
+    of a batch and one frame, and no call is made for each class of each frame. A null frame or class is one of its own.
+    """
+
+    def label(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []  # of the last frame, which the next batch may go on with
+        for part in parts:
+            if part.empty:
+                continue
+            last = part["frame"].iloc[-1]
+            ends = (part["frame"].isna() if pd.isna(last) else part["frame"].eq(last)).to_numpy()
+            before = held[-1]["frame"].iloc[-1] if held else last
+            if ends.all() and (before == last or (pd.isna(before) and pd.isna(last))):
+                held.append(part)
+                continue
+            yield label_frames(pd.concat([*held, part[~ends]]))
+            held = [part[ends]]
+        if held:
+            yield label_frames(pd.concat(held))
 
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pixels.schema)
-    return pixels.groupBy("frame", "class_id").applyInPandas(label, f"{names}, component long")
+    return pixels.repartition("frame").sortWithinPartitions("frame").mapInPandas(label, f"{names}, component long")
 
 
 def objects_of(pixels: DataFrame, floors: DataFrame, least_pixels: int = LEAST_PIXELS, least_points: int = LEAST_POINTS) -> DataFrame:

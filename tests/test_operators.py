@@ -174,3 +174,33 @@ def test_pixels_are_written_once_and_read_back(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(scene_id" in readers.read_pixels(spark, path).filter("scene_id = 'a'")._jdf.queryExecution().executedPlan().toString()
     with pytest.raises(Exception, match="already exists"):
         readers.write_pixels(df, path)
+
+
+def test_components_of_frames_over_batches(spark):
+    """The same whatever a batch holds; null frames and classes, and frames larger than a batch."""
+    rng = np.random.default_rng(3)
+    rows = [(f, int(y), int(x), c) for f in (0, 1, 2, None, 7) for c in (0, 1, None) for y, x in {tuple(p) for p in rng.integers(0, 12, (60, 2))}]
+    df = spark.createDataFrame(rows, "frame long, y long, x long, class_id long")
+    want = {}
+    for f in (0, 1, 2, None, 7):
+        for c in (0, 1, None):
+            there, n = {(r[1], r[2]) for r in rows if r[0] == f and r[3] == c}, 0
+            for p in sorted(there):
+                if (f, c, *p) in want:
+                    continue
+                todo = [p]
+                while todo:
+                    q = todo.pop()
+                    if q in there and (f, c, *q) not in want:
+                        want[f, c, *q] = n
+                        todo += [(q[0] + a, q[1] + b) for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0))]
+                n += 1
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("7", "100", before):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            got = {(r["frame"], r["class_id"], r["y"], r["x"]): r["component"] for r in entities.components(df).collect()}
+            assert got == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert entities.components(df.limit(0)).count() == 0
