@@ -24,9 +24,13 @@ from scenewright.llm.scripts import nested_class, plain_class
 
 #: Latin letters that end a line within a sentence: about one in fifty, in several languages.
 LETTERS = "KQXZkqxz"
-_BLANK, _END = r" \t\r\n", rf".!?\n\x{{3002}}{LETTERS}"
-#: Group 1 is a line without the white space that follows it; the same for Spark and for SQL.
-LINE, LINE_SQL = (rf"([^{e}]*[{e}]+|[^{e}]+)[{_BLANK}]*" for e in (_END + nested_class(), _END + plain_class()))
+_BLANK, _MARKS = r" \t\r\n", rf".!?\n{LETTERS}"
+#: Group 1 is a line without the white space that follows it; the same for Spark and for SQL. Java tests the characters of
+#: a class written one by one with a single look, so a line of Latin-1 characters is tried with such classes first.
+_OTHER = "".join(rf"\x{c:02x}" for c in range(256) if chr(c) not in ".!?\n" + LETTERS)
+_END, _END_SQL = (rf"{_MARKS}\x{{3002}}{others}" for others in (nested_class(), plain_class()))
+LINE = rf"([{_OTHER}]*+[{_MARKS}][{_END}]*+|[^{_END}]*[{_END}]+|[^{_END}]+)[{_BLANK}]*"
+LINE_SQL = rf"([^{_END_SQL}]*[{_END_SQL}]+|[^{_END_SQL}]+)[{_BLANK}]*"
 WORD = rf"[^{_BLANK}]+"
 GRAM, WINDOW, LEAST = 2, 3, 24
 
