@@ -1,4 +1,4 @@
-"""Phrase collocation mining over whole corpora, with DataFrame functions only.
+"""Phrase collocation mining over whole corpora.
 
 Every run of one to `most` words within a piece of text becomes a row; rows are counted by language and phrase. A
 phrase of two words or more that occurs often enough is a candidate. Each way of cutting it in two is scored by its
@@ -6,48 +6,113 @@ count against those of its parts, which are looked up by joins; the worst cut co
 within one that is a word longer is dropped: the longer ones name their two shorter ones, the most frequent of them is
 kept for each, and an anti-join takes out what it covers. A phrase inside a still longer one is inside one of the
 phrases between them, which occurs at least as often, so one word more is all that has to be looked at.
+
+A task numbers its words and counts phrases as numbers before it makes rows of them, BATCH words at a time; everything
+from there on is DataFrame functions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections import defaultdict
+from collections.abc import Iterator
+from itertools import count
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scenewright.llm.common import ascii_lower, discard, documents, stored
+from scenewright.llm.common import discard, documents, stored, trim, utf8, word_runs
 
-#: Between pieces; between the words of a piece.
-BREAK, BLANK = r"[.,;:!?\x0A-\x0D]", r"[\x20\x09]+"
+#: Characters between pieces; all become line breaks, then a word of their own, which no other word is.
+BREAKS, STOP = b".,;:!?\n\x0b\x0c\r", b"."
+TO_STOPS = bytes.maketrans(BREAKS, b"\n" * len(BREAKS))
 #: Words of a phrase; occurrences of a candidate; per cent of its occurrences within a longer one; phrases of a language.
 MOST, LEAST, COVER, TOP = 3, 10, 50, 2000
-#: Scores are in millionths. Words that one row holds of a piece. Parts in which a language is ranked before the whole.
-SCALE, CHUNK, PARTS = 1_000_000, 4_096, 64
-
-
-def chunks(words: Column, most: int = MOST, chunk: int = CHUNK) -> Column:
-    """A piece's words in lists of chunk words, each with the most - 1 words that follow it."""
-    starts = F.sequence(F.lit(1), F.size(words), F.lit(chunk))
-    cut = F.transform(starts, lambda s: F.slice(words, s, chunk + most - 1))
-    return F.when(F.size(words) <= chunk, F.array(words)).otherwise(cut)
-
+#: Scores are in millionths. Words that a task counts at once. Parts in which a language is ranked before the whole.
+SCALE, BATCH, PARTS = 1_000_000, 2_000_000, 64
 
-def phrases(words: Column, most: int = MOST, chunk: int = CHUNK) -> Column:
-    """All runs of 1 to most words that begin within the first chunk words, joined by spaces."""
 
-    def runs(k: int) -> Column:
-        last = F.least(F.size(words) - k, F.lit(chunk - 1))
-        found = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.concat_ws(" ", *[F.get(words, i + j) for j in range(k)]))
-        return F.when(last >= 0, found).otherwise(F.array().cast("array<string>"))
+def counted(ids: np.ndarray, names: pa.Array, most: int, head: int = 0) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Phrases of 1 to most words and their counts, from numbered words (0: a break) and the words' names.
 
-    return F.concat(*[runs(k) for k in range(1, most + 1)])
-
-
-def phrase_counts(docs: DataFrame, most: int = MOST, text: str = "text", lang: str = "lang") -> DataFrame:
-    """lang (null: und), phrase, n: every phrase of 1 to most words and how often it occurs, overlaps included."""
-    whole = ascii_lower(F.coalesce(F.col(f"`{text}`"), F.lit("")))
-    rows = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), F.explode(F.split(whole, BREAK)).alias("piece"))
-    rows = rows.select("lang", F.filter(F.split("piece", BLANK), lambda w: w != "").alias("words")).filter(F.size("words") > 0)
-    rows = rows.select("lang", F.explode(chunks(F.col("words"), most)).alias("words"))
-    return rows.select("lang", F.explode(phrases(F.col("words"), most)).alias("phrase")).groupBy("lang", "phrase").agg(F.count("*").alias("n"))
+    Those that end within the first head words were counted before. A phrase of k words is known by the number of its
+    first k - 1 and its last one.
+    """
+    size, code, open_ = len(names), ids, ids != 0
+    found, n = np.unique(ids[head:][open_[head:]], return_counts=True)
+    yield names.take(pa.array(found)), n
+    begun = names
+    for k in range(2, min(most, len(ids)) + 1):
+        at = np.flatnonzero(open_[: len(ids) - k + 1] & (ids[k - 1 :] != 0))
+        codes, keys = pd.factorize(code[at] * size + ids[at + k - 1], sort=True)
+        n = np.bincount(codes[at >= head - k + 1], minlength=len(keys))
+        begun = pc.binary_join_element_wise(begun.take(pa.array(keys // size)), names.take(pa.array(keys % size)), " ")
+        yield begun.filter(pa.array(n > 0)), n[n > 0]
+        code = np.zeros(len(ids) - k + 1, dtype=np.int64)
+        open_ = np.zeros(len(code), dtype=bool)
+        code[at], open_[at] = codes, True
+
+
+def phrase_rows(batches: Iterator[pa.RecordBatch], most: int = MOST, size: int = BATCH) -> Iterator[pa.RecordBatch]:
+    """Rows (lang, phrase, n) of rows (lang, text), counted over size words at a time, however long a text is."""
+    ids: dict[bytes, int] = defaultdict(count().__next__)
+    held: dict[str, list[np.ndarray]] = defaultdict(list)
+    heads: dict[str, int] = {}
+    words = 0
+
+    def numbered(found: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(ids.__getitem__, found), dtype=np.int64, count=len(found))
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        names = pa.array(list(ids), pa.binary())
+        order = np.concatenate([[0], pc.sort_indices(names[1:]).to_numpy().astype(np.int64) + 1])
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        names = names.take(pa.array(order)).cast(pa.string())
+        for lang, parts in held.items():
+            for phrases, n in counted(rank[np.concatenate(parts)], names, most, heads.get(lang, 0)):
+                # By length, then by words: neighbouring rows differ in few bytes, so that shuffle files compress.
+                by = pa.array(np.argsort(pc.binary_length(phrases).to_numpy(), kind="stable"))
+                phrases, n = phrases.take(by), n[by.to_numpy()]
+                for i in range(0, len(phrases), 1 << 16):
+                    some = phrases[i : i + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(some)), some, pa.array(n[i : i + (1 << 16)])], names=["lang", "phrase", "n"])
+        for x in (held, heads, ids):
+            x.clear()
+        trim()
+
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
+            tail: list[bytes] = []
+            for found in word_runs(text.lower().translate(TO_STOPS).replace(b"\n", b" " + STOP + b" ")):
+                if not ids:
+                    ids.default_factory = count().__next__
+                    ids[STOP]  # number 0
+                held[lang].append(numbered(found))
+                words += len(found)
+                tail = (tail + found)[-most + 1 :] if most > 1 else []
+                if words >= size:
+                    yield from rows()
+                    ids.default_factory = count().__next__
+                    ids[STOP]
+                    heads[lang], words = len(tail), 0
+                    held[lang].append(numbered(tail))
+            held[lang].append(np.zeros(1, dtype=np.int64))
+    if words:
+        yield from rows()
+
+
+def phrase_counts(docs: DataFrame, most: int = MOST, text: str = "text", lang: str = "lang", batch: int = BATCH) -> DataFrame:
+    """lang (null: und), phrase, n: every phrase of 1 to most words and how often it occurs, overlaps included.
+
+    Rows come counted by task, so few tasks' rows of a phrase are equal, and they are dealt out by phrase at once.
+    """
+    rows = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")), F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    rows = rows.mapInArrow(lambda batches: phrase_rows(batches, most, batch), "lang string, phrase string, n long")
+    return rows.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
 def collocations(
@@ -67,9 +132,9 @@ def collocations(
     Repeated rows count each time. Other columns are not looked at, whatever they are called. A language without
     candidates has no row, and so have no documents.
 
-    Long pieces are cut into overlapping lists of CHUNK words. A frequent phrase is pre-aggregated before it is
-    shuffled, and counts are stored before they are joined, so that Spark can split the words that are part of very
-    many candidates. A language is ranked in parts first, of which each sends at most top rows on.
+    A frequent phrase is counted by task before it is shuffled, and counts are stored before they are joined, so that
+    Spark can split the words that are part of very many candidates. A language is ranked in parts first, of which
+    each sends at most top rows on. Texts of any length are counted BATCH words at a time.
     """
     counts = phrase_counts(docs, most, text, lang).withColumn("k", F.regexp_count("phrase", F.lit(" ")) + 1)
     counts = stored(counts.filter((F.col("k") == 1) | (F.col("n") >= least)), "phrase-counts")

@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from scenewright.llm import collocations as co
@@ -64,11 +65,25 @@ def test_phrases_by_hand(spark):
     assert rows_of(co.collocations(docs, most=2)) == by_hand(rows, 2)
 
 
-def test_chunks_join_without_loss_or_repeats(spark):
-    words = [f"v{i}" for i in range(100)]
-    df = spark.createDataFrame([(words[:n],) for n in (1, 2, 3, 6, 7, 8, 9, 100)], "w array<string>")
-    for r in df.select("w", F.flatten(F.transform(co.chunks(F.col("w"), 3, 7), lambda c: co.phrases(c, 3, 7))).alias("p")).collect():
-        assert Counter(r["p"]) == Counter(" ".join(r["w"][i : i + k]) for k in (1, 2, 3) for i in range(len(r["w"]) - k + 1))
+def test_batches_join_without_loss_or_repeats():
+    """Counts over a few words at a time, also within a text of several parts, are those of whole texts."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["a", "b", "c.", "dd", ". ", "É"]) for _ in range(n)) for n in (1, 2, 3, 50, 0, 7, 400)]
+    texts.append("x" * (5 << 20) + " y z " + "w" * (5 << 20) + " x y z")  # several runs of words
+    langs = ["en", "de", "en", "en", "xx", "de", "en", "de"]
+    batch = pa.RecordBatch.from_arrays([pa.array(langs), pa.array(texts)], names=["lang", "text"])
+    for most in (1, 2, 3, 5):
+        want = Counter()
+        for lang, text in zip(langs, texts, strict=True):
+            for piece in re.split(r"[.,;:!?\n-\r]", text):
+                words = piece.split()
+                want.update((lang, " ".join(words[i : i + k])) for k in range(1, most + 1) for i in range(len(words) - k + 1))
+        for size in (1, 5, 100, 10**6):
+            got = Counter()
+            for b in co.phrase_rows(iter([batch, batch.slice(0, 0)]), most, size):
+                for lang, phrase, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    got[lang, phrase] += n
+            assert got == want
 
 
 def test_scores_of_more_than_64_bits(spark):
