@@ -32,7 +32,7 @@ TO_STOPS = bytes.maketrans(BREAKS, b"\n" * len(BREAKS))
 #: Words of a phrase; occurrences of a candidate; per cent of its occurrences within a longer one; phrases of a language.
 MOST, LEAST, COVER, TOP = 3, 10, 50, 2000
 #: Scores are in millionths. Words that a task counts at once. Parts in which a language is ranked before the whole.
-SCALE, BATCH, PARTS = 1_000_000, 2_000_000, 64
+SCALE, BATCH, PARTS = 1_000_000, 1_500_000, 64
 
 
 def counted(ids: np.ndarray, names: pa.Array, most: int, head: int = 0) -> Iterator[tuple[pa.Array, np.ndarray]]:
@@ -82,7 +82,6 @@ def phrase_rows(batches: Iterator[pa.RecordBatch], most: int = MOST, size: int =
                     yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(some)), some, pa.array(n[i : i + (1 << 16)])], names=["lang", "phrase", "n"])
         for x in (held, heads, ids):
             x.clear()
-        trim()
 
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
@@ -96,6 +95,7 @@ def phrase_rows(batches: Iterator[pa.RecordBatch], most: int = MOST, size: int =
                 tail = (tail + found)[-most + 1 :] if most > 1 else []
                 if words >= size:
                     yield from rows()
+                    trim()
                     ids.default_factory = count().__next__
                     ids[STOP]
                     heads[lang], words = len(tail), 0
@@ -103,6 +103,7 @@ def phrase_rows(batches: Iterator[pa.RecordBatch], most: int = MOST, size: int =
             held[lang].append(np.zeros(1, dtype=np.int64))
     if words:
         yield from rows()
+    trim()  # a worker that waits for its next task holds no batch
 
 
 def phrase_counts(docs: DataFrame, most: int = MOST, text: str = "text", lang: str = "lang", batch: int = BATCH) -> DataFrame:
