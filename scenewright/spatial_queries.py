@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scenewright.functions import geometry as G
-from scenewright.operators import alignment, matching, relations, visibility
+from scenewright.operators import alignment, calibration, matching, relations, visibility
 from scenewright.plans import compiler, errors, specs
 from scenewright.queries import query
 from scenewright.sources import views as V
@@ -250,3 +250,24 @@ def p14_gate_status(spark: SparkSession, sf: str) -> DataFrame:
         F.col("o_orderstatus").alias("batch"), F.coalesce(F.get(F.array(*[F.lit(c) for _, c in _CODES]), (F.col("o_orderkey") % (len(_CODES) + 3)).cast("int")), F.lit("G9-X00")).alias("code")
     )
     return errors.judged(found).groupBy("batch", "gate", "gate_status", "name").agg(F.count("*").alias("n"))
+
+
+# --- calibration ---
+
+_SCORES = """WITH s AS (SELECT l_returnflag, l_linenumber, (l_partkey % 101)/100.0::DOUBLE AS s, (l_orderkey*7 + l_suppkey*3) % 101 < l_partkey % 101 AS t FROM lineitem),
+  r AS (SELECT *, rank() OVER (PARTITION BY l_returnflag, l_linenumber ORDER BY s) + (count(*) OVER (PARTITION BY l_returnflag, l_linenumber, s) - 1)/2.0 AS r FROM s),
+  b AS (SELECT l_returnflag, l_linenumber, least(floor(s*10), 9) AS bin, abs(sum(s) - count(*) FILTER (t)) AS gap FROM s GROUP BY ALL),
+  e AS (SELECT l_returnflag, l_linenumber, sum(gap) AS gap FROM b GROUP BY ALL),
+  g AS (SELECT l_returnflag, l_linenumber, count(*) AS n, count(*) FILTER (t) AS p, count(*) FILTER (NOT t) AS q, sum(r) FILTER (t) AS rs, avg((s - t::INT)**2) AS brier FROM r GROUP BY ALL)"""
+
+
+@query(
+    _SCORES + " SELECT l_returnflag, l_linenumber, n AS n_rows, 0::BIGINT AS n_bad, p AS n_true, q AS n_false, CASE WHEN p > 0 AND q > 0 THEN round((rs - p*(p + 1)/2.0)/(p*q), 9) END AS auc, "
+    "round(brier, 9) AS brier, round(gap/n, 9) AS ece, CASE WHEN p = 0 OR q = 0 THEN 'one truth only' END AS err FROM g JOIN e USING (l_returnflag, l_linenumber)"
+)
+def a_calibration(spark: SparkSession, sf: str) -> DataFrame:
+    """How well a score foretells the truth, by scene and condition; the SQL takes the area from ranks."""
+    line, part = V.table(spark, sf, "lineitem"), F.col("l_partkey") % 101
+    rows = line.select("l_returnflag", "l_linenumber", (part / 100.0).alias("s"), ((F.col("l_orderkey") * 7 + F.col("l_suppkey") * 3) % 101 < part).alias("t"))
+    got = calibration.calibration(rows, ["l_returnflag", "l_linenumber"], "s", "t")
+    return got.withColumns({c: F.round(c, 9) for c in ("auc", "brier", "ece")})
