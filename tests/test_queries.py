@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 
 from oracle import rows_of, run_sql
-from scenewright import layer_queries, queries, spatial_queries  # noqa: F401
+from scenewright import document_queries, layer_queries, queries, spatial_queries  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
