@@ -506,12 +506,11 @@ def e5_fused_instances(spark: SparkSession, sf: str) -> DataFrame:
 def a17_purity_report(spark: SparkSession, sf: str) -> DataFrame:
     m = V.masks(spark, sf)
     f = entities.fuse_instances(m, V.pixels(spark, sf), [0]).join(m.select("instance_id", "label"), "instance_id")
-    return f.groupBy("label").agg(
-        F.count("*").alias("n"),
-        F.round(F.percentile("purity", F.lit(0.5)), 6).alias("median_purity"),
-        F.round(F.percentile("purity", F.lit(0.25)), 6).alias("p25_purity"),
-        F.round(F.avg((F.col("purity") < 0.6).cast("double")), 6).alias("low_share"),
-    )
+    f = readers.materialized(f.select("label", "purity"))
+    shares = f.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg((F.col("purity") < 0.6).cast("double")), 6).alias("low_share"))
+    for name, share in (("median_purity", 0.5), ("p25_purity", 0.25)):
+        shares = shares.join(entities.exact_percentile(f, ["label"], "purity", share, name).withColumn(name, F.round(name, 6)), "label")
+    return shares
 
 
 @query(
@@ -1161,9 +1160,9 @@ def a20_threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT p_brand AS phrase, max(p_retailprice) AS peak, round(quantile_cont(p_retailprice, 0.99), 6) AS p99 FROM part GROUP BY p_brand")
 def a21_phrase_peaks(spark: SparkSession, sf: str) -> DataFrame:
-    return V.table(spark, sf, "part").groupBy(F.col("p_brand").alias("phrase")).agg(
-        F.max("p_retailprice").alias("peak"), F.round(F.percentile("p_retailprice", F.lit(0.99)), 6).alias("p99"),
-    )
+    s = V.table(spark, sf, "part").select(F.col("p_brand").alias("phrase"), F.col("p_retailprice").alias("score"))
+    tails = entities.exact_percentile(s, ["phrase"], "score", 0.99, "p99")
+    return s.groupBy("phrase").agg(F.max("score").alias("peak")).join(tails, "phrase").select("phrase", "peak", F.round("p99", 6).alias("p99"))
 
 
 @query(
