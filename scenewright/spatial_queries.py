@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scenewright.functions import geometry as G
-from scenewright.operators import alignment, calibration, matching, relations, visibility
+from scenewright.operators import alignment, calibration, matching, relations, surfaces, visibility
 from scenewright.plans import compiler, errors, specs
 from scenewright.queries import query
 from scenewright.sources import views as V
@@ -271,3 +271,52 @@ def a_calibration(spark: SparkSession, sf: str) -> DataFrame:
     rows = line.select("l_returnflag", "l_linenumber", (part / 100.0).alias("s"), ((F.col("l_orderkey") * 7 + F.col("l_suppkey") * 3) % 101 < part).alias("t"))
     got = calibration.calibration(rows, ["l_returnflag", "l_linenumber"], "s", "t")
     return got.withColumns({c: F.round(c, 9) for c in ("auc", "brier", "ece")})
+
+
+# --- surfaces ---
+
+
+@query(
+    V.with_views(
+        """, c AS (SELECT pos, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, var_pop(x) AS a, var_pop(y) AS b, var_pop(z) AS c, covar_pop(x, y) AS d,
+    covar_pop(x, z) AS e, covar_pop(y, z) AS f FROM v_points GROUP BY pos),
+  q AS (SELECT *, (a+b+c)/3 AS q, d*d+e*e+f*f AS p1 FROM c), r AS (SELECT *, sqrt(((a-q)**2 + (b-q)**2 + (c-q)**2 + 2*p1)/6) AS p FROM q),
+  t AS (SELECT *, acos(greatest(-1.0, least(1.0, (((a-q)/p)*(((b-q)/p)*((c-q)/p) - (f/p)*(f/p)) - (d/p)*((d/p)*((c-q)/p) - (f/p)*(e/p)) + (e/p)*((d/p)*(f/p) -
+    ((b-q)/p)*(e/p)))/2)))/3 AS phi FROM r), l AS (SELECT *, q + 2*p*cos(phi + 2*pi()/3) AS low FROM t),
+  m AS (SELECT *, a - low AS aa, b - low AS bb, c - low AS cc FROM l),
+  k AS (SELECT *, [d*f - e*bb, e*d - aa*f, aa*bb - d*d] AS k1, [d*cc - e*f, e*e - aa*cc, aa*f - d*e] AS k2, [bb*cc - f*f, f*e - d*cc, d*f - bb*e] AS k3 FROM m),
+  s AS (SELECT *, list_inner_product(k1, k1) AS s1, list_inner_product(k2, k2) AS s2, list_inner_product(k3, k3) AS s3 FROM k),
+  u AS (SELECT *, CASE WHEN s1 >= s2 AND s1 >= s3 THEN k1 WHEN s2 >= s3 THEN k2 ELSE k3 END AS w, sqrt(greatest(s1, s2, s3)) AS size FROM s),
+  v AS (SELECT pos, n, low, mx, my, mz, [x / size * CASE WHEN w[3] < 0 THEN -1 ELSE 1 END FOR x IN w] AS v FROM u),
+  far AS (SELECT pos, quantile_cont(abs(v[1]*(x-mx) + v[2]*(y-my) + v[3]*(z-mz)), 0.95) AS p95 FROM v_points JOIN v USING (pos) GROUP BY pos)
+  SELECT pos, n, round(degrees(acos(v[3])), 4) AS slope_deg, round(degrees(atan2(v[1], v[2])), 4) AS aspect_deg, round(v[1]*mx + v[2]*my + v[3]*mz, 4) AS offset_m,
+    round(sqrt(low), 4) AS roughness_m, round(p95, 4) AS p95_m FROM v JOIN far USING (pos)""",
+        "points",
+    )
+)
+def l1_planes(spark: SparkSession, sf: str) -> DataFrame:
+    """Planes of least squares through the points of every object; the SQL finds the normal by the cubic formula and cross products."""
+    p = surfaces.planes(V.points(spark, sf), ["pos"], soft=0, hard=0)
+    return p.select(
+        "pos",
+        F.col("n_points").alias("n"),
+        *[F.round(c, 4).alias(c) for c in ("slope_deg", "aspect_deg", "offset_m", "roughness_m")],
+        F.round("planarity_residual_p95_m", 4).alias("p95_m"),
+    )
+
+
+@query(
+    V.with_views(
+        """, b AS (SELECT frame, min(y) - 1 AS y0, max(y) + 1 AS y1, min(x) - 1 AS x0, max(x) + 1 AS x1 FROM v_pixels GROUP BY frame),
+  g AS (SELECT frame, y, unnest(range(x0, x1 + 1)) AS x FROM (SELECT *, unnest(range(y0, y1 + 1)) AS y FROM b)),
+  o AS (SELECT g.* FROM g ANTI JOIN v_pixels p ON g.frame = p.frame AND g.y = p.y AND g.x = p.x),
+  d AS (SELECT p.frame, p.y, p.x, min((p.y - o.y)**2 + (p.x - o.x)**2) AS far2 FROM v_pixels p JOIN o ON p.frame = o.frame GROUP BY ALL),
+  k AS (SELECT *, count(*) OVER (PARTITION BY frame) AS n, row_number() OVER (PARTITION BY frame ORDER BY far2 DESC, y, x) AS r FROM d)
+  SELECT frame, n * 0.25 AS area_m2, y AS i, x AS j, round(sqrt(far2) * 0.5, 6) AS radius_m FROM k WHERE r = 1""",
+        "pixels",
+    )
+)
+def l1_inscribed_circles(spark: SparkSession, sf: str) -> DataFrame:
+    """The largest circle within the pixels that each frame has, half a metre a pixel; the SQL compares every pixel with every missing one."""
+    cells = V.pixels(spark, sf).select("frame", F.col("y").alias("i"), F.col("x").alias("j"))
+    return surfaces.inscribed_circles(cells, ["frame"], 0.5).withColumn("radius_m", F.round("radius_m", 6))
