@@ -1,12 +1,15 @@
-"""Queries over JSON documents: places of open documents, and documents against schemas, with their SQL."""
+"""Queries over documents and cloud files: places of open JSON, documents against schemas, points through texts, with their SQL."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scenewright.plans import schemas, shapes
 from scenewright.queries import query
+from scenewright.sources import clouds, readers
 from scenewright.sources import views as V
 
 #: One expression for both engines: a document of an event around its own properties.
@@ -75,3 +78,19 @@ def v2_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Whole documents of the relation layer against their schema: keys that are missing or not allowed, kinds, words, patterns and bounds at every depth."""
     docs = V.table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.expr(_LAYER).alias("content"))
     return schemas.issues(docs, shapes.RELATIONS, "k")
+
+
+@query(
+    V.with_views(
+        " SELECT CAST(floor(x / 5) AS BIGINT) AS cell, count(*) AS n, round(avg(y), 6) AS y, round(max(z), 6) AS z, CAST(sum(i) AS BIGINT) AS intensity FROM v_points GROUP BY 1",
+        "points",
+    )
+)
+def s5_cloud_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Points of every object written as text and read again as a cloud of four numbers a line."""
+    folder = f"{readers.shared_folder(spark)}/clouds-{uuid.uuid4().hex}"
+    V.points(spark, sf).select(F.concat_ws(" ", "x", "y", "z", "i")).write.text(folder)
+    c = clouds.read_texts(spark, folder, "ascii_xyzi").filter("err IS NULL")
+    return c.groupBy(F.floor(F.col("x") / 5).alias("cell")).agg(
+        F.count("*").alias("n"), F.round(F.avg("y"), 6).alias("y"), F.round(F.max("z"), 6).alias("z"), F.sum("intensity").cast("bigint").alias("intensity"),
+    )

@@ -164,12 +164,23 @@ def write_records(compiled: DataFrame, path: str) -> None:
     compiled.write.mode("errorifexists").partitionBy("status").parquet(path)
 
 
-def materialized(df: DataFrame) -> DataFrame:
-    """df written once as a checkpoint in the folder of spark.checkpoint.dir, for plans that several others start from. Only in a local session where that is unset, the folder is a temporary one."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, in which files between steps lie. Only in a local session where that is unset, it is a temporary one."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        found = spark.conf.get("spark.checkpoint.dir", None)
         if not found and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(found or tempfile.mkdtemp(prefix="scenewright-"))
+    return context.getCheckpointDir()
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """df written once as a checkpoint in the shared folder, for plans that several others start from."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """uri and content of JSON files, one document each and whole, for plans/schemas.py."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("uri"), F.col("value").alias("content"))

@@ -7,6 +7,7 @@ import json
 import pytest
 
 from scenewright.plans import answers, schemas, shapes
+from scenewright.sources import readers
 
 SHA = "0" * 64
 PLACE = {"source_frames": ["f1"], "producers": ["p"]}
@@ -204,3 +205,10 @@ def test_walk_equals_a_recursive_walk(spark):
     assert sorted(map(str, want)) == sorted(str((r.k, r.path, r.text, r.num, r.deeper)) for r in got)
     deep = schemas.walk(spark.createDataFrame([(0, "[[[1]]]")], "k int, content string"), "k", depth=2).collect()
     assert [(r.path, r.deeper) for r in sorted(deep, key=lambda r: r.path)] == [("[0]", False), ("[0][0]", True)]
+
+
+def test_whole_documents_are_read(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps(GOOD["l0_geometry"], indent=2))
+    (tmp_path / "b.json").write_text(json.dumps(GOOD["l0_geometry"] | {"unit": "feet"}, indent=2))
+    got = schemas.issues(readers.read_documents(spark, str(tmp_path)), shapes.GEOMETRY, "uri").collect()
+    assert [(r.uri.rpartition("/")[2], r.path, r.rule) for r in got] == [("b.json", "unit", "enum")]
