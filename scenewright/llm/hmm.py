@@ -8,8 +8,9 @@ of a text is that of its classes under the states times these shares.
 
 Texts are read once: every task writes its documents in chunks of about CHUNK bytes, as numbers of the chunk's own
 list of words. Word counts are summed over all chunks and come back to each chunk for its own words, so no task and
-not the driver holds the vocabulary, and no text is shuffled. The states' first values come from a bounded sample of training documents;
-each Baum-Welch round then sums expected counts, as many as states times classes, over all training documents.
+not the driver holds the vocabulary, and no text is shuffled. The states' first values come from counts over all training
+documents of what stands before and after each class; each Baum-Welch round then sums expected counts, as many as states
+times classes, over all training documents.
 Chunks follow the input's own partitions, so no id or key decides their size.
 """
 
@@ -22,7 +23,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,10 +35,12 @@ STATES, ROUNDS = 6, 2
 OWN, LEAST = 20_000, 50
 #: Other words share at least SHARED classes, else as many as the root of the number of distinct words.
 SHARED = 512
-#: Bytes of text to a chunk; words of a document that the recursions go through one after the other.
-CHUNK, PIECE = 8 << 20, 2_048
-#: The first values: about so many whole training documents, fewer if they are so long that they have more than SAMPLE_TOKENS; rounds over them.
-SAMPLE, SAMPLE_TOKENS, SAMPLE_ROUNDS = 1_500, 1 << 20, 10
+#: Bytes of text to a chunk; words of a document that the recursions go through one after the other; rows of a batch that are
+#: bytes at a time; words of documents that are gone through side by side.
+CHUNK, PIECE, ROWS, SIDE = 8 << 20, 2_048, 256, 500_000
+#: The first values: buckets of classes before and after a class, half of them for the most frequent; random starts of the
+#: factors of their counts, steps of each; share of moves that stay in a state.
+NEAR, STARTS, STEPS, STAY = 32, 16, 60, 0.9
 #: Expected counts that every state has of its own accord; significant digits of a probability and decimals of a score, which
 #: leave nothing of the order in which sums were taken.
 SMOOTH, DIGITS, DECIMALS = 0.1, 6, 6
@@ -222,10 +224,10 @@ def held_out(doc_id: str = "doc_id"):
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(7)) == HELD_OUT
 
 
-CHUNKS = "chunk long, ids array<long>, held array<boolean>, marks array<long>, lens array<long>, tokens binary, words array<binary>, shapes array<int>, counts array<long>"
+CHUNKS = "chunk long, ids array<long>, held array<boolean>, lens array<long>, tokens binary, words array<binary>, shapes array<int>, counts array<long>"
 _CHUNKS = pa.schema([
-    ("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("marks", pa.list_(pa.int64())),
-    ("lens", pa.list_(pa.int64())), ("tokens", pa.binary()), ("words", pa.list_(pa.binary())), ("shapes", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64())),
+    ("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lens", pa.list_(pa.int64())),
+    ("tokens", pa.binary()), ("words", pa.list_(pa.binary())), ("shapes", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64())),
 ])
 
 
@@ -233,7 +235,7 @@ class Chunk:
     """Documents under way into one row: each token as the number of its word in the chunk's own list."""
 
     def __init__(self):
-        self.ids, self.held, self.marks, self.lens, self.tokens, self.size = [], [], [], [], [], 0
+        self.ids, self.held, self.lens, self.tokens, self.size = [], [], [], [], 0
         self.index: defaultdict[bytes, int] = defaultdict()
         self.index.default_factory = self.index.__len__
 
@@ -245,83 +247,108 @@ class Chunk:
         self.tokens.append(np.array([number(END)], dtype=np.uint32))
         self.ids.append(doc)
         self.held.append(held)
-        self.marks.append(xxhash.xxh64_intdigest(text, seed=7 if doc is None else doc & (1 << 64) - 1) >> 32)
         self.lens.append(n)
         self.size += len(text) + 1
 
     def row(self, chunk: int) -> pa.RecordBatch:
         tokens = np.concatenate(self.tokens)
         counts = np.bincount(tokens[np.repeat(~np.array(self.held), self.lens)], minlength=len(self.index))
-        made = {
-            "chunk": chunk,
-            "ids": self.ids,
-            "held": self.held,
-            "marks": self.marks,
-            "lens": self.lens,
-            "tokens": zstandard.compress(tokens.tobytes(), 1),
-            "words": list(self.index),
-            "shapes": list(map(shape, self.index)),
-            "counts": counts,
-        }
-        return pa.RecordBatch.from_pylist([made], schema=_CHUNKS)
+        shapes = np.fromiter(map(shape, self.index), dtype=np.int32, count=len(self.index))
+        words = pa.array(self.index.keys(), pa.binary(), size=len(self.index))
+        lists = [pa.array(self.ids, pa.int64()), pa.array(self.held), pa.array(self.lens, pa.int64()), words, pa.array(shapes), pa.array(counts)]
+        ids, held, lens, words, shapes, counts = (pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists)
+        made = [pa.array([chunk], pa.int64()), ids, held, lens, pa.array([zstandard.compress(tokens.tobytes(), 1)]), words, shapes, counts]
+        return pa.RecordBatch.from_arrays(made, schema=_CHUNKS)
 
 
 def chunks(rows: DataFrame) -> DataFrame:
-    """One row for about CHUNK bytes of text of one task: its documents' ids, folds, marks (a hash of id and text), lengths and tokens, and its words with their training counts."""
+    """One row for about CHUNK bytes of text of one task: its documents' ids, folds, lengths and tokens, and its words with their training counts."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         at, now = TaskContext.get().partitionId() << 32, Chunk()
         for b in batches:
-            for doc, out, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), utf8(b.column(1)), strict=True):
-                now.add(doc, out, text)
-                if now.size >= CHUNK:
-                    yield now.row(at)
-                    at, now = at + 1, Chunk()
-                    trim()
+            for some in (b.slice(i, ROWS) for i in range(0, b.num_rows, ROWS)):
+                for doc, out, text in zip(some.column(0).to_pylist(), some.column(2).to_pylist(), utf8(some.column(1)), strict=True):
+                    now.add(doc, out, text)
+                    if now.size >= CHUNK:
+                        made, at, now = now.row(at), at + 1, Chunk()
+                        yield made
+                        del made
+                        trim()
         if now.ids:
             yield now.row(at)
+        b = some = text = now = None
+        trim()  # a worker that waits for its next task holds no chunk
 
     return rows.select("doc_id", "text", "held_out").mapInArrow(read, CHUNKS)
 
 
-READ = ("held", "marks", "lens", "tokens", "words", "shapes")
+READ = ("held", "lens", "tokens", "words", "shapes")
 
 
-def _training(batch: pa.RecordBatch, classes: Classes) -> Iterator[tuple[int, np.ndarray]]:
-    """(mark, classes) of the training documents of rows with the columns READ."""
+def _training(batch: pa.RecordBatch, classes: Classes) -> Iterator[np.ndarray]:
+    """The classes of each training document of rows with the columns READ."""
     for i in range(batch.num_rows):
-        held, marks, lens, tokens, words, shapes = (batch.column(n)[i] for n in READ)
+        held, lens, tokens, words, shapes = (batch.column(n)[i] for n in READ)
         of = classes.all_of(words.values, shapes.values.to_numpy())[np.frombuffer(zstandard.decompress(tokens.as_buffer()), dtype=np.uint32)]
         n = lens.values.to_numpy()
         end = np.cumsum(n)
-        for out, mark, a, b in zip(held.as_py(), marks.as_py(), (end - n).tolist(), end.tolist(), strict=True):
+        for out, a, b in zip(held.as_py(), (end - n).tolist(), end.tolist(), strict=True):
             if not out:
-                yield mark, of[a:b]
+                yield of[a:b]
 
 
-def first_model(made: DataFrame, classes: Classes, prior: np.ndarray, states: int, documents: int, tokens: int) -> Model:
-    """The model that a bounded sample of whole training documents gives, those with the smallest marks; equal ones have equal texts."""
-    most = max(1, min(SAMPLE, SAMPLE_TOKENS * documents // max(tokens, 1)))
-    bound = int(min(1.0, 2 * most / max(documents, 1)) * (1 << 32))
+def neighbours(made: DataFrame, classes: Classes) -> np.ndarray:
+    """(classes, 2 NEAR): how often a class of each bucket follows and precedes each class, over all training documents."""
 
-    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bucket(c: np.ndarray) -> np.ndarray:
+        return np.where(c < NEAR // 2, c, NEAR // 2 + c % (NEAR // 2))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(classes.n * 2 * NEAR, dtype=np.int64)
         for b in batches:
-            found = [(m, d.tobytes()) for m, d in _training(b, classes) if m <= bound]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([m for m, _ in found], pa.int64()), pa.array([d for _, d in found], pa.binary())], names=["mark", "classes"]
-            )
+            for run in _batches(_training(b, classes), SIDE):
+                of, row = np.concatenate(run), np.repeat(np.arange(len(run)), [len(d) for d in run])
+                on = np.flatnonzero(row[:-1] == row[1:])
+                x, y = of[on].astype(np.int64), of[on + 1].astype(np.int64)
+                for cell in (x * 2 * NEAR + bucket(y), y * 2 * NEAR + NEAR + bucket(x)):
+                    total += np.bincount(cell, minlength=len(total))
+        there = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(total[there])], names=["i", "n"])
+        trim()
+
+    got = made.select(*READ).mapInArrow(counted, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(classes.n * 2 * NEAR)
+    out[got.column("i").to_numpy()] = got.column("n").to_numpy()
+    return out.reshape(classes.n, 2 * NEAR)
 
-    picked = made.select(*READ).mapInArrow(sampled, "mark long, classes binary").orderBy("mark", "classes").limit(most).collect()
-    sample = [np.frombuffer(bytes(r["classes"]), dtype=np.int32) for r in picked]
-    rng = np.random.default_rng(7)
-    move = np.full((states, states), 0.1 / states) + 0.9 * np.eye(states)
-    emit = prior * rng.gamma(1.0, 1.0, (states, classes.n)).clip(0.05)
-    model = Model(np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=1, keepdims=True))
-    for _ in range(SAMPLE_ROUNDS if sample else 0):
-        model = Model.from_counts(*model.expected(sample), prior)
-    return model
+
+def first_model(made: DataFrame, classes: Classes, prior: np.ndarray, states: int) -> Model:
+    """The model whose states are what best explains the neighbours of all classes, of STARTS random starts.
+
+    The counts are factored into shares of the states in each class and of the buckets in each state, by expectation
+    and maximization. They are whole numbers, so the order in which Spark sums them doesn't matter.
+    """
+    x = neighbours(made, classes)
+    n, best = x.sum(axis=1) + 1, (-np.inf, None)
+    for seed in range(STARTS):
+        rng = np.random.default_rng(seed)
+        p, q = rng.gamma(1.0, 1.0, (classes.n, states)).clip(0.05), rng.gamma(5.0, 1.0, (states, x.shape[1])) * (x.sum(axis=0) + 1)
+        for step in range(STEPS + 1):
+            p, q = p / p.sum(axis=1, keepdims=True), q / q.sum(axis=1, keepdims=True)
+            if step < STEPS:
+                r = x / (p @ q)
+                p, q = p * (r @ q.T), q * (p.T @ r) + 1e-3
+                p += (p.sum(axis=0) + 1e-9) / (p.sum() + 1e-9) * SMOOTH
+        fit = float((x * np.log(p @ q)).sum())
+        if fit > best[0]:
+            best = fit, p
+    weight = best[1] * n[:, None]
+    share = (weight.sum(axis=0) / weight.sum())[None, :]
+    emit = weight.T + SMOOTH * states * prior
+    return Model(share[0], (1 - STAY) * np.repeat(share, states, axis=0) + STAY * np.eye(states), emit / emit.sum(axis=1, keepdims=True))
 
 
 def one_round(made: DataFrame, model: Model, classes: Classes, prior: np.ndarray) -> Model:
@@ -332,7 +359,7 @@ def one_round(made: DataFrame, model: Model, classes: Classes, prior: np.ndarray
         total = None
         for b in batches:
             for i in range(b.num_rows):
-                for run in _batches((d for _, d in _training(b.slice(i, 1), classes)), 2_000_000):
+                for run in _batches(_training(b.slice(i, 1), classes), SIDE):
                     found = model.expected(run)
                     total = found if total is None else tuple(x + y for x, y in zip(total, found, strict=True))
                 trim()
@@ -340,6 +367,7 @@ def one_round(made: DataFrame, model: Model, classes: Classes, prior: np.ndarray
             flat = np.concatenate([x.ravel() for x in total])
             there = np.flatnonzero(flat)
             yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(flat[there])], names=["i", "x"])
+        trim()
 
     got = made.select(*READ).mapInArrow(step, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
     if not got:
@@ -352,9 +380,9 @@ def one_round(made: DataFrame, model: Model, classes: Classes, prior: np.ndarray
 
 
 def train(
-    made: DataFrame, vocabulary: DataFrame, documents: int, tokens: int, distinct: int, states: int = STATES, rounds: int = ROUNDS,
+    made: DataFrame, vocabulary: DataFrame, tokens: int, distinct: int, states: int = STATES, rounds: int = ROUNDS,
 ) -> tuple[Model, Classes, np.ndarray, np.ndarray]:
-    """Model, classes, and each class's training count and number of distinct words. documents, tokens, distinct: of the training fold."""
+    """Model, classes, and each class's training count and number of distinct words. tokens, distinct: of the training fold."""
     least, shared = class_sizes(tokens, distinct)
     top = vocabulary.filter(F.col("word") != F.lit(END)).filter(F.col("c") >= least).select("c", "word").collect()  # at most OWN
     classes = Classes([bytes(r["word"]) for r in sorted(top, key=lambda r: (-r["c"], bytes(r["word"])))], shared)
@@ -372,7 +400,7 @@ def train(
     for r in sums:
         n[r["class"]], v[r["class"]] = r["n"], r["v"]
     prior = (n + 1) / (n + 1).sum()
-    model = first_model(made, classes, prior, states, documents, tokens)
+    model = first_model(made, classes, prior, states)
     for _ in range(rounds):
         model = one_round(made, model, classes, prior)
     return model, classes, n, v
@@ -411,13 +439,9 @@ def score_documents(docs: DataFrame, text: str = "text", states: int = STATES, r
     counted = stored(rows, "lm-words")
     vocabulary = counted.filter("word is not null").select("word", "c", "shape")
     release(spark)
-    sums = vocabulary.agg(
-        F.coalesce(F.sum("c"), F.lit(0)).alias("n"),
-        F.count_if(F.col("c") > 0).alias("v"),
-        F.coalesce(F.max(F.when(F.col("word") == F.lit(END), F.col("c"))), F.lit(0)).alias("documents"),
-    ).first()
+    sums = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     n_all, v_all = int(sums["n"]), int(sums["v"])
-    model, classes, n_class, v_class = train(made, vocabulary, int(sums["documents"]), n_all, v_all, states, rounds)
+    model, classes, n_class, v_class = train(made, vocabulary, n_all, v_all, states, rounds)
     release(spark)
     asked = counted.select("of", "k", "c")
     end_share = np.log10((n_class + v_class + 1).clip(1))
@@ -449,7 +473,7 @@ def score_documents(docs: DataFrame, text: str = "text", states: int = STATES, r
                 }
             )
         done = 0
-        for run in _batches((of[tokens[b - n : b]] for n, b in zip(r["lens"], end.tolist(), strict=True)), 2_000_000):
+        for run in _batches((of[tokens[b - n : b]] for n, b in zip(r["lens"], end.tolist(), strict=True)), SIDE):
             for x in model.forward(run):
                 out[done]["score"] = round(out[done]["score"] + float(x), DECIMALS)
                 done += 1

@@ -886,6 +886,32 @@ def test_whole_scores_equal_a_plain_model(spark, docs, rows, monkeypatch):
         assert got[d] == pytest.approx(share + plain_forward(model, [*map(classes.of, ws)]), abs=1e-5)
 
 
+def test_first_values_come_from_all_training_documents(spark):
+    """More documents than a sample would hold: every neighbour of every training document is counted, and each counts in the model."""
+    rng = np.random.default_rng(2)
+    texts = {i: rng.choice(list("abcdefgh"), rng.integers(0, 9)).tolist() for i in range(4_000)}
+    cls = hmm.Classes([bytes([x]) for x in b"abcdefgh"])
+
+    def made(texts):
+        df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string").repartition(5)
+        return hmm.chunks(df.withColumn("held_out", hmm.held_out()))
+
+    want = np.zeros((cls.n, 2 * hmm.NEAR))
+    for i, t in texts.items():
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            of = [*(cls.of(w.encode()) for w in t), 0]
+            for x, y in zip(of, of[1:], strict=False):
+                want[x, y] += 1
+                want[y, hmm.NEAR + x] += 1
+    assert (hmm.neighbours(made(texts), cls) == want).all()
+    prior = np.full(cls.n, 1 / cls.n)
+    model = hmm.first_model(made(texts), cls, prior, 3)
+    other = hmm.first_model(made({i: t if i % 4 else sorted(t) for i, t in texts.items()}), cls, prior, 3)
+    assert abs(model.emit - other.emit).max() > 1e-4
+    for m in (model.start, model.move, model.emit):
+        assert np.allclose(m.sum(axis=-1), 1)
+
+
 def test_scores_are_the_same_under_another_partitioning(docs):
     a, b = (sorted((r["doc_id"], r["score"]) for r in hmm.score_documents(d).collect()) for d in (docs, docs.repartition(7, "text")))
     assert a == b
