@@ -1,4 +1,5 @@
-"""Near copies: banded MinHash over runs of five words finds candidates, their Jaccard similarity is then verified."""
+"""Near copies: SimHash fingerprints over runs of five words find candidates, banded MinHash those that lie too many bits
+apart for fingerprints; the Jaccard similarity of all of them is then verified."""
 
 from __future__ import annotations
 
@@ -13,9 +14,12 @@ from pyspark.sql import functions as F
 
 from scenewright.llm.common import row_keys, stored, texts_of, utf8, word_runs
 from scenewright.llm.components import components
+from scenewright.llm.simhash import fingerprint_links, fingerprint_of
 
 #: Words of a shingle; the similarity from which two texts are near copies.
 WIDTH, ALIKE = 5, 0.8
+#: Bits by which linked SimHash fingerprints differ at most.
+RADIUS = 2
 #: Bands of a signature and minima of a band: a pair at 0.8 shares none with a probability of 3e-5.
 BANDS, ROWS = 20, 4
 #: Texts of a bucket that are compared pair by pair; texts of a larger one that all others are first compared with.
@@ -72,18 +76,18 @@ def _signed(x: np.ndarray | int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, x and y (common.row_keys of the text), node (equal for equal words), n (distinct shingles) and keys of every row."""
+    """doc_id, x and y (common.row_keys of the text), node (equal for equal words), n (distinct shingles), print (SimHash fingerprint of these) and keys of every row."""
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(node, len(of), _signed(band_keys(of))) for node, of in map(shingles, utf8(b.column(3)))]
-            nodes = _signed(np.array([x[0] for x in found], dtype=np.uint64))
-            made = [pa.array(nodes), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], *made], names=["doc_id", "x", "y", "node", "n", "keys"])
+            found = [(node, len(of), fingerprint_of(of), _signed(band_keys(of))) for node, of in map(shingles, utf8(b.column(3)))]
+            nodes, prints = (pa.array(_signed(np.array([x[i] for x in found], dtype=np.uint64))) for i in (0, 2))
+            made = [nodes, pa.array([x[1] for x in found], pa.int64()), prints, pa.array([x[3] for x in found], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *made], names=["doc_id", "x", "y", "node", "n", "print", "keys"])
 
     x, y = row_keys(F.col(f"`{text}`"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), x.alias("x"), y.alias("y"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    return rows.mapInArrow(sketched, "doc_id long, x long, y long, node long, n long, keys array<long>")
+    return rows.mapInArrow(sketched, "doc_id long, x long, y long, node long, n long, print long, keys array<long>")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -117,6 +121,20 @@ def _pairs(few: DataFrame) -> DataFrame:
     return x.join(y, "key").filter(F.col("a") < F.col("b")).filter(_near_in_size("na", "nb")).select("a", "b")
 
 
+def _bit_pairs(one: DataFrame) -> DataFrame:
+    """(a, b): texts whose fingerprints lie within RADIUS, as many as join all whose fingerprints such links join.
+
+    one: node, n, print. Texts of one fingerprint meet the smallest of them, which stands for them in links to others.
+    """
+    prints = stored(one.groupBy("print").agg(F.min(F.struct("node", "n")).alias("first")), "near-prints")
+    links = fingerprint_links(prints.select(F.col("print").alias("fingerprint")), RADIUS)
+    x, y = (prints.select(F.col("print").alias(k), F.col("first").alias(f"of_{k}")) for k in ("a", "b"))
+    across = links.join(x, "a").join(y, "b").select("of_a", "of_b")
+    within = one.join(prints, "print").filter("node != first.node").select("first", F.struct("node", "n"))
+    met = across.union(within).filter(_near_in_size("of_a.n", "of_b.n"))
+    return met.select(F.least("of_a.node", "of_b.node").alias("a"), F.greatest("of_a.node", "of_b.node").alias("b"))
+
+
 def _rare_pairs(members: DataFrame, by: list[str], sets: DataFrame, within: bool, name: str) -> DataFrame:
     """(a, b): members (by, node, side) of sides 0 and 1, and with within also two of side 0, that share one of their rarest shingles.
 
@@ -158,7 +176,8 @@ def _between(stars: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
 def near_links(found: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     """(a, b): nodes whose shingles have a Jaccard similarity of at least ALIKE, as many as join all nodes that such pairs join.
 
-    Texts that share a band meet in its bucket. Buckets of up to PAIRWISE are compared pair by pair. Members of larger
+    Texts whose SimHash fingerprints lie within RADIUS meet (covering LSH, simhash.fingerprint_links). Near copies at ALIKE
+    may lie further apart than fingerprints can be linked, so texts that share a MinHash band meet too, in its bucket. Buckets of up to PAIRWISE are compared pair by pair. Members of larger
     ones meet again where they share two bands that are both large. Of what is still large, a few members are centres
     that all others are compared with; those unlike every centre of their bucket take twice as many centres from among
     themselves. What is left after ROUNDS meets the members of its buckets by rarest shingles. Two texts like two
@@ -171,7 +190,8 @@ def near_links(found: DataFrame, docs: DataFrame, text: str = "text") -> DataFra
     twos = F.flatten(F.transform("k", lambda x, i: F.transform(F.slice(F.col("k"), i + 2, F.size("k")), lambda y: F.xxhash64(x, y))))
     again = _met(large.select("node", "n", F.explode(twos).alias("key")), "near-twos")
     few = F.col("members") <= PAIRWISE
-    pairs = stored(_pairs(met.filter(few)).union(_pairs(again.filter(few))).distinct(), "near-pairs")
+    pairs = _pairs(met.filter(few)).union(_pairs(again.filter(few))).union(_bit_pairs(one.select("node", "n", "print")))
+    pairs = stored(pairs.distinct(), "near-pairs")
     whole = stored(again.filter(~few).select("key", "node", "n"), "near-large")
 
     need = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(whole.select("node")).distinct(), "near-need")

@@ -19,6 +19,25 @@ BITS = 64
 PAIRWISE = 32
 
 
+def _bit_counts(h: np.ndarray) -> np.ndarray:
+    """How often each bit is set in unsigned 64-bit hashes."""
+    counts = np.zeros(BITS, dtype=np.int64)
+    for at in range(0, len(h), 1 << 15):
+        bits = np.unpackbits(h[at : at + (1 << 15)].view(np.uint8), bitorder="little").reshape(-1, BITS)
+        counts += bits.sum(axis=0, dtype=np.uint32)
+    return counts
+
+
+def majority(counts: np.ndarray, n: int) -> int:
+    """The fingerprint: bit b is set if it is set in over half of n hashes."""
+    return int(sum(1 << int(b) for b in np.flatnonzero(2 * counts > n)))
+
+
+def fingerprint_of(h: np.ndarray) -> int:
+    """The fingerprint of hashes that are there already; of none: zero."""
+    return majority(_bit_counts(h), len(h))
+
+
 def _hash_counts(runs: Iterator[list[bytes]], width: int) -> tuple[np.ndarray, int]:
     """How often each bit is set in the hashes of all shingles, and the number of shingles."""
     hashed = partial(xxhash.xxh64_intdigest, seed=42)
@@ -29,14 +48,12 @@ def _hash_counts(runs: Iterator[list[bytes]], width: int) -> tuple[np.ndarray, i
             m = len(words) - width + 1
             shingles = map(b" ".join, zip(*(words[i : i + m] for i in range(width)), strict=True))
             h = np.fromiter(map(hashed, shingles), dtype=np.uint64, count=m)
-            for at in range(0, m, 1 << 15):
-                bits = np.unpackbits(h[at : at + (1 << 15)].view(np.uint8), bitorder="little").reshape(-1, BITS)
-                counts += bits.sum(axis=0, dtype=np.uint32)
+            counts += _bit_counts(h)
             n += m
         tail = words[-(width - 1) :] if width > 1 else []
     if not n and tail:
         h = np.array([hashed(b" ".join(tail))], dtype=np.uint64)
-        counts, n = counts + np.unpackbits(h.view(np.uint8), bitorder="little"), 1
+        counts, n = counts + _bit_counts(h), 1
     return counts, n
 
 
@@ -44,7 +61,7 @@ def fingerprint(text: bytes, width: int) -> int:
     """Bit b is set if it is set in over half of the XXH64 (seed 42) of all shingles of width lower-cased words,
     repeats included. Fewer words than width are one shingle; no words: zero."""
     counts, n = _hash_counts(word_runs(text.lower()), width)
-    return int(sum(1 << int(b) for b in np.flatnonzero(2 * counts > n))) if n else 0
+    return majority(counts, n)
 
 
 def fingerprints(docs: DataFrame, width: int = 3, text: str = "text") -> DataFrame:

@@ -66,6 +66,28 @@ def test_edited_copies_beyond_two_bits_go(spark, copies):
     assert kept == sorted(set(want.values()))
 
 
+def test_fingerprints_alone_find_what_lies_within_two_bits(spark, monkeypatch, copies):
+    """Without any band, near copies whose fingerprints are linked still meet; the stage's SimHash step is there."""
+    monkeypatch.setattr(near_copies, "band_keys", lambda of: of[:0])
+    texts = {i: t for i, t in copies.items() if i < 40}
+    texts |= {300 + i: t + " at" for i, t in texts.items()}
+    prints = {i: near_copies.fingerprint_of(near_copies.shingles(t.encode())[1]) for i, t in texts.items()}
+    near = {
+        (i, j) for i in texts for j in texts if i < j and (prints[i] ^ prints[j]).bit_count() <= 2
+        and 5 * len(plain_shingles(texts[i]) & plain_shingles(texts[j])) >= 4 * len(plain_shingles(texts[i]) | plain_shingles(texts[j]))
+    }
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_groups(frame(spark, texts)).collect()}
+    assert near_copies.sketches(frame(spark, texts)).filter("size(keys) > 0").isEmpty()
+    assert len(near) >= 10 and all(got[i] == got[j] for i, j in near)
+
+
+def test_equal_fingerprints_are_no_proof(spark, monkeypatch, copies):
+    """Texts of one fingerprint are compared like any others."""
+    monkeypatch.setattr(near_copies, "fingerprint_of", lambda of: 5)
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_groups(frame(spark, copies)).collect()}
+    assert got == plain_groups(copies)
+
+
 @pytest.mark.parametrize("pairwise", [2, 8])
 def test_large_buckets(spark, monkeypatch, pairwise):
     """A group of near copies and one of texts that share half their words and are no copies, both above the bound."""
