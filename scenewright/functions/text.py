@@ -106,7 +106,8 @@ def short_hash(*parts: Column) -> Column:
 def six_digits(x: Column) -> Column:
     """A number with six significant digits and no needless zeros; what lies halfway in its shortest decimal form goes up."""
     text = F.format_string("%.6g", x.cast("double"))
-    return F.when(x.cast("double") == 0, F.lit("0")).otherwise(F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+($|e)", "$1$2"), r"\.($|e)", "$1"))
+    short = F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+($|e)", "$1$2"), r"\.($|e)", "$1")
+    return F.when(x.cast("double") == 0, F.lit("0")).when(x.isNotNull(), short)  # a format would write null as a word
 
 
 def json_object(text: Column) -> Column:

@@ -24,8 +24,13 @@ def _key(path: Column) -> Column:
     return F.regexp_replace(F.substring_index(path, ".", -1), r"\[.*", "")
 
 
-def atoms(target: Column, kind: DataType, program: str | None = None, keep_ids: Column | bool = True) -> Column:
-    """Strings to look for: ids, long strings and specific numbers of a target. keep_ids false: ids are visible by design."""
+def atoms(
+    target: Column, kind: DataType, program: str | None = None, keep_ids: Column | bool = True, least_number: int = LEAST_NUMBER,
+) -> Column:
+    """Strings to look for: ids, long strings and specific numbers of a target. keep_ids false: ids are visible by design.
+
+    least_number 1: numbers of any length, for a payload whose only number is the one that may be the answer.
+    """
     found = projection.leaves(target, kind)
     telling = F.filter(found, lambda x: ~_key(x["path"]).isin(*NO_ANSWER) & ~_key(x["path"]).rlike("(?:" + "|".join(NO_ANSWER_SUFFIX) + ")$"))
     number = lambda x: T.six_digits(x["num"])
@@ -34,7 +39,7 @@ def atoms(target: Column, kind: DataType, program: str | None = None, keep_ids:
     def atom(x: Column) -> Column:
         is_id = x["text"].rlike(ANY_ID)
         text = F.when(is_id, F.when(ids, x["text"])).when(F.length(x["text"]) >= LEAST_TEXT, x["text"])
-        num = F.when(F.length(F.regexp_replace(number(x), "^-+", "")) >= LEAST_NUMBER, number(x))
+        num = F.when(F.length(F.regexp_replace(number(x), "^-+", "")) >= least_number, number(x))
         return F.coalesce(text, num)
 
     out = F.array_distinct(F.array_compact(F.transform(telling, atom)))

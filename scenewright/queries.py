@@ -987,7 +987,7 @@ def p1_masked_candidates(spark: SparkSession, sf: str) -> DataFrame:
     )
 )
 def f11_leakage_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """A category text that holds the distance it should hide, in every other object; where it was found."""
+    """Whether a category text holds the distance it should hide, whole metres of one or two digits too; null where there is no distance."""
     d = G.distance(xyz(), G.vec(*EYE))
     o = V.objects(spark, sf).select(
         "object_id",
@@ -998,8 +998,9 @@ def f11_leakage_scan(spark: SparkSession, sf: str) -> DataFrame:
         ).alias("payload"),
         F.struct(F.round(d, 4).alias("minimum_distance"), F.lit("minimum_distance").alias("target_type")).alias("target"),
     )
-    found = leakage.findings(F.col("payload"), o.schema["payload"].dataType, leakage.atoms(F.col("target"), o.schema["target"].dataType))
-    return o.select("object_id", (F.size(found) > 0).alias("leaks"))
+    wanted = leakage.atoms(F.col("target"), o.schema["target"].dataType, least_number=1)
+    found = leakage.findings(F.col("payload"), o.schema["payload"].dataType, wanted)
+    return o.select("object_id", F.when(F.col("payload.category").isNotNull(), F.size(found) > 0).alias("leaks"))
 
 
 @query(
