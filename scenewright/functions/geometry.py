@@ -7,11 +7,14 @@ NaN and infinity count as bad input everywhere, because Spark orders NaN above a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 #: Tolerances of "all close" and of a vector that counts as zero.
 RTOL, ATOL, TINY = 1e-5, 1e-8, 1e-8
@@ -84,6 +87,26 @@ def outcome(value: Column, *checks: tuple[Column, str]) -> Column:
     return F.struct(F.when(err.isNull(), value).alias("value"), err.alias("err"))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """x to so many decimals as SQL engines and C do it: x times the power of ten, halves away from zero, divided again.
+
+    Spark's own round goes by the shortest decimal form of x, and so differs once that has no digits left after the half.
+    """
+    power = 10.0**digits
+    r = F.round(x * power) / power
+    return F.when(F.abs(r) < float("inf"), r).otherwise(x)
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def _cos_sin(angle: pd.Series) -> pd.Series:
+    return pd.Series([[math.cos(a), math.sin(a)] if math.isfinite(a) else [math.nan, math.nan] for a in angle.tolist()], dtype=object)
+
+
+def cos_sin(angle: Column) -> Column:
+    """[cosine, sine] of radians by the C library, as SQL engines have them; the JVM's differ in the last bit of one angle in 500."""
+    return F.when(angle.isNotNull(), _cos_sin(angle.cast("double")))
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value) with value computed once, where an expression would otherwise repeat it many times over."""
     return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -256,16 +256,16 @@ def g12_height_difference(spark: SparkSession, sf: str) -> DataFrame:
 
 def _poses(spark: SparkSession, sf: str) -> DataFrame:
     """A pose for each supplier: turned about z by its balance, 5 behind the origin; every 11th isn't rigid."""
-    yaw = F.radians("s_acctbal")
-    c, s = F.cos(yaw), F.sin(yaw)
+    c, s = G.at(F.col("turn"), 0), G.at(F.col("turn"), 1)
     bad = F.when(F.col("s_suppkey") % 11 == 0, 2.0).otherwise(1.0)
     t = F.array(
         F.array(c * bad, -s, F.lit(0.0), F.col("s_suppkey").cast("double")),
         F.array(s, c, F.lit(0.0), F.lit(2.0)),
-        F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(-5.0)),
+        F.array(F.lit(0.0), F.lit(0.0), bad, F.lit(-5.0)),  # bad here too: a quarter turn has no cosine to spoil
         G.vec4(0, 0, 0, 1),
     )
-    return V.table(spark, sf, "supplier").select("s_suppkey", "s_acctbal", t.alias("t"))
+    turned = V.table(spark, sf, "supplier").select("s_suppkey", "s_acctbal", G.cos_sin(F.radians("s_acctbal")).alias("turn"))
+    return turned.select("s_suppkey", "s_acctbal", t.alias("t"))
 
 
 @query(
@@ -280,7 +280,7 @@ def g5_pose_parts(spark: SparkSession, sf: str) -> DataFrame:
         F.get("c.value", F.lit(0)).alias("cx"),
         F.get("f.value", F.lit(2)).alias("gl_forward_z"),
         "c.err",
-        F.round(F.get(F.get("i", F.lit(0)), F.lit(3)), 6).alias("inverse_x"),
+        G.rounded(F.get(F.get("i", F.lit(0)), F.lit(3)), 6).alias("inverse_x"),
     )
 
 
